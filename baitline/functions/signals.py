@@ -71,8 +71,27 @@ def categories_text(indicators: Column, sep: str = "|") -> Column:
 
 def hit_rows(h: Column) -> Column:
     """T8 long form: ``array<struct<category, rank, keyword>>`` (explode it)."""
-    parts = []
-    for (category, _, _), field in zip(C.SIGNAL_CATEGORIES, _HIT_FIELDS):
-        parts.append(F.transform(h[field], lambda k, i, c=category: F.struct(
-            F.lit(c).alias("category"), (i + 1).alias("rank"), k.alias("keyword"))))
-    return F.concat(*parts)
+    def rows_of(category: str, hits: Column) -> Column:
+        return F.transform(hits, lambda k, i: F.struct(
+            F.lit(category).alias("category"), (i + 1).alias("rank"), k.alias("keyword")))
+    return F.concat(*[rows_of(category, h[field]) for (category, _, _), field
+                      in zip(C.SIGNAL_CATEGORIES, _HIT_FIELDS)])
+
+
+HIT_COLUMNS = ["h_urgency", "h_brands", "h_financial", "h_data", "h_relationship"]
+
+
+def add_signal_columns(df, text: str, out: str = "indicators"):
+    """T1-T7 staged as one top-level column per category (each computed once)."""
+    low = F.lower(F.col(text))
+    hits = [keyword_hits(low, C.URGENCY_KEYWORDS), brand_hits(low),
+            keyword_hits(low, C.FINANCIAL_KEYWORDS), keyword_hits(low, C.DATA_KEYWORDS),
+            keyword_hits(low, C.RELATIONSHIP_KEYWORDS)]
+    for name, expr in zip(HIT_COLUMNS, hits):
+        df = df.withColumn(name, expr)
+    h = {f: F.col(c) for f, c in zip(_HIT_FIELDS, HIT_COLUMNS)}
+
+    class _H:
+        def __getitem__(self, k):
+            return h[k]
+    return df.withColumn(out, indicators_from_hits(_H()))

@@ -32,14 +32,12 @@ def analyse(df: DataFrame, text_col: str = "raw_text") -> DataFrame:
     """Core rules over any text column: redaction, links, domain reports,
     signals (on the redacted text) and the score."""
     text = F.col(text_col)
-    return (df
-            .withColumn("redacted_text", R.redact_pii(text))
-            .withColumn("links", L.extract_links(text))
-            .withColumn("domain_reports", D.inspect_links(F.col("links")))
-            .withColumn("indicators", T.detect_signals(F.col("redacted_text")))
-            .withColumn("_score_in", K.score_inputs(F.col("domain_reports"), F.col("indicators")))
-            .withColumn("summary", K.score_from_inputs(F.col("_score_in"), F.col("indicators")))
-            .drop("_score_in"))
+    df = (df
+          .withColumn("redacted_text", R.redact_pii(text))
+          .withColumn("links", L.extract_links(text))
+          .withColumn("domain_reports", D.inspect_links(F.col("links"))))
+    df = T.add_signal_columns(df, "redacted_text").drop(*T.HIT_COLUMNS)
+    return K.add_score_columns(df)
 
 
 def offline_reason(demo_offline: Column) -> Column:
@@ -60,15 +58,11 @@ def investigate(messages: DataFrame, ocr_text_col: str | None = None,
           .withColumn("raw_text", S.message_text(F.col("text"), F.col("image"),
                                                  F.col("demo_offline"), ocr)))
     df = analyse(df)
-    summary = F.col("summary")
     df = (df
-          .withColumn("risk_score", summary["risk_score"])
-          .withColumn("verdict", summary["verdict"])
-          .withColumn("confidence", summary["confidence"])
           .withColumn("safe_steps", P.safe_steps(F.col("situation")))
           .withColumn("ai_analysis", P.offline_note(
               offline_reason(F.col("demo_offline")), F.col("situation"), F.col("verdict"),
-              F.col("risk_score"), summary["breakdown"], F.size("domain_reports"),
+              F.col("risk_score"), F.col("breakdown"), F.size("domain_reports"),
               F.size("indicators"), F.col("safe_steps")))
           .withColumn("_packet", G.case_packet(F.col("redacted_text"), F.col("risk_score"),
                                                F.col("indicators"), F.col("safe_steps"), header))
@@ -97,7 +91,6 @@ def report_struct(df: DataFrame) -> Column:
         F.col("redacted_text"), F.col("links"), F.col("domain_reports"),
         F.col("indicators").alias("social_engineering_indicators"),
         F.col("verdict"), F.col("risk_score"), F.col("confidence"),
-        F.col("summary")["breakdown"].alias("breakdown"),
-        F.col("summary")["score_trace"].alias("score_trace"),
+        F.col("breakdown"), F.col("score_trace"),
         F.col("safe_steps"), F.col("ai_analysis"), F.col("report_draft"), F.col("trace"),
         F.when(F.col("has_image"), F.col("raw_text")).alias("extracted_text"))

@@ -16,6 +16,7 @@ def get_spark(master: str | None = None, partitions: int = 8, app: str = "baitli
                .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
                .config("spark.sql.session.timeZone", "UTC")
                .config("spark.ui.enabled", "false")
+               .config("spark.ui.showConsoleProgress", "false")
                .config("spark.driver.memory", "8g"))
     if master:
         builder = builder.master(master)
