@@ -197,4 +197,163 @@ SELECT msg_id, raw_text,
   CASE WHEN length(raw_text) > 60 THEN substring(raw_text, 1, 60) || '...' ELSE raw_text END AS ocr_preview
 FROM rep WHERE has_image"""
 
+    _analytics(out, base)
+    _lite(out, base)
     return out
+
+
+def _trace_preview_join() -> str:
+    return ("LEFT JOIN (SELECT msg_id, string_agg(label, ' | ' ORDER BY pos) AS trace_preview "
+            "FROM trp WHERE pos <= 4 GROUP BY msg_id) tp USING (msg_id)")
+
+
+def _analytics(out: dict, base: str) -> None:
+    status = "verdict || ' (' || CAST(risk_score AS VARCHAR) || '/100)'"
+    preview = f"substring(coalesce(nullif(redacted_text, ''), {q(C.SCREENSHOT_TEXT_MASK)}), 1, {C.PREVIEW_CHARS})"
+    out["evidence_stats"] = f"""{base},
+{trace_rows_sql().strip()}
+SELECT msg_id, CAST(n_reports AS INTEGER) AS n_links, CAST(n_high AS INTEGER) AS n_high_domains,
+  CAST(m AS INTEGER) AS max_domain_risk, CAST(n AS INTEGER) AS n_hooks,
+  CAST(8 + CASE WHEN has_image THEN 1 ELSE 0 END + CASE WHEN n_reports > 0 THEN 1 ELSE 0 END AS INTEGER) AS trace_depth,
+  'Local Fallback' AS ai_route, confidence, trace_preview,
+  array_to_string(breakdown[1:3], ' | ') AS breakdown_preview
+FROM rep {_trace_preview_join()}"""
+
+    out["top_contributors"] = f"""{base},
+{trace_rows_sql().strip()}
+SELECT msg_id, CAST(row_number() OVER (PARTITION BY msg_id ORDER BY impact DESC, pos) AS INTEGER) AS rank,
+  label, CAST(impact AS INTEGER) AS impact
+FROM trp WHERE impact > 0
+QUALIFY row_number() OVER (PARTITION BY msg_id ORDER BY impact DESC, pos) <= 3"""
+
+    out["primary_evidence"] = f"""{base}
+SELECT msg_id, coalesce(top_domain, indicators[1].category, 'No major signal') AS primary_evidence FROM rep"""
+
+    cases = f"""cases AS (
+  SELECT 'case-' || CAST(msg_id AS VARCHAR) AS case_id, msg_id, user_id, ts,
+    strftime(ts, '%Y-%m-%d %H:%M:%S') AS created_at, verdict, risk_score, confidence, situation,
+    'Local Fallback' AS ai_route, CAST(n_reports AS INTEGER) AS domain_count,
+    CAST(n AS INTEGER) AS indicator_count, {preview} AS text_preview
+  FROM rep
+)"""
+    out["case_records"] = f"""{base},
+{cases}
+SELECT case_id, msg_id, user_id, created_at, verdict, risk_score, confidence, situation, ai_route,
+  domain_count, indicator_count, text_preview FROM cases"""
+
+    out["recent_cases"] = f"""{base},
+{cases}
+SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, msg_id DESC) AS INTEGER) AS rank,
+  msg_id, case_id, strftime(ts, '%b %-d, %I:%M %p') AS time_label, {status} AS status, text_preview,
+  {_sit_label('situation')} AS situation_label, domain_count, indicator_count, ai_route
+FROM cases
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, msg_id DESC) <= {C.HISTORY_SIZE}"""
+
+    out["campaigns"] = f"""{base}
+SELECT d.domain, count(*) AS n_links, count(DISTINCT d.msg_id) AS n_messages,
+  count(DISTINCT r.user_id) AS n_users, max(d.risk_score) AS max_risk,
+  strftime(min(r.ts), '%Y-%m-%d %H:%M:%S') AS first_seen,
+  strftime(max(r.ts), '%Y-%m-%d %H:%M:%S') AS last_seen,
+  first(array_to_string(d.detected_brands, ',')) AS brands
+FROM m_dr d JOIN rep r USING (msg_id)
+GROUP BY d.domain"""
+
+    out["brand_campaigns"] = f"""{base}
+SELECT brand, count(DISTINCT msg_id) AS n_messages, count(DISTINCT user_id) AS n_users,
+  max(risk_score) AS max_risk, round(avg(risk_score), 2) AS avg_risk
+FROM (SELECT msg_id, user_id, risk_score, unnest(h_brand) AS brand FROM rep)
+GROUP BY brand"""
+
+
+def _lite(out: dict, base: str) -> None:
+    fixture = _case_first_sql([(f"contains(upper(coalesce(image, '')), {q(k)})", q(t))
+                               for k, t in C.LITE_FIXTURE_TEXTS], "''")
+    redacted = (f"regexp_replace(regexp_replace(regexp_replace(lite_text, {q(C.LITE_EMAIL_PATTERN)}, "
+                f"{q(C.EMAIL_MASK)}, 'g'), {q(C.LITE_PHONE_PATTERN)}, {q(C.PHONE_MASK)}, 'g'), "
+                f"{q(C.LITE_ID_PATTERN)}, {q(C.LITE_ID_MASK)}, 'g')")
+    host = ("regexp_replace(lower(regexp_replace(regexp_replace(regexp_extract(u, "
+            "'(?i)^https?://([^/?#\\\\]*)', 1), '^.*@', ''), ':[0-9]*$', '')), '^www[.]', '')")
+    steps = _case_first_sql([(f"situation = {q(k)}", qlist(v)) for k, v in C.LITE_SAFE_STEPS.items()],
+                            qlist(C.SAFE_STEPS["before_click"]))
+    risky = " OR ".join(f"contains(lite_domain, {q(e)})" for e in C.LITE_RISKY_ENDINGS)
+    lite = f"""lt0 AS (
+  SELECT msg_id, image, situation,
+    {strip_sql(f"coalesce(nullif(text, ''), nullif({fixture}, ''), {q(C.LITE_DEFAULT_TEXT)})")} AS lite_text
+  FROM acc
+),
+lt1 AS (
+  SELECT *, lower(lite_text) AS low, {redacted} AS lite_redacted,
+    regexp_extract_all(lite_text, {q(C.LITE_URL_PATTERN)}, 0)[1] AS u
+  FROM lt0
+),
+lt2 AS (
+  SELECT *, coalesce({host}, '') AS lite_domain,
+    contains(low, 'dhl') AS f_dhl, contains(low, 'paypal') AS f_paypal, contains(low, 'fedex') AS f_fedex,
+    (contains(low, 'prize') OR contains(low, 'rewards') OR contains(low, 'lottery')) AS f_prize,
+    (contains(low, 'qr') OR contains(low, 'microsoft')) AS f_qr,
+    regexp_matches(low, {q(C.LITE_PAYMENT_PATTERN)}) AS f_pay,
+    regexp_matches(low, {q(C.LITE_DATA_PATTERN)}) AS f_data,
+    regexp_matches(low, {q(C.LITE_URGENCY_PATTERN)}) AS f_urg
+  FROM lt1
+),
+lt3 AS (
+  SELECT *, CASE WHEN f_dhl THEN 'DHL' WHEN f_paypal THEN 'PAYPAL' WHEN f_fedex THEN 'FEDEX'
+                 WHEN f_qr THEN 'MICROSOFT' WHEN f_prize THEN 'GOOGLE' ELSE 'UNKNOWN' END AS lite_brand
+  FROM lt2
+),
+lt4 AS (
+  SELECT *, 52 + CASE WHEN lite_domain <> '' THEN 18 ELSE 0 END + CASE WHEN lite_brand <> 'UNKNOWN' THEN 16 ELSE 0 END
+            + CASE WHEN f_pay THEN 12 ELSE 0 END + CASE WHEN f_data THEN 12 ELSE 0 END
+            + CASE WHEN f_urg THEN 8 ELSE 0 END AS s0
+  FROM lt3
+),
+lt5 AS (
+  SELECT *, CAST(least(96,
+    CASE WHEN f_qr THEN greatest(72, s3) ELSE s3 END) AS INTEGER) AS lite_score
+  FROM (SELECT *, CASE WHEN f_prize THEN greatest(82, s2) ELSE s2 END AS s3
+        FROM (SELECT *, CASE WHEN f_fedex THEN greatest(86, s1) ELSE s1 END AS s2
+              FROM (SELECT *, CASE WHEN f_paypal THEN greatest(74, s05) ELSE s05 END AS s1
+                    FROM (SELECT *, CASE WHEN f_dhl THEN 95 ELSE s0 END AS s05 FROM lt4))))
+),
+lite AS (
+  SELECT *,
+    CASE WHEN lite_score >= 70 THEN 'High' WHEN lite_score >= 35 THEN 'Medium' ELSE 'Low' END AS lite_verdict,
+    CAST(CASE WHEN lite_domain <> '' THEN least(100, lite_score + CASE WHEN {risky} THEN 5 ELSE 0 END) ELSE 0 END AS INTEGER) AS lite_domain_risk,
+    CASE WHEN coalesce(image, '') <> '' THEN 92 ELSE 90 END AS lite_confidence,
+    CASE WHEN lite_score >= 70 THEN 'urgent' ELSE 'review' END AS lite_priority,
+    [CASE WHEN lite_domain <> '' THEN 'Unsafe destination link detected.' ELSE 'No clickable URL extracted from visible text.' END,
+     CASE WHEN lite_brand <> 'UNKNOWN' THEN 'Appears to impersonate a trusted company/institution.' ELSE 'Sender identity cannot be verified from the message.' END,
+     CASE WHEN f_pay THEN 'Asks for immediate payment, bank details, or delivery fees.'
+          WHEN f_data THEN 'Requests account or identity verification.'
+          ELSE 'Uses persuasion language that needs independent verification.' END] AS lite_bd,
+    CAST((CASE WHEN lite_brand <> 'UNKNOWN' THEN 1 ELSE 0 END) + (CASE WHEN f_pay THEN 1 ELSE 0 END)
+         + (CASE WHEN f_data THEN 1 ELSE 0 END) + (CASE WHEN f_urg THEN 1 ELSE 0 END) AS INTEGER) AS lite_n_indicators,
+    list_filter([CASE WHEN lite_domain <> '' THEN 'Highest domain risk' END,
+                 CASE WHEN lite_brand <> 'UNKNOWN' THEN 'Brand impersonation' END,
+                 CASE WHEN f_pay THEN 'Financial pressure' END,
+                 CASE WHEN f_data THEN 'Data collection prompt' END], lambda x: x IS NOT NULL) AS lite_tr,
+    {steps} AS lite_steps
+  FROM lt5
+)"""
+    packet = " || chr(10) || ".join([
+        q(C.PACKET_HEADER),
+        "'Risk: ' || upper(lite_verdict) || ' (' || CAST(lite_score AS VARCHAR) || '/100)'",
+        "'Target brand: ' || lite_brand", "'Signals: ' || array_to_string(lite_bd, ', ')",
+        q(C.PACKET_PRIVACY), "''", "'First safe move:'", "lite_steps[1]", "''",
+        "'Anonymized suspicious content:'", "lite_redacted", "''",
+        "'Analyst route: Browser Demo Fallback'"])
+    out["lite_triage"] = f"""{base},
+{lite}
+SELECT msg_id, lite_score, lite_verdict, lite_brand, lite_domain, lite_domain_risk, lite_confidence,
+  lite_priority, lite_n_indicators, array_to_string(lite_bd, ' | ') AS lite_breakdown,
+  array_to_string(lite_tr, ' | ') AS lite_trace, lite_redacted, {packet} AS lite_packet
+FROM lite"""
+    out["lite_agreement"] = f"""{base},
+{lite}
+SELECT r.verdict AS full_verdict, l.lite_verdict, count(*) AS n_messages
+FROM rep r JOIN lite l USING (msg_id) GROUP BY r.verdict, l.lite_verdict"""
+
+
+def _case_first_sql(pairs, default="NULL") -> str:
+    whens = " ".join(f"WHEN {c} THEN {v}" for c, v in pairs)
+    return f"CASE {whens} ELSE {default} END"

@@ -16,7 +16,9 @@ from ..functions import redact as R
 from ..functions import report as G
 from ..functions.rows import positioned
 from ..functions import signals as T
+from ..operators import analytics as OA
 from ..operators import domains as OD
+from ..operators import lite as OL
 from ..sources import intake as S
 from ..sources import tables
 from ..sources.messages import messages
@@ -235,3 +237,56 @@ def screenshot_texts(spark, sf_dir):
     src = accepted(spark, sf_dir).filter(S.has_image(F.col("image")))
     txt = S.message_text(F.col("text"), F.col("image"), F.col("demo_offline"))
     return src.select("msg_id", txt.alias("raw_text"), R.ocr_preview(txt).alias("ocr_preview"))
+
+
+# --- analytics (A1-A8) -------------------------------------------------------------
+
+def evidence_stats(spark, sf_dir):
+    return OA.evidence_stats(reports(spark, sf_dir))
+
+
+def top_contributors(spark, sf_dir):
+    return OA.top_contributors(reports(spark, sf_dir))
+
+
+def primary_evidence(spark, sf_dir):
+    rep = reports(spark, sf_dir)
+    return rep.select("msg_id", OA.primary_evidence(F.col("domain_reports"), F.col("indicators"))
+                      .alias("primary_evidence"))
+
+
+def case_records(spark, sf_dir):
+    cases = OA.case_records(reports(spark, sf_dir))
+    return cases.select("case_id", "msg_id", "user_id", "created_at", "verdict", "risk_score",
+                        "confidence", "situation", "ai_route", "domain_count", "indicator_count",
+                        "text_preview")
+
+
+def recent_cases(spark, sf_dir):
+    return OA.recent_cases(OA.case_records(reports(spark, sf_dir)))
+
+
+def campaigns(spark, sf_dir):
+    return OA.campaigns(reports(spark, sf_dir))
+
+
+def brand_campaigns(spark, sf_dir):
+    return OA.brand_campaigns(reports(spark, sf_dir))
+
+
+# --- lite triage (Q1-Q9) -----------------------------------------------------------
+
+def lite_triage(spark, sf_dir):
+    lite = OL.add_lite_columns(accepted(spark, sf_dir))
+    return lite.select(
+        "msg_id", "lite_score", "lite_verdict", "lite_brand", "lite_domain", "lite_domain_risk",
+        "lite_confidence", "lite_priority",
+        F.size("lite_indicators").alias("lite_n_indicators"),
+        F.array_join("lite_breakdown", " | ").alias("lite_breakdown"),
+        F.array_join("lite_trace_labels", " | ").alias("lite_trace"),
+        "lite_redacted", "lite_packet")
+
+
+def lite_agreement(spark, sf_dir):
+    both = OL.add_lite_columns(reports(spark, sf_dir))
+    return OL.agreement(both)

@@ -28,6 +28,15 @@ SPARK_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "report_labels": Q.report_labels,
     "intake_quarantine": Q.intake_quarantine,
     "screenshot_texts": Q.screenshot_texts,
+    "evidence_stats": Q.evidence_stats,
+    "top_contributors": Q.top_contributors,
+    "primary_evidence": Q.primary_evidence,
+    "case_records": Q.case_records,
+    "recent_cases": Q.recent_cases,
+    "campaigns": Q.campaigns,
+    "brand_campaigns": Q.brand_campaigns,
+    "lite_triage": Q.lite_triage,
+    "lite_agreement": Q.lite_agreement,
 }
 
 
