@@ -199,6 +199,12 @@ FROM rep WHERE has_image"""
 
     _analytics(out, base)
     _lite(out, base)
+    _streams(out, base)
+    out["sql_tools"] = f"""{base}
+SELECT msg_id, redacted_text, true AS alias_ok, CAST(coalesce(len(domains), 0) AS INTEGER) AS n_links,
+  coalesce(array_to_string(domains, ','), '') AS domains, safe_steps[1] AS first_step,
+  {q(C.SAFE_STEPS['before_click'][0])} AS default_first_step, '' AS empty_redaction
+FROM rep"""
     return out
 
 
@@ -357,3 +363,28 @@ FROM rep r JOIN lite l USING (msg_id) GROUP BY r.verdict, l.lite_verdict"""
 def _case_first_sql(pairs, default="NULL") -> str:
     whens = " ".join(f"WHEN {c} THEN {v}" for c, v in pairs)
     return f"CASE {whens} ELSE {default} END"
+
+
+def _streams(out: dict, base: str) -> None:
+    guard = f"(contains(pk, '@') AND NOT contains(pk, {q(C.EMAIL_MASK)}))"
+    out["stream_reports"] = f"""{base},
+pk AS (SELECT *, {packet_sql()} AS pk FROM rep)
+SELECT msg_id, user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, situation, verdict, risk_score, confidence,
+  CAST(n_reports AS INTEGER) AS domain_count, CAST(n AS INTEGER) AS indicator_count,
+  CASE WHEN {guard} THEN {q(C.GUARDRAIL_BLOCKED)} ELSE pk END AS report_draft
+FROM pk"""
+    # windows are emitted once the watermark (max event time - 1 hour) passes their end
+    out["stream_verdict_windows"] = f"""{base}
+SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start,
+  strftime(date_trunc('day', ts) + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS window_end,
+  verdict, count(*) AS n_messages, max(risk_score) AS max_score
+FROM rep
+WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM rep)
+GROUP BY 1, 2, 3"""
+    out["stream_history"] = f"""{base}
+SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, msg_id DESC) AS INTEGER) AS rank,
+  msg_id, verdict, risk_score
+FROM rep
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, msg_id DESC) <= {C.HISTORY_SIZE}"""
+    out["stream_dedup"] = f"""{base}
+SELECT msg_id, user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM msgs"""

@@ -290,3 +290,47 @@ def lite_triage(spark, sf_dir):
 def lite_agreement(spark, sf_dir):
     both = OL.add_lite_columns(reports(spark, sf_dir))
     return OL.agreement(both)
+
+
+# --- SQL surface (U1-U3) ------------------------------------------------------------
+
+def sql_tools(spark, sf_dir):
+    """Scalar tools called from SQL, by name and alias, with defaults."""
+    from ..functions.tools import register_sql_functions
+    register_sql_functions(spark)
+    src = accepted(spark, sf_dir).withColumn(
+        "raw_text", S.message_text(F.col("text"), F.col("image"), F.col("demo_offline")))
+    src.select("msg_id", "raw_text", "situation").createOrReplaceTempView("baitline_messages")
+    return spark.sql("""
+        SELECT msg_id,
+               redact_pii(raw_text) AS redacted_text,
+               clean_text_pii(raw_text) = redact_pii(raw_text) AS alias_ok,
+               size(extract_links(raw_text)) AS n_links,
+               array_join(transform(get_links(raw_text), l -> l.domain), ',') AS domains,
+               generate_safe_steps('Low', situation)[0] AS first_step,
+               fetch_safe_steps()[0] AS default_first_step,
+               redact_pii() AS empty_redaction
+        FROM baitline_messages""")
+
+
+# --- streaming (ST1-ST4) -------------------------------------------------------------
+
+def stream_reports(spark, sf_dir):
+    from ..streaming import jobs
+    out = jobs.run_stream_reports(spark, sf_dir)
+    return out.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+
+
+def stream_verdict_windows(spark, sf_dir):
+    from ..streaming import jobs
+    return jobs.run_verdict_windows(spark, sf_dir)
+
+
+def stream_history(spark, sf_dir):
+    from ..streaming import jobs
+    return jobs.run_history(spark, sf_dir).select("user_id", "rank", "msg_id", "verdict", "risk_score")
+
+
+def stream_dedup(spark, sf_dir):
+    from ..streaming import jobs
+    return jobs.run_dedup(spark, sf_dir)

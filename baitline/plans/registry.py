@@ -37,6 +37,11 @@ SPARK_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "brand_campaigns": Q.brand_campaigns,
     "lite_triage": Q.lite_triage,
     "lite_agreement": Q.lite_agreement,
+    "sql_tools": Q.sql_tools,
+    "stream_reports": Q.stream_reports,
+    "stream_verdict_windows": Q.stream_verdict_windows,
+    "stream_history": Q.stream_history,
+    "stream_dedup": Q.stream_dedup,
 }
 
 

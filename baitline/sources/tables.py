@@ -14,6 +14,27 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations"]
 
 
+# Row key of each text table (used to hash-spread rows when a scan is too coarse).
+KEYS = {"events": "event_id", "documents": "doc_id", "pages": "page_id",
+        "conversations": "conv_id"}
+
+
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Give CPU-heavy per-row rules enough parallel tasks.
+
+    A scan yields one partition per file split / row group; a few large files
+    (or single-row-group files) would run every regex of every row in a handful
+    of tasks. When the scan has fewer partitions than the cluster has cores the
+    rows are hash-spread by their key (deterministic on retry, and later joins
+    on the key can reuse the layout). On a large input the scan already has
+    more splits than cores and this adds nothing - no shuffle.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key) if key else df.repartition(target)
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
@@ -21,7 +42,8 @@ def table_path(sf_dir: str, name: str) -> str:
 def read_table(spark: SparkSession, sf_dir: str, name: str,
                columns: list[str] | None = None) -> DataFrame:
     df = spark.read.parquet(table_path(sf_dir, name))
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    return spread(df, KEYS.get(name)) if name in KEYS else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
