@@ -46,13 +46,17 @@ def offline_reason(demo_offline: Column) -> Column:
 
 
 def investigate(messages: DataFrame, ocr_text_col: str | None = None,
-                header: str = C.PACKET_HEADER) -> DataFrame:
+                header: str = C.PACKET_HEADER, notes: DataFrame | None = None) -> DataFrame:
     """Full report rows for (validated) messages.
 
     Expects ``msg_id, text, situation, image, demo_offline``; other columns
-    (``ts``, ``user_id``...) are carried through.
+    (``ts``, ``user_id``...) are carried through. ``notes`` (from
+    ``operators.notes.note_inputs``) attaches live analyst answers: it is
+    joined to the raw messages, before the report columns widen the rows.
     """
     ocr = F.col(ocr_text_col) if ocr_text_col else None
+    if notes is not None:
+        messages = messages.join(notes, "msg_id", "left")
     df = (messages
           .withColumn("has_image", F.coalesce(S.has_image(F.col("image")), F.lit(False)))
           .withColumn("raw_text", S.message_text(F.col("text"), F.col("image"),
@@ -64,6 +68,7 @@ def investigate(messages: DataFrame, ocr_text_col: str | None = None,
               offline_reason(F.col("demo_offline")), F.col("situation"), F.col("verdict"),
               F.col("risk_score"), F.col("breakdown"), F.size("domain_reports"),
               F.size("indicators"), F.col("safe_steps")))
+          .transform(lambda d: _attach_live_notes(d) if notes is not None else d)
           .withColumn("_packet", G.case_packet(F.col("redacted_text"), F.col("risk_score"),
                                                F.col("indicators"), F.col("safe_steps"), header))
           .withColumn("guard_failed", R.leaks_pii(F.col("_packet")))
@@ -94,3 +99,11 @@ def report_struct(df: DataFrame) -> Column:
         F.col("breakdown"), F.col("score_trace"),
         F.col("safe_steps"), F.col("ai_analysis"), F.col("report_draft"), F.col("trace"),
         F.when(F.col("has_image"), F.col("raw_text")).alias("extracted_text"))
+
+
+def _attach_live_notes(df: DataFrame) -> DataFrame:
+    from ..operators.notes import live_or_offline
+    note = live_or_offline(F.col("ai_analysis"), F.col("verdict"), F.col("situation"),
+                           F.col("demo_offline"))
+    return (df.withColumn("ai_analysis", note)
+            .drop("note_obj", "note_model", "note_request_id", "note_failure"))

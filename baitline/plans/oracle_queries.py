@@ -200,6 +200,7 @@ FROM rep WHERE has_image"""
     _analytics(out, base)
     _lite(out, base)
     _streams(out, base)
+    _notes(out, base)
     out["sql_tools"] = f"""{base}
 SELECT msg_id, redacted_text, true AS alias_ok, CAST(coalesce(len(domains), 0) AS INTEGER) AS n_links,
   coalesce(array_to_string(domains, ','), '') AS domains, safe_steps[1] AS first_step,
@@ -388,3 +389,105 @@ FROM rep
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, msg_id DESC) <= {C.HISTORY_SIZE}"""
     out["stream_dedup"] = f"""{base}
 SELECT msg_id, user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM msgs"""
+
+
+def _notes(out: dict, base: str) -> None:
+    from ..sources.responses import attempt_columns, steps_values_sql
+    cols = ", ".join(f"{expr} AS {name}" for name, expr in attempt_columns())
+    c = "coalesce(content, '{}')"
+    t = strip_sql(c)
+    first = f"instr({c}, '{{')"
+    last = f"(length({c}) - instr(reverse({c}), '}}') + 1)"
+    cand = (f"CASE WHEN starts_with({t}, '{{') AND ends_with({t}, '}}') THEN {t} "
+            f"WHEN {first} > 0 AND instr({c}, '}}') > 0 AND {last} > {first} "
+            f"THEN substring({c}, {first}, {last} - {first} + 1) END")
+    sev = "lower(verdict)"
+
+    def s(x):
+        return strip_sql(x)
+    sig_obj = s("coalesce(json_extract_string(e, '$.signal'), '')")
+    sig_val = s("json_extract_string(e, '$')")
+    why_obj = s("coalesce(json_extract_string(e, '$.why_it_matters'), '')")
+    sev_obj = s(f"coalesce(json_extract_string(e, '$.severity'), {sev})")
+    item_signal = f"CASE WHEN json_type(e) = 'OBJECT' THEN {sig_obj} ELSE {sig_val} END"
+    item_why = f"CASE WHEN json_type(e) = 'OBJECT' THEN {why_obj} ELSE {q(C.NOTE_WHY_DEFAULT)} END"
+    item_sev = f"CASE WHEN json_type(e) = 'OBJECT' THEN lower({sev_obj}) ELSE {sev} END"
+
+    def str_list(key):
+        arr = f"json_extract(cand, '$.{key}')"
+        elem = s("json_extract_string(e, '$')")
+        items = (f"list_filter(list_transform(json_extract({arr}, '$[*]'), lambda e: {elem}), "
+                 f"lambda x: x <> '')[1:3]")
+        single = s(f"json_extract_string(cand, '$.{key}')")
+        return (f"CASE WHEN json_type({arr}) = 'ARRAY' THEN {items} "
+                f"WHEN json_type({arr}) IS NOT NULL AND json_type({arr}) <> 'NULL' AND {single} <> '' THEN [{single}] "
+                f"ELSE []::VARCHAR[] END")
+    out["analyst_notes_live"] = f"""{base},
+att AS (SELECT {cols} FROM acc JOIN {steps_values_sql()} ON s.scenario = acc.msg_id % 8),
+at1 AS (
+  SELECT *, {cand} AS cand FROM att
+),
+at2 AS (
+  SELECT *, (http_code = 200 AND cand IS NOT NULL AND json_valid(cand) AND json_type(cand) = 'OBJECT') AS ok,
+    CASE WHEN http_code <> 200 THEN model || ' -> ' || CAST(http_code AS VARCHAR) || ': ' || substring(coalesce(error, ''), 1, 240)
+         ELSE model || ' -> invalid JSON object' END AS failure
+  FROM at1
+),
+at3 AS (
+  SELECT a.*, (a.attempt = 0 OR EXISTS (SELECT 1 FROM at2 b WHERE b.msg_id = a.msg_id AND b.model_rank = a.model_rank
+                                        AND b.attempt = 0 AND b.http_code = 429)) AS reachable,
+    EXISTS (SELECT 1 FROM at2 b WHERE b.msg_id = a.msg_id AND b.model_rank = a.model_rank AND b.attempt = 1) AS has_retry
+  FROM at2 a
+),
+win AS (
+  SELECT msg_id, model_rank AS w_rank, model AS w_model, request_id AS w_req, cand
+  FROM at3 WHERE reachable AND ok
+  QUALIFY row_number() OVER (PARTITION BY msg_id ORDER BY model_rank, attempt) = 1
+),
+fails AS (
+  SELECT a.msg_id, {q(C.REASON_ROUTING)} || coalesce(string_agg(a.failure, ' | ' ORDER BY a.model_rank, a.attempt)
+      FILTER (WHERE a.k <= 3), '') AS reason
+  FROM (SELECT a.*, row_number() OVER (PARTITION BY a.msg_id ORDER BY a.model_rank, a.attempt) AS k
+        FROM at3 a LEFT JOIN win w USING (msg_id)
+        WHERE a.reachable AND NOT a.ok AND NOT (a.attempt = 0 AND a.http_code = 429 AND a.has_retry)
+          AND (w.w_rank IS NULL OR a.model_rank < w.w_rank)) a
+  GROUP BY a.msg_id
+),
+has_att AS (SELECT DISTINCT msg_id FROM att),
+nt AS (
+  SELECT r.*, w.w_model, w.w_req, w.cand, f.reason,
+    (w.cand IS NOT NULL AND NOT coalesce(r.demo_offline, false)) AS live
+  FROM rep r LEFT JOIN win w USING (msg_id) LEFT JOIN fails f USING (msg_id)
+),
+ev AS (
+  SELECT msg_id, list_filter(list_transform(
+      (CASE WHEN json_type(json_extract(cand, '$.evidence')) = 'ARRAY'
+            THEN json_extract(json_extract(cand, '$.evidence'), '$[*]') ELSE [] END)[1:5],
+      lambda e: {{'signal': {item_signal}, 'why': {item_why}, 'sev': {item_sev}}}), lambda x: x.signal <> '') AS items
+  FROM nt WHERE live
+)
+SELECT msg_id,
+  CASE WHEN live THEN 'model_route' ELSE {q(C.NOTE_PROVIDER)} END AS provider,
+  CASE WHEN live THEN w_model ELSE {q(C.NOTE_MODEL)} END AS model,
+  CASE WHEN live THEN 'live' ELSE 'fallback' END AS status,
+  CASE WHEN live THEN NULL WHEN coalesce(demo_offline, false) THEN {q(C.REASON_OFFLINE)}
+       WHEN reason IS NOT NULL THEN reason ELSE {q(C.REASON_NO_RESPONSE)} END AS fallback_reason,
+  CASE WHEN live THEN w_req END AS request_id,
+  CASE WHEN live THEN {s("coalesce(json_extract_string(cand, '$.executive_summary'), '')")}
+       ELSE 'Classified this as ' || verdict || ' risk (' || CAST(risk_score AS VARCHAR) || '/100) using local rules.' END AS executive_summary,
+  CASE WHEN live THEN {s(f"coalesce(json_extract_string(cand, '$.recommended_priority'), {_priority('verdict', 'situation')})")}
+       ELSE {_priority('verdict', 'situation')} END AS recommended_priority,
+  CAST(CASE WHEN live THEN len(ev.items) ELSE len(breakdown[1:5]) END AS INTEGER) AS n_evidence,
+  CASE WHEN live THEN array_to_string(list_transform(ev.items, lambda x: x.signal), ' | ')
+       ELSE array_to_string(breakdown[1:5], ' | ') END AS evidence,
+  CASE WHEN live THEN array_to_string(list_transform(ev.items, lambda x: CASE WHEN x.why = '' THEN {q(C.NOTE_WHY_DEFAULT)} ELSE x.why END), ' | ')
+       ELSE array_to_string(list_transform(breakdown[1:5], lambda b: {q(C.NOTE_WHY_RULE)}), ' | ') END AS evidence_why,
+  CASE WHEN live THEN array_to_string(list_transform(ev.items, lambda x: CASE WHEN x.sev IN ('low', 'medium', 'high') THEN x.sev ELSE lower(verdict) END), ',')
+       ELSE array_to_string(list_transform(breakdown[1:5], lambda b: lower(verdict)), ',') END AS evidence_severity,
+  CASE WHEN live THEN array_to_string({str_list('questions')}, ' | ')
+       ELSE array_to_string(questions[1:3], ' | ') END AS questions,
+  CASE WHEN live THEN array_to_string({str_list('next_actions')}, ' | ')
+       ELSE array_to_string(list_transform(safe_steps[1:3], lambda x: replace(x, '**', '')), ' | ') END AS next_actions,
+  CASE WHEN live THEN 'Model enrichment completed via ' || w_model || '.'
+       ELSE 'Model enrichment unavailable. Deterministic explanation attached.' END AS analyst_step
+FROM nt LEFT JOIN ev USING (msg_id)"""

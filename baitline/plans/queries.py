@@ -334,3 +334,42 @@ def stream_history(spark, sf_dir):
 def stream_dedup(spark, sf_dir):
     from ..streaming import jobs
     return jobs.run_dedup(spark, sf_dir)
+
+
+# --- analyst notes from recorded model answers (P6-P14) ------------------------------
+
+def noted_reports(spark, sf_dir):
+    from ..operators.notes import note_inputs
+    from ..sources.responses import attempts_from
+    acc = accepted(spark, sf_dir)
+    return investigate(acc, notes=note_inputs(attempts_from(acc)))
+
+
+def analyst_notes_live(spark, sf_dir):
+    rep = noted_reports(spark, sf_dir)
+    a = F.col("ai_analysis")
+    return rep.select(
+        "msg_id", a["provider"].alias("provider"), a["model"].alias("model"),
+        a["status"].alias("status"), a["fallback_reason"].alias("fallback_reason"),
+        a["request_id"].alias("request_id"),
+        a["executive_summary"].alias("executive_summary"),
+        a["recommended_priority"].alias("recommended_priority"),
+        F.size(a["evidence"]).alias("n_evidence"),
+        F.array_join(F.transform(a["evidence"], lambda e: e["signal"]), " | ").alias("evidence"),
+        F.array_join(F.transform(a["evidence"], lambda e: e["why_it_matters"]), " | ").alias("evidence_why"),
+        F.array_join(F.transform(a["evidence"], lambda e: e["severity"]), ",").alias("evidence_severity"),
+        F.array_join(a["questions"], " | ").alias("questions"),
+        F.array_join(a["next_actions"], " | ").alias("next_actions"),
+        F.get(F.col("trace"), F.size("trace") - 3)["detail"].alias("analyst_step"))
+
+
+def prompt_payloads(spark, sf_dir):
+    from ..operators.notes import model_routes, prompt_payload
+    rep = reports(spark, sf_dir)
+    return rep.select(
+        "msg_id",
+        prompt_payload(F.col("redacted_text"), F.col("situation"), F.col("verdict"),
+                       F.col("risk_score"), F.col("confidence"), F.col("breakdown"),
+                       F.col("domain_reports"), F.col("indicators"), F.col("safe_steps")
+                       ).alias("payload"),
+        F.array_join(model_routes(F.lit(C.MODEL_ROUTES[2])), ",").alias("routes"))

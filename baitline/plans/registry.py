@@ -38,6 +38,8 @@ SPARK_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lite_triage": Q.lite_triage,
     "lite_agreement": Q.lite_agreement,
     "sql_tools": Q.sql_tools,
+    "analyst_notes_live": Q.analyst_notes_live,
+    "prompt_payloads": Q.prompt_payloads,
     "stream_reports": Q.stream_reports,
     "stream_verdict_windows": Q.stream_verdict_windows,
     "stream_history": Q.stream_history,
