@@ -201,6 +201,7 @@ FROM rep WHERE has_image"""
     _lite(out, base)
     _streams(out, base)
     _notes(out, base)
+    _catalogues(out, base)
     out["sql_tools"] = f"""{base}
 SELECT msg_id, redacted_text, true AS alias_ok, CAST(coalesce(len(domains), 0) AS INTEGER) AS n_links,
   coalesce(array_to_string(domains, ','), '') AS domains, safe_steps[1] AS first_step,
@@ -491,3 +492,42 @@ SELECT msg_id,
   CASE WHEN live THEN 'Model enrichment completed via ' || w_model || '.'
        ELSE 'Model enrichment unavailable. Deterministic explanation attached.' END AS analyst_step
 FROM nt LEFT JOIN ev USING (msg_id)"""
+
+
+def _values(rows, cols) -> str:
+    def lit(v):
+        return "NULL" if v is None else (q(v) if isinstance(v, str) else str(v))
+    body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
+    return f"(VALUES {body}) AS t({', '.join(cols)})"
+
+
+def _catalogues(out: dict, base: str) -> None:
+    import json
+    from ..sources.fixtures import MANIFEST
+    samples = _values([(n, src, sit, txt) for n, src, sit, txt in C.SAMPLES],
+                      ["name", "sample_source", "sample_situation", "text"])
+    out["sample_matches"] = f"""WITH msgs AS ({view_sql('events')})
+SELECT m.msg_id, t.name AS sample, t.sample_source, m.situation AS requested_situation,
+  CASE WHEN m.situation IS NOT NULL AND m.situation <> 'before_click' THEN m.situation
+       ELSE coalesce(t.sample_situation, m.situation) END AS situation
+FROM msgs m JOIN {samples} ON m.text = t.text"""
+    fixtures = json.load(open(MANIFEST))["fixtures"]
+    man = _values([(f["id"], f["marker"], f["expected_verdict"]) for f in fixtures],
+                  ["fixture_id", "marker", "expected_verdict"])
+    out["screenshot_fixtures"] = f"""{base}
+SELECT r.msg_id, t.fixture_id, t.expected_verdict, r.verdict, (t.expected_verdict = r.verdict) AS agrees
+FROM (SELECT * FROM rep WHERE has_image) r LEFT JOIN {man} ON contains(upper(r.image), t.marker)"""
+    unions = "\nUNION ALL\n".join(
+        f"SELECT msg_id, {q(cat)} AS category, CAST(generate_subscripts({h}, 1) AS INTEGER) AS rank, "
+        f"unnest({h}) AS keyword FROM s_sg" for h, cat in
+        [("h_urg", C.URGENCY), ("h_fin", C.FINANCIAL), ("h_data", C.DATA), ("h_rel", C.RELATIONSHIP)])
+    lex = _values([(cat, i + 1, kw) for cat, kws, _ in C.SIGNAL_CATEGORIES if kws for i, kw in enumerate(kws)],
+                  ["category", "rank", "keyword"])
+    out["lexicon_hits"] = f"""{base}
+SELECT s.msg_id, t.category, CAST(t.rank AS INTEGER) AS rank, t.keyword
+FROM s_sg s JOIN red USING (msg_id) JOIN {lex} ON contains(lower(red.redacted_text), t.keyword)"""
+    guard = f"(contains(pk, '@') AND NOT contains(pk, {q(C.EMAIL_MASK)}))"
+    out["packet_files"] = f"""{base},
+pk AS (SELECT *, {packet_sql()} AS pk FROM rep)
+SELECT verdict, CASE WHEN {guard} THEN {q(C.GUARDRAIL_BLOCKED)} ELSE pk END AS packet FROM pk"""
+    out["history_store"] = out["recent_cases"]

@@ -373,3 +373,67 @@ def prompt_payloads(spark, sf_dir):
                        F.col("domain_reports"), F.col("indicators"), F.col("safe_steps")
                        ).alias("payload"),
         F.array_join(model_routes(F.lit(C.MODEL_ROUTES[2])), ",").alias("routes"))
+
+
+# --- catalogues and sinks (S2-S4, S9-S11, T8 join form) ------------------------------
+
+def _sink_path(spark, name):
+    import os
+    import uuid
+    from ..session import checkpoint_dir
+    return os.path.join(checkpoint_dir(spark), "sinks", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def sample_matches(spark, sf_dir):
+    """S2 + S3: messages carrying a catalogue sample, with the sample's default situation."""
+    from ..sources.fixtures import samples
+    cat = F.broadcast(samples(spark).withColumnRenamed("situation", "sample_situation")
+                      .withColumnRenamed("source", "sample_source"))
+    m = messages(spark, sf_dir)
+    return (m.join(cat, "text").select(
+        "msg_id", F.col("name").alias("sample"), "sample_source",
+        F.col("situation").alias("requested_situation"),
+        S.sample_situation(F.col("situation"), F.col("sample_situation")).alias("situation")))
+
+
+def screenshot_fixtures(spark, sf_dir):
+    """S4 + S5: screenshots matched to the manifest by marker (broadcast theta join)."""
+    from ..sources.fixtures import screenshot_manifest
+    man = F.broadcast(screenshot_manifest(spark))
+    rep = reports(spark, sf_dir).filter(F.col("has_image"))
+    joined = rep.join(man, F.upper(F.col("image")).contains(F.col("marker")), "left")
+    return joined.select("msg_id", F.col("id").alias("fixture_id"), "expected_verdict", "verdict",
+                         (F.col("expected_verdict") == F.col("verdict")).alias("agrees"))
+
+
+def lexicon_hits(spark, sf_dir):
+    """T8 join form: keyword hits by a broadcast theta join with the lexicon table."""
+    from ..sources.fixtures import lexicon_hits as join_hits
+    src = accepted(spark, sf_dir).withColumn(
+        "raw_text", S.message_text(F.col("text"), F.col("image"), F.col("demo_offline")))
+    red = src.select("msg_id", R.redact_pii(F.col("raw_text")).alias("redacted_text"))
+    return join_hits(red, "redacted_text")
+
+
+def report_exports(spark, sf_dir):
+    """One JSON export document per report."""
+    from ..sources.sinks import export_json
+    rep = reports(spark, sf_dir)
+    return rep.select("msg_id", export_json(rep, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
+                      .alias("export_json"))
+
+
+def packet_files(spark, sf_dir):
+    """Packets written as text files per verdict and read back."""
+    from ..sources.sinks import read_packets, write_packets
+    path = _sink_path(spark, "packets")
+    write_packets(reports(spark, sf_dir), path)
+    return read_packets(spark, path).select("verdict", F.col("value").alias("packet"))
+
+
+def history_store(spark, sf_dir):
+    """Newest cases per user written as a parquet table and read back."""
+    from ..sources.sinks import write_history
+    path = _sink_path(spark, "history")
+    write_history(OA.recent_cases(OA.case_records(reports(spark, sf_dir))), path)
+    return spark.read.parquet(path)

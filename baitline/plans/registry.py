@@ -40,6 +40,12 @@ SPARK_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sql_tools": Q.sql_tools,
     "analyst_notes_live": Q.analyst_notes_live,
     "prompt_payloads": Q.prompt_payloads,
+    "sample_matches": Q.sample_matches,
+    "screenshot_fixtures": Q.screenshot_fixtures,
+    "lexicon_hits": Q.lexicon_hits,
+    "report_exports": Q.report_exports,
+    "packet_files": Q.packet_files,
+    "history_store": Q.history_store,
     "stream_reports": Q.stream_reports,
     "stream_verdict_windows": Q.stream_verdict_windows,
     "stream_history": Q.stream_history,
