@@ -202,6 +202,7 @@ FROM rep WHERE has_image"""
     _streams(out, base)
     _notes(out, base)
     _catalogues(out, base)
+    _labels(out, base)
     out["sql_tools"] = f"""{base}
 SELECT msg_id, redacted_text, true AS alias_ok, CAST(coalesce(len(domains), 0) AS INTEGER) AS n_links,
   coalesce(array_to_string(domains, ','), '') AS domains, safe_steps[1] AS first_step,
@@ -531,3 +532,49 @@ FROM s_sg s JOIN red USING (msg_id) JOIN {lex} ON contains(lower(red.redacted_te
 pk AS (SELECT *, {packet_sql()} AS pk FROM rep)
 SELECT verdict, CASE WHEN {guard} THEN {q(C.GUARDRAIL_BLOCKED)} ELSE pk END AS packet FROM pk"""
     out["history_store"] = out["recent_cases"]
+
+
+def _labels(out: dict, base: str) -> None:
+    nl = " || chr(10) || "
+    guard = f"(contains(pk, '@') AND NOT contains(pk, {q(C.EMAIL_MASK)}))"
+    draft = f"CASE WHEN {guard} THEN {q(C.GUARDRAIL_BLOCKED)} ELSE pk END"
+    html = draft
+    for ch, ent in [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#039;")]:
+        html = f"replace({html}, {q(ch)}, {q(ent)})"
+    prio = _priority("verdict", "situation")
+    b = "lower(breakdown[1])"
+
+    def any_of(words):
+        return " OR ".join(f"contains({b}, {q(w)})" for w in words)
+    topic = (f"CASE WHEN {any_of(['link', 'destination'])} THEN 'link' "
+             f"WHEN {any_of(['urgency', 'threat'])} THEN 'urgency' "
+             f"WHEN {any_of(['impersonate', 'trusted'])} THEN 'brand' "
+             f"WHEN {any_of(['payment', 'bank', 'fee'])} THEN 'payment' "
+             f"WHEN {any_of(['credential', 'code', 'data'])} THEN 'credential' ELSE 'warning' END")
+    actions = ("array_to_string(list_transform(safe_steps[1:3], lambda s, i: CAST(i AS VARCHAR) || '. ' || s), chr(10))")
+    share = nl.join([
+        "'Risk summary'",
+        "'Verdict: ' || verdict || ' (' || CAST(risk_score AS VARCHAR) || '/100), confidence ' || CAST(confidence AS VARCHAR) || '%'",
+        f"'Context: ' || {_sit_label('situation')}",
+        "'AI analyst: Local Fallback'",
+        "'Domains: ' || CASE WHEN n_reports > 0 THEN array_to_string(domain_scores, ', ') ELSE 'none' END",
+        "'Signals: ' || array_to_string(breakdown, '; ')",
+        "'Score trace: ' || top3",
+        "''", "'Recommended next actions:'", actions])
+    short = nl.join([
+        "'Verdict: ' || verdict || ' (' || CAST(risk_score AS VARCHAR) || '/100)'",
+        "'Confidence: ' || CAST(confidence AS VARCHAR) || '%'",
+        "'Top signal: ' || coalesce(nullif(first_label, ''), nullif(breakdown[1], ''), 'review needed')",
+        "'Action: ' || coalesce(nullif(safe_steps[1], ''), 'Use official channels before interacting.')"])
+    out["report_labels"] = f"""{base},
+{trace_rows_sql().strip()},
+pk AS (SELECT *, {packet_sql()} AS pk FROM rep),
+tt AS (SELECT msg_id, string_agg(label || ' +' || CAST(impact AS VARCHAR), '; ' ORDER BY pos) FILTER (WHERE pos <= 3) AS top3,
+              max(CASE WHEN pos = 1 THEN label END) AS first_label FROM trp GROUP BY msg_id)
+SELECT msg_id, {_sit_label('situation')} AS situation_label, 'Local Fallback' AS route_label,
+  CASE WHEN risk_score >= 70 THEN 'danger' WHEN risk_score >= 35 THEN 'warning' ELSE 'safe' END AS risk_band,
+  CASE WHEN {prio} IN ('lockdown', 'urgent', 'high') THEN 'danger' WHEN {prio} IN ('caution', 'medium') THEN 'warning' ELSE 'safe' END AS priority_band,
+  verdict || ' (' || CAST(risk_score AS VARCHAR) || '/100)' AS status_line,
+  {short} AS short_summary, {share} AS share_summary, {topic} AS first_breakdown_topic,
+  {html} AS packet_html
+FROM pk JOIN tt USING (msg_id)"""
