@@ -149,30 +149,29 @@ def add_score_columns(df, reports: str = "domain_reports", indicators: str = "in
     """
     from pyspark.sql import DataFrame  # noqa: F401
     r, i = F.col(reports), F.col(indicators)
-    df = (df
-          .withColumn("max_domain_score", F.greatest(F.coalesce(
-              F.array_max(F.transform(r, lambda x: x["risk_score"])), F.lit(0)), F.lit(0)).cast("int"))
-          .withColumn("_n", F.size(i))
-          .withColumn("_n_reports", F.size(r))
-          .withColumn("text_sum", F.aggregate(i, F.lit(0),
-                                              lambda acc, x: acc + category_impact(x["category"])))
-          .withColumn("_top", F.get(F.filter(r, lambda x: x["risk_score"] == F.col("max_domain_score")), 0))
-          .withColumn("_cats", F.transform(i, lambda x: x["category"])))
+    df = df.withColumns({
+        "max_domain_score": F.greatest(F.coalesce(
+            F.array_max(F.transform(r, lambda x: x["risk_score"])), F.lit(0)), F.lit(0)).cast("int"),
+        "_n": F.size(i),
+        "_n_reports": F.size(r),
+        "text_sum": F.aggregate(i, F.lit(0), lambda acc, x: acc + category_impact(x["category"])),
+        "_cats": F.transform(i, lambda x: x["category"])})
     m, n, text_sum = F.col("max_domain_score"), F.col("_n"), F.col("text_sum")
     before = F.greatest(text_sum, m)
     with_domain = F.when(n >= 2, F.least(before + combo_boost(m, n), combo_cap(m, n))).otherwise(before)
-    df = (df
-          .withColumn("_before", before)
-          .withColumn("risk_score", F.least(F.when(m > 0, with_domain)
-                                             .otherwise(F.least(text_sum, F.lit(85))), F.lit(100)).cast("int"))
-          .withColumn("confidence", F.least(
-              55 + F.when(F.col("_n_reports") > 0, 15).otherwise(0)
-              + F.when(m >= 70, 15).otherwise(0) + F.least(n * 8, F.lit(24)), F.lit(98)).cast("int")))
-    total = F.col("risk_score")
     lines = F.array_compact(F.array(
         F.when(m > 50, F.lit(C.BREAKDOWN_DOMAIN)),
         *[F.when(F.array_contains(F.col("_cats"), cat), F.lit(line)) for cat, line in C.BREAKDOWN_LINES]))
-    df = df.withColumn("_lines", lines)
+    df = df.withColumns({
+        "_top": F.get(F.filter(r, lambda x: x["risk_score"] == F.col("max_domain_score")), 0),
+        "_lines": lines,
+        "_before": before,
+        "risk_score": F.least(F.when(m > 0, with_domain)
+                              .otherwise(F.least(text_sum, F.lit(85))), F.lit(100)).cast("int"),
+        "confidence": F.least(
+            55 + F.when(F.col("_n_reports") > 0, 15).otherwise(0)
+            + F.when(m >= 70, 15).otherwise(0) + F.least(n * 8, F.lit(24)), F.lit(98)).cast("int")})
+    total = F.col("risk_score")
     no_lines = F.size(F.col("_lines")) == 0
     top = F.col("_top")
     top_ind = top["indicators"]
@@ -194,13 +193,13 @@ def add_score_columns(df, reports: str = "domain_reports", indicators: str = "in
     baseline_item = _trace_item(
         F.lit(C.TRACE_BASELINE_LABEL), F.lit(0), F.lit("local_rules"), F.lit("low"),
         F.lit(C.TRACE_BASELINE_EVIDENCE), F.lit(C.TRACE_BASELINE_CALC))
-    df = (df
-          .withColumn("verdict", score_verdict(total))
-          .withColumn("breakdown", F.when(no_lines, F.array(F.lit(C.BREAKDOWN_NONE))).otherwise(F.col("_lines")))
-          .withColumn("score_trace", F.concat(
-              F.array_compact(F.array(F.when(top.isNotNull() & (m > 0), domain_item))),
-              text_items,
-              F.array_compact(F.array(F.when((m > 0) & (n >= 2), combo_item))),
-              F.array_compact(F.array(F.when(no_lines, baseline_item)))))
-          .withColumn("top_domain", F.when(m > 0, top["domain"])))
+    df = df.withColumns({
+        "verdict": score_verdict(total),
+        "breakdown": F.when(no_lines, F.array(F.lit(C.BREAKDOWN_NONE))).otherwise(F.col("_lines")),
+        "score_trace": F.concat(
+            F.array_compact(F.array(F.when(top.isNotNull() & (m > 0), domain_item))),
+            text_items,
+            F.array_compact(F.array(F.when((m > 0) & (n >= 2), combo_item))),
+            F.array_compact(F.array(F.when(no_lines, baseline_item)))),
+        "top_domain": F.when(m > 0, top["domain"])})
     return df.drop("_n", "_n_reports", "_top", "_cats", "_before", "_lines")

@@ -83,15 +83,22 @@ HIT_COLUMNS = ["h_urgency", "h_brands", "h_financial", "h_data", "h_relationship
 
 def add_signal_columns(df, text: str, out: str = "indicators"):
     """T1-T7 staged as one top-level column per category (each computed once)."""
+    return df.withColumns(signal_hit_columns(text)).withColumn(out, indicators_from_columns())
+
+
+def signal_hit_columns(text: str) -> dict:
+    """{hit column: expression} for ``withColumns`` (one projection)."""
     low = F.lower(F.col(text))
     hits = [keyword_hits(low, C.URGENCY_KEYWORDS), brand_hits(low),
             keyword_hits(low, C.FINANCIAL_KEYWORDS), keyword_hits(low, C.DATA_KEYWORDS),
             keyword_hits(low, C.RELATIONSHIP_KEYWORDS)]
-    for name, expr in zip(HIT_COLUMNS, hits):
-        df = df.withColumn(name, expr)
+    return dict(zip(HIT_COLUMNS, hits))
+
+
+def indicators_from_columns() -> Column:
     h = {f: F.col(c) for f, c in zip(_HIT_FIELDS, HIT_COLUMNS)}
 
     class _H:
         def __getitem__(self, k):
             return h[k]
-    return df.withColumn(out, indicators_from_hits(_H()))
+    return indicators_from_hits(_H())

@@ -30,13 +30,15 @@ from ..sources import intake as S
 
 def analyse(df: DataFrame, text_col: str = "raw_text") -> DataFrame:
     """Core rules over any text column: redaction, links, domain reports,
-    signals (on the redacted text) and the score."""
+    signals (on the redacted text) and the score.
+
+    Columns are added one dependency level at a time with ``withColumns`` (each
+    ``withColumn`` would re-analyse the whole growing plan)."""
     text = F.col(text_col)
-    df = (df
-          .withColumn("redacted_text", R.redact_pii(text))
-          .withColumn("links", L.extract_links(text))
-          .withColumn("domain_reports", D.inspect_links(F.col("links"))))
-    df = T.add_signal_columns(df, "redacted_text").drop(*T.HIT_COLUMNS)
+    df = df.withColumns({"redacted_text": R.redact_pii(text), "links": L.extract_links(text)})
+    df = df.withColumns({"domain_reports": D.inspect_links(F.col("links")),
+                         **T.signal_hit_columns("redacted_text")})
+    df = df.withColumn("indicators", T.indicators_from_columns()).drop(*T.HIT_COLUMNS)
     return K.add_score_columns(df)
 
 
@@ -57,24 +59,23 @@ def investigate(messages: DataFrame, ocr_text_col: str | None = None,
     ocr = F.col(ocr_text_col) if ocr_text_col else None
     if notes is not None:
         messages = messages.join(notes, "msg_id", "left")
-    df = (messages
-          .withColumn("has_image", F.coalesce(S.has_image(F.col("image")), F.lit(False)))
-          .withColumn("raw_text", S.message_text(F.col("text"), F.col("image"),
-                                                 F.col("demo_offline"), ocr)))
+    df = messages.withColumns({
+        "has_image": F.coalesce(S.has_image(F.col("image")), F.lit(False)),
+        "raw_text": S.message_text(F.col("text"), F.col("image"), F.col("demo_offline"), ocr),
+        "safe_steps": P.safe_steps(F.col("situation"))})
     df = analyse(df)
-    df = (df
-          .withColumn("safe_steps", P.safe_steps(F.col("situation")))
-          .withColumn("ai_analysis", P.offline_note(
-              offline_reason(F.col("demo_offline")), F.col("situation"), F.col("verdict"),
-              F.col("risk_score"), F.col("breakdown"), F.size("domain_reports"),
-              F.size("indicators"), F.col("safe_steps")))
-          .transform(lambda d: _attach_live_notes(d) if notes is not None else d)
-          .withColumn("_packet", G.case_packet(F.col("redacted_text"), F.col("risk_score"),
-                                               F.col("indicators"), F.col("safe_steps"), header))
-          .withColumn("guard_failed", R.leaks_pii(F.col("_packet")))
-          .withColumn("report_draft", G.guarded_packet(F.col("_packet")))
-          .drop("_packet"))
-    return finish_trace(df)
+    df = df.withColumns({
+        "ai_analysis": P.offline_note(
+            offline_reason(F.col("demo_offline")), F.col("situation"), F.col("verdict"),
+            F.col("risk_score"), F.col("breakdown"), F.size("domain_reports"),
+            F.size("indicators"), F.col("safe_steps")),
+        "_packet": G.case_packet(F.col("redacted_text"), F.col("risk_score"),
+                                 F.col("indicators"), F.col("safe_steps"), header)})
+    if notes is not None:
+        df = _attach_live_notes(df)
+    df = df.withColumns({"guard_failed": R.leaks_pii(F.col("_packet")),
+                         "report_draft": G.guarded_packet(F.col("_packet"))})
+    return finish_trace(df).drop("_packet")
 
 
 def finish_trace(df: DataFrame) -> DataFrame:

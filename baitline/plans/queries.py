@@ -25,12 +25,29 @@ from ..sources.messages import messages
 from .investigate import investigate
 
 
+# Logical plans reused across queries of one session: building the report
+# plan issues thousands of expression-construction calls from Python, so it is
+# built once per (session, table folder). Nothing is cached or materialised.
+_PLANS: dict = {}
+
+
+def _plan(kind: str, spark: SparkSession, sf_dir: str, build) -> DataFrame:
+    key = (kind, sf_dir)
+    hit = _PLANS.get(key)
+    if hit is not None and hit[0] is spark:
+        return hit[1]
+    df = build()
+    _PLANS[key] = (spark, df)
+    return df
+
+
 def accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.split_intake(messages(spark, sf_dir))[0]
+    return _plan("accepted", spark, sf_dir,
+                 lambda: S.split_intake(messages(spark, sf_dir))[0])
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return investigate(accepted(spark, sf_dir))
+    return _plan("reports", spark, sf_dir, lambda: investigate(accepted(spark, sf_dir)))
 
 
 def _mask_counts(col: str) -> list:
