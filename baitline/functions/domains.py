@@ -25,12 +25,20 @@ def _brand_key(brand: str) -> str:
     return " ".join(t for t in re.split(r"[^a-z0-9]+", brand.lower()) if t)
 
 
-def domain_flags(domain: Column) -> Column:
+def domain_prep(domain: Column) -> Column:
+    """Values every rule reuses, bound once (lambdas get no common-subexpression
+    elimination, so inside ``transform`` each reference would be recomputed)."""
     d = F.lower(domain)
-    padded = F.concat(F.lit(" "), F.array_join(tokens_of(d), " "), F.lit(" "))
     parts = F.split(d, "[.]")
     main_label = F.coalesce(F.get(parts, F.size(parts) - 2), F.get(parts, 0))
-    main_key = F.array_join(tokens_of(main_label), " ")
+    return F.struct(
+        d.alias("d"),
+        F.concat(F.lit(" "), F.array_join(tokens_of(d), " "), F.lit(" ")).alias("padded"),
+        F.array_join(tokens_of(main_label), " ").alias("main_key"))
+
+
+def flags_from_prep(p: Column) -> Column:
+    d, padded, main_key = p["d"], p["padded"], p["main_key"]
     # D3 + D5: the brand's tokens occur contiguously and the registrable label
     # is not the brand itself.
     brands = F.array_compact(F.array(*[
@@ -38,7 +46,7 @@ def domain_flags(domain: Column) -> Column:
         for b in C.BRANDS]))
     tld = F.coalesce(*[F.when(d.endswith(t), F.lit(t)) for t in C.SUSPICIOUS_TLDS])
     typos = F.array_compact(F.array(*[
-        F.when(d.contains(p), F.lit(b)) for p, b in C.TYPO_PATTERNS]))
+        F.when(d.contains(pat), F.lit(b)) for pat, b in C.TYPO_PATTERNS]))
     return F.struct(
         d.alias("domain"),
         tld.alias("tld"),
@@ -49,6 +57,10 @@ def domain_flags(domain: Column) -> Column:
     )
 
 
+def domain_flags(domain: Column) -> Column:
+    return flags_from_prep(domain_prep(domain))
+
+
 def domain_verdict(score: Column) -> Column:
     return (F.when(score >= C.DOMAIN_HIGH, "High")
             .when(score >= C.DOMAIN_MEDIUM, "Medium").otherwise("Low"))
@@ -93,8 +105,8 @@ def inspect_domain(domain: Column) -> Column:
 
 def inspect_links(links: Column) -> Column:
     """D13 without a shuffle: one report per link, in link order."""
-    return F.transform(F.transform(links, lambda l: domain_flags(l["domain"])),
-                       report_from_flags)
+    prepared = F.transform(links, lambda l: domain_prep(l["domain"]))
+    return F.transform(F.transform(prepared, flags_from_prep), report_from_flags)
 
 
 def high_risk_domains(reports: Column) -> Column:

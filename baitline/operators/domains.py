@@ -23,8 +23,10 @@ from ..functions import domains as D
 def domain_dimension(links: DataFrame) -> DataFrame:
     """``domain, report, n_links`` for every distinct domain of ``links``."""
     counted = links.groupBy("domain").agg(F.count(F.lit(1)).alias("n_links"))
-    staged = counted.withColumn("_f", D.domain_flags(F.col("domain")))
-    return staged.select("domain", D.report_from_flags(F.col("_f")).alias("report"), "n_links")
+    # staged through a one-element array so each rule input is bound once
+    reports = F.transform(F.transform(F.transform(F.array(F.col("domain")), D.domain_prep),
+                                      D.flags_from_prep), D.report_from_flags)
+    return counted.select("domain", F.get(reports, 0).alias("report"), "n_links")
 
 
 def attach_reports(links: DataFrame, dimension: DataFrame) -> DataFrame:
