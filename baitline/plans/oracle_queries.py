@@ -203,6 +203,7 @@ FROM rep WHERE has_image"""
     _notes(out, base)
     _catalogues(out, base)
     _labels(out, base)
+    _conversations(out)
     out["sql_tools"] = f"""{base}
 SELECT msg_id, redacted_text, true AS alias_ok, CAST(coalesce(len(domains), 0) AS INTEGER) AS n_links,
   coalesce(array_to_string(domains, ','), '') AS domains, safe_steps[1] AS first_step,
@@ -578,3 +579,18 @@ SELECT msg_id, {_sit_label('situation')} AS situation_label, 'Local Fallback' AS
   {short} AS short_summary, {share} AS share_summary, {topic} AS first_breakdown_topic,
   {html} AS packet_html
 FROM pk JOIN tt USING (msg_id)"""
+
+
+def _conversations(out: dict) -> None:
+    sel = f"""SELECT conv_id * 1000 + turn AS msg_id, conv_id, turn, {strip_sql('text')} AS text,
+  'before_click' AS situation, CAST(NULL AS VARCHAR) AS image, false AS demo_offline
+FROM conversations WHERE length({strip_sql('text')}) > 0"""
+    guard = f"(contains(pk, '@') AND NOT contains(pk, {q(C.EMAIL_MASK)}))"
+    out["conversation_reports"] = f"""{base_ctes(sel)},
+pk AS (SELECT *, {packet_sql()} AS pk FROM rep)
+SELECT conv_id, turn, situation, verdict, risk_score, confidence,
+  CAST(n_reports AS INTEGER) AS n_links, CAST(n AS INTEGER) AS n_categories,
+  array_to_string(list_transform(indicators, lambda i: i.category), '|') AS categories,
+  verdict || ' (' || CAST(risk_score AS VARCHAR) || '/100)' AS status_line,
+  {guard} AS guard_failed
+FROM pk"""

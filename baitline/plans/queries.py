@@ -454,3 +454,21 @@ def history_store(spark, sf_dir):
     path = _sink_path(spark, "history")
     write_history(OA.recent_cases(OA.case_records(reports(spark, sf_dir))), path)
     return spark.read.parquet(path)
+
+
+
+# --- extension intake over real conversation text (S8 -> G5) --------------------------
+
+def conversation_reports(spark, sf_dir):
+    """Conversation turns sent as extension selections: trimmed, blanks dropped,
+    default situation, then the full investigation over the whole turn text."""
+    conv = tables.conversations(spark, sf_dir)
+    sel = S.extension_intake(conv.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"), "conv_id", "turn", "text"))
+    msgs = sel.withColumns({"image": F.lit(None).cast("string"), "demo_offline": F.lit(False)})
+    rep = investigate(msgs)
+    return rep.select("conv_id", "turn", "situation", "verdict", "risk_score", "confidence",
+                      F.size("links").alias("n_links"), F.size("indicators").alias("n_categories"),
+                      T.categories_text(F.col("indicators")).alias("categories"),
+                      G.status_line(F.col("verdict"), F.col("risk_score")).alias("status_line"),
+                      "guard_failed")

@@ -40,6 +40,7 @@ SPARK_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sql_tools": Q.sql_tools,
     "analyst_notes_live": Q.analyst_notes_live,
     "prompt_payloads": Q.prompt_payloads,
+    "conversation_reports": Q.conversation_reports,
     "sample_matches": Q.sample_matches,
     "screenshot_fixtures": Q.screenshot_fixtures,
     "lexicon_hits": Q.lexicon_hits,
