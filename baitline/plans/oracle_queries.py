@@ -385,6 +385,27 @@ SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start,
 FROM rep
 WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM rep)
 GROUP BY 1, 2, 3"""
+    out["stream_sliding_windows"] = f"""{base},
+wk AS (SELECT *, time_bucket(INTERVAL 6 HOUR, ts) - k * INTERVAL 6 HOUR AS w_start
+       FROM rep, (SELECT unnest([0, 1, 2, 3]) AS k))
+SELECT strftime(w_start, '%Y-%m-%d %H:%M:%S') AS window_start,
+  strftime(w_start + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS window_end,
+  verdict, count(*) AS n_messages, max(risk_score) AS max_score
+FROM wk
+WHERE w_start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM rep)
+GROUP BY 1, 2, 3"""
+    out["stream_user_sessions"] = f"""{base},
+sx AS (SELECT user_id, ts, risk_score,
+         CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL
+                OR ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE
+              THEN 1 ELSE 0 END AS starts
+       FROM rep),
+sy AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM sx),
+sz AS (SELECT user_id, sid, min(ts) AS s_start, max(ts) + INTERVAL 30 MINUTE AS s_end,
+         count(*) AS n_messages, max(risk_score) AS max_score FROM sy GROUP BY user_id, sid)
+SELECT user_id, strftime(s_start, '%Y-%m-%d %H:%M:%S') AS session_start,
+  strftime(s_end, '%Y-%m-%d %H:%M:%S') AS session_end, n_messages, max_score
+FROM sz WHERE s_end <= (SELECT max(ts) - INTERVAL 1 HOUR FROM rep)"""
     out["stream_history"] = f"""{base}
 SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, msg_id DESC) AS INTEGER) AS rank,
   msg_id, verdict, risk_score

@@ -343,6 +343,16 @@ def stream_verdict_windows(spark, sf_dir):
     return jobs.run_verdict_windows(spark, sf_dir)
 
 
+def stream_sliding_windows(spark, sf_dir):
+    from ..streaming import jobs
+    return jobs.run_sliding_windows(spark, sf_dir)
+
+
+def stream_user_sessions(spark, sf_dir):
+    from ..streaming import jobs
+    return jobs.run_sessions(spark, sf_dir)
+
+
 def stream_history(spark, sf_dir):
     from ..streaming import jobs
     return jobs.run_history(spark, sf_dir).select("user_id", "rank", "msg_id", "verdict", "risk_score")

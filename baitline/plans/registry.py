@@ -49,6 +49,8 @@ SPARK_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "history_store": Q.history_store,
     "stream_reports": Q.stream_reports,
     "stream_verdict_windows": Q.stream_verdict_windows,
+    "stream_sliding_windows": Q.stream_sliding_windows,
+    "stream_user_sessions": Q.stream_user_sessions,
     "stream_history": Q.stream_history,
     "stream_dedup": Q.stream_dedup,
 }

@@ -73,9 +73,14 @@ def stream_verdict_windows(reports: DataFrame, window: str = "1 day",
 def stream_session_counts(reports: DataFrame, gap: str = "30 minutes",
                           delay: str = "1 hour") -> DataFrame:
     """ST2 (session windows): cases per user session."""
-    return (reports.withWatermark("ts", delay)
-            .groupBy(F.session_window("ts", gap).alias("s"), "user_id")
-            .agg(F.count(F.lit(1)).alias("n_messages"), F.max("risk_score").alias("max_score")))
+    counted = (reports.withWatermark("ts", delay)
+               .groupBy(F.session_window("ts", gap).alias("s"), "user_id")
+               .agg(F.count(F.lit(1)).alias("n_messages"), F.max("risk_score").alias("max_score")))
+    return counted.select(
+        "user_id",
+        F.date_format("s.start", "yyyy-MM-dd HH:mm:ss").alias("session_start"),
+        F.date_format("s.end", "yyyy-MM-dd HH:mm:ss").alias("session_end"),
+        "n_messages", "max_score")
 
 
 def newest_cases(df: DataFrame, n: int = C.HISTORY_SIZE) -> DataFrame:
@@ -165,3 +170,17 @@ def run_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     _run_to_parquet(stream_dedup(message_stream(spark, sf_dir), message_stream(spark, sf_dir)),
                     out, ckpt)
     return spark.read.parquet(out)
+
+
+def run_sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, ckpt = _paths(spark, "sliding")
+    rep = stream_reports(message_stream(spark, sf_dir))
+    _run_to_parquet(stream_verdict_windows(rep, "1 day", "1 hour", "6 hours"), out, ckpt)
+    return spark.read.parquet(out)
+
+
+def run_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, ckpt = _paths(spark, "sessions")
+    rep = stream_reports(message_stream(spark, sf_dir))
+    _run_to_parquet(stream_session_counts(rep), out, ckpt)
+    return spark.read.parquet(out)
