@@ -321,3 +321,11 @@ HISTORY_SIZE = 8
 PROMPT_CHARS = 3000
 PREVIEW_CHARS = 140
 OCR_PREVIEW_CHARS = 60
+
+# Lite report note and trace (display texts; product names neutral).
+LITE_NOTE_EXPLANATION = ("The live service is unavailable, so this sample is rendered with "
+                         "deterministic demo evidence.")
+LITE_NOTE_QUESTIONS = ["Did you enter credentials, payment details, or personal information?",
+                       "Can you verify the request through the official app or typed website?"]
+LITE_NOTE_CONFIDENCE = "Client-side demo fallback; use the full rules for production analysis."
+LITE_NOTE_REASON = "API unreachable or not configured for this browser session."

@@ -154,7 +154,10 @@ FROM rep"""
 
     out["score_trace"] = f"""{base},
 {trace_rows_sql()}
-SELECT msg_id, pos, label, CAST(impact AS INTEGER) AS impact, source, severity, evidence, calculation
+SELECT msg_id, pos, label, CAST(impact AS INTEGER) AS impact, source, severity, evidence, calculation,
+  CASE WHEN severity = 'high' OR impact >= 70 THEN 'danger'
+       WHEN severity = 'medium' OR impact >= 35 THEN 'warning' ELSE 'safe' END AS tone,
+  CAST(least(greatest(impact, 4), 100) AS INTEGER) AS bar_width, replace(source, '_', ' ') AS source_label
 FROM trp"""
 
     out["safe_plan"] = f"""{base}
@@ -358,6 +361,41 @@ SELECT msg_id, lite_score, lite_verdict, lite_brand, lite_domain, lite_domain_ri
   lite_priority, lite_n_indicators, array_to_string(lite_bd, ' | ') AS lite_breakdown,
   array_to_string(lite_tr, ' | ') AS lite_trace, lite_redacted, {packet} AS lite_packet
 FROM lite"""
+    risk_sev = "CASE WHEN lite_domain_risk >= 70 THEN 'high' ELSE 'medium' END"
+    out["lite_reports"] = f"""{base},
+{lite},
+lr AS (
+  SELECT *, list_filter([
+      CASE WHEN lite_domain <> '' THEN {{'label': 'Highest domain risk', 'impact': lite_domain_risk, 'severity': {risk_sev},
+        'evidence': lite_domain || ': unverified destination in a suspicious message.'}} END,
+      CASE WHEN lite_brand <> 'UNKNOWN' THEN {{'label': 'Brand impersonation', 'impact': 16, 'severity': 'medium',
+        'evidence': 'Message claims to be from ' || lite_brand || '.'}} END,
+      CASE WHEN f_pay THEN {{'label': 'Financial pressure', 'impact': 12, 'severity': 'medium',
+        'evidence': 'Payment, fee, prize, or transfer language detected.'}} END,
+      CASE WHEN f_data THEN {{'label': 'Data collection prompt', 'impact': 12, 'severity': 'medium',
+        'evidence': 'Message asks for verification, login, identity, or credential action.'}} END
+    ], lambda x: x IS NOT NULL)[1:4] AS tr
+  FROM lite
+)
+SELECT msg_id,
+  array_to_string(list_transform(tr, lambda t: t.label || ' +' || CAST(t.impact AS VARCHAR) || ' ' || t.severity), ' | ') AS score_trace,
+  array_to_string(list_transform(tr, lambda t: t.evidence), ' | ') AS trace_evidence,
+  'Classified this as ' || lite_verdict || ' risk (' || CAST(lite_score AS VARCHAR) || '/100) using browser demo evidence.' AS note_summary,
+  lite_priority AS note_priority,
+  array_to_string(list_transform(tr[1:3], lambda t: t.label), ' | ') AS note_evidence,
+  array_to_string(lite_steps, ' | ') AS note_actions,
+  array_to_string([
+    CASE WHEN coalesce(image, '') <> '' THEN 'Screenshot Fixture OCR: Loaded deterministic screenshot fixture text in browser demo mode.'
+         ELSE 'PII Redaction: Redacted sensitive values locally for browser demo mode.' END,
+    'Link Extraction: ' || CASE WHEN lite_domain <> '' THEN 'Found ' || lite_domain || '.' ELSE 'No URL extracted.' END,
+    'Domain Inspection: ' || CASE WHEN lite_domain <> '' THEN 'Applied browser demo domain-pattern scoring.'
+                                  ELSE 'Skipped domain scoring because no URL was present.' END,
+    'Threat Intelligence Check: Matched social-engineering demo signals.',
+    'Risk Synthesis: Assigned ' || lite_verdict || ' risk (' || CAST(lite_score AS VARCHAR) || '/100).',
+    'Safety Planner: Generated contextual user-safe next steps.',
+    {q(C.STEP_NOTE + ': Backend unavailable; browser demo fallback explanation attached.')},
+    'Incident Report Generator: Built a compact client-side demo case packet.'], ' | ') AS steps
+FROM lr"""
     out["lite_agreement"] = f"""{base},
 {lite}
 SELECT r.verdict AS full_verdict, l.lite_verdict, count(*) AS n_messages

@@ -185,7 +185,11 @@ def risk_scores(spark, sf_dir):
 
 def score_trace(spark, sf_dir):
     rep = reports(spark, sf_dir)
-    return rep.select("msg_id", positioned(F.col("score_trace"), TRACE_FIELDS))
+    rows = rep.select("msg_id", positioned(F.col("score_trace"), TRACE_FIELDS))
+    return rows.withColumns({
+        "tone": G.trace_tone(F.col("severity"), F.col("impact")),
+        "bar_width": G.trace_bar_width(F.col("impact")),
+        "source_label": F.replace(F.col("source"), F.lit("_"), F.lit(" "))})
 
 
 # --- plan, note, packet, trace -------------------------------------------------
@@ -304,6 +308,23 @@ def lite_triage(spark, sf_dir):
         "lite_redacted", "lite_packet")
 
 
+def lite_reports(spark, sf_dir):
+    """Q6/Q8: the lite report's score trace, fallback note and step trace."""
+    lite = OL.add_lite_report(OL.add_lite_columns(accepted(spark, sf_dir)))
+    n = F.col("lite_note")
+    return lite.select(
+        "msg_id",
+        F.array_join(F.transform("lite_score_trace", lambda t: F.concat(
+            t["label"], F.lit(" +"), t["impact"].cast("string"), F.lit(" "), t["severity"])), " | ").alias("score_trace"),
+        F.array_join(F.transform("lite_score_trace", lambda t: t["evidence"]), " | ").alias("trace_evidence"),
+        n["executive_summary"].alias("note_summary"),
+        n["recommended_priority"].alias("note_priority"),
+        F.array_join(F.transform(n["evidence"], lambda e: e["signal"]), " | ").alias("note_evidence"),
+        F.array_join(n["next_actions"], " | ").alias("note_actions"),
+        F.array_join(F.transform("lite_trace", lambda s: F.concat(s["step"], F.lit(": "), s["detail"])),
+                     " | ").alias("steps"))
+
+
 def lite_agreement(spark, sf_dir):
     both = OL.add_lite_columns(reports(spark, sf_dir))
     return OL.agreement(both)

@@ -36,6 +36,7 @@ SPARK_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "campaigns": Q.campaigns,
     "brand_campaigns": Q.brand_campaigns,
     "lite_triage": Q.lite_triage,
+    "lite_reports": Q.lite_reports,
     "lite_agreement": Q.lite_agreement,
     "sql_tools": Q.sql_tools,
     "analyst_notes_live": Q.analyst_notes_live,
