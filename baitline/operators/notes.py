@@ -164,3 +164,52 @@ def model_routes(primary: Column) -> Column:
     return F.array_distinct(F.filter(
         F.concat(F.array(primary), F.array(*[F.lit(m) for m in C.MODEL_ROUTES])),
         lambda m: m.isNotNull() & (m != "")))
+
+
+# --- browser overlay (P8, P15) ---------------------------------------------------------
+
+def browser_answers(attempts: DataFrame) -> DataFrame:
+    """The first answered call per message (route order): ``msg_id, b_model, b_content``."""
+    answered = attempts.filter(F.col("http_code") == 200)
+    best = answered.groupBy("msg_id").agg(F.min_by(
+        F.struct("model", "content"), F.struct("model_rank", "attempt")).alias("b"))
+    return best.select("msg_id", F.col("b.model").alias("b_model"), F.col("b.content").alias("b_content"))
+
+
+def browser_parse(content: Column) -> Column:
+    """Fence stripped, then the whole text or first '{' to last '}'; else ``{}``."""
+    empty = F.create_map().cast(NOTE_MAP)
+    return F.coalesce(F.from_json(json_candidate(strip_fence(content)), NOTE_MAP), empty)
+
+
+def overlay_columns(df: DataFrame) -> DataFrame:
+    """P15 over lite-report rows joined with ``browser_answers``: evidence <= 4,
+    actions <= 5 (else the steps), questions <= 3, packet and trace rewritten."""
+    c = F.col
+    has = c("b_model").isNotNull()
+    obj = browser_parse(c("b_content"))
+
+    def js_or(*vals: Column) -> Column:   # JavaScript `a || b`: '' and null are false
+        return F.coalesce(*[F.nullif(v, F.lit("")) for v in vals])
+    arr = {k: F.from_json(obj[k], "array<string>") for k in ["evidence", "next_actions", "questions"]}
+    note = c("lite_note")
+    summary = js_or(obj["executive_summary"], note["executive_summary"])
+    evidence = F.coalesce(F.slice(arr["evidence"], 1, 4), F.transform(note["evidence"], lambda e: e["signal"]))
+    actions = F.when(F.size(arr["next_actions"]) > 0, F.slice(arr["next_actions"], 1, 5)).otherwise(c("lite_steps"))
+    questions = F.coalesce(F.slice(arr["questions"], 1, 3), note["questions"])
+    packet = F.concat_ws("\n", F.replace(c("lite_packet"), F.lit("Analyst route: Browser Demo Fallback"),
+                                         F.concat(F.lit("Analyst route: Browser Model ("), c("b_model"), F.lit(")"))),
+                         F.lit(""), F.lit("Model summary:"), summary)
+    return df.withColumns({
+        "overlay_provider": F.when(has, F.lit("browser_model_route")).otherwise(note["provider"]),
+        "overlay_model": F.when(has, c("b_model")).otherwise(note["model"]),
+        "overlay_priority": F.when(has, js_or(obj["recommended_priority"], note["recommended_priority"],
+                                              F.lit("review"))).otherwise(note["recommended_priority"]),
+        "overlay_summary": F.when(has, summary).otherwise(note["executive_summary"]),
+        "overlay_evidence": F.when(has, evidence).otherwise(F.transform(note["evidence"], lambda e: e["signal"])),
+        "overlay_actions": F.when(has, actions).otherwise(c("lite_steps")),
+        "overlay_questions": F.when(has, questions).otherwise(note["questions"]),
+        "overlay_packet": F.when(has, packet).otherwise(c("lite_packet")),
+        "overlay_step": F.when(has, F.concat(F.lit("Model enrichment completed via browser route ("),
+                                             c("b_model"), F.lit(")."))).otherwise(
+            F.lit("Backend unavailable; browser demo fallback explanation attached."))})

@@ -207,6 +207,7 @@ FROM rep WHERE has_image"""
     _catalogues(out, base)
     _labels(out, base)
     _conversations(out)
+    _overlay(out, base)
     out["sql_tools"] = f"""{base}
 SELECT msg_id, redacted_text, true AS alias_ok, CAST(coalesce(len(domains), 0) AS INTEGER) AS n_links,
   coalesce(array_to_string(domains, ','), '') AS domains, safe_steps[1] AS first_step,
@@ -278,7 +279,7 @@ FROM (SELECT msg_id, user_id, risk_score, unnest(h_brand) AS brand FROM rep)
 GROUP BY brand"""
 
 
-def _lite(out: dict, base: str) -> None:
+def _lite_sql() -> tuple[str, str]:
     fixture = _case_first_sql([(f"contains(upper(coalesce(image, '')), {q(k)})", q(t))
                                for k, t in C.LITE_FIXTURE_TEXTS], "''")
     redacted = (f"regexp_replace(regexp_replace(regexp_replace(lite_text, {q(C.LITE_EMAIL_PATTERN)}, "
@@ -355,6 +356,11 @@ lite AS (
         q(C.PACKET_PRIVACY), "''", "'First safe move:'", "lite_steps[1]", "''",
         "'Anonymized suspicious content:'", "lite_redacted", "''",
         "'Analyst route: Browser Demo Fallback'"])
+    return lite, packet
+
+
+def _lite(out: dict, base: str) -> None:
+    lite, packet = _lite_sql()
     out["lite_triage"] = f"""{base},
 {lite}
 SELECT msg_id, lite_score, lite_verdict, lite_brand, lite_domain, lite_domain_risk, lite_confidence,
@@ -653,3 +659,78 @@ SELECT conv_id, turn, situation, verdict, risk_score, confidence,
   verdict || ' (' || CAST(risk_score AS VARCHAR) || '/100)' AS status_line,
   {guard} AS guard_failed
 FROM pk"""
+
+
+def _overlay(out: dict, base: str) -> None:
+    from ..sources.responses import attempt_columns, steps_values_sql
+    lite, packet = _lite_sql()
+    cols = ", ".join(f"{expr} AS {name}" for name, expr in attempt_columns())
+    t = strip_sql("b_content")
+    t2 = strip_sql(f"regexp_replace(regexp_replace({t}, '(?i)^```(?:json)?', ''), '```$', '')")
+    first = f"instr(t2, '{{')"
+    last = f"(length(t2) - instr(reverse(t2), '}}') + 1)"
+    cand = (f"CASE WHEN starts_with(t2, '{{') AND ends_with(t2, '}}') THEN t2 "
+            f"WHEN {first} > 0 AND instr(t2, '}}') > 0 AND {last} > {first} "
+            f"THEN substring(t2, {first}, {last} - {first} + 1) END")
+
+    def arr(key):
+        return f"json_extract(obj, '$.{key}')"
+
+    def items(key, n):
+        return (f"list_transform(json_extract({arr(key)}, '$[*]'), "
+                f"lambda e: json_extract_string(e, '$'))[1:{n}]")
+    qs = qlist(C.LITE_NOTE_QUESTIONS)
+    out["browser_overlay"] = f"""{base},
+{lite},
+lr AS (
+  SELECT *, list_filter([
+      CASE WHEN lite_domain <> '' THEN 'Highest domain risk' END,
+      CASE WHEN lite_brand <> 'UNKNOWN' THEN 'Brand impersonation' END,
+      CASE WHEN f_pay THEN 'Financial pressure' END,
+      CASE WHEN f_data THEN 'Data collection prompt' END], lambda x: x IS NOT NULL)[1:3] AS note_ev,
+    'Classified this as ' || lite_verdict || ' risk (' || CAST(lite_score AS VARCHAR) || '/100) using browser demo evidence.' AS note_summary,
+    {packet} AS lite_packet
+  FROM lite
+),
+att AS (SELECT {cols} FROM acc JOIN {steps_values_sql()} ON s.scenario = acc.msg_id % 8),
+ba AS (
+  SELECT msg_id, model AS b_model, content AS b_content FROM att WHERE http_code = 200
+  QUALIFY row_number() OVER (PARTITION BY msg_id ORDER BY model_rank, attempt) = 1
+),
+bp AS (SELECT *, {t2} AS t2 FROM ba),
+bo AS (SELECT msg_id, b_model,
+         CASE WHEN ({cand}) IS NOT NULL AND json_valid({cand}) AND json_type({cand}) = 'OBJECT'
+              THEN ({cand}) ELSE '{{}}' END AS obj
+       FROM bp),
+ov AS (
+  SELECT l.*, b.b_model, b.obj,
+    coalesce(nullif(json_extract_string(b.obj, '$.executive_summary'), ''), l.note_summary) AS b_summary
+  FROM lr l LEFT JOIN bo b USING (msg_id)
+),
+fin AS (
+  SELECT msg_id,
+    CASE WHEN b_model IS NOT NULL THEN 'browser_model_route' ELSE 'browser-demo' END AS overlay_provider,
+    CASE WHEN b_model IS NOT NULL THEN b_model ELSE 'client-demo-fallback' END AS overlay_model,
+    CASE WHEN b_model IS NOT NULL THEN coalesce(nullif(json_extract_string(obj, '$.recommended_priority'), ''),
+                                                nullif(lite_priority, ''), 'review')
+         ELSE lite_priority END AS overlay_priority,
+    CASE WHEN b_model IS NOT NULL THEN b_summary ELSE note_summary END AS overlay_summary,
+    CASE WHEN b_model IS NOT NULL AND json_type({arr('evidence')}) = 'ARRAY' THEN {items('evidence', 4)}
+         ELSE note_ev END AS ev,
+    CASE WHEN b_model IS NOT NULL AND json_type({arr('next_actions')}) = 'ARRAY'
+              AND json_array_length({arr('next_actions')}) > 0 THEN {items('next_actions', 5)}
+         ELSE lite_steps END AS acts,
+    CASE WHEN b_model IS NOT NULL AND json_type({arr('questions')}) = 'ARRAY' THEN {items('questions', 3)}
+         ELSE {qs} END AS qs,
+    CASE WHEN b_model IS NOT NULL THEN replace(lite_packet, 'Analyst route: Browser Demo Fallback',
+              'Analyst route: Browser Model (' || b_model || ')') || chr(10) || chr(10) || 'Model summary:' || chr(10) || b_summary
+         ELSE lite_packet END AS overlay_packet,
+    CASE WHEN b_model IS NOT NULL THEN 'Model enrichment completed via browser route (' || b_model || ').'
+         ELSE 'Backend unavailable; browser demo fallback explanation attached.' END AS overlay_step
+  FROM ov
+)
+SELECT msg_id, overlay_provider, overlay_model, overlay_priority, overlay_summary,
+  CAST(len(ev) AS INTEGER) AS n_evidence, array_to_string(ev, ' | ') AS evidence,
+  array_to_string(acts, ' | ') AS next_actions, array_to_string(qs, ' | ') AS questions,
+  overlay_packet, overlay_step
+FROM fin"""

@@ -325,6 +325,23 @@ def lite_reports(spark, sf_dir):
                      " | ").alias("steps"))
 
 
+def browser_overlay(spark, sf_dir):
+    """P8 + P15: a browser-side model answer laid over the lite report."""
+    from ..operators.notes import browser_answers, overlay_columns
+    from ..sources.responses import attempts_from
+    acc = accepted(spark, sf_dir)
+    lite = OL.add_lite_report(OL.add_lite_columns(acc)).join(
+        browser_answers(attempts_from(acc)), "msg_id", "left")
+    out = overlay_columns(lite)
+    return out.select(
+        "msg_id", "overlay_provider", "overlay_model", "overlay_priority", "overlay_summary",
+        F.size("overlay_evidence").alias("n_evidence"),
+        F.array_join("overlay_evidence", " | ").alias("evidence"),
+        F.array_join("overlay_actions", " | ").alias("next_actions"),
+        F.array_join("overlay_questions", " | ").alias("questions"),
+        "overlay_packet", "overlay_step")
+
+
 def lite_agreement(spark, sf_dir):
     both = OL.add_lite_columns(reports(spark, sf_dir))
     return OL.agreement(both)

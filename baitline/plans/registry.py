@@ -38,6 +38,7 @@ SPARK_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lite_triage": Q.lite_triage,
     "lite_reports": Q.lite_reports,
     "lite_agreement": Q.lite_agreement,
+    "browser_overlay": Q.browser_overlay,
     "sql_tools": Q.sql_tools,
     "analyst_notes_live": Q.analyst_notes_live,
     "prompt_payloads": Q.prompt_payloads,
