@@ -147,7 +147,6 @@ def add_score_columns(df, reports: str = "domain_reports", indicators: str = "in
     each computed once: field accesses on a struct constructor are inlined by the
     optimizer, which would copy the per-link domain expressions into every use.
     """
-    from pyspark.sql import DataFrame  # noqa: F401
     r, i = F.col(reports), F.col(indicators)
     df = df.withColumns({
         "max_domain_score": F.greatest(F.coalesce(

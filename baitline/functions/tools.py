@@ -41,11 +41,15 @@ def _packet_tool(text: Column | None = None, redacted_text: Column | None = None
         safe_steps if safe_steps is not None else F.array().cast("array<string>"))
 
 
+def _or_empty(col: Column | None) -> Column:
+    return col if col is not None else F.lit("")
+
+
 TOOLS: dict[str, Callable[..., Column]] = {
-    "redact_pii": lambda text=F.lit(""): R.redact_pii(text),
-    "extract_links": lambda text=F.lit(""): L.extract_links(text),
-    "inspect_domain_pattern": lambda domain=F.lit(""): D.inspect_domain(domain),
-    "detect_social_engineering": lambda text=F.lit(""): T.detect_signals(text),
+    "redact_pii": lambda text=None: R.redact_pii(_or_empty(text)),
+    "extract_links": lambda text=None: L.extract_links(_or_empty(text)),
+    "inspect_domain_pattern": lambda domain=None: D.inspect_domain(_or_empty(domain)),
+    "detect_social_engineering": lambda text=None: T.detect_signals(_or_empty(text)),
     "score_risk": lambda domain_reports, text_indicators: K.score_risk(domain_reports, text_indicators),
     "generate_safe_steps": _steps_tool,
     "generate_report_draft": _packet_tool,

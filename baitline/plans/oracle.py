@@ -193,7 +193,6 @@ def base_ctes(messages_sql: str | None = None) -> str:
 
     ``messages_sql`` replaces the messages view (it must yield msg_id, text,
     situation, image, demo_offline and any carried columns)."""
-    sev = lambda x: f"CASE WHEN {x} >= 70 THEN 'high' WHEN {x} >= 35 THEN 'medium' ELSE 'low' END"
     bd = [(f"m > 50", q(C.BREAKDOWN_DOMAIN))] + [
         (f"len({h}) > 0", q(line)) for h, (_, line) in zip(["h_urg", "h_brand", "h_fin", "h_data"], C.BREAKDOWN_LINES)]
     breakdown_items = ", ".join(f"CASE WHEN {c} THEN {v} END" for c, v in bd)
