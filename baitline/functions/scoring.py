@@ -196,9 +196,9 @@ def add_score_columns(df, reports: str = "domain_reports", indicators: str = "in
         "verdict": score_verdict(total),
         "breakdown": F.when(no_lines, F.array(F.lit(C.BREAKDOWN_NONE))).otherwise(F.col("_lines")),
         "score_trace": F.concat(
-            F.array_compact(F.array(F.when(top.isNotNull() & (m > 0), domain_item))),
+            F.when(top.isNotNull() & (m > 0), F.array(domain_item)).otherwise(F.slice(F.array(domain_item), 1, 0)),
             text_items,
-            F.array_compact(F.array(F.when((m > 0) & (n >= 2), combo_item))),
-            F.array_compact(F.array(F.when(no_lines, baseline_item)))),
+            F.when((m > 0) & (n >= 2), F.array(combo_item)).otherwise(F.slice(F.array(combo_item), 1, 0)),
+            F.when(no_lines, F.array(baseline_item)).otherwise(F.slice(F.array(baseline_item), 1, 0))),
         "top_domain": F.when(m > 0, top["domain"])})
     return df.drop("_n", "_n_reports", "_top", "_cats", "_before", "_lines")

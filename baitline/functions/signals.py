@@ -20,17 +20,25 @@ def brand_word_pattern(brand: str) -> str:
     return _EDGE_L + brand + _EDGE_R
 
 
+def _matched(pairs: list[tuple[Column, str]]) -> Column:
+    """Values whose condition holds, in order. Built as
+    ``flatten(array(when(c, array(v)) else array()))`` so the whole expression is
+    code-generated (``array_compact`` is a lambda ``filter``: its children would
+    be interpreted, re-lowering the text for every keyword)."""
+    empty = F.array().cast("array<string>")
+    return F.flatten(F.array(*[F.when(cond, F.array(F.lit(v))).otherwise(empty)
+                               for cond, v in pairs]))
+
+
 def keyword_hits(lower_text: Column, keywords: list[str]) -> Column:
     """Matched keywords in lexicon order."""
-    return F.array_compact(F.array(*[
-        F.when(lower_text.contains(k), F.lit(k)) for k in keywords]))
+    return _matched([(lower_text.contains(k), k) for k in keywords])
 
 
 def brand_hits(lower_text: Column) -> Column:
     """Brands named as words (the substring test first keeps it cheap)."""
-    return F.array_compact(F.array(*[
-        F.when(lower_text.contains(b) & lower_text.rlike(brand_word_pattern(b)), F.lit(b))
-        for b in C.BRANDS]))
+    return _matched([(lower_text.contains(b) & lower_text.rlike(brand_word_pattern(b)), b)
+                     for b in C.BRANDS])
 
 
 def signal_hits(text: Column) -> Column:
