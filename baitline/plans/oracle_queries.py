@@ -252,8 +252,11 @@ SELECT msg_id, coalesce(top_domain, indicators[1].category, 'No major signal') A
 )"""
     out["case_records"] = f"""{base},
 {cases}
-SELECT case_id, msg_id, user_id, created_at, verdict, risk_score, confidence, situation, ai_route,
-  domain_count, indicator_count, text_preview FROM cases"""
+SELECT c.case_id, c.msg_id, c.user_id, c.created_at, c.verdict, c.risk_score, c.confidence, c.situation,
+  c.ai_route, c.domain_count, c.indicator_count, c.text_preview,
+  coalesce(nullif(r.redacted_text, ''), {q(C.SCREENSHOT_TEXT_MASK)}) AS stored_text,
+  coalesce(array_to_string(r.domains, ','), '') AS stored_links
+FROM cases c JOIN rep r USING (msg_id)"""
 
     out["recent_cases"] = f"""{base},
 {cases}

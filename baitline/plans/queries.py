@@ -280,7 +280,9 @@ def case_records(spark, sf_dir):
     cases = OA.case_records(reports(spark, sf_dir))
     return cases.select("case_id", "msg_id", "user_id", "created_at", "verdict", "risk_score",
                         "confidence", "situation", "ai_route", "domain_count", "indicator_count",
-                        "text_preview")
+                        "text_preview", "stored_text",
+                        F.array_join(F.transform("stored_links", lambda l: l["original"]), ",")
+                        .alias("stored_links"))
 
 
 def recent_cases(spark, sf_dir):

@@ -124,3 +124,14 @@ def view_sql(events_table: str = "events") -> str:
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type"])
     return events.selectExpr(*[f"{expr} AS {name}" for name, expr in view_columns()])
+
+
+def text_file_messages(spark: SparkSession, path: str, situation: str = "before_click") -> DataFrame:
+    """S1 (files): one message per text file (``wholetext``), keyed by its path."""
+    from pyspark.sql import functions as F
+    files = spark.read.text(path, wholetext=True).select(
+        F.input_file_name().alias("path"), F.col("value").alias("text"))
+    return files.select(
+        F.xxhash64("path").alias("msg_id"), "path", "text",
+        F.lit(situation).alias("situation"), F.lit(None).cast("string").alias("image"),
+        F.lit(False).alias("demo_offline"))

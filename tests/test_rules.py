@@ -150,3 +150,12 @@ def test_edge_rows(spark, msg_schema):
     assert [i.category for i in out[14].indicators] == [C.DATA]
     assert not out[14].guard_failed
     assert out[15].safe_steps == C.GENERIC_STEPS
+
+
+def test_text_file_messages(spark, tmp_path):
+    from baitline.sources.messages import text_file_messages
+    for name, _, _, text in C.SAMPLES:
+        (tmp_path / f"{name}.txt").write_text(text + "\n")
+    rep = investigate(text_file_messages(spark, str(tmp_path)))
+    scores = {r.path.rsplit("/", 1)[-1]: r.risk_score for r in rep.select("path", "risk_score").collect()}
+    assert scores == {"courier.txt": 95, "bank.txt": 96, "lottery.txt": 34, "romance.txt": 36}
