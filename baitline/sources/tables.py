@@ -14,12 +14,14 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations"]
 
 
-# Row key of each text table (used to hash-spread rows when a scan is too coarse).
-KEYS = {"events": "event_id", "documents": "doc_id", "pages": "page_id",
-        "conversations": "conv_id"}
+# Unique row key of each text table, used to hash-spread rows when a scan is too
+# coarse. It must be unique per row (conversations: conv_id and turn), so a hot
+# group - one conversation holding a third of all turns - is still spread evenly.
+KEYS = {"events": ["event_id"], "documents": ["doc_id"], "pages": ["page_id"],
+        "conversations": ["conv_id", "turn"]}
 
 
-def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+def spread(df: DataFrame, key: list[str] | None = None) -> DataFrame:
     """Give CPU-heavy per-row rules enough parallel tasks.
 
     A scan yields one partition per file split / row group; a few large files
@@ -32,7 +34,7 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     target = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
         return df
-    return df.repartition(target, key) if key else df.repartition(target)
+    return df.repartition(target, *key) if key else df.repartition(target)
 
 
 def table_path(sf_dir: str, name: str) -> str:
