@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from .regex import js_re, python_re
 
 # Authority of an http(s) URL: everything after '//' up to '/', '?' or '#'.
 _NETLOC = r"^https?://([^/?#]*)"
@@ -21,7 +22,7 @@ _BRACKET_OK = r"^[^\[\]]*\[[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*\][^\[\]]*$"
 
 def find_urls(text: Column) -> Column:
     """L1: every URL match in order, duplicates kept."""
-    return F.regexp_extract_all(text, F.lit(C.URL_PATTERN), 1)
+    return F.regexp_extract_all(text, F.lit(python_re(C.URL_PATTERN)), 1)
 
 
 def netloc_of(url: Column) -> Column:
@@ -76,5 +77,5 @@ def lite_links(text: Column) -> Column:
         bare = F.regexp_replace(no_user, r":[0-9]*$", "")
         return F.regexp_replace(F.lower(bare), r"^www\.", "")
     return F.transform(
-        F.regexp_extract_all(text, F.lit(C.LITE_URL_PATTERN), 0),
+        F.regexp_extract_all(text, F.lit(js_re(C.LITE_URL_PATTERN)), 0),
         lambda u: F.struct(u.alias("original"), host(u).alias("domain")))

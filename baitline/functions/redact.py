@@ -9,26 +9,27 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from .regex import js_re, python_re
 
 
 def mask_emails(text: Column) -> Column:
-    return F.regexp_replace(text, C.EMAIL_PATTERN, C.EMAIL_MASK)
+    return F.regexp_replace(text, python_re(C.EMAIL_PATTERN), C.EMAIL_MASK)
 
 
 def mask_ssn(text: Column) -> Column:
-    return F.regexp_replace(text, C.SSN_PATTERN, C.SSN_MASK)
+    return F.regexp_replace(text, python_re(C.SSN_PATTERN), C.SSN_MASK)
 
 
 def mask_national_ids(text: Column) -> Column:
-    return F.regexp_replace(text, C.NATIONAL_ID_PATTERN, C.SSN_MASK)
+    return F.regexp_replace(text, python_re(C.NATIONAL_ID_PATTERN), C.SSN_MASK)
 
 
 def mask_cards(text: Column) -> Column:
-    return F.regexp_replace(text, C.CARD_PATTERN, C.CARD_MASK)
+    return F.regexp_replace(text, python_re(C.CARD_PATTERN), C.CARD_MASK)
 
 
 def mask_phones(text: Column) -> Column:
-    return F.regexp_replace(text, C.PHONE_PATTERN, C.PHONE_MASK)
+    return F.regexp_replace(text, python_re(C.PHONE_PATTERN), C.PHONE_MASK)
 
 
 def redact_pii(text: Column) -> Column:
@@ -36,14 +37,14 @@ def redact_pii(text: Column) -> Column:
     placeholders of earlier passes shield digits from later ones)."""
     out = text
     for pattern, mask in C.REDACTION_PASSES:
-        out = F.regexp_replace(out, pattern, mask)
+        out = F.regexp_replace(out, python_re(pattern), mask)
     return out
 
 
 def redact_lite(text: Column) -> Column:
     """The cheaper browser rule set; phone runs before the id pattern."""
     out = F.regexp_replace(text, C.LITE_EMAIL_PATTERN, C.EMAIL_MASK)
-    out = F.regexp_replace(out, C.LITE_PHONE_PATTERN, C.PHONE_MASK)
+    out = F.regexp_replace(out, js_re(C.LITE_PHONE_PATTERN), C.PHONE_MASK)
     return F.regexp_replace(out, C.LITE_ID_PATTERN, C.LITE_ID_MASK)
 
 

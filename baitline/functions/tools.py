@@ -23,6 +23,7 @@ from . import redact as R
 from . import report as G
 from . import scoring as K
 from . import signals as T
+from .regex import python_re
 
 
 def _steps_tool(verdict: Column | None = None, situation: Column | None = None) -> Column:
@@ -82,7 +83,7 @@ def _array_sql(items: list[str]) -> str:
 def redact_sql(arg: str) -> str:
     out = arg
     for pattern, mask in C.REDACTION_PASSES:
-        out = f"regexp_replace({out}, {sql_lit(pattern)}, {sql_lit(mask)})"
+        out = f"regexp_replace({out}, {sql_lit(python_re(pattern))}, {sql_lit(mask)})"
     return out
 
 
@@ -96,7 +97,7 @@ def links_sql(arg: str) -> str:
               f"{sql_lit('^https?://([^/?#]*)')}, 1)")
     bracket_ok = sql_lit(r"^[^\[\]]*\[[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*\][^\[\]]*$")
     domain = f"regexp_replace(substring_index(lower(l.netloc), ':', 1), {sql_lit(r'^www[.]')}, '')"
-    return (f"filter(transform(filter(transform(regexp_extract_all({arg}, {sql_lit(C.URL_PATTERN)}, 1), "
+    return (f"filter(transform(filter(transform(regexp_extract_all({arg}, {sql_lit(python_re(C.URL_PATTERN))}, 1), "
             f"u -> named_struct('original', u, 'netloc', {netloc})), "
             f"l -> NOT (contains(l.netloc, '[') OR contains(l.netloc, ']')) OR l.netloc RLIKE {bracket_ok}), "
             f"l -> named_struct('original', l.original, 'domain', {domain})), x -> x.domain != '')")

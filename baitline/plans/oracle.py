@@ -9,6 +9,7 @@ expressions are shared. Each function returns one self-contained statement.
 from __future__ import annotations
 
 from .. import constants as C
+from ..functions.regex import python_re
 from ..sources.messages import view_sql
 
 
@@ -28,7 +29,7 @@ BRACKET_OK = r"^[^\[\]]*\[[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*\][^\[\]]*$"
 def redact_sql(col: str) -> str:
     out = col
     for pattern, mask in C.REDACTION_PASSES:
-        out = f"regexp_replace({out}, {q(pattern)}, {q(mask)}, 'g')"
+        out = f"regexp_replace({out}, {q(python_re(pattern))}, {q(mask)}, 'g')"
     return out
 
 
@@ -124,7 +125,7 @@ def domain_report_ctes(prefix: str, source: str) -> str:
 
 def link_ctes(prefix: str, source: str, key: str, text: str) -> str:
     """``{prefix}_lk(key, pos, original, domain)``: kept links, 1-based position."""
-    url = q(C.URL_PATTERN)
+    url = q(python_re(C.URL_PATTERN))
     return f"""
 {prefix}_u AS (
   SELECT {key}, unnest(urls) AS original, generate_subscripts(urls, 1) AS raw_pos

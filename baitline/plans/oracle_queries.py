@@ -5,6 +5,7 @@ from .. import constants as C
 from .oracle import (base_ctes, domain_report_ctes, link_ctes, packet_sql, q, qlist,
                      redact_sql, reject_sql, screenshot_sql, signal_ctes, strip_sql,
                      target_brand_sql, trace_rows_sql, valid_sql)
+from ..functions.regex import js_re
 from ..sources.messages import view_sql
 
 
@@ -286,7 +287,7 @@ def _lite_sql() -> tuple[str, str]:
     fixture = _case_first_sql([(f"contains(upper(coalesce(image, '')), {q(k)})", q(t))
                                for k, t in C.LITE_FIXTURE_TEXTS], "''")
     redacted = (f"regexp_replace(regexp_replace(regexp_replace(lite_text, {q(C.LITE_EMAIL_PATTERN)}, "
-                f"{q(C.EMAIL_MASK)}, 'g'), {q(C.LITE_PHONE_PATTERN)}, {q(C.PHONE_MASK)}, 'g'), "
+                f"{q(C.EMAIL_MASK)}, 'g'), {q(js_re(C.LITE_PHONE_PATTERN))}, {q(C.PHONE_MASK)}, 'g'), "
                 f"{q(C.LITE_ID_PATTERN)}, {q(C.LITE_ID_MASK)}, 'g')")
     host = ("regexp_replace(lower(regexp_replace(regexp_replace(regexp_extract(u, "
             "'(?i)^https?://([^/?#\\\\]*)', 1), '^.*@', ''), ':[0-9]*$', '')), '^www[.]', '')")
@@ -300,7 +301,7 @@ def _lite_sql() -> tuple[str, str]:
 ),
 lt1 AS (
   SELECT *, lower(lite_text) AS low, {redacted} AS lite_redacted,
-    regexp_extract_all(lite_text, {q(C.LITE_URL_PATTERN)}, 0)[1] AS u
+    regexp_extract_all(lite_text, {q(js_re(C.LITE_URL_PATTERN))}, 0)[1] AS u
   FROM lt0
 ),
 lt2 AS (

@@ -159,3 +159,21 @@ def test_text_file_messages(spark, tmp_path):
     rep = investigate(text_file_messages(spark, str(tmp_path)))
     scores = {r.path.rsplit("/", 1)[-1]: r.risk_score for r in rep.select("path", "risk_score").collect()}
     assert scores == {"courier.txt": 95, "bank.txt": 96, "lottery.txt": 34, "romance.txt": 36}
+
+
+def test_unicode_classes_follow_python(spark):
+    """\\d and \\s in the stated patterns are Unicode in Python; the translated
+    patterns must redact and split links the same way on Spark."""
+    import re
+    samples = ["call 202 555 0148 now", "id ١٢٣-٤٥-٦٧٨٩ x",
+               "card 4111 1111 1111 1111 ok", "see https://a.xyz/p　next www.b.com x",
+               "plain 202-555-0148 and 123-45-6789"]
+    expected = []
+    for t in samples:
+        out = t
+        for pattern, mask in C.REDACTION_PASSES:
+            out = re.sub(pattern, mask, out)
+        expected.append((out, re.findall(C.URL_PATTERN, t)))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(samples)], "i int, t string")
+    got = df.select("i", R.redact_pii(F.col("t")).alias("r"), L.find_urls(F.col("t")).alias("u")).orderBy("i").collect()
+    assert [(g.r, list(g.u)) for g in got] == expected
