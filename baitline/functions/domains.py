@@ -52,7 +52,7 @@ def flags_from_prep(p: Column) -> Column:
         tld.alias("tld"),
         brands.alias("brands"),
         (F.length(d) - F.length(F.replace(d, F.lit("-"), F.lit("")))).alias("hyphens"),
-        (F.length(d) - F.length(F.regexp_replace(d, "[0-9]", ""))).alias("digits"),
+        (F.length(d) - F.length(F.regexp_replace(d, r"\p{Nd}", ""))).alias("digits"),
         typos.alias("typos"),
     )
 
