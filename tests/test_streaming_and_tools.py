@@ -52,3 +52,34 @@ def test_sql_functions_with_defaults(spark):
     row = spark.sql("SELECT redact_pii() AS a, generate_safe_steps()[0] AS b, "
                     "size(get_links('see www.x.com and https://y.io/z')) AS c, risk_verdict(80) AS d").first()
     assert row.a == "" and row.b == C.SAFE_STEPS["before_click"][0] and row.c == 2 and row.d == "High"
+
+
+def test_windows_drop_late_rows(spark, tmp_path):
+    import datetime as dt
+    import time
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    def write(name, ids, days):
+        start = dt.datetime(2024, 1, 1, 12)
+        pq.write_table(pa.table({
+            "event_id": pa.array(ids, pa.int64()),
+            "ts": pa.array([start + dt.timedelta(days=d) for d in days], pa.timestamp("us")),
+            "user_id": pa.array([7] * len(ids), pa.int64()),
+            "event_type": ["view"] * len(ids), "value": [1.0] * len(ids),
+            "props": ["{}"] * len(ids)}), str(tmp_path / name))
+    # batch 0: day 1 x10 and day 3; batch 1: day 5; batch 2: 5 rows for day 1.
+    # Spark judges lateness against the previous batch's watermark, so by
+    # batch 2 the day-1 window is closed and its late rows are dropped.
+    write("events_1.parquet", list(range(10)) + [10], [0] * 10 + [2])
+    time.sleep(1.1)                                                       # file order = arrival order
+    write("events_2.parquet", [16], [4])
+    time.sleep(1.1)
+    write("events_3.parquet", list(range(11, 16)), [0] * 5)
+    out = os.path.join(checkpoint_dir(spark), "test-late", uuid.uuid4().hex)
+    windows = jobs.stream_verdict_windows(jobs.stream_reports(jobs.message_stream(spark, str(tmp_path))))
+    jobs._run_to_parquet(windows, os.path.join(out, "o"), os.path.join(out, "c"))
+    res = spark.read.parquet(os.path.join(out, "o"))
+    day1 = res.filter("window_start = '2024-01-01 00:00:00'").groupBy().sum("n_messages").first()[0]
+    assert day1 == 10          # the 5 rows behind the watermark were dropped
