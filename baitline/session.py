@@ -1,7 +1,6 @@
 """Session and checkpoint helpers."""
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -42,10 +41,3 @@ def checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A unique sub-folder of the checkpoint folder for written tables/state."""
-    base = checkpoint_dir(spark)
-    path = os.path.join(base, name)
-    return path
