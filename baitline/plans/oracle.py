@@ -90,7 +90,7 @@ def domain_report_ctes(prefix: str, source: str) -> str:
       '[^a-z0-9]+'), lambda t: t <> ''), ' ') AS main_key,
     {tld_case} AS tld,
     length(d) - length(replace(d, '-', '')) AS hyphens,
-    length(regexp_replace(d, '[^\p{{Nd}}]', '', 'g')) AS digits,
+    length(regexp_replace(d, '[^\\p{{Nd}}]', '', 'g')) AS digits,
     list_transform(list_filter({typos}, lambda x: contains(d, x.p)), lambda x: x.b) AS typos
   FROM {prefix}_d1
 ),

@@ -582,7 +582,8 @@ SELECT m.msg_id, t.name AS sample, t.sample_source, m.situation AS requested_sit
   CASE WHEN m.situation IS NOT NULL AND m.situation <> 'before_click' THEN m.situation
        ELSE coalesce(t.sample_situation, m.situation) END AS situation
 FROM msgs m JOIN {samples} ON m.text = t.text"""
-    fixtures = json.load(open(MANIFEST))["fixtures"]
+    with open(MANIFEST) as fh:
+        fixtures = json.load(fh)["fixtures"]
     man = _values([(f["id"], f["marker"], f["expected_verdict"]) for f in fixtures],
                   ["fixture_id", "marker", "expected_verdict"])
     out["screenshot_fixtures"] = f"""{base}
