@@ -209,6 +209,7 @@ FROM rep WHERE has_image"""
     _labels(out, base)
     _conversations(out)
     _overlay(out, base)
+    _payloads(out, base)
     out["sql_tools"] = f"""{base}
 SELECT msg_id, redacted_text, true AS alias_ok, CAST(coalesce(len(domains), 0) AS INTEGER) AS n_links,
   coalesce(array_to_string(domains, ','), '') AS domains, safe_steps[1] AS first_step,
@@ -739,3 +740,26 @@ SELECT msg_id, overlay_provider, overlay_model, overlay_priority, overlay_summar
   array_to_string(acts, ' | ') AS next_actions, array_to_string(qs, ' | ') AS questions,
   overlay_packet, overlay_step
 FROM fin"""
+
+
+def _payloads(out: dict, base: str) -> None:
+    routes = [C.MODEL_ROUTES[2]] + [m for m in C.MODEL_ROUTES if m != C.MODEL_ROUTES[2]]
+    empty_reports = ("[]::STRUCT(domain VARCHAR, risk_score INTEGER, verdict VARCHAR, "
+                     "indicators VARCHAR[], detected_brands VARCHAR[])[]")
+    out["prompt_payloads"] = f"""{base},
+drl AS (
+  SELECT msg_id, list({{'domain': domain, 'risk_score': risk_score, 'verdict': verdict,
+                        'indicators': indicators, 'detected_brands': detected_brands}} ORDER BY pos) AS reports
+  FROM m_dr GROUP BY msg_id
+)
+SELECT r.msg_id,
+  CAST(to_json({{'redacted_message': substring(r.redacted_text, 1, {C.PROMPT_CHARS}),
+                 'user_situation': r.situation,
+                 'risk_summary': {{'verdict': r.verdict, 'risk_score': r.risk_score,
+                                   'confidence': r.confidence, 'breakdown': r.breakdown}},
+                 'domain_reports': coalesce(d.reports, {empty_reports}),
+                 'social_engineering_indicators': r.indicators,
+                 'current_safe_steps': r.safe_steps,
+                 'privacy_note': 'The message was PII-redacted locally before this model prompt.'}}) AS VARCHAR) AS payload,
+  {q(','.join(routes))} AS routes
+FROM rep r LEFT JOIN drl d USING (msg_id)"""
