@@ -210,6 +210,7 @@ FROM rep WHERE has_image"""
     _conversations(out)
     _overlay(out, base)
     _payloads(out, base)
+    _exports(out, base)
     out["sql_tools"] = f"""{base}
 SELECT msg_id, redacted_text, true AS alias_ok, CAST(coalesce(len(domains), 0) AS INTEGER) AS n_links,
   coalesce(array_to_string(domains, ','), '') AS domains, safe_steps[1] AS first_step,
@@ -763,3 +764,42 @@ SELECT r.msg_id,
                  'privacy_note': 'The message was PII-redacted locally before this model prompt.'}}) AS VARCHAR) AS payload,
   {q(','.join(routes))} AS routes
 FROM rep r LEFT JOIN drl d USING (msg_id)"""
+
+
+def _exports(out: dict, base: str) -> None:
+    trace_steps = _trace_text_sql().strip()
+    steps_list = "list({'step': step, 'status': status, 'detail': detail} ORDER BY k)"
+    ev = ("list_transform(breakdown[1:5], lambda b: {'signal': b, 'why_it_matters': "
+          f"{q(C.NOTE_WHY_RULE)}, 'severity': lower(verdict)}})")
+    note = ("{'provider': " + q(C.NOTE_PROVIDER) + ", 'model': " + q(C.NOTE_MODEL) +
+            ", 'fallback_used': true, 'status': 'fallback', 'fallback_reason': fallback_reason, "
+            "'request_id': CAST(NULL AS VARCHAR), 'usage': CAST(NULL AS VARCHAR), "
+            "'executive_summary': 'Classified this as ' || verdict || ' risk (' || CAST(risk_score AS VARCHAR) || '/100) using local rules.', "
+            f"'user_explanation': {q(C.NOTE_EXPLANATION)}, 'recommended_priority': {_priority('verdict', 'situation')}, "
+            f"'evidence': {ev}, 'questions': questions[1:3], "
+            "'next_actions': list_transform(safe_steps[1:3], lambda x: replace(x, '**', '')), "
+            f"'confidence_note': {q(C.NOTE_CONFIDENCE)}}}")
+    guard = f"(contains(pk, '@') AND NOT contains(pk, {q(C.EMAIL_MASK)}))"
+    out["report_exports"] = f"""{base},
+{trace_rows_sql().strip()},
+{trace_steps},
+lks AS (SELECT msg_id, list({{'original': original, 'domain': domain}} ORDER BY pos) AS links FROM m_lk GROUP BY msg_id),
+drl AS (SELECT msg_id, list({{'domain': domain, 'risk_score': risk_score, 'verdict': verdict,
+          'indicators': indicators, 'detected_brands': detected_brands}} ORDER BY pos) AS reports FROM m_dr GROUP BY msg_id),
+sct AS (SELECT msg_id, list({{'label': label, 'impact': CAST(impact AS INTEGER), 'source': source, 'severity': severity,
+          'evidence': evidence, 'calculation': calculation}} ORDER BY pos) AS st FROM trp GROUP BY msg_id),
+its AS (SELECT msg_id, {steps_list} AS steps FROM it GROUP BY msg_id)
+SELECT msg_id, CAST(to_json({{
+  'exported_at': strftime(ts, '%Y-%m-%dT%H:%M:%S'), 'app': 'baitline',
+  'situation': {_sit_label('situation')}, 'ai_route': 'Local Fallback',
+  'report': {{'redacted_text': redacted_text,
+    'links': coalesce(links, []::STRUCT(original VARCHAR, domain VARCHAR)[]),
+    'domain_reports': coalesce(reports, []::STRUCT(domain VARCHAR, risk_score INTEGER, verdict VARCHAR, indicators VARCHAR[], detected_brands VARCHAR[])[]),
+    'social_engineering_indicators': indicators, 'verdict': verdict, 'risk_score': risk_score,
+    'confidence': confidence, 'breakdown': breakdown, 'score_trace': st, 'safe_steps': safe_steps,
+    'ai_analysis': {note},
+    'report_draft': CASE WHEN {guard} THEN {q(C.GUARDRAIL_BLOCKED)} ELSE pk END,
+    'trace': steps,
+    'extracted_text': CASE WHEN has_image THEN raw_text END}}}}) AS VARCHAR) AS export_json
+FROM pk LEFT JOIN lks USING (msg_id) LEFT JOIN drl USING (msg_id) LEFT JOIN sct USING (msg_id)
+  LEFT JOIN its USING (msg_id)"""

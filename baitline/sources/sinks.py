@@ -18,11 +18,12 @@ RECORD_SEP = "\u001e"
 def export_json(rep: DataFrame, exported_at: Column | None = None, app: str = "baitline") -> Column:
     """``{exported_at, app, situation, ai_route, report}`` as JSON text."""
     at = exported_at if exported_at is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
+    # null fields are written (as JSON.stringify does), not dropped
     return F.to_json(F.struct(
         at.alias("exported_at"), F.lit(app).alias("app"),
         G.situation_label(F.col("situation")).alias("situation"),
         G.route_label(F.col("ai_analysis")).alias("ai_route"),
-        report_struct(rep).alias("report")))
+        report_struct(rep).alias("report")), {"ignoreNullFields": "false"})
 
 
 def write_exports(rep: DataFrame, path: str) -> None:
