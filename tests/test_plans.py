@@ -44,3 +44,14 @@ def test_scans_read_only_needed_columns(spark):
     plan = _plan(Q.document_redaction(spark, SF))
     scan = [l for l in plan.splitlines() if "FileScan parquet" in l][0]
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in scan
+
+
+def test_spread_is_a_no_op_on_split_inputs(spark, tmp_path):
+    from baitline.sources.tables import spread
+    path = str(tmp_path / "many")
+    n = spark.sparkContext.defaultParallelism * 2
+    spark.range(10_000).repartition(n).write.parquet(path)
+    wide = spark.read.parquet(path)
+    assert "REPARTITION_BY_NUM" not in _plan(spread(wide, ["id"]))        # enough splits: no shuffle
+    narrow = spark.range(10).coalesce(1)
+    assert "REPARTITION_BY_NUM" in _plan(spread(narrow, ["id"]))         # one split: spread by key
