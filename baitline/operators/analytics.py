@@ -109,8 +109,9 @@ def brand_campaigns(rep: DataFrame) -> DataFrame:
     rows = rep.select("msg_id", "user_id", "risk_score",
                       positioned(F.coalesce(brands, F.array().cast("array<string>")), None,
                                  "pos", "brand"))
+    # a message names a brand once, so its rows are its messages
     return rows.groupBy("brand").agg(
-        F.countDistinct("msg_id").alias("n_messages"),
+        F.count(F.lit(1)).alias("n_messages"),
         F.countDistinct("user_id").alias("n_users"),
         F.max("risk_score").alias("max_risk"),
         F.round(F.avg("risk_score"), 2).alias("avg_risk"))

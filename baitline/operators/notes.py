@@ -77,9 +77,12 @@ def note_inputs(attempts: DataFrame) -> DataFrame:
         F.struct(
             F.col("model_rank").alias("rank"), F.col("attempt").alias("attempt"),
             F.col("model").alias("model"), F.col("http_code").alias("code"),
-            ((F.col("http_code") == 200) & parsed.isNotNull()).alias("ok"),
+            (F.col("http_code").eqNullSafe(200) & parsed.isNotNull()).alias("ok"),
             parsed.alias("obj"), F.col("request_id").alias("request_id"),
-            F.when(F.col("http_code") != 200, F.concat(
+            # a call that never got an answer (timeout, connection error) has no code
+            F.when(F.col("http_code").isNull(), F.concat(
+                F.col("model"), F.lit(" -> "), F.substring(F.coalesce(F.col("error"), F.lit("no answer")), 1, 240)))
+            .when(F.col("http_code") != 200, F.concat(
                 F.col("model"), F.lit(" -> "), F.col("http_code").cast("string"), F.lit(": "),
                 F.substring(F.coalesce(F.col("error"), F.lit("")), 1, 240)))
             .otherwise(F.concat(F.col("model"), F.lit(" -> invalid JSON object"))).alias("failure"),
@@ -91,7 +94,7 @@ def note_inputs(attempts: DataFrame) -> DataFrame:
     grouped = rows.groupBy("msg_id").agg(F.array_sort(F.collect_list("a"), by_route).alias("tries"))
 
     def retried(arr: Column, x: Column) -> Column:
-        return F.exists(arr, lambda y: (y["rank"] == x["rank"]) & (y["attempt"] == 0) & (y["code"] == 429))
+        return F.exists(arr, lambda y: (y["rank"] == x["rank"]) & (y["attempt"] == 0) & y["code"].eqNullSafe(429))
 
     def has_retry(arr: Column, x: Column) -> Column:
         return F.exists(arr, lambda y: (y["rank"] == x["rank"]) & (y["attempt"] == 1))
@@ -100,7 +103,7 @@ def note_inputs(attempts: DataFrame) -> DataFrame:
     reachable = F.filter(tries, lambda x: (x["attempt"] == 0) | retried(tries, x))
     winner = F.get(F.filter(reachable, lambda x: x["ok"]), 0)
     final_failures = F.filter(reachable, lambda x: ~x["ok"] & ~(
-        (x["attempt"] == 0) & (x["code"] == 429) & has_retry(tries, x)))
+        (x["attempt"] == 0) & x["code"].eqNullSafe(429) & has_retry(tries, x)))
     before_winner = F.filter(final_failures, lambda x: winner.isNull() | (x["rank"] < winner["rank"]))
     return grouped.select(
         "msg_id",

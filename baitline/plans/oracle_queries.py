@@ -427,13 +427,12 @@ SELECT msg_id, user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, situation, verd
   CAST(n_reports AS INTEGER) AS domain_count, CAST(n AS INTEGER) AS indicator_count,
   CASE WHEN {guard} THEN {q(C.GUARDRAIL_BLOCKED)} ELSE pk END AS report_draft
 FROM pk"""
-    # windows are emitted once the watermark (max event time - 1 hour) passes their end
+    # a bounded run returns every window and session, closed or still open
     out["stream_verdict_windows"] = f"""{base}
 SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start,
   strftime(date_trunc('day', ts) + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS window_end,
   verdict, count(*) AS n_messages, max(risk_score) AS max_score
 FROM rep
-WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM rep)
 GROUP BY 1, 2, 3"""
     out["stream_sliding_windows"] = f"""{base},
 wk AS (SELECT *, time_bucket(INTERVAL 6 HOUR, ts) - k * INTERVAL 6 HOUR AS w_start
@@ -442,7 +441,6 @@ SELECT strftime(w_start, '%Y-%m-%d %H:%M:%S') AS window_start,
   strftime(w_start + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS window_end,
   verdict, count(*) AS n_messages, max(risk_score) AS max_score
 FROM wk
-WHERE w_start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM rep)
 GROUP BY 1, 2, 3"""
     out["stream_user_sessions"] = f"""{base},
 sx AS (SELECT user_id, ts, risk_score,
@@ -455,7 +453,7 @@ sz AS (SELECT user_id, sid, min(ts) AS s_start, max(ts) + INTERVAL 30 MINUTE AS
          count(*) AS n_messages, max(risk_score) AS max_score FROM sy GROUP BY user_id, sid)
 SELECT user_id, strftime(s_start, '%Y-%m-%d %H:%M:%S') AS session_start,
   strftime(s_end, '%Y-%m-%d %H:%M:%S') AS session_end, n_messages, max_score
-FROM sz WHERE s_end <= (SELECT max(ts) - INTERVAL 1 HOUR FROM rep)"""
+FROM sz"""
     out["stream_history"] = f"""{base}
 SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, msg_id DESC) AS INTEGER) AS rank,
   msg_id, verdict, risk_score
@@ -595,15 +593,11 @@ FROM (SELECT * FROM rep WHERE has_image) r LEFT JOIN {man} ON contains(upper(r.i
         f"SELECT msg_id, {q(cat)} AS category, CAST(generate_subscripts({h}, 1) AS INTEGER) AS rank, "
         f"unnest({h}) AS keyword FROM s_sg" for h, cat in
         [("h_urg", C.URGENCY), ("h_fin", C.FINANCIAL), ("h_data", C.DATA), ("h_rel", C.RELATIONSHIP)])
-    lex = _values([(cat, i + 1, kw) for cat, kws, _ in C.SIGNAL_CATEGORIES if kws for i, kw in enumerate(kws)],
-                  ["category", "rank", "keyword"])
-    out["lexicon_hits"] = f"""{base}
-SELECT s.msg_id, t.category, CAST(t.rank AS INTEGER) AS rank, t.keyword
-FROM s_sg s JOIN red USING (msg_id) JOIN {lex} ON contains(lower(red.redacted_text), t.keyword)"""
+    out["lexicon_hits"] = out["signal_hits_long"]
     guard = f"(contains(pk, '@') AND NOT contains(pk, {q(C.EMAIL_MASK)}))"
     out["packet_files"] = f"""{base},
 pk AS (SELECT *, {packet_sql()} AS pk FROM rep)
-SELECT verdict, CASE WHEN {guard} THEN {q(C.GUARDRAIL_BLOCKED)} ELSE pk END AS packet FROM pk"""
+SELECT msg_id, verdict, CASE WHEN {guard} THEN {q(C.GUARDRAIL_BLOCKED)} ELSE pk END AS packet FROM pk"""
     out["history_store"] = out["recent_cases"]
 
 

@@ -25,29 +25,12 @@ from ..sources.messages import messages
 from .investigate import investigate
 
 
-# Logical plans reused across queries of one session: building the report
-# plan issues thousands of expression-construction calls from Python, so it is
-# built once per (session, table folder). Nothing is cached or materialised.
-_PLANS: dict = {}
-
-
-def _plan(kind: str, spark: SparkSession, sf_dir: str, build) -> DataFrame:
-    key = (kind, sf_dir)
-    hit = _PLANS.get(key)
-    if hit is not None and hit[0] is spark:
-        return hit[1]
-    df = build()
-    _PLANS[key] = (spark, df)
-    return df
-
-
 def accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plan("accepted", spark, sf_dir,
-                 lambda: S.split_intake(messages(spark, sf_dir))[0])
+    return S.split_intake(messages(spark, sf_dir))[0]
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plan("reports", spark, sf_dir, lambda: investigate(accepted(spark, sf_dir)))
+    return investigate(accepted(spark, sf_dir))
 
 
 def _mask_counts(col: str) -> list:
@@ -90,7 +73,7 @@ def conversation_signals(spark, sf_dir):
     """Redaction + signals over every conversation turn (whole texts)."""
     conv = tables.conversations(spark, sf_dir)
     red = conv.withColumn("redacted_text", R.redact_pii(F.col("text")))
-    ind = red.withColumn("indicators", T.detect_signals(F.col("redacted_text")))
+    ind = T.add_signal_columns(red, "redacted_text")
     return ind.select("conv_id", "turn", "role",
                       F.size("indicators").alias("n_categories"),
                       T.categories_text(F.col("indicators")).alias("categories"),
@@ -464,22 +447,18 @@ def sample_matches(spark, sf_dir):
 
 
 def screenshot_fixtures(spark, sf_dir):
-    """S4 + S5: screenshots matched to the manifest by marker (broadcast theta join)."""
-    from ..sources.fixtures import screenshot_manifest
-    man = F.broadcast(screenshot_manifest(spark))
+    """S4 + S5: screenshots matched to the manifest; of several markers the first in manifest order counts."""
+    from ..sources.fixtures import manifest_fields
     rep = reports(spark, sf_dir).filter(F.col("has_image"))
-    joined = rep.join(man, F.upper(F.col("image")).contains(F.col("marker")), "left")
-    return joined.select("msg_id", F.col("id").alias("fixture_id"), "expected_verdict", "verdict",
-                         (F.col("expected_verdict") == F.col("verdict")).alias("agrees"))
+    found = manifest_fields(F.col("image"))
+    return rep.select("msg_id", found["id"].alias("fixture_id"),
+                      found["expected_verdict"].alias("expected_verdict"), "verdict",
+                      (found["expected_verdict"] == F.col("verdict")).alias("agrees"))
 
 
 def lexicon_hits(spark, sf_dir):
-    """T8 join form: keyword hits by a broadcast theta join with the lexicon table."""
-    from ..sources.fixtures import lexicon_hits as join_hits
-    src = accepted(spark, sf_dir).withColumn(
-        "raw_text", S.message_text(F.col("text"), F.col("image"), F.col("demo_offline")))
-    red = src.select("msg_id", R.redact_pii(F.col("raw_text")).alias("redacted_text"))
-    return join_hits(red, "redacted_text")
+    """T8 for the whole lexicon, brands included: the in-row form, no join with the word list."""
+    return signal_hits_long(spark, sf_dir)
 
 
 def report_exports(spark, sf_dir):
@@ -491,11 +470,11 @@ def report_exports(spark, sf_dir):
 
 
 def packet_files(spark, sf_dir):
-    """Packets written as text files per verdict and read back."""
+    """Packets written as JSON lines per verdict and read back."""
     from ..sources.sinks import read_packets, write_packets
     path = _sink_path(spark, "packets")
     write_packets(reports(spark, sf_dir), path)
-    return read_packets(spark, path).select("verdict", F.col("value").alias("packet"))
+    return read_packets(spark, path).select("msg_id", "verdict", "packet")
 
 
 def history_store(spark, sf_dir):
@@ -514,7 +493,7 @@ def conversation_reports(spark, sf_dir):
     default situation, then the full investigation over the whole turn text."""
     conv = tables.conversations(spark, sf_dir)
     sel = S.extension_intake(conv.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"), "conv_id", "turn", "text"))
+        F.xxhash64("conv_id", "turn").alias("msg_id"), "conv_id", "turn", "text"))
     msgs = sel.withColumns({"image": F.lit(None).cast("string"), "demo_offline": F.lit(False)})
     rep = investigate(msgs)
     return rep.select("conv_id", "turn", "situation", "verdict", "risk_score", "confidence",

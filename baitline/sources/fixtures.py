@@ -1,13 +1,14 @@
-"""Fixed catalogues (S2, S4) and dimension tables.
+"""Fixed catalogues.
 
 These are small by construction (a handful of rows fixed in code or shipped
 with the package), so joining them with a broadcast hint is bounded.
 """
 from __future__ import annotations
 
+import json
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -21,41 +22,17 @@ def samples(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(C.SAMPLES, "name string, source string, situation string, text string")
 
 
-def screenshot_manifest(spark: SparkSession, path: str = MANIFEST) -> DataFrame:
-    """Nested manifest JSON -> one row per fixture."""
-    raw = spark.read.option("multiLine", True).json(path)
-    return raw.select(F.inline("fixtures")).select("id", "label", "marker", "web_asset", "expected_verdict")
+def screenshot_manifest(path: str = MANIFEST) -> list[dict]:
+    """The fixtures of the manifest, a handful of rows shipped with the package and
+    read on the driver, so executors need no copy of the file."""
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)["fixtures"]
 
 
-def brands(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i + 1, b, b.split(" ")) for i, b in enumerate(C.BRANDS)],
-                                 "rank int, brand string, tokens array<string>")
-
-
-def risky_tlds(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(t,) for t in C.SUSPICIOUS_TLDS], "tld string")
-
-
-def lexicon(spark: SparkSession) -> DataFrame:
-    rows = [(cat, i + 1, kw) for cat, kws, _ in C.SIGNAL_CATEGORIES if kws for i, kw in enumerate(kws)]
-    return spark.createDataFrame(rows, "category string, rank int, keyword string")
-
-
-def category_weights(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(c, w, s) for c, (w, s) in C.CATEGORY_WEIGHTS.items()],
-                                 "category string, impact int, severity string")
-
-
-def safe_steps(spark: SparkSession) -> DataFrame:
-    rows = [(sit, i + 1, step) for sit, steps in C.SAFE_STEPS.items() for i, step in enumerate(steps)]
-    rows += [("*", i + 1, step) for i, step in enumerate(C.GENERIC_STEPS)]
-    return spark.createDataFrame(rows, "situation string, step_no int, step string")
-
-
-def lexicon_hits(texts: DataFrame, text_col: str = "text", key: str = "msg_id") -> DataFrame:
-    """T8 join form: (key, category, keyword) via a broadcast theta join on
-    ``contains`` against the 87-row lexicon (bounded by construction)."""
-    lex = F.broadcast(lexicon(texts.sparkSession))
-    low = texts.select(key, F.lower(F.col(text_col)).alias("_low"))
-    return (low.join(lex, F.col("_low").contains(F.col("keyword")))
-            .select(key, "category", "rank", "keyword"))
+def manifest_fields(image: Column, path: str = MANIFEST) -> Column:
+    """``struct<id, expected_verdict>`` of the first fixture whose marker the payload holds."""
+    found = F.lit(None).cast("struct<id: string, expected_verdict: string>")
+    for row in reversed(screenshot_manifest(path)):
+        found = F.when(F.upper(image).contains(row["marker"]), F.struct(
+            F.lit(row["id"]).alias("id"), F.lit(row["expected_verdict"]).alias("expected_verdict"))).otherwise(found)
+    return found

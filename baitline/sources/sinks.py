@@ -1,4 +1,4 @@
-"""Sinks (S9-S11): JSON report export, case-packet text files, case history.
+"""Sinks (S9-S11): JSON report export, case packets, case history.
 
 All writes go to folders under the shared checkpoint folder (or a caller
 path); writes are whole-folder overwrites, so a retried job leaves one
@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from ..functions import report as G
 from ..plans.investigate import report_struct
 
-RECORD_SEP = "\u001e"
-
 
 def export_json(rep: DataFrame, exported_at: Column | None = None, app: str = "baitline") -> Column:
     """``{exported_at, app, situation, ai_route, report}`` as JSON text."""
@@ -31,14 +29,13 @@ def write_exports(rep: DataFrame, path: str) -> None:
 
 
 def write_packets(rep: DataFrame, path: str) -> None:
-    """Packet texts, one folder per verdict; packets are separated by a
-    record separator because they contain line breaks."""
-    (rep.select("verdict", F.col("report_draft").alias("value"))
-     .write.mode("overwrite").partitionBy("verdict").option("lineSep", RECORD_SEP).text(path))
+    """(msg_id, packet) as JSON lines, one folder per verdict; JSON escapes whatever a packet holds."""
+    (rep.select("msg_id", "verdict", F.col("report_draft").alias("packet"))
+     .write.mode("overwrite").partitionBy("verdict").json(path))
 
 
 def read_packets(spark, path: str) -> DataFrame:
-    return spark.read.option("lineSep", RECORD_SEP).text(path)
+    return spark.read.schema("msg_id bigint, packet string, verdict string").json(path)
 
 
 def write_history(cases: DataFrame, path: str) -> None:

@@ -14,27 +14,23 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations"]
 
 
-# Unique row key of each text table, used to hash-spread rows when a scan is too
-# coarse. It must be unique per row (conversations: conv_id and turn), so a hot
+# Unique row key of each text table, used where the caller asks for more scan
+# tasks. It must be unique per row (conversations: conv_id and turn), so a hot
 # group - one conversation holding a third of all turns - is still spread evenly.
 KEYS = {"events": ["event_id"], "documents": ["doc_id"], "pages": ["page_id"],
         "conversations": ["conv_id", "turn"]}
 
+#: Session setting by which a caller asks for hash-spread scans of the text tables.
+SCAN_PARTITIONS = "spark.baitline.scanPartitions"
 
-def spread(df: DataFrame, key: list[str] | None = None) -> DataFrame:
-    """Give CPU-heavy per-row rules enough parallel tasks.
 
-    A scan yields one partition per file split / row group; a few large files
-    (or single-row-group files) would run every regex of every row in a handful
-    of tasks. When the scan has fewer partitions than the cluster has cores the
-    rows are hash-spread by their key (deterministic on retry, and later joins
-    on the key can reuse the layout). On a large input the scan already has
-    more splits than cores and this adds nothing - no shuffle.
+def spread(df: DataFrame, partitions: int | None, key: list[str]) -> DataFrame:
+    """Rows hash-spread by their key over ``partitions`` tasks; None leaves the scan as it is.
+
+    The plan depends on what the caller asks for and never on the number or
+    size of the files. On a large input the scan has enough splits: ask for none.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target, *key) if key else df.repartition(target)
+    return df.repartition(partitions, *key) if partitions else df
 
 
 def table_path(sf_dir: str, name: str) -> str:
@@ -42,10 +38,11 @@ def table_path(sf_dir: str, name: str) -> str:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str,
-               columns: list[str] | None = None) -> DataFrame:
+               columns: list[str] | None = None, partitions: int | None = None) -> DataFrame:
     df = spark.read.parquet(table_path(sf_dir, name))
     df = df.select(*columns) if columns else df
-    return spread(df, KEYS.get(name)) if name in KEYS else df
+    asked = partitions or int(spark.conf.get(SCAN_PARTITIONS, "0")) or None
+    return spread(df, asked, KEYS[name]) if name in KEYS else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

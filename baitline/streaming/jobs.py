@@ -7,7 +7,12 @@ resumes from its offsets and state after losing executors or the driver.
 
 - ``stream_reports`` (ST1): stateless, append mode, parquet sink.
 - ``stream_verdict_windows`` (ST2): event-time windows with a watermark; rows
-  later than the watermark are dropped, windows are emitted once closed.
+  later than the watermark are dropped. Runs in update mode: every micro-batch
+  writes the windows it changed to a folder named by its batch id (a replayed
+  batch rewrites it), and the newest state of each window counts, so windows
+  that are still open when a bounded run ends are in the result.
+- ``stream_session_counts`` (ST2): session windows, which only append mode
+  knows; sessions still open at the end come from a batch pass.
 - ``stream_history`` (ST3): ``foreachBatch`` upsert of the newest 8 cases per
   user; each batch writes a new version folder named by its batch id, so a
   replayed batch rewrites the same folder (idempotent).
@@ -34,10 +39,21 @@ from ..sources.messages import view_columns
 EVENTS_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
 
-def message_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ``messages`` view over a stream of event files."""
-    events = (spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", 1)
-              .option("pathGlobFilter", "events*.parquet").parquet(sf_dir))
+def message_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
+    """The ``messages`` view over a stream of event files; ``max_files`` bounds a
+    micro-batch (default: all files that are there)."""
+    reader = spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events*.parquet")
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return _view(reader.parquet(sf_dir))
+
+
+def message_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same view over the files that are there now."""
+    return _view(spark.read.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events*.parquet").parquet(sf_dir))
+
+
+def _view(events: DataFrame) -> DataFrame:
     view = events.selectExpr(*[f"{expr} AS {name}" for name, expr in view_columns()])
     # watermarks need TIMESTAMP (the table stores wall-clock TIMESTAMP_NTZ; with
     # the session in UTC the instants equal the wall clock)
@@ -148,11 +164,24 @@ def run_stream_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
+_WINDOW_KEY = ["window_start", "window_end", "verdict"]
+
+
+def run_windows(windows: DataFrame, out: str, ckpt: str) -> DataFrame:
+    """Run a window stream in update mode; the newest state of every window."""
+    def upsert(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
+
+    (windows.writeStream.foreachBatch(upsert).option("checkpointLocation", ckpt).outputMode("update")
+     .trigger(availableNow=True).start().awaitTermination())
+    return (windows.sparkSession.read.parquet(out).groupBy(*_WINDOW_KEY)
+            .agg(F.max(F.struct("batch", "n_messages", "max_score")).alias("last"))
+            .select(*_WINDOW_KEY, "last.n_messages", "last.max_score"))
+
+
 def run_verdict_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, ckpt = _paths(spark, "windows")
     rep = stream_reports(message_stream(spark, sf_dir))
-    _run_to_parquet(stream_verdict_windows(rep), out, ckpt)
-    return spark.read.parquet(out)
+    return run_windows(stream_verdict_windows(rep), *_paths(spark, "windows"))
 
 
 def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,14 +202,20 @@ def run_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, ckpt = _paths(spark, "sliding")
     rep = stream_reports(message_stream(spark, sf_dir))
-    _run_to_parquet(stream_verdict_windows(rep, "1 day", "1 hour", "6 hours"), out, ckpt)
-    return spark.read.parquet(out)
+    return run_windows(stream_verdict_windows(rep, "1 day", "1 hour", "6 hours"), *_paths(spark, "sliding"))
 
 
 def run_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, ckpt = _paths(spark, "sessions")
     rep = stream_reports(message_stream(spark, sf_dir))
     _run_to_parquet(stream_session_counts(rep), out, ckpt)
-    return spark.read.parquet(out)
+    closed = spark.read.parquet(out)
+    batch = stream_reports(message_batch(spark, sf_dir))
+    every = stream_session_counts(batch)
+    # the stream's closed sessions come first, the rest are those it still holds open (a
+    # grouping, because an anti join would be pushed below the merging of sessions)
+    both = closed.withColumn("closed", F.lit(1)).unionByName(every.withColumn("closed", F.lit(0)))
+    keys = ["user_id", "session_start", "session_end"]
+    return (both.groupBy(*keys).agg(F.max(F.struct("closed", "n_messages", "max_score")).alias("s"))
+            .select(*keys, "s.n_messages", "s.max_score"))

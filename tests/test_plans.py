@@ -15,8 +15,7 @@ def _plan(df) -> str:
 
 def test_report_stage_is_narrow(spark):
     plan = _plan(Q.risk_scores(spark, SF))
-    # only the optional spread of a coarse scan may shuffle; the rules never do
-    shuffles = [l for l in plan.splitlines() if "Exchange" in l and "REPARTITION_BY_NUM" not in l]
+    shuffles = [l for l in plan.splitlines() if "Exchange" in l]
     assert shuffles == [], shuffles
     assert "BroadcastNestedLoopJoin" not in plan and "SortMergeJoin" not in plan
 
@@ -36,7 +35,8 @@ def test_aggregates_are_partial(spark):
 
 
 def test_fixed_tables_are_broadcast(spark):
-    assert "BroadcastNestedLoopJoin" in _plan(Q.lexicon_hits(spark, SF))
+    for q in (Q.lexicon_hits, Q.screenshot_fixtures):
+        assert "Join" not in _plan(q(spark, SF)), q.__name__
     assert "BroadcastHashJoin" in _plan(Q.sample_matches(spark, SF))
 
 
@@ -46,12 +46,16 @@ def test_scans_read_only_needed_columns(spark):
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in scan
 
 
-def test_spread_is_a_no_op_on_split_inputs(spark, tmp_path):
-    from baitline.sources.tables import spread
-    path = str(tmp_path / "many")
-    n = spark.sparkContext.defaultParallelism * 2
-    spark.range(10_000).repartition(n).write.parquet(path)
-    wide = spark.read.parquet(path)
-    assert "REPARTITION_BY_NUM" not in _plan(spread(wide, ["id"]))        # enough splits: no shuffle
-    narrow = spark.range(10).coalesce(1)
-    assert "REPARTITION_BY_NUM" in _plan(spread(narrow, ["id"]))         # one split: spread by key
+def test_plan_does_not_depend_on_the_number_of_files(spark, tmp_path):
+    from baitline.sources.tables import SCAN_PARTITIONS, read_table
+    for n in (1, 100):
+        spark.range(10_000).selectExpr("id AS doc_id", "'x' AS text").repartition(n).write.parquet(
+            str(tmp_path / f"{n}" / "documents.parquet"))
+        read = lambda **k: _plan(read_table(spark, str(tmp_path / f"{n}"), "documents", **k))
+        assert "Exchange" not in read()
+        assert "REPARTITION_BY_NUM" in read(partitions=7)      # only where the caller asks
+        spark.conf.set(SCAN_PARTITIONS, "5")
+        try:
+            assert "REPARTITION_BY_NUM" in read()
+        finally:
+            spark.conf.unset(SCAN_PARTITIONS)

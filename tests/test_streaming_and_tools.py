@@ -78,8 +78,44 @@ def test_windows_drop_late_rows(spark, tmp_path):
     time.sleep(1.1)
     write("events_3.parquet", list(range(11, 16)), [0] * 5)
     out = os.path.join(checkpoint_dir(spark), "test-late", uuid.uuid4().hex)
-    windows = jobs.stream_verdict_windows(jobs.stream_reports(jobs.message_stream(spark, str(tmp_path))))
-    jobs._run_to_parquet(windows, os.path.join(out, "o"), os.path.join(out, "c"))
-    res = spark.read.parquet(os.path.join(out, "o"))
+    windows = jobs.stream_verdict_windows(jobs.stream_reports(jobs.message_stream(spark, str(tmp_path), max_files=1)))
+    res = jobs.run_windows(windows, os.path.join(out, "o"), os.path.join(out, "c"))
     day1 = res.filter("window_start = '2024-01-01 00:00:00'").groupBy().sum("n_messages").first()[0]
     assert day1 == 10          # the 5 rows behind the watermark were dropped
+    assert res.groupBy().sum("n_messages").first()[0] == 12   # open windows are in the result
+
+
+def test_bounded_windows_hold_every_accepted_message(spark):
+    from baitline.plans import queries as Q
+    accepted = Q.accepted(spark, SF).count()
+    assert Q.stream_verdict_windows(spark, SF).groupBy().sum("n_messages").first()[0] == accepted
+    assert Q.stream_user_sessions(spark, SF).groupBy().sum("n_messages").first()[0] == accepted
+
+
+def test_packets_survive_any_text(spark, tmp_path):
+    from baitline.sources.sinks import read_packets, write_packets
+    rows = [(1, "High", "a\u001eb\nc"), (2, "Low", '"quoted" \\ \r'), (3, "High", "")]
+    write_packets(spark.createDataFrame(rows, "msg_id bigint, verdict string, report_draft string"),
+                  str(tmp_path / "p"))
+    got = sorted((r.msg_id, r.verdict, r.packet) for r in read_packets(spark, str(tmp_path / "p")).collect())
+    assert got == rows
+
+
+def test_first_marker_in_manifest_order(spark):
+    from baitline.sources.fixtures import manifest_fields, screenshot_manifest
+    man = screenshot_manifest()
+    df = spark.createDataFrame([(man[2]["marker"] + man[1]["marker"],), ("none",), (None,)], "image string")
+    got = [r.id for r in df.select(manifest_fields(F.col("image"))["id"].alias("id")).collect()]
+    assert got == [man[1]["id"], None, None]
+
+
+def test_calls_without_an_answer_are_listed(spark):
+    from baitline.operators.notes import note_inputs
+    df = spark.createDataFrame(
+        [(1, "m1", 1, 0, None, "timed out", None, None), (1, "m2", 2, 0, 500, "broken", None, None),
+         (2, "m1", 1, 0, None, None, None, None), (2, "m2", 2, 0, 200, None, '{"executive_summary": "x"}', "r")],
+        "msg_id long, model string, model_rank int, attempt int, http_code int, error string, content string, "
+        "request_id string")
+    got = {r.msg_id: r for r in note_inputs(df).collect()}
+    assert got[1].note_failure == C.REASON_ROUTING + "m1 -> timed out | m2 -> 500: broken"
+    assert got[1].note_model is None and got[2].note_model == "m2"
