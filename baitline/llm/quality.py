@@ -29,7 +29,7 @@ from .linear import byte_grams, platt, sample, sigmoid, word_hashes, word_spans
 
 BUCKETS = 1 << 18
 LOW, HIGH = 3, 5
-FIT_ROWS, FIT_CHARS, EPOCHS = (2_500, 2_500), 10_000, 60
+FIT_ROWS, FIT_CHARS, EPOCHS = (1_500, 1_500), 10_000, 60
 THRESHOLD = 0.4
 MIN_WORDS, MAX_REPEATED = 50, 50
 SYMBOLS = "#*$%&|<>"
@@ -107,20 +107,19 @@ class Model:
 
 def train(rows: list[tuple[int, str]]) -> Model | None:
     """Fit on (label, text) rows; None unless both classes are there."""
-    rows = [(y, features(t)) for y, t in rows]
+    # distinct buckets of each text with their counts
+    rows = [(y, *np.unique(features(t), return_counts=True)) for y, t in rows]
     rows = [r for r in rows if len(r[1])]
     held = [r for k, r in enumerate(rows) if k % 5 == 0]
     rest = [r for k, r in enumerate(rows) if k % 5]
-    if not all({0, 1} <= {y for y, _ in part} for part in (held, rest)):
+    if not all({0, 1} <= {r[0] for r in part} for part in (held, rest)):
         return None
 
     def matrix(part):
-        """Distinct buckets of each text with their shares, as one long row."""
-        ids, share, sizes = [], [], []
-        for _, f in part:
-            u, c = np.unique(f, return_counts=True)
-            ids.append(u), share.append((c / c.sum()).astype(np.float32)), sizes.append(len(u))
-        return np.concatenate(ids), np.concatenate(share), np.array(sizes)
+        """The buckets of all texts with their shares, as one long row."""
+        return (np.concatenate([r[1] for r in part]),
+                np.concatenate([(r[2] / r[2].sum()).astype(np.float32) for r in part]),
+                np.array([len(r[1]) for r in part]))
 
     ids, share, sizes = matrix(rest)
     y = np.array([r[0] for r in rest])
