@@ -49,44 +49,44 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     size = 1 << (n - 2).bit_length() if n > 2 else 1
     ends = list(range(1, n + 1))    # of the live part that starts here
     before = list(range(-1, n - 1))  # start of the live part to the left
+    rank_of = ranks.get
     tree = [NO_RANK] * (2 * size)
     for i in range(n - 1):
-        r = ranks.get(piece[i:i + 2])
+        r = rank_of(piece[i:i + 2])
         if r is not None:
             tree[size + i] = r << SHIFT | i
     for k in range(size - 1, 0, -1):
         a, b = tree[2 * k], tree[2 * k + 1]
         tree[k] = a if a < b else b
 
-    def put(i: int, value: int) -> None:
-        k = size + i
-        tree[k] = value
-        while k > 1:
-            other = tree[k ^ 1]
-            low = value if value < other else other
-            k >>= 1
-            if tree[k] == low:
-                return
-            tree[k] = value = low
-
-    def pair(i: int) -> int:
-        j = ends[i]
-        if j >= n:
-            return NO_RANK
-        r = ranks.get(piece[i:ends[j]])
-        return NO_RANK if r is None else r << SHIFT | i
-
+    low = (1 << SHIFT) - 1
     while tree[1] != NO_RANK:
-        i = tree[1] & ((1 << SHIFT) - 1)
+        i = tree[1] & low
         j = ends[i]
-        ends[i] = ends[j]
-        if ends[i] < n:
-            before[ends[i]] = i
-        if j < n - 1:
-            put(j, NO_RANK)
-        put(i, pair(i))
-        if before[i] >= 0:
-            put(before[i], pair(before[i]))
+        end = ends[i] = ends[j]
+        left = before[i]
+        changed = [(j, NO_RANK)] if j < n - 1 else []
+        if end < n:
+            before[end] = i
+            r = rank_of(piece[i:ends[end]])
+            changed.append((i, NO_RANK if r is None else r << SHIFT | i))
+        else:
+            changed.append((i, NO_RANK))
+        if left >= 0:
+            r = rank_of(piece[left:end])
+            changed.append((left, NO_RANK if r is None else r << SHIFT | left))
+        for k, value in changed:
+            k += size
+            tree[k] = value
+            k >>= 1
+            while k:
+                value, other = tree[2 * k], tree[2 * k + 1]
+                if other < value:
+                    value = other
+                if tree[k] == value:
+                    break
+                tree[k] = value
+                k >>= 1
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i:ends[i]]])
@@ -102,7 +102,8 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         self.bytes = {i: b for b, i in ranks.items()}
-        self.known: dict[str, tuple[int, ...]] = {}
+        #: ids of a piece, the ids as text, and the bytes they decode to
+        self.known: dict[str, tuple[tuple[int, ...], str, bytes]] = {}
 
     @classmethod
     def of(cls, raw: bytes, pattern: str) -> "Codec":
@@ -111,19 +112,22 @@ class Codec:
             cls._made[key] = cls(read_ranks(raw), pattern)
         return cls._made[key]
 
+    def piece(self, piece: str) -> tuple[tuple[int, ...], str, bytes]:
+        got = self.known.get(piece)
+        if got is None:
+            ids = tuple(merge(piece.encode(), self.ranks))
+            got = ids, ",".join(map(str, ids)), self.decode(ids)
+            if len(piece) <= CACHED_LENGTH:
+                if len(self.known) >= CACHED_PIECES:
+                    self.known.clear()
+                self.known[piece] = got
+        return got
+
+    def pieces(self, text: str) -> list[tuple[tuple[int, ...], str, bytes]]:
+        return list(map(self.piece, self.find(text)))
+
     def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        known, ranks = self.known, self.ranks
-        for piece in self.find(text):
-            got = known.get(piece)
-            if got is None:
-                got = tuple(merge(piece.encode(), ranks))
-                if len(piece) <= CACHED_LENGTH:
-                    if len(known) >= CACHED_PIECES:
-                        known.clear()
-                    known[piece] = got
-            ids.extend(got)
-        return ids
+        return [i for ids, _, _ in self.pieces(text) for i in ids]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
@@ -162,7 +166,7 @@ def digests(df: DataFrame, path: str, pattern: str, text_col: str = "text") -> D
     """``df`` with n_tokens, ids_sha256 and decoded_sha256 of each whole text.
 
     Encodes and decodes in one Python stage, so the ids of a batch never leave
-    the worker; use ``encode`` and ``decode`` for the ids and bytes themselves.
+    the worker, and ids are decoded piece by piece; use ``encode`` and ``decode`` for the ids and bytes themselves.
     """
     raw = _vocabulary(path)
 
@@ -171,10 +175,10 @@ def digests(df: DataFrame, path: str, pattern: str, text_col: str = "text") -> D
         codec = Codec.of(raw, pattern)
         counts, listed, decoded = [], [], []
         for x in texts(t):
-            ids = codec.encode(x)
-            counts.append(len(ids))
-            listed.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
-            decoded.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+            got = codec.pieces(x)
+            counts.append(sum([len(ids) for ids, _, _ in got]))
+            listed.append(hashlib.sha256(",".join([t for _, t, _ in got]).encode()).hexdigest())
+            decoded.append(hashlib.sha256(b"".join([b for _, _, b in got])).hexdigest())
         return pa.StructArray.from_arrays(
             [pa.array(counts, pa.int64()), pa.array(listed, pa.string()), pa.array(decoded, pa.string())],
             ["n_tokens", "ids_sha256", "decoded_sha256"])
