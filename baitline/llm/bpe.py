@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding (operator 6).
 
 Each match of the pre-tokenising pattern is merged on its own. A segment tree
-over the byte positions of the piece holds in every node the smallest
-(rank, position) of the pairs that start below it, so the root is the leftmost
-pair of the lowest rank. A merge drops the right part and changes the pairs of
+over the byte positions of the piece, 16 children to a node, holds in every node
+the smallest (rank, position) of the pairs that start below it, so the root is
+the leftmost pair of the lowest rank. A merge drops the right part and changes the pairs of
 two live neighbours and its own: three point updates of logarithmic cost, so a
 piece of n bytes takes O(n log n) even when it is one very long run.
 
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import texts
 
 NO_RANK = 1 << 62
-#: A tree entry is ``rank << SHIFT | position``.
-SHIFT = 32
+#: Children of a tree node.
+WIDTH = 16
 #: Pieces of at most CACHED_LENGTH characters are kept, CACHED_PIECES of them.
 CACHED_LENGTH, CACHED_PIECES = 64, 400_000
 
@@ -46,47 +46,41 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     n = len(piece)
     if n < 2:
         return [ranks[piece]] if n else []  # a byte without a rank is a KeyError
-    size = 1 << (n - 2).bit_length() if n > 2 else 1
+    shift = n.bit_length()  # an entry is rank << shift | position, the least one the leftmost pair of the lowest rank
+    low = (1 << shift) - 1
     ends = list(range(1, n + 1))    # of the live part that starts here
     before = list(range(-1, n - 1))  # start of the live part to the left
     rank_of = ranks.get
-    tree = [NO_RANK] * (2 * size)
-    for i in range(n - 1):
-        r = rank_of(piece[i:i + 2])
-        if r is not None:
-            tree[size + i] = r << SHIFT | i
-    for k in range(size - 1, 0, -1):
-        a, b = tree[2 * k], tree[2 * k + 1]
-        tree[k] = a if a < b else b
-
-    low = (1 << SHIFT) - 1
-    while tree[1] != NO_RANK:
-        i = tree[1] & low
+    leaves = [NO_RANK if (r := rank_of(piece[i:i + 2])) is None else r << shift | i for i in range(n - 1)]
+    tree = [leaves]
+    while len(tree[-1]) > WIDTH:
+        below = tree[-1]
+        tree.append([min(below[k:k + WIDTH]) for k in range(0, len(below), WIDTH)])
+    inner, top = list(zip(tree, tree[1:])), tree[-1]
+
+    while (best := min(top)) != NO_RANK:
+        i = best & low
         j = ends[i]
         end = ends[i] = ends[j]
         left = before[i]
-        changed = [(j, NO_RANK)] if j < n - 1 else []
+        r = None
         if end < n:
             before[end] = i
             r = rank_of(piece[i:ends[end]])
-            changed.append((i, NO_RANK if r is None else r << SHIFT | i))
-        else:
-            changed.append((i, NO_RANK))
+        leaves[i] = NO_RANK if r is None else r << shift | i
+        if j < n - 1:
+            leaves[j] = NO_RANK
         if left >= 0:
             r = rank_of(piece[left:end])
-            changed.append((left, NO_RANK if r is None else r << SHIFT | left))
-        for k, value in changed:
-            k += size
-            tree[k] = value
-            k >>= 1
-            while k:
-                value, other = tree[2 * k], tree[2 * k + 1]
-                if other < value:
-                    value = other
-                if tree[k] == value:
-                    break
-                tree[k] = value
-                k >>= 1
+            leaves[left] = NO_RANK if r is None else r << shift | left
+        if inner:
+            for k in (min(j, n - 2), i, max(left, 0)):
+                for level, above in inner:
+                    k //= WIDTH
+                    value = min(level[k * WIDTH:(k + 1) * WIDTH])
+                    if above[k] == value:
+                        break
+                    above[k] = value
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i:ends[i]]])
@@ -94,6 +88,23 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Pieces(dict):
+    """Piece -> its ids, the ids as text and the bytes they decode to; made on demand, bounded."""
+
+    def __init__(self, codec: "Codec"):
+        super().__init__()
+        self.codec = codec
+
+    def __missing__(self, piece: str) -> tuple[tuple[int, ...], str, bytes]:
+        ids = tuple(merge(piece.encode(), self.codec.ranks))
+        got = ids, ",".join(map(str, ids)), self.codec.decode(ids)
+        if len(piece) <= CACHED_LENGTH:
+            if len(self) >= CACHED_PIECES:
+                self.clear()
+            self[piece] = got
+        return got
+
+
 class Codec:
     """Encoder and decoder of one vocabulary; one per Python worker."""
 
@@ -102,8 +113,7 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         self.bytes = {i: b for b, i in ranks.items()}
-        #: ids of a piece, the ids as text, and the bytes they decode to
-        self.known: dict[str, tuple[tuple[int, ...], str, bytes]] = {}
+        self.known = Pieces(self)
 
     @classmethod
     def of(cls, raw: bytes, pattern: str) -> "Codec":
@@ -112,19 +122,8 @@ class Codec:
             cls._made[key] = cls(read_ranks(raw), pattern)
         return cls._made[key]
 
-    def piece(self, piece: str) -> tuple[tuple[int, ...], str, bytes]:
-        got = self.known.get(piece)
-        if got is None:
-            ids = tuple(merge(piece.encode(), self.ranks))
-            got = ids, ",".join(map(str, ids)), self.decode(ids)
-            if len(piece) <= CACHED_LENGTH:
-                if len(self.known) >= CACHED_PIECES:
-                    self.known.clear()
-                self.known[piece] = got
-        return got
-
     def pieces(self, text: str) -> list[tuple[tuple[int, ...], str, bytes]]:
-        return list(map(self.piece, self.find(text)))
+        return list(map(self.known.__getitem__, self.find(text)))
 
     def encode(self, text: str) -> list[int]:
         return [i for ids, _, _ in self.pieces(text) for i in ids]
