@@ -201,6 +201,7 @@ NOTE_CONFIDENCE = ("Model fallback used; review the local risk evidence and offi
 REASON_OFFLINE = "Offline demo mode is enabled."
 REASON_NO_RESPONSE = "No model response is available for this message."
 REASON_ROUTING = "Model routing failed. "
+OVERLAY_FAILED = "Browser model call failed. Deterministic fallback explanation attached."
 PRIORITIES = ["monitor", "caution", "urgent", "lockdown"]
 MODEL_ROUTES = [
     "google/gemma-4-31b-it",

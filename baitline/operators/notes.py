@@ -2,33 +2,58 @@
 
 ``note_inputs`` reduces the attempts of each message to one row: the first
 answer that parses to a JSON object (models in route order, a second try only
-after a 429 on the first), or the first three failures. The per-message group
-holds at most two attempts per route, so the collected array is bounded by the
-route count, not by the data. ``investigate(messages, notes=...)`` joins these
-rows to the raw messages *before* the narrow report stage (left join on
-``msg_id``; AQE broadcasts the notes side when it is small), and builds the
-live note or the deterministic fallback from them.
+after a 429 on the first), or the first three failures. Attempts are reduced
+to one row per route by a partial aggregate, so a call recorded many times
+collapses before the shuffle; only the winner's text reaches the result and is
+parsed. ``investigate(messages, notes=...)`` joins these rows to the raw
+messages *before* the narrow report stage (left join on ``msg_id``), and
+builds the live note or the deterministic fallback from them.
+
+Answers are read as VARIANT, so a string that looks like a list or an object
+stays a string. A JSON null counts as an absent field; an object with the same
+key twice is invalid.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import plan as P
 from ..functions.redact import strip_ws
 
-NOTE_MAP = "map<string,string>"
+#: Follows the text inside a list, so that text after the first JSON value is seen as an error.
+END_MARK = "end of answer"
 
 
-def json_candidate(text: Column) -> Column:
-    """The text itself when it is one object, else first '{' to last '}'."""
-    t = strip_ws(text)
+def parse_whole(text: Column) -> Column:
+    """VARIANT of a text that is one JSON value and nothing else; else null."""
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f', "{END_MARK}"]')))
+    return F.when(F.try_variant_get(listed, "$[1]", "string") == END_MARK,
+                  F.try_variant_get(listed, "$[0]", "variant"))
+
+
+def is_object(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
+
+
+def is_string(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value) == "STRING", F.lit(False))
+
+
+def parse_object(text: Column) -> Column:
+    """The whole text as JSON, only if that fails first '{' to last '}'; null unless an object."""
     first = F.instr(text, "{")
     last = F.length(text) - F.instr(F.reverse(text), "}") + 1
     inner = F.when((first > 0) & (F.instr(text, "}") > 0) & (last > first),
                    F.substring(text, first, last - first + 1))
-    return F.when(t.startswith("{") & t.endswith("}"), t).otherwise(inner)
+    value = F.coalesce(parse_whole(text), parse_whole(inner))
+    return F.when(is_object(value), value)
+
+
+def field(value: Column, key: str, kind: str = "string") -> Column:
+    """One field of a parsed object; null when absent, or when ``kind`` does not fit."""
+    return F.try_variant_get(value, f"$.{key}", kind)
 
 
 def strip_fence(text: Column) -> Column:
@@ -37,82 +62,76 @@ def strip_fence(text: Column) -> Column:
     return strip_ws(F.regexp_replace(F.regexp_replace(t, r"(?i)^```(?:json)?", ""), "```$", ""))
 
 
-def parse_object(text: Column) -> Column:
-    """Tolerant JSON object parse to ``map<string,string>`` (nested values stay JSON text)."""
-    return F.from_json(json_candidate(text), NOTE_MAP)
-
-
 def string_list(raw: Column, limit: int = 3) -> Column:
     """P10: a JSON list -> trimmed non-blank items (first ``limit``); a string -> one item."""
-    arr = F.from_json(raw, "array<string>")
-    from_list = F.slice(F.filter(F.transform(arr, strip_ws), lambda x: x != ""), 1, limit)
-    single = F.when(F.coalesce(strip_ws(raw), F.lit("")) != "", F.array(strip_ws(raw)))
-    return F.coalesce(F.when(arr.isNotNull(), from_list), single, F.array().cast("array<string>"))
+    arr = F.try_variant_get(raw, "$", "array<variant>")
+    items = F.transform(arr, lambda x: strip_ws(F.try_variant_get(x, "$", "string")))
+    from_list = F.slice(F.filter(items, lambda x: x != ""), 1, limit)
+    text = strip_ws(F.try_variant_get(raw, "$", "string"))
+    single = F.when(is_string(raw) & (text != ""), F.array(text))
+    return F.coalesce(from_list, single, F.array().cast("array<string>"))
 
 
 def normalize_evidence(raw: Column, verdict: Column) -> Column:
     """First five items; objects keep signal/why/severity, scalars become signals."""
     sev_default = F.lower(verdict)
-    items = F.slice(F.coalesce(F.from_json(raw, "array<string>"), F.array().cast("array<string>")), 1, 5)
+    items = F.slice(F.try_variant_get(raw, "$", "array<variant>"), 1, 5)
 
     def norm(x: Column) -> Column:
-        is_obj = strip_ws(x).startswith("{")
-        signal = F.when(is_obj, strip_ws(F.coalesce(F.get_json_object(x, "$.signal"), F.lit(""))))\
-            .otherwise(strip_ws(x))
-        why = F.when(is_obj, strip_ws(F.coalesce(F.get_json_object(x, "$.why_it_matters"), F.lit(""))))\
+        is_obj = is_object(x)
+        signal = F.when(is_obj, strip_ws(F.coalesce(field(x, "signal"), F.lit(""))))\
+            .otherwise(strip_ws(F.try_variant_get(x, "$", "string")))
+        why = F.when(is_obj, strip_ws(F.coalesce(field(x, "why_it_matters"), F.lit(""))))\
             .otherwise(F.lit(C.NOTE_WHY_DEFAULT))
-        sev = F.when(is_obj, F.lower(strip_ws(F.coalesce(F.get_json_object(x, "$.severity"), sev_default))))\
+        sev = F.when(is_obj, F.lower(strip_ws(F.coalesce(field(x, "severity"), sev_default))))\
             .otherwise(sev_default)
         return F.struct(signal.alias("signal"),
                         F.when(why == "", F.lit(C.NOTE_WHY_DEFAULT)).otherwise(why).alias("why_it_matters"),
                         F.when(sev.isin("low", "medium", "high"), sev).otherwise(sev_default).alias("severity"))
-    return F.filter(F.transform(items, norm), lambda e: e["signal"] != "")
+    kept = F.filter(F.transform(items, norm), lambda e: e["signal"] != "")
+    return F.coalesce(kept, F.array().cast("array<struct<signal:string,why_it_matters:string,severity:string>>"))
 
 
 def note_inputs(attempts: DataFrame) -> DataFrame:
-    """One row per message: winning answer (parsed) or the failure reason."""
-    parsed = F.from_json(json_candidate(F.coalesce(F.col("content"), F.lit("{}"))), NOTE_MAP)
-    rows = attempts.select(
-        "msg_id",
-        F.struct(
-            F.col("model_rank").alias("rank"), F.col("attempt").alias("attempt"),
-            F.col("model").alias("model"), F.col("http_code").alias("code"),
-            (F.col("http_code").eqNullSafe(200) & parsed.isNotNull()).alias("ok"),
-            parsed.alias("obj"), F.col("request_id").alias("request_id"),
-            # a call that never got an answer (timeout, connection error) has no code
-            F.when(F.col("http_code").isNull(), F.concat(
-                F.col("model"), F.lit(" -> "), F.substring(F.coalesce(F.col("error"), F.lit("no answer")), 1, 240)))
-            .when(F.col("http_code") != 200, F.concat(
-                F.col("model"), F.lit(" -> "), F.col("http_code").cast("string"), F.lit(": "),
-                F.substring(F.coalesce(F.col("error"), F.lit("")), 1, 240)))
-            .otherwise(F.concat(F.col("model"), F.lit(" -> invalid JSON object"))).alias("failure"),
-        ).alias("a"))
-    def by_route(l: Column, r: Column) -> Column:
-        return (F.when(l["rank"] < r["rank"], -1).when(l["rank"] > r["rank"], 1)
-                .when(l["attempt"] < r["attempt"], -1).when(l["attempt"] > r["attempt"], 1)
-                .otherwise(0))
-    grouped = rows.groupBy("msg_id").agg(F.array_sort(F.collect_list("a"), by_route).alias("tries"))
-
-    def retried(arr: Column, x: Column) -> Column:
-        return F.exists(arr, lambda y: (y["rank"] == x["rank"]) & (y["attempt"] == 0) & y["code"].eqNullSafe(429))
-
-    def has_retry(arr: Column, x: Column) -> Column:
-        return F.exists(arr, lambda y: (y["rank"] == x["rank"]) & (y["attempt"] == 1))
-
-    tries = F.col("tries")
-    reachable = F.filter(tries, lambda x: (x["attempt"] == 0) | retried(tries, x))
-    winner = F.get(F.filter(reachable, lambda x: x["ok"]), 0)
-    final_failures = F.filter(reachable, lambda x: ~x["ok"] & ~(
-        (x["attempt"] == 0) & x["code"].eqNullSafe(429) & has_retry(tries, x)))
-    before_winner = F.filter(final_failures, lambda x: winner.isNull() | (x["rank"] < winner["rank"]))
-    return grouped.select(
+    """One row per message: winning answer (parsed) or the failure reason.
+
+    ``response_model`` (the answer's own model id) and ``usage`` are optional
+    columns. Of attempts recorded twice the usable one counts, then the smallest.
+    """
+    c = F.col
+
+    def optional(name: str) -> Column:
+        return c(name) if name in attempts.columns else F.lit(None).cast("string")
+    ok = c("http_code").eqNullSafe(200) & parse_object(F.coalesce(c("content"), F.lit("{}"))).isNotNull()
+    detail = F.substring(F.coalesce(c("error"), F.lit("")), 1, 240)
+    # a call that never got an answer (timeout, connection error) has no code
+    failure = F.when(c("http_code").isNull(), F.substring(F.coalesce(c("error"), F.lit("no answer")), 1, 240)).when(
+        c("http_code") != 200, F.concat(c("http_code").cast("string"), F.lit(": "), detail)).otherwise(
+        F.lit("invalid JSON object"))
+    call = F.struct(
+        (~ok).alias("failed"), c("http_code").eqNullSafe(429).alias("busy"),
+        F.concat(c("model"), F.lit(" -> "), failure).alias("failure"),
+        F.coalesce(optional("response_model"), c("model")).alias("model"),
+        c("content").alias("content"), c("request_id").alias("request_id"), optional("usage").alias("usage"))
+    routes = (attempts.select("msg_id", c("model_rank").alias("rank"), "attempt", call.alias("call"))
+              .groupBy("msg_id", "rank")
+              .agg(F.min(F.when(c("attempt") == 0, c("call"))).alias("first"),
+                   F.min(F.when(c("attempt") == 1, c("call"))).alias("second"))
+              .where(c("first").isNotNull())
+              .select("msg_id", "rank",
+                      F.when(c("first.busy") & c("second").isNotNull(), c("second")).otherwise(c("first")).alias("a"),
+                      F.row_number().over(Window.partitionBy("msg_id").orderBy("rank")).alias("k")))
+    # without a winner every route failed, so the first three routes are the first three failures
+    reduced = routes.groupBy("msg_id").agg(
+        F.min_by(F.when(~c("a.failed"), c("a")), F.when(~c("a.failed"), c("rank"))).alias("won"),
+        *[F.max(F.when(c("k") == k, c("a.failure"))).alias(f"failure_{k}") for k in (1, 2, 3)])
+    return reduced.select(
         "msg_id",
-        winner["obj"].alias("note_obj"),
-        winner["model"].alias("note_model"),
-        winner["request_id"].alias("note_request_id"),
-        F.concat(F.lit(C.REASON_ROUTING), F.array_join(F.slice(
-            F.transform(before_winner, lambda x: x["failure"]), 1, 3), " | ")).alias("note_failure"),
-    )
+        F.when(c("won").isNotNull(), parse_object(F.coalesce(c("won.content"), F.lit("{}")))).alias("note_obj"),
+        c("won.model").alias("note_model"), c("won.request_id").alias("note_request_id"),
+        c("won.usage").alias("note_usage"),
+        F.when(c("won").isNull(), F.concat(F.lit(C.REASON_ROUTING), F.concat_ws(
+            " | ", "failure_1", "failure_2", "failure_3"))).alias("note_failure"))
 
 
 def live_or_offline(offline: Column, verdict: Column, situation: Column,
@@ -122,7 +141,7 @@ def live_or_offline(offline: Column, verdict: Column, situation: Column,
     obj = F.col("note_obj")
 
     def text(key: str) -> Column:
-        return strip_ws(F.coalesce(obj[key], F.lit("")))
+        return strip_ws(F.coalesce(field(obj, key), F.lit("")))
     live = F.struct(
         F.lit("model_route").alias("provider"),
         F.col("note_model").alias("model"),
@@ -130,14 +149,14 @@ def live_or_offline(offline: Column, verdict: Column, situation: Column,
         F.lit("live").alias("status"),
         F.lit(None).cast("string").alias("fallback_reason"),
         F.col("note_request_id").alias("request_id"),
-        F.lit(None).cast("string").alias("usage"),
+        F.col("note_usage").alias("usage"),
         text("executive_summary").alias("executive_summary"),
         text("user_explanation").alias("user_explanation"),
-        strip_ws(F.coalesce(obj["recommended_priority"], P.priority(verdict, situation))
+        strip_ws(F.coalesce(field(obj, "recommended_priority"), P.priority(verdict, situation))
                  ).alias("recommended_priority"),
-        normalize_evidence(obj["evidence"], verdict).alias("evidence"),
-        string_list(obj["questions"]).alias("questions"),
-        string_list(obj["next_actions"]).alias("next_actions"),
+        normalize_evidence(field(obj, "evidence", "variant"), verdict).alias("evidence"),
+        string_list(field(obj, "questions", "variant")).alias("questions"),
+        string_list(field(obj, "next_actions", "variant")).alias("next_actions"),
         text("confidence_note").alias("confidence_note"),
     )
     forced = F.coalesce(demo_offline, F.lit(False))
@@ -172,17 +191,19 @@ def model_routes(primary: Column) -> Column:
 # --- browser overlay (P8, P15) ---------------------------------------------------------
 
 def browser_answers(attempts: DataFrame) -> DataFrame:
-    """The first answered call per message (route order): ``msg_id, b_model, b_content``."""
-    answered = attempts.filter(F.col("http_code") == 200)
-    best = answered.groupBy("msg_id").agg(F.min_by(
-        F.struct("model", "content"), F.struct("model_rank", "attempt")).alias("b"))
-    return best.select("msg_id", F.col("b.model").alias("b_model"), F.col("b.content").alias("b_content"))
+    """Per message with a call: the first answered one in route order, ``msg_id, b_model, b_content``
+    (null when every call failed)."""
+    answered = F.col("http_code").eqNullSafe(200)
+    best = attempts.groupBy("msg_id").agg(F.min_by(
+        F.when(answered, F.struct("model", "content")),
+        F.when(answered, F.struct("model_rank", "attempt"))).alias("b"))
+    return best.select("msg_id", F.col("b.model").alias("b_model"), F.col("b.content").alias("b_content"),
+                       F.lit(True).alias("b_called"))
 
 
 def browser_parse(content: Column) -> Column:
-    """Fence stripped, then the whole text or first '{' to last '}'; else ``{}``."""
-    empty = F.create_map().cast(NOTE_MAP)
-    return F.coalesce(F.from_json(json_candidate(strip_fence(content)), NOTE_MAP), empty)
+    """Fence stripped, then the whole text or first '{' to last '}'; null counts as ``{}``."""
+    return parse_object(strip_fence(content))
 
 
 def overlay_columns(df: DataFrame) -> DataFrame:
@@ -194,25 +215,37 @@ def overlay_columns(df: DataFrame) -> DataFrame:
 
     def js_or(*vals: Column) -> Column:   # JavaScript `a || b`: '' and null are false
         return F.coalesce(*[F.nullif(v, F.lit("")) for v in vals])
-    arr = {k: F.from_json(obj[k], "array<string>") for k in ["evidence", "next_actions", "questions"]}
+    def texts(key: str, limit: int) -> Column:   # null unless a JSON list
+        return F.transform(F.slice(field(obj, key, "array<variant>"), 1, limit),
+                           lambda x: F.try_variant_get(x, "$", "string"))
+
+    def as_evidence(x: Column) -> Column:   # objects keep their fields, scalars become signals
+        return F.struct(F.when(is_object(x), field(x, "signal")).otherwise(F.try_variant_get(x, "$", "string"))
+                        .alias("signal"), field(x, "why_it_matters").alias("why_it_matters"),
+                        field(x, "severity").alias("severity"))
     note = c("lite_note")
-    summary = js_or(obj["executive_summary"], note["executive_summary"])
-    evidence = F.coalesce(F.slice(arr["evidence"], 1, 4), F.transform(note["evidence"], lambda e: e["signal"]))
-    actions = F.when(F.size(arr["next_actions"]) > 0, F.slice(arr["next_actions"], 1, 5)).otherwise(c("lite_steps"))
-    questions = F.coalesce(F.slice(arr["questions"], 1, 3), note["questions"])
+    summary = js_or(field(obj, "executive_summary"), note["executive_summary"])
+    local_evidence = F.transform(note["evidence"], lambda e: F.struct(
+        e["signal"].alias("signal"), e["why_it_matters"].alias("why_it_matters"), e["severity"].alias("severity")))
+    evidence = F.coalesce(F.transform(F.slice(field(obj, "evidence", "array<variant>"), 1, 4), as_evidence),
+                          local_evidence)
+    answered_actions = texts("next_actions", 5)
+    actions = F.when(F.size(answered_actions) > 0, answered_actions).otherwise(c("lite_steps"))
+    questions = F.coalesce(texts("questions", 3), note["questions"])
     packet = F.concat_ws("\n", F.replace(c("lite_packet"), F.lit("Analyst route: Browser Demo Fallback"),
                                          F.concat(F.lit("Analyst route: Browser Model ("), c("b_model"), F.lit(")"))),
                          F.lit(""), F.lit("Model summary:"), summary)
     return df.withColumns({
         "overlay_provider": F.when(has, F.lit("browser_model_route")).otherwise(note["provider"]),
         "overlay_model": F.when(has, c("b_model")).otherwise(note["model"]),
-        "overlay_priority": F.when(has, js_or(obj["recommended_priority"], note["recommended_priority"],
+        "overlay_priority": F.when(has, js_or(field(obj, "recommended_priority"), note["recommended_priority"],
                                               F.lit("review"))).otherwise(note["recommended_priority"]),
         "overlay_summary": F.when(has, summary).otherwise(note["executive_summary"]),
-        "overlay_evidence": F.when(has, evidence).otherwise(F.transform(note["evidence"], lambda e: e["signal"])),
+        "overlay_evidence": F.when(has, evidence).otherwise(local_evidence),
         "overlay_actions": F.when(has, actions).otherwise(c("lite_steps")),
         "overlay_questions": F.when(has, questions).otherwise(note["questions"]),
         "overlay_packet": F.when(has, packet).otherwise(c("lite_packet")),
         "overlay_step": F.when(has, F.concat(F.lit("Model enrichment completed via browser route ("),
-                                             c("b_model"), F.lit(")."))).otherwise(
+                                             c("b_model"), F.lit(")."))).when(
+            c("b_called"), F.lit(C.OVERLAY_FAILED)).otherwise(
             F.lit("Backend unavailable; browser demo fallback explanation attached."))})

@@ -107,4 +107,4 @@ def _attach_live_notes(df: DataFrame) -> DataFrame:
     note = live_or_offline(F.col("ai_analysis"), F.col("verdict"), F.col("situation"),
                            F.col("demo_offline"))
     return (df.withColumn("ai_analysis", note)
-            .drop("note_obj", "note_model", "note_request_id", "note_failure"))
+            .drop("note_obj", "note_model", "note_request_id", "note_usage", "note_failure"))

@@ -464,13 +464,13 @@ SELECT msg_id, user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM msgs"""
 
 
 def _notes(out: dict, base: str) -> None:
-    from ..sources.responses import attempt_columns, steps_values_sql
+    from ..sources.responses import N_SCENARIOS, attempt_columns, steps_values_sql
     cols = ", ".join(f"{expr} AS {name}" for name, expr in attempt_columns())
     c = "coalesce(content, '{}')"
     t = strip_sql(c)
     first = f"instr({c}, '{{')"
     last = f"(length({c}) - instr(reverse({c}), '}}') + 1)"
-    cand = (f"CASE WHEN starts_with({t}, '{{') AND ends_with({t}, '}}') THEN {t} "
+    cand = (f"CASE WHEN json_valid({t}) THEN {t} "
             f"WHEN {first} > 0 AND instr({c}, '}}') > 0 AND {last} > {first} "
             f"THEN substring({c}, {first}, {last} - {first} + 1) END")
     sev = "lower(verdict)"
@@ -492,16 +492,17 @@ def _notes(out: dict, base: str) -> None:
                  f"lambda x: x <> '')[1:3]")
         single = s(f"json_extract_string(cand, '$.{key}')")
         return (f"CASE WHEN json_type({arr}) = 'ARRAY' THEN {items} "
-                f"WHEN json_type({arr}) IS NOT NULL AND json_type({arr}) <> 'NULL' AND {single} <> '' THEN [{single}] "
+                f"WHEN json_type({arr}) = 'VARCHAR' AND {single} <> '' THEN [{single}] "
                 f"ELSE []::VARCHAR[] END")
     out["analyst_notes_live"] = f"""{base},
-att AS (SELECT {cols} FROM acc JOIN {steps_values_sql()} ON s.scenario = acc.msg_id % 8),
+att AS (SELECT {cols} FROM acc JOIN {steps_values_sql()} ON s.scenario = acc.msg_id % {N_SCENARIOS}),
 at1 AS (
   SELECT *, {cand} AS cand FROM att
 ),
 at2 AS (
-  SELECT *, (http_code = 200 AND cand IS NOT NULL AND json_valid(cand) AND json_type(cand) = 'OBJECT') AS ok,
-    CASE WHEN http_code <> 200 THEN model || ' -> ' || CAST(http_code AS VARCHAR) || ': ' || substring(coalesce(error, ''), 1, 240)
+  SELECT *, CASE WHEN http_code = 200 AND json_valid(cand) THEN json_type(cand) = 'OBJECT' ELSE false END AS ok,
+    CASE WHEN http_code IS NULL THEN model || ' -> ' || substring(coalesce(error, 'no answer'), 1, 240)
+         WHEN http_code <> 200 THEN model || ' -> ' || CAST(http_code AS VARCHAR) || ': ' || substring(coalesce(error, ''), 1, 240)
          ELSE model || ' -> invalid JSON object' END AS failure
   FROM at1
 ),
@@ -512,7 +513,7 @@ at3 AS (
   FROM at2 a
 ),
 win AS (
-  SELECT msg_id, model_rank AS w_rank, model AS w_model, request_id AS w_req, cand
+  SELECT msg_id, model_rank AS w_rank, coalesce(response_model, model) AS w_model, request_id AS w_req, usage AS w_usage, cand
   FROM at3 WHERE reachable AND ok
   QUALIFY row_number() OVER (PARTITION BY msg_id ORDER BY model_rank, attempt) = 1
 ),
@@ -521,13 +522,13 @@ fails AS (
       FILTER (WHERE a.k <= 3), '') AS reason
   FROM (SELECT a.*, row_number() OVER (PARTITION BY a.msg_id ORDER BY a.model_rank, a.attempt) AS k
         FROM at3 a LEFT JOIN win w USING (msg_id)
-        WHERE a.reachable AND NOT a.ok AND NOT (a.attempt = 0 AND a.http_code = 429 AND a.has_retry)
+        WHERE a.reachable AND NOT a.ok AND NOT (a.attempt = 0 AND coalesce(a.http_code = 429, false) AND a.has_retry)
           AND (w.w_rank IS NULL OR a.model_rank < w.w_rank)) a
   GROUP BY a.msg_id
 ),
 has_att AS (SELECT DISTINCT msg_id FROM att),
 nt AS (
-  SELECT r.*, w.w_model, w.w_req, w.cand, f.reason,
+  SELECT r.*, w.w_model, w.w_req, w.w_usage, w.cand, f.reason,
     (w.cand IS NOT NULL AND NOT coalesce(r.demo_offline, false)) AS live
   FROM rep r LEFT JOIN win w USING (msg_id) LEFT JOIN fails f USING (msg_id)
 ),
@@ -544,7 +545,7 @@ SELECT msg_id,
   CASE WHEN live THEN 'live' ELSE 'fallback' END AS status,
   CASE WHEN live THEN NULL WHEN coalesce(demo_offline, false) THEN {q(C.REASON_OFFLINE)}
        WHEN reason IS NOT NULL THEN reason ELSE {q(C.REASON_NO_RESPONSE)} END AS fallback_reason,
-  CASE WHEN live THEN w_req END AS request_id,
+  CASE WHEN live THEN w_req END AS request_id, CASE WHEN live THEN w_usage END AS usage,
   CASE WHEN live THEN {s("coalesce(json_extract_string(cand, '$.executive_summary'), '')")}
        ELSE 'Classified this as ' || verdict || ' risk (' || CAST(risk_score AS VARCHAR) || '/100) using local rules.' END AS executive_summary,
   CASE WHEN live THEN {s(f"coalesce(json_extract_string(cand, '$.recommended_priority'), {_priority('verdict', 'situation')})")}
@@ -663,14 +664,14 @@ FROM pk"""
 
 
 def _overlay(out: dict, base: str) -> None:
-    from ..sources.responses import attempt_columns, steps_values_sql
+    from ..sources.responses import N_SCENARIOS, attempt_columns, steps_values_sql
     lite, packet = _lite_sql()
     cols = ", ".join(f"{expr} AS {name}" for name, expr in attempt_columns())
     t = strip_sql("b_content")
     t2 = strip_sql(f"regexp_replace(regexp_replace({t}, '(?i)^```(?:json)?', ''), '```$', '')")
     first = f"instr(t2, '{{')"
     last = f"(length(t2) - instr(reverse(t2), '}}') + 1)"
-    cand = (f"CASE WHEN starts_with(t2, '{{') AND ends_with(t2, '}}') THEN t2 "
+    cand = (f"CASE WHEN json_valid(t2) THEN t2 "
             f"WHEN {first} > 0 AND instr(t2, '}}') > 0 AND {last} > {first} "
             f"THEN substring(t2, {first}, {last} - {first} + 1) END")
 
@@ -678,8 +679,10 @@ def _overlay(out: dict, base: str) -> None:
         return f"json_extract(obj, '$.{key}')"
 
     def items(key, n):
-        return (f"list_transform(json_extract({arr(key)}, '$[*]'), "
-                f"lambda e: json_extract_string(e, '$'))[1:{n}]")
+        text = "json_extract_string(e, '$')"
+        if key == "evidence":
+            text = f"CASE WHEN json_type(e) = 'OBJECT' THEN json_extract_string(e, '$.signal') ELSE {text} END"
+        return f"list_transform(json_extract({arr(key)}, '$[*]'), lambda e: {text})[1:{n}]"
     qs = qlist(C.LITE_NOTE_QUESTIONS)
     out["browser_overlay"] = f"""{base},
 {lite},
@@ -693,18 +696,18 @@ lr AS (
     {packet} AS lite_packet
   FROM lite
 ),
-att AS (SELECT {cols} FROM acc JOIN {steps_values_sql()} ON s.scenario = acc.msg_id % 8),
+att AS (SELECT {cols} FROM acc JOIN {steps_values_sql()} ON s.scenario = acc.msg_id % {N_SCENARIOS}),
 ba AS (
   SELECT msg_id, model AS b_model, content AS b_content FROM att WHERE http_code = 200
   QUALIFY row_number() OVER (PARTITION BY msg_id ORDER BY model_rank, attempt) = 1
 ),
 bp AS (SELECT *, {t2} AS t2 FROM ba),
 bo AS (SELECT msg_id, b_model,
-         CASE WHEN ({cand}) IS NOT NULL AND json_valid({cand}) AND json_type({cand}) = 'OBJECT'
-              THEN ({cand}) ELSE '{{}}' END AS obj
+         CASE WHEN json_valid({cand}) THEN CASE WHEN json_type({cand}) = 'OBJECT' THEN ({cand}) ELSE '{{}}' END
+              ELSE '{{}}' END AS obj
        FROM bp),
 ov AS (
-  SELECT l.*, b.b_model, b.obj,
+  SELECT l.*, b.b_model, b.obj, l.msg_id IN (SELECT msg_id FROM att) AS called,
     coalesce(nullif(json_extract_string(b.obj, '$.executive_summary'), ''), l.note_summary) AS b_summary
   FROM lr l LEFT JOIN bo b USING (msg_id)
 ),
@@ -727,6 +730,7 @@ fin AS (
               'Analyst route: Browser Model (' || b_model || ')') || chr(10) || chr(10) || 'Model summary:' || chr(10) || b_summary
          ELSE lite_packet END AS overlay_packet,
     CASE WHEN b_model IS NOT NULL THEN 'Model enrichment completed via browser route (' || b_model || ').'
+         WHEN called THEN {q(C.OVERLAY_FAILED)}
          ELSE 'Backend unavailable; browser demo fallback explanation attached.' END AS overlay_step
   FROM ov
 )

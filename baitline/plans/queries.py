@@ -321,7 +321,7 @@ def browser_overlay(spark, sf_dir):
     return out.select(
         "msg_id", "overlay_provider", "overlay_model", "overlay_priority", "overlay_summary",
         F.size("overlay_evidence").alias("n_evidence"),
-        F.array_join("overlay_evidence", " | ").alias("evidence"),
+        F.array_join(F.transform("overlay_evidence", lambda e: e["signal"]), " | ").alias("evidence"),
         F.array_join("overlay_actions", " | ").alias("next_actions"),
         F.array_join("overlay_questions", " | ").alias("questions"),
         "overlay_packet", "overlay_step")
@@ -401,7 +401,7 @@ def analyst_notes_live(spark, sf_dir):
     return rep.select(
         "msg_id", a["provider"].alias("provider"), a["model"].alias("model"),
         a["status"].alias("status"), a["fallback_reason"].alias("fallback_reason"),
-        a["request_id"].alias("request_id"),
+        a["request_id"].alias("request_id"), a["usage"].alias("usage"),
         a["executive_summary"].alias("executive_summary"),
         a["recommended_priority"].alias("recommended_priority"),
         F.size(a["evidence"]).alias("n_evidence"),

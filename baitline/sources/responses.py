@@ -1,13 +1,14 @@
 """The ``attempts`` table: recorded analyst-model calls per message (P11/P12 input).
 
 Model calls happen outside Spark; their outcomes arrive as rows
-``(msg_id, model, model_rank, attempt, http_code, error, content, request_id)``.
-For the driver's data the table is derived from the ``messages`` view by
-arithmetic on ``msg_id`` (one scenario per ``msg_id % 8``): clean JSON, 429
+``(msg_id, model, model_rank, attempt, http_code, error, content, request_id,
+response_model, usage)``. For the driver's data the table is derived from the ``messages`` view by
+arithmetic on ``msg_id`` (one scenario per ``msg_id % 16``): clean JSON, 429
 then success, server error then fenced JSON, every route failing, broken JSON,
-a JSON array instead of an object, missing content, oversized lists. Like the
-message view it is written as SQL both Spark and DuckDB run, joined to a fixed
-scenario table (15 rows, broadcast).
+a JSON array instead of an object, missing content, oversized lists, a list
+around an object, data after an object, calls without an answer, strings that
+look like lists or objects. Like the message view it is written as SQL both Spark and DuckDB run, joined to a fixed
+scenario table (29 rows, broadcast).
 """
 from __future__ import annotations
 
@@ -35,8 +36,21 @@ SCENARIO_STEPS = [
     (6, 2, 0, 200, None, "empty"),
     (7, 1, 0, 404, "not found", None),
     (7, 2, 0, 200, None, "many"),
+    (9, 1, 0, 200, None, "listed"),
+    (9, 2, 0, 200, None, "extra"),
+    (9, 3, 0, 200, None, "clean"),
+    (10, 1, 0, None, "timed out", None),
+    (10, 2, 0, None, None, None),
+    (10, 3, 0, 500, "upstream error", None),
+    (11, 1, 0, 200, None, "lookalikes"),
+    (12, 1, 0, 200, None, "extra"),
+    (13, 1, 0, None, "timed out", None),
+    (13, 2, 0, 200, None, "fenced"),
+    (14, 1, 0, 429, "rate limited", None),
+    (14, 2, 0, 200, None, "clean"),
+    (15, 1, 0, 200, None, "listed"),
 ]
-N_SCENARIOS = 8
+N_SCENARIOS = 16
 
 _ID = "CAST(msg_id AS STRING)"
 CONTENT_SQL = {
@@ -56,6 +70,11 @@ CONTENT_SQL = {
     "scalars": ("'{\"executive_summary\": \"Scalars ' || " + _ID + " || '\", "
                 "\"evidence\": [\"one\", \"two\", \"  \"], \"questions\": [\"a\", \" \", \"b\", \"c\", \"d\"]}'"),
     "array": "'[1, 2]'",
+    "listed": "'[{\"executive_summary\": \"Listed ' || " + _ID + " || '\"}]'",
+    "extra": "'{\"executive_summary\": \"First ' || " + _ID + " || '\"}{\"executive_summary\": \"Second\"}'",
+    "lookalikes": ("'{\"executive_summary\": \"Lookalikes ' || " + _ID + " || '\", "
+                   "\"evidence\": [\"{not an object\", \"[1, 2]\", {\"signal\": \"Real object\"}], "
+                   "\"questions\": \"[1, 2]\", \"next_actions\": 3}'"),
     "empty": "NULL",
     "many": ("'{\"executive_summary\": \"Many ' || " + _ID + " || '\", \"evidence\": [{\"signal\": \"s1\"}, "
              "{\"signal\": \"s2\"}, {\"signal\": \"s3\"}, {\"signal\": \"s4\"}, {\"signal\": \"s5\"}, "
@@ -64,14 +83,16 @@ CONTENT_SQL = {
 
 
 def attempt_columns() -> list[tuple[str, str]]:
-    """(name, SQL) over ``messages m JOIN steps s ON s.scenario = m.msg_id % 8``."""
+    """(name, SQL) over ``messages m JOIN steps s ON s.scenario = m.msg_id % 16``."""
     model = "CASE model_rank " + " ".join(
         f"WHEN {i + 1} THEN '{m}'" for i, m in enumerate(C.MODEL_ROUTES)) + " END"
     content = "CASE kind " + " ".join(
         f"WHEN '{k}' THEN {v}" for k, v in CONTENT_SQL.items()) + " ELSE NULL END"
     return [("msg_id", "msg_id"), ("model", model), ("model_rank", "model_rank"),
             ("attempt", "attempt"), ("http_code", "http_code"), ("error", "error"),
-            ("content", content), ("request_id", "'req-' || " + _ID)]
+            ("content", content), ("request_id", "'req-' || " + _ID),
+            ("response_model", "CASE kind WHEN 'many' THEN 'answering-model' END"),
+            ("usage", "CASE kind WHEN 'clean' THEN '{\"total_tokens\": 120}' END")]
 
 
 def steps_values_sql() -> str:
@@ -86,7 +107,7 @@ def attempts_from(messages: DataFrame) -> DataFrame:
     steps = spark.createDataFrame(
         SCENARIO_STEPS, "scenario int, model_rank int, attempt int, http_code int, error string, kind string")
     keyed = messages.select("msg_id").withColumn("scenario", (F.col("msg_id") % N_SCENARIOS).cast("int"))
-    # the scenario table is 17 fixed rows: broadcasting it is bounded by construction
+    # the scenario table is 29 fixed rows: broadcasting it is bounded by construction
     joined = keyed.join(F.broadcast(steps), "scenario")
     return joined.selectExpr(*[f"{expr} AS {name}" for name, expr in attempt_columns()])
 

@@ -119,3 +119,53 @@ def test_calls_without_an_answer_are_listed(spark):
     got = {r.msg_id: r for r in note_inputs(df).collect()}
     assert got[1].note_failure == C.REASON_ROUTING + "m1 -> timed out | m2 -> 500: broken"
     assert got[1].note_model is None and got[2].note_model == "m2"
+
+
+ANSWERS = "msg_id long, model string, model_rank int, attempt int, http_code int, error string, content string, " \
+          "request_id string, response_model string, usage string"
+
+
+def _answers(spark, contents):
+    return spark.createDataFrame([(i, "m", 1, 0, 200, None, x, "r", None, None) for i, x in enumerate(contents)], ANSWERS)
+
+
+def test_only_one_whole_object_is_an_answer(spark):
+    from baitline.operators.notes import note_inputs
+    good = ['{"a": 1}', ' {"a": 1}\n', 'so {"a": 1} is it', '```json {"a": 1} ```', '{}', None, '{"a": 1} x']
+    bad = ['[{"a": 1}]', '{"a": 1}{"b": 2}', '{"a": 1', '[1]', 'x', '', '"{}"', '3']
+    got = {r.msg_id: r.note_model for r in note_inputs(_answers(spark, good + bad)).collect()}
+    assert [got[i] for i in range(len(good + bad))] == ["m"] * len(good) + [None] * len(bad)
+
+
+def test_answer_fields_keep_their_json_type(spark):
+    from baitline.operators import notes as N
+    text = ('{"e": ["{brace", "[1, 2]", {"signal": " s ", "severity": "HIGH"}, {"why_it_matters": "w"}, 7, "sixth"],'
+            ' "listed": "[\\"a\\", \\"b\\"]", "many": ["a", " ", "b", "c", "d"], "number": 3, "none": null}')
+    o = N.parse_object(F.col("content"))
+    row = _answers(spark, [text]).select(
+        N.normalize_evidence(N.field(o, "e", "variant"), F.lit("Low")).alias("e"),
+        N.normalize_evidence(N.field(o, "listed", "variant"), F.lit("Low")).alias("no_list"),
+        *[N.string_list(N.field(o, k, "variant")).alias(k) for k in ("listed", "many", "number", "none")]).first()
+    assert [(e.signal, e.why_it_matters, e.severity) for e in row.e] == [
+        ("{brace", C.NOTE_WHY_DEFAULT, "low"), ("[1, 2]", C.NOTE_WHY_DEFAULT, "low"),
+        ("s", C.NOTE_WHY_DEFAULT, "high"), ("7", C.NOTE_WHY_DEFAULT, "low")]
+    assert row.no_list == [] and row.listed == ['["a", "b"]'] and row.many == ["a", "b", "c"]
+    assert row.number == [] and row.none == []
+
+
+def test_routes_retries_and_repeated_records(spark):
+    from baitline.operators.notes import browser_answers, note_inputs
+    ok = '{"a": 1}'
+    rows = [(1, "m1", 1, 0, 429, "busy", None, None, None, None), (1, "m1", 1, 1, 200, None, ok, "r", "own", "{}"),
+            (2, "m1", 1, 0, 500, "down", None, None, None, None), (2, "m1", 1, 1, 200, None, ok, None, None, None),
+            (3, "m1", 1, 0, 429, "busy", None, None, None, None), (3, "m2", 2, 0, 200, None, "x", None, None, None),
+            *[(4, f"m{i}", i, 0, 500, "down", None, None, None, None) for i in range(5, 0, -1)]]
+    df = spark.createDataFrame(rows + rows, ANSWERS)   # every call recorded twice
+    got = {r.msg_id: r for r in note_inputs(df).collect()}
+    assert (got[1].note_model, got[1].note_usage, got[1].note_failure) == ("own", "{}", None)
+    assert got[2].note_failure == C.REASON_ROUTING + "m1 -> 500: down"   # no second try without a 429
+    assert got[3].note_failure == C.REASON_ROUTING + "m1 -> 429: busy | m2 -> invalid JSON object"
+    assert got[4].note_failure == C.REASON_ROUTING + " | ".join(f"m{i} -> 500: down" for i in (1, 2, 3))
+    called = {r.msg_id: r.b_model for r in browser_answers(df).collect()}
+    assert called == {1: "m1", 2: "m1", 3: "m2", 4: None}
+    assert "collect_list" not in note_inputs(df)._jdf.queryExecution().toString()
