@@ -6,8 +6,8 @@ they run in the report's own stage. Cross-case views shuffle once:
 - ``recent_cases`` (A5/A6) is ``row_number() <= 8`` per user; Spark plans it
   with a partial ``WindowGroupLimit`` before the shuffle, so even a user with a
   third of all messages sends at most 8 rows per map task.
-- ``campaigns`` (A7) is a hash aggregate per domain with partial aggregation
-  (a hot domain collapses map-side); distinct counts are exact.
+- ``campaigns`` (A7) is a hash aggregate: keyed by (domain, user) first, for the
+  exact count of users, then by domain, each with partial aggregation.
 """
 from __future__ import annotations
 
@@ -18,6 +18,7 @@ from .. import constants as C
 from ..functions import redact as R
 from ..functions import report as G
 from ..functions.rows import positioned
+from .domains import report_of
 
 
 def evidence_stats(rep: DataFrame) -> DataFrame:
@@ -89,17 +90,27 @@ def recent_cases(cases: DataFrame, n: int = C.HISTORY_SIZE) -> DataFrame:
 
 
 def campaigns(rep: DataFrame) -> DataFrame:
-    """Repeated domains across cases."""
-    rows = rep.select("msg_id", "user_id", "ts",
-                      positioned(F.col("domain_reports"), ["domain", "risk_score", "detected_brands"]))
-    return rows.groupBy("domain").agg(
+    """Repeated domains across cases (``msg_id`` is unique in ``rep``).
+
+    Each row marks the first link of its message to the domain, so messages are
+    a plain sum and users the only distinct count. Risk and brands depend on the
+    domain alone and are computed once for each domain, after the aggregate.
+    """
+    rows = (rep.select("user_id", "ts", F.transform("domain_reports", lambda r: r["domain"]).alias("domains"))
+            .select("user_id", "ts", positioned(F.transform("domains", lambda d, i: F.struct(
+                d.alias("domain"), (F.array_position(F.col("domains"), d) == i + 1).alias("is_first"))),
+                ["domain", "is_first"])))
+    counted = rows.groupBy("domain").agg(
         F.count(F.lit(1)).alias("n_links"),
-        F.countDistinct("msg_id").alias("n_messages"),
+        F.sum(F.col("is_first").cast("bigint")).alias("n_messages"),
         F.countDistinct("user_id").alias("n_users"),
-        F.max("risk_score").alias("max_risk"),
-        F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss").alias("first_seen"),
-        F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("last_seen"),
-        F.array_join(F.first("detected_brands"), ",").alias("brands"))
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    reported = counted.withColumn("report", report_of(F.col("domain")))
+    return reported.select(
+        "domain", "n_links", "n_messages", "n_users", F.col("report.risk_score").alias("max_risk"),
+        F.date_format("first_ts", "yyyy-MM-dd HH:mm:ss").alias("first_seen"),
+        F.date_format("last_ts", "yyyy-MM-dd HH:mm:ss").alias("last_seen"),
+        F.array_join("report.detected_brands", ",").alias("brands"))
 
 
 def brand_campaigns(rep: DataFrame) -> DataFrame:

@@ -59,3 +59,14 @@ def test_plan_does_not_depend_on_the_number_of_files(spark, tmp_path):
             assert "REPARTITION_BY_NUM" in read()
         finally:
             spark.conf.unset(SCAN_PARTITIONS)
+
+
+def test_campaigns_need_no_expand_and_no_sort(spark):
+    for q in (Q.campaigns, Q.brand_campaigns):
+        plan = _plan(q(spark, SF))
+        assert "Expand" not in plan and "SortAggregate" not in plan and "HashAggregate" in plan, q.__name__
+
+
+def test_notes_collect_no_list(spark):
+    plan = _plan(Q.analyst_notes_live(spark, SF))
+    assert "collect_list" not in plan
