@@ -97,3 +97,16 @@ def test_query(spark, sf):
     got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256)
            for r in chat_digests(spark, sf).collect()}
     assert got == want
+
+
+class ForgetsAfterForty:
+    """Drops the turns before the last 40."""
+
+    def render(self, turns):
+        return "".join(f"<{role}>{text}</>" for role, text in turns[-40:])
+
+
+def test_late_rewrite_is_reported():
+    talk = chat.Conversation(ForgetsAfterForty())
+    seen = [talk.add("user", f"turn {i}") and talk.rewrites for i in range(45)]
+    assert seen == [False] * 40 + [True] * 5
