@@ -5,8 +5,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, chat, decontaminate, line_dedup, oracle, pii, quality, sharding, simhash, substring_dedup,
-               toxicity)
+from . import (bpe, chat, decontaminate, line_dedup, minhash, negatives, oracle, phrases, pii, quality, sharding,
+               simhash, substring_dedup, toxicity)
 from .common import table
 from .linear import is_held_out
 
@@ -76,6 +76,19 @@ def benchmark_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"))
 
 
+def minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.phrases(table(spark, sf_dir, "documents", "lang", "text"))
+
+
+def mined_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = negatives.clean(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+    return negatives.hard_negatives(negatives.swap_labels(rows), F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     "op1_sharding": document_shards,
     "op2_substring_dedup": repeated_passages,
@@ -87,12 +100,18 @@ QUERIES = {
     "op8_simhash": simhash_components,
     "op9_line_dedup": line_dedup_digests,
     "op10_decontamination": benchmark_contamination,
+    "op11_minhash_near_dedup": minhash_components,
+    "op12_phrase_mining": collocations,
+    "op13_hard_negatives": mined_negatives,
 }
 
-#: The others hold trained models, XXH64, min-hashes or BPE, which SQL cannot express.
+#: The others hold trained models, XXH64, compact windows or BPE, which SQL cannot express.
 ORACLE_SQL = {
     "op1_sharding": oracle.sharding(SHARDS, sharding.SLOTS),
     "op5_chat_formatting": oracle.CHAT,
     "op9_line_dedup": oracle.LINE_DEDUP,
     "op10_decontamination": oracle.DECONTAMINATION,
+    "op11_minhash_near_dedup": oracle.MINHASH,
+    "op12_phrase_mining": oracle.PHRASES,
+    "op13_hard_negatives": oracle.NEGATIVES,
 }
