@@ -35,6 +35,9 @@ REDACTION_PASSES = [
 # Link pattern (case-sensitive).
 URL_PATTERN = r"(https?://[^\s/$.?#].[^\s]*|www\.[^\s/$.?#].[^\s]*)"
 
+# Characters whose compatibility form (NFKC) holds one of "/?#@:"; a host with one is not a URL.
+NFKC_DELIMITERS = "⁇⁈⁉℀℁℅℆⩴︓︖﹕﹖﹟﹫＃／：？＠"
+
 BRANDS = [
     "dhl", "fedex", "ups", "usps", "royal mail",
     "paypal", "revolut", "netflix", "amazon", "ebay", "coinbase",
@@ -62,6 +65,13 @@ HYPHEN_POINTS = 15
 DIGIT_POINTS = 10
 TYPO_POINTS = 50
 
+# Indicator texts of a domain report.
+TLD_TEXT = "Suspicious top-level domain: "
+IMPERSONATES_TEXT = ("Impersonates brand '", "' in a suspicious domain layout")
+HYPHENS_TEXT = "Contains multiple hyphens, typical of phishing domain naming patterns"
+DIGITS_TEXT = "Contains multiple digits, often used to bypass spam filters"
+TYPO_TEXT = "Typosquatting attempt mimicking '"
+
 DOMAIN_HIGH = 70
 DOMAIN_MEDIUM = 30
 SCORE_HIGH = 70
@@ -201,6 +211,7 @@ NOTE_CONFIDENCE = ("Model fallback used; review the local risk evidence and offi
 REASON_OFFLINE = "Offline demo mode is enabled."
 REASON_NO_RESPONSE = "No model response is available for this message."
 REASON_ROUTING = "Model routing failed. "
+OVERLAY_CONFIDENCE = "Model enrichment generated from sanitized browser-demo evidence."
 OVERLAY_FAILED = "Browser model call failed. Deterministic fallback explanation attached."
 PRIORITIES = ["monitor", "caution", "urgent", "lockdown"]
 MODEL_ROUTES = [
@@ -262,6 +273,23 @@ STEP_NOTE = "Model Analyst"
 STEP_PACKET = "Incident Report Generator"
 STEP_GUARD = "Safety Review Guardrail"
 
+# Investigation trace step details.
+DETAIL_OCR = "Screenshot transcribed successfully: "
+DETAIL_REDACT = "Anonymization completed. Sensitive data replaced with secure placeholders."
+DETAIL_LINKS = "Extracted "
+DETAIL_NO_LINKS = "No links detected in the message text."
+DETAIL_HIGH_DOMAINS = "Threat layout check finished. HIGH-RISK domain pattern found: "
+DETAIL_DOMAINS = "Domain pattern checks completed. No immediate high-risk spoofing layout detected."
+DETAIL_SIGNALS = "Identified "
+DETAIL_NO_SIGNALS = "Text analysis completed. No typical social engineering keywords found."
+DETAIL_SCORE = "Threat synthesis finished. Verdict: "
+DETAIL_PLAN = "Custom safety steps generated successfully ("
+DETAIL_NOTE_OFFLINE = "Model enrichment unavailable. Deterministic explanation attached."
+DETAIL_NOTE = "Model enrichment completed via "
+DETAIL_PACKET = "Authority report draft compiled."
+DETAIL_GUARD_FAILED = "Guardrail check FAILED: Raw PII detected in output. Halting."
+DETAIL_GUARD = "Guardrail check PASSED. Report is safe to present to the user."
+
 # Lite triage.
 LITE_DEFAULT_TEXT = ("Suspicious message asks the recipient to verify account access "
                      "through an unknown link.")
@@ -306,6 +334,7 @@ SITUATION_LABELS = {
 SITUATION_LABEL_DEFAULT = "Standard Analysis"
 
 # Cleaning of step texts for terminal display: '**' and these symbols are removed.
+DASHBOARD_SIGNS = ["\u26a0\ufe0f", "\u274c", "\u2611\ufe0f", "\u26a1\ufe0f"]
 STEP_SYMBOLS = ["⚠️", "❌", "🔍", "🗑️", "🌐", "🛡️", "💻", "🚨", "💳", "🔑", "🔒", "📈"]
 
 # Tool names and their aliases.

@@ -1,112 +1,78 @@
-"""Offline domain inspection (D1-D12) as column expressions.
+"""Offline domain inspection rules.
 
-Inspection is staged in two steps so that each rule is evaluated once:
-``domain_flags`` computes the raw findings (matched TLD, impersonated brands,
-hyphen/digit counts, typo patterns) and ``report_from_flags`` turns them into
+Inspection is staged so that each finding is computed once: ``_prep`` splits the
+domain, ``_flags`` tests it (matched TLD, impersonated brands, hyphen and digit
+counts, typo patterns) and ``_report`` turns the findings into
 ``struct<domain, risk_score, verdict, indicators, detected_brands>``.
-Both are plain expressions, so they work on a top-level column (the distinct
-domain dimension) and inside ``transform`` over a message's link array.
 """
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from .rule import EMPTY, case, let, lit, present, rule
 
 
-def tokens_of(text: Column) -> Column:
+def _tokens(text: str) -> str:
     """Lower-case alphanumeric runs, empties dropped."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
+    return f"filter(split(lower({text}), '[^a-z0-9]+'), t -> t != '')"
 
 
 def _brand_key(brand: str) -> str:
-    import re
     return " ".join(t for t in re.split(r"[^a-z0-9]+", brand.lower()) if t)
 
 
-def domain_prep(domain: Column) -> Column:
-    """Values every rule reuses, bound once (lambdas get no common-subexpression
-    elimination, so inside ``transform`` each reference would be recomputed)."""
-    d = F.lower(domain)
-    parts = F.split(d, "[.]")
-    main_label = F.coalesce(F.get(parts, F.size(parts) - 2), F.get(parts, 0))
-    return F.struct(
-        d.alias("d"),
-        F.concat(F.lit(" "), F.array_join(tokens_of(d), " "), F.lit(" ")).alias("padded"),
-        F.array_join(tokens_of(main_label), " ").alias("main_key"))
-
-
-def flags_from_prep(p: Column) -> Column:
-    d, padded, main_key = p["d"], p["padded"], p["main_key"]
-    # D3 + D5: the brand's tokens occur contiguously and the registrable label
-    # is not the brand itself.
-    brands = F.array_compact(F.array(*[
-        F.when(padded.contains(f" {_brand_key(b)} ") & (main_key != _brand_key(b)), F.lit(b))
-        for b in C.BRANDS]))
-    tld = F.coalesce(*[F.when(d.endswith(t), F.lit(t)) for t in C.SUSPICIOUS_TLDS])
-    typos = F.array_compact(F.array(*[
-        F.when(d.contains(pat), F.lit(b)) for pat, b in C.TYPO_PATTERNS]))
-    return F.struct(
-        d.alias("domain"),
-        tld.alias("tld"),
-        brands.alias("brands"),
-        (F.length(d) - F.length(F.replace(d, F.lit("-"), F.lit("")))).alias("hyphens"),
-        (F.length(d) - F.length(F.regexp_replace(d, r"\p{Nd}", ""))).alias("digits"),
-        typos.alias("typos"),
-    )
-
-
-def domain_flags(domain: Column) -> Column:
-    return flags_from_prep(domain_prep(domain))
-
-
-def domain_verdict(score: Column) -> Column:
-    return (F.when(score >= C.DOMAIN_HIGH, "High")
-            .when(score >= C.DOMAIN_MEDIUM, "Medium").otherwise("Low"))
-
-
-def report_from_flags(f: Column) -> Column:
-    many_hyphens = f["hyphens"] > 1
-    many_digits = f["digits"] > 3
-    raw = (F.when(f["tld"].isNotNull(), C.TLD_POINTS).otherwise(0)
-           + F.size(f["brands"]) * C.BRAND_POINTS
-           + F.when(many_hyphens, C.HYPHEN_POINTS).otherwise(0)
-           + F.when(many_digits, C.DIGIT_POINTS).otherwise(0)
-           + F.size(f["typos"]) * C.TYPO_POINTS)
-    score = F.least(raw, F.lit(100)).cast("int")
-    indicators = F.concat(
-        F.array_compact(F.array(
-            F.when(f["tld"].isNotNull(),
-                   F.concat(F.lit("Suspicious top-level domain: "), f["tld"])))),
-        F.transform(f["brands"], lambda b: F.concat(
-            F.lit("Impersonates brand '"), b, F.lit("' in a suspicious domain layout"))),
-        F.array_compact(F.array(
-            F.when(many_hyphens,
-                   F.lit("Contains multiple hyphens, typical of phishing domain naming patterns")),
-            F.when(many_digits,
-                   F.lit("Contains multiple digits, often used to bypass spam filters")))),
-        F.transform(f["typos"], lambda b: F.concat(
-            F.lit("Typosquatting attempt mimicking '"), b, F.lit("'"))),
-    )
-    return F.struct(
-        f["domain"].alias("domain"),
-        score.alias("risk_score"),
-        domain_verdict(score).alias("verdict"),
-        indicators.alias("indicators"),
-        f["brands"].alias("detected_brands"),
-    )
-
-
-def inspect_domain(domain: Column) -> Column:
-    """D12 in one expression (use the staged form on large inputs)."""
-    return report_from_flags(domain_flags(domain))
-
-
-def inspect_links(links: Column) -> Column:
+def _prep(domain: str) -> str:
+    """Values that the tests reuse: lower case, spaced tokens, tokens of the registrable label."""
+    parts = f"split(lower({domain}), '[.]')"
+    label = f"coalesce(get({parts}, size({parts}) - 2), get({parts}, 0))"
+    return (f"named_struct('d', lower({domain}), 'padded', concat(' ', array_join({_tokens(domain)}, ' '), ' '), "
+            f"'main_key', array_join({_tokens(label)}, ' '))")
+
+
+def _flags(p: str) -> str:
+    # D3 + D5: the brand's tokens occur contiguously and the registrable label is not the brand itself.
+    brands = present([(f"contains({p}.padded, {lit(f' {_brand_key(b)} ')}) AND {p}.main_key != {lit(_brand_key(b))}", lit(b))
+                      for b in C.BRANDS])
+    tld = case([(f"endswith({p}.d, {lit(t)})", lit(t)) for t in C.SUSPICIOUS_TLDS], "NULL")
+    typos = present([(f"contains({p}.d, {lit(found)})", lit(b)) for found, b in C.TYPO_PATTERNS])
+    return (f"named_struct('domain', {p}.d, 'tld', {tld}, 'brands', {brands}, "
+            f"'hyphens', length({p}.d) - length(replace({p}.d, '-', '')), "
+            f"'digits', length({p}.d) - length(regexp_replace({p}.d, {lit(chr(92) + 'p{Nd}')}, '')), 'typos', {typos})")
+
+
+def _report(f: str) -> str:
+    raw = (f"CASE WHEN {f}.tld IS NOT NULL THEN {C.TLD_POINTS} ELSE 0 END + size({f}.brands) * {C.BRAND_POINTS} "
+           f"+ CASE WHEN {f}.hyphens > 1 THEN {C.HYPHEN_POINTS} ELSE 0 END "
+           f"+ CASE WHEN {f}.digits > 3 THEN {C.DIGIT_POINTS} ELSE 0 END + size({f}.typos) * {C.TYPO_POINTS}")
+    score = f"cast(least({raw}, 100) AS int)"
+    verdict = case([(f"{score} >= {C.DOMAIN_HIGH}", "'High'"), (f"{score} >= {C.DOMAIN_MEDIUM}", "'Medium'")], "'Low'")
+
+    def only_if(condition: str, value: str) -> str:
+        return f"CASE WHEN {condition} THEN array({value}) ELSE {EMPTY} END"
+    indicators = (
+        f"concat({only_if(f'{f}.tld IS NOT NULL', f'concat({lit(C.TLD_TEXT)}, {f}.tld)')}, "
+        f"transform({f}.brands, b -> concat({lit(C.IMPERSONATES_TEXT[0])}, b, {lit(C.IMPERSONATES_TEXT[1])})), "
+        f"{only_if(f'{f}.hyphens > 1', lit(C.HYPHENS_TEXT))}, {only_if(f'{f}.digits > 3', lit(C.DIGITS_TEXT))}, "
+        f"transform({f}.typos, b -> concat({lit(C.TYPO_TEXT)}, b, {lit(chr(39))})))")
+    return (f"named_struct('domain', {f}.domain, 'risk_score', {score}, 'verdict', {verdict}, "
+            f"'indicators', {indicators}, 'detected_brands', {f}.brands)")
+
+
+@rule
+def inspect_domain(domain: str) -> str:
+    """The report of one domain, each stage bound once."""
+    return let("p", _prep(domain), let("f", _flags("p"), _report("f")))
+
+
+@rule
+def inspect_links(links: str) -> str:
     """D13 without a shuffle: one report per link, in link order."""
-    prepared = F.transform(links, lambda l: domain_prep(l["domain"]))
-    return F.transform(F.transform(prepared, flags_from_prep), report_from_flags)
+    return (f"transform(transform(transform({links}, l -> {_prep('l.domain')}), p -> {_flags('p')}), "
+            f"f -> {_report('f')})")
 
 
 def high_risk_domains(reports: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Link extraction expressions.
+"""Link extraction rules.
 
 A message's links are an ``array<struct<original, domain>>`` built with
 ``regexp_extract_all`` and higher-order functions, so finding links never
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from .regex import js_re, python_re
+from .rule import lit, rule
 
 # Authority of an http(s) URL: everything after '//' up to '/', '?' or '#'.
 _NETLOC = r"^https?://([^/?#]*)"
@@ -20,47 +21,41 @@ _NETLOC = r"^https?://([^/?#]*)"
 _BRACKET_OK = r"^[^\[\]]*\[[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*\][^\[\]]*$"
 
 
-def find_urls(text: Column) -> Column:
+@rule
+def find_urls(text: str) -> str:
     """L1: every URL match in order, duplicates kept."""
-    return F.regexp_extract_all(text, F.lit(python_re(C.URL_PATTERN)), 1)
+    return f"regexp_extract_all({text}, {lit(python_re(C.URL_PATTERN))}, 1)"
 
 
-def netloc_of(url: Column) -> Column:
-    clean = F.when(url.startswith("http"), url).otherwise(F.concat(F.lit("http://"), url))
-    return F.regexp_extract(clean, _NETLOC, 1)
+def _netloc(url: str) -> str:
+    return (f"regexp_extract(CASE WHEN startswith({url}, 'http') THEN {url} ELSE concat('http://', {url}) END, "
+            f"{lit(_NETLOC)}, 1)")
 
 
-def netloc_ok(netloc: Column) -> Column:
-    """L3: URLs whose authority has unbalanced or non-IPv6 brackets are skipped."""
-    has_bracket = netloc.contains("[") | netloc.contains("]")
-    return ~has_bracket | netloc.rlike(_BRACKET_OK)
+def _netloc_ok(netloc: str) -> str:
+    """L3: URLs whose authority has unbalanced or non-IPv6 brackets, or a character that
+    normalises to a delimiter, are skipped."""
+    return (f"(NOT (contains({netloc}, '[') OR contains({netloc}, ']')) OR {netloc} RLIKE {lit(_BRACKET_OK)}) "
+            f"AND NOT {netloc} RLIKE {lit(f'[{C.NFKC_DELIMITERS}]')}")
 
 
-def domain_of_netloc(netloc: Column) -> Column:
+def _domain(netloc: str) -> str:
     """L2: lower-case, cut at the first ':', strip one leading 'www.'."""
-    host = F.substring_index(F.lower(netloc), ":", 1)
-    return F.regexp_replace(host, r"^www\.", "")
+    return f"regexp_replace(substring_index(lower({netloc}), ':', 1), '^www[.]', '')"
 
 
-def url_domain(url: Column) -> Column:
-    return domain_of_netloc(netloc_of(url))
-
-
-def extract_links(text: Column) -> Column:
+@rule
+def extract_links(text: str) -> str:
     """L1-L3: ``array<struct<original: string, domain: string>>`` in text order."""
-    links = F.transform(
-        find_urls(text),
-        lambda u: F.struct(u.alias("original"), netloc_of(u).alias("netloc")))
-    kept = F.filter(links, lambda l: netloc_ok(l["netloc"]))
-    shaped = F.transform(
-        kept, lambda l: F.struct(l["original"].alias("original"),
-                                 domain_of_netloc(l["netloc"]).alias("domain")))
-    return F.filter(shaped, lambda l: l["domain"] != "")
+    named = f"transform({find_urls.sql(text)}, u -> named_struct('original', u, 'netloc', {_netloc('u')}))"
+    shaped = (f"transform(filter({named}, l -> {_netloc_ok('l.netloc')}), "
+              f"l -> named_struct('original', l.original, 'domain', {_domain('l.netloc')}))")
+    return f"filter({shaped}, l -> l.domain != '')"
 
 
-def link_domains_text(links: Column) -> Column:
+def link_domains_text(links: str) -> str:
     """L5: 'a.com, b.net' as shown in the link step."""
-    return F.array_join(F.transform(links, lambda l: l["domain"]), ", ")
+    return f"array_join(transform({links}, l -> l.domain), ', ')"
 
 
 def first_domain(links: Column) -> Column:

@@ -1,87 +1,70 @@
 """Safe steps, priority, questions and the offline analyst note.
 
 The lookups are keyed by a handful of fixed situations, so they are CASE
-expressions over literal arrays: no join, no shuffle. ``situation_dims`` in
-``sources.fixtures`` publishes the same data as tables for SQL users.
+expressions over literal arrays: no join, no shuffle.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from .. import constants as C
+from .rule import EMPTY, case, lit, rule, texts
 
 
-def _array(items: list[str]) -> Column:
-    return F.array(*[F.lit(x) for x in items])
-
-
-def safe_steps(situation: Column) -> Column:
+@rule
+def safe_steps(situation: str) -> str:
     """Four steps per known situation, two generic ones otherwise."""
-    expr = F.when(F.lit(False), _array([]))
-    for sit, steps in C.SAFE_STEPS.items():
-        expr = expr.when(situation == sit, _array(steps))
-    return expr.otherwise(_array(C.GENERIC_STEPS))
+    return case([(f"{situation} = {lit(s)}", texts(steps)) for s, steps in C.SAFE_STEPS.items()], texts(C.GENERIC_STEPS))
 
 
-def priority(verdict: Column, situation: Column) -> Column:
+@rule
+def priority(verdict: str, situation: str) -> str:
     """P2."""
-    return (F.when(situation == "compromised", "lockdown")
-            .when(verdict == "High", "urgent")
-            .when(verdict == "Medium", "caution").otherwise("monitor"))
+    return case([(f"{situation} = 'compromised'", "'lockdown'"), (f"{verdict} = 'High'", "'urgent'"),
+                 (f"{verdict} = 'Medium'", "'caution'")], "'monitor'")
 
 
-def questions(situation: Column) -> Column:
+@rule
+def questions(situation: str) -> str:
     """Two clarifying questions per known situation, none otherwise."""
-    expr = F.when(F.lit(False), _array([]))
-    for sit, qs in C.QUESTIONS.items():
-        expr = expr.when(situation == sit, _array(qs))
-    return expr.otherwise(F.array().cast("array<string>"))
+    return case([(f"{situation} = {lit(s)}", texts(qs)) for s, qs in C.QUESTIONS.items()], EMPTY)
 
 
-def _evidence_item(signal: Column, why: Column, severity: Column) -> Column:
-    return F.struct(signal.alias("signal"), why.alias("why_it_matters"),
-                    severity.alias("severity"))
+def _evidence(signal: str, why: str, verdict: str) -> str:
+    return f"named_struct('signal', {signal}, 'why_it_matters', {lit(why)}, 'severity', lower({verdict}))"
 
 
-def offline_evidence(breakdown: Column, n_reports: Column, n_indicators: Column,
-                     verdict: Column) -> Column:
+@rule
+def offline_evidence(breakdown: str, reports: str, indicators: str, verdict: str) -> str:
     """First five breakdown lines, else a generic domain or text line."""
-    sev = F.lower(verdict)
-    from_lines = F.transform(F.slice(breakdown, 1, 5),
-                             lambda b: _evidence_item(b, F.lit(C.NOTE_WHY_RULE), sev))
-    domain_line = F.array(_evidence_item(F.lit(C.NOTE_DOMAIN_SIGNAL), F.lit(C.NOTE_DOMAIN_WHY), sev))
-    text_line = F.array(_evidence_item(F.lit(C.NOTE_TEXT_SIGNAL), F.lit(C.NOTE_TEXT_WHY), sev))
-    return (F.when(F.size(from_lines) > 0, from_lines)
-            .when(n_reports > 0, domain_line)
-            .when(n_indicators > 0, text_line)
-            .otherwise(F.slice(from_lines, 1, 0)))
-
-
-def next_actions(steps: Column) -> Column:
+    from_lines = f"transform(slice({breakdown}, 1, 5), b -> {_evidence('b', C.NOTE_WHY_RULE, verdict)})"
+    domain_line = f"array({_evidence(lit(C.NOTE_DOMAIN_SIGNAL), C.NOTE_DOMAIN_WHY, verdict)})"
+    text_line = f"array({_evidence(lit(C.NOTE_TEXT_SIGNAL), C.NOTE_TEXT_WHY, verdict)})"
+    return case([(f"size({breakdown}) > 0", from_lines), (f"size({reports}) > 0", domain_line),
+                 (f"size({indicators}) > 0", text_line)], f"slice({text_line}, 1, 0)")
+
+
+@rule
+def next_actions(steps: str) -> str:
     """First three steps with '**' removed."""
-    return F.transform(F.slice(steps, 1, 3), lambda s: F.replace(s, F.lit("**"), F.lit("")))
+    return f"transform(slice({steps}, 1, 3), s -> replace(s, '**', ''))"
+
+
+@rule
+def offline_reason(demo_offline: str) -> str:
+    """Why a message has no live note."""
+    return f"CASE WHEN coalesce({demo_offline}, false) THEN {lit(C.REASON_OFFLINE)} ELSE {lit(C.REASON_NO_RESPONSE)} END"
 
 
-def offline_note(reason: Column, situation: Column, verdict: Column, risk_score: Column,
-                 breakdown: Column, n_reports: Column, n_indicators: Column,
-                 steps: Column) -> Column:
+@rule
+def offline_note(reason: str, situation: str, verdict: str, risk_score: str, breakdown: str, reports: str,
+                 indicators: str, steps: str) -> str:
     """P5: the deterministic analyst note (union schema with the live note)."""
-    return F.struct(
-        F.lit(C.NOTE_PROVIDER).alias("provider"),
-        F.lit(C.NOTE_MODEL).alias("model"),
-        F.lit(True).alias("fallback_used"),
-        F.lit("fallback").alias("status"),
-        reason.alias("fallback_reason"),
-        F.lit(None).cast("string").alias("request_id"),
-        F.lit(None).cast("string").alias("usage"),
-        F.concat(F.lit("Classified this as "), verdict, F.lit(" risk ("),
-                 risk_score.cast("string"), F.lit("/100) using local rules.")
-                 ).alias("executive_summary"),
-        F.lit(C.NOTE_EXPLANATION).alias("user_explanation"),
-        priority(verdict, situation).alias("recommended_priority"),
-        offline_evidence(breakdown, n_reports, n_indicators, verdict).alias("evidence"),
-        F.slice(questions(situation), 1, 3).alias("questions"),
-        next_actions(steps).alias("next_actions"),
-        F.lit(C.NOTE_CONFIDENCE).alias("confidence_note"),
-    )
+    fields = {
+        "provider": lit(C.NOTE_PROVIDER), "model": lit(C.NOTE_MODEL), "fallback_used": "true", "status": "'fallback'",
+        "fallback_reason": reason, "request_id": "cast(NULL AS string)", "usage": "cast(NULL AS string)",
+        "executive_summary": f"concat('Classified this as ', {verdict}, ' risk (', cast({risk_score} AS string), "
+                             "'/100) using local rules.')",
+        "user_explanation": lit(C.NOTE_EXPLANATION), "recommended_priority": priority.sql(verdict, situation),
+        "evidence": offline_evidence.sql(breakdown, reports, indicators, verdict),
+        "questions": f"slice({questions.sql(situation)}, 1, 3)", "next_actions": next_actions.sql(steps),
+        "confidence_note": lit(C.NOTE_CONFIDENCE)}
+    return "named_struct(" + ", ".join(f"{lit(n)}, {v}" for n, v in fields.items()) + ")"

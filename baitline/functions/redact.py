@@ -1,4 +1,4 @@
-"""Redaction and privacy expressions (R1-R11, R7 guardrail predicate).
+"""Redaction and privacy rules (R1-R11, R7 guardrail predicate).
 
 All of these are built-in string functions, so they stay inside whole-stage
 codegen and run map-side: a redaction pass never shuffles.
@@ -9,36 +9,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from .regex import js_re, python_re
+from .regex import JS_SPACE, PY_SPACE, js_re, python_re
+from .rule import lit, rule
 
 
-def mask_emails(text: Column) -> Column:
-    return F.regexp_replace(text, python_re(C.EMAIL_PATTERN), C.EMAIL_MASK)
-
-
-def mask_ssn(text: Column) -> Column:
-    return F.regexp_replace(text, python_re(C.SSN_PATTERN), C.SSN_MASK)
-
-
-def mask_national_ids(text: Column) -> Column:
-    return F.regexp_replace(text, python_re(C.NATIONAL_ID_PATTERN), C.SSN_MASK)
-
-
-def mask_cards(text: Column) -> Column:
-    return F.regexp_replace(text, python_re(C.CARD_PATTERN), C.CARD_MASK)
-
-
-def mask_phones(text: Column) -> Column:
-    return F.regexp_replace(text, python_re(C.PHONE_PATTERN), C.PHONE_MASK)
-
-
-def redact_pii(text: Column) -> Column:
-    """Email, SSN, national id, card, phone - in that order (order matters:
+@rule
+def redact_pii(text: str) -> str:
+    """Email, SSN, national id, card, phone - in that order (order matters:
     placeholders of earlier passes shield digits from later ones)."""
-    out = text
     for pattern, mask in C.REDACTION_PASSES:
-        out = F.regexp_replace(out, python_re(pattern), mask)
-    return out
+        text = f"regexp_replace({text}, {lit(python_re(pattern))}, {lit(mask)})"
+    return text
 
 
 def redact_lite(text: Column) -> Column:
@@ -54,14 +35,10 @@ def mask_count(redacted: Column, mask: str) -> Column:
             / F.lit(len(mask))).cast("int")
 
 
-def leaks_pii(field: Column) -> Column:
+@rule
+def leaks_pii(field: str) -> str:
     """An '@' survives while no e-mail placeholder is present in the field."""
-    return field.contains("@") & ~field.contains(C.EMAIL_MASK)
-
-
-def prompt_text(redacted: Column) -> Column:
-    """The redacted text as sent to an analyst model (first 3000 chars)."""
-    return F.substring(redacted, 1, C.PROMPT_CHARS)
+    return f"(contains({field}, '@') AND NOT contains({field}, {lit(C.EMAIL_MASK)}))"
 
 
 def text_preview(redacted: Column) -> Column:
@@ -70,14 +47,18 @@ def text_preview(redacted: Column) -> Column:
     return F.substring(stored, 1, C.PREVIEW_CHARS)
 
 
-def ocr_preview(text: Column) -> Column:
+@rule
+def ocr_preview(text: str) -> str:
     """R11 (OCR step): first 60 chars plus '...' when longer."""
-    return F.when(F.length(text) > C.OCR_PREVIEW_CHARS,
-                  F.concat(F.substring(text, 1, C.OCR_PREVIEW_CHARS), F.lit("..."))
-                  ).otherwise(text)
+    n = C.OCR_PREVIEW_CHARS
+    return f"CASE WHEN length({text}) > {n} THEN concat(substring({text}, 1, {n}), '...') ELSE {text} END"
 
 
 def strip_ws(text: Column) -> Column:
-    """Trim spaces, tabs and line breaks at both ends (Python/JS semantics;
-    Spark's trim only strips spaces)."""
-    return F.regexp_replace(text, r"^[ \t\n\r\f\u000B]+|[ \t\n\r\f\u000B]+$", "")
+    """Trim white space at both ends as Python's ``str.strip`` does (Spark's trim strips spaces only)."""
+    return F.regexp_replace(text, f"^[{PY_SPACE}]+|[{PY_SPACE}]+$", "")
+
+
+def strip_js(text: Column) -> Column:
+    """Trim white space at both ends as a browser's ``trim`` does."""
+    return F.regexp_replace(text, f"^[{JS_SPACE}]+|[{JS_SPACE}]+$", "")

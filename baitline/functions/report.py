@@ -8,117 +8,83 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from .redact import leaks_pii, ocr_preview
 from .links import link_domains_text
+from .redact import leaks_pii, ocr_preview, strip_ws
+from .regex import JS_SPACE
+from .rule import lit, rule
 from .scoring import score_verdict
 
 
-def target_brand(indicators: Column) -> Column:
+@rule
+def target_brand(indicators: str) -> str:
     """G1: detail of the first Brand Impersonation indicator without its prefix."""
-    first = F.get(F.filter(indicators, lambda i: i["category"] == C.BRAND), 0)
-    brand = F.replace(first["detail"], F.lit("Claimed source: "), F.lit(""))
-    return F.upper(F.coalesce(brand, F.lit("Unknown")))
+    first = f"get(filter({indicators}, i -> i.category = {lit(C.BRAND)}), 0).detail"
+    return f"upper(coalesce(replace({first}, 'Claimed source: ', ''), 'Unknown'))"
 
 
-def first_safe_move(steps: Column) -> Column:
+@rule
+def first_safe_move(steps: str) -> str:
     """G2."""
-    return F.coalesce(F.get(steps, 0), F.lit(C.DEFAULT_FIRST_MOVE))
+    return f"coalesce(get({steps}, 0), {lit(C.DEFAULT_FIRST_MOVE)})"
 
 
-def risk_level(score: Column) -> Column:
-    return F.upper(score_verdict(score))
+@rule
+def case_packet(redacted: str, risk_score: str, indicators: str, steps: str, header: str = lit(C.PACKET_HEADER)) -> str:
+    """The anonymised case packet text. ``header`` is a SQL operand too."""
+    categories = f"array_join(transform({indicators}, i -> i.category), ', ')"
+    lines = [
+        header,
+        f"concat('Risk: ', upper({score_verdict.sql(risk_score)}), ' (', cast({risk_score} AS string), '/100)')",
+        f"concat('Target brand: ', {target_brand.sql(indicators)})",
+        f"concat('Signals: ', CASE WHEN size({indicators}) > 0 THEN {categories} ELSE {lit(C.PACKET_NO_SIGNALS)} END)",
+        lit(C.PACKET_PRIVACY), "''", "'First safe move:'", first_safe_move.sql(steps), "''",
+        "'Anonymized suspicious content:'", redacted, "''", "'Requested action:'", lit(C.PACKET_ACTION)]
+    return "concat_ws('\\n', " + ", ".join(lines) + ")"
 
 
-def case_packet(redacted: Column, risk_score: Column, indicators: Column, steps: Column,
-                header: str = C.PACKET_HEADER) -> Column:
-    """The anonymised case packet text."""
-    cats = F.array_join(F.transform(indicators, lambda i: i["category"]), ", ")
-    signals = F.when(F.size(indicators) > 0, cats).otherwise(F.lit(C.PACKET_NO_SIGNALS))
-    return F.concat_ws(
-        "\n",
-        F.lit(header),
-        F.concat(F.lit("Risk: "), risk_level(risk_score), F.lit(" ("),
-                 risk_score.cast("string"), F.lit("/100)")),
-        F.concat(F.lit("Target brand: "), target_brand(indicators)),
-        F.concat(F.lit("Signals: "), signals),
-        F.lit(C.PACKET_PRIVACY),
-        F.lit(""),
-        F.lit("First safe move:"),
-        first_safe_move(steps),
-        F.lit(""),
-        F.lit("Anonymized suspicious content:"),
-        redacted,
-        F.lit(""),
-        F.lit("Requested action:"),
-        F.lit(C.PACKET_ACTION),
-    )
-
-
-def guarded_packet(packet: Column) -> Column:
+@rule
+def guarded_packet(packet: str) -> str:
     """Replace a leaking packet by the fixed error text."""
-    return F.when(leaks_pii(packet), F.lit(C.GUARDRAIL_BLOCKED)).otherwise(packet)
+    return f"CASE WHEN {leaks_pii.sql(packet)} THEN {lit(C.GUARDRAIL_BLOCKED)} ELSE {packet} END"
 
 
-def _step(name: str, status, detail) -> Column:
-    status = F.lit(status) if isinstance(status, str) else status
-    return F.struct(F.lit(name).alias("step"), status.alias("status"), detail.alias("detail"))
+_NO_STEP = "cast(array() AS array<struct<step: string, status: string, detail: string>>)"
 
 
-def investigation_trace(has_image: Column, raw_text: Column, links: Column,
-                        reports: Column, indicators: Column, verdict: Column,
-                        risk_score: Column, steps: Column, note: Column,
-                        guard_failed: Column) -> Column:
+@rule
+def investigation_trace(has_image: str, raw_text: str, links: str, reports: str, indicators: str, verdict: str,
+                        risk_score: str, steps: str, note: str, guard_failed: str) -> str:
     """9 or 10 completed steps (OCR only with an image, Domain Inspection
     only with links) with the final details."""
-    n_links = F.size(links)
-    high = F.transform(F.filter(reports, lambda r: r["verdict"] == "High"), lambda r: r["domain"])
-    cats = F.array_join(F.transform(indicators, lambda i: i["category"]), ", ")
-    empty = F.array().cast("array<struct<step:string,status:string,detail:string>>")
+    high = f"transform(filter({reports}, r -> r.verdict = 'High'), r -> r.domain)"
+    categories = f"array_join(transform({indicators}, i -> i.category), ', ')"
+
+    def either(condition: str, value: str, other: str) -> str:
+        return f"CASE WHEN {condition} THEN {value} ELSE {other} END"
+
+    def step(name: str, detail: str, status: str = "'completed'") -> str:
+        return f"named_struct('step', {lit(name)}, 'status', {status}, 'detail', {detail})"
 
-    def only_if(cond: Column, item: Column) -> Column:
-        return F.when(cond, F.array(item)).otherwise(empty)
     items = [
-        only_if(has_image, _step(C.STEP_OCR, "completed", F.concat(
-            F.lit('Screenshot transcribed successfully: "'), ocr_preview(raw_text), F.lit('"')))),
-        _step(C.STEP_REDACT, "completed",
-              F.lit("Anonymization completed. Sensitive data replaced with secure placeholders.")),
-        _step(C.STEP_LINKS, "completed",
-              F.when(n_links > 0, F.concat(F.lit("Extracted "), n_links.cast("string"),
-                                           F.lit(" link(s): "), link_domains_text(links)))
-              .otherwise(F.lit("No links detected in the message text."))),
-        only_if(n_links > 0, _step(
-            C.STEP_DOMAINS, "completed",
-            F.when(F.size(high) > 0, F.concat(
-                F.lit("Threat layout check finished. HIGH-RISK domain pattern found: "),
-                F.array_join(high, ", ")))
-            .otherwise(F.lit("Domain pattern checks completed. No immediate high-risk "
-                             "spoofing layout detected.")))),
-        _step(C.STEP_SIGNALS, "completed",
-              F.when(F.size(indicators) > 0, F.concat(
-                  F.lit("Identified "), F.size(indicators).cast("string"),
-                  F.lit(" threat signature(s): "), cats))
-              .otherwise(F.lit("Text analysis completed. No typical social engineering "
-                               "keywords found."))),
-        _step(C.STEP_SCORE, "completed", F.concat(
-            F.lit("Threat synthesis finished. Verdict: "), F.upper(verdict), F.lit(" ("),
-            risk_score.cast("string"), F.lit("/100)"))),
-        _step(C.STEP_PLAN, "completed", F.concat(
-            F.lit("Custom safety steps generated successfully ("),
-            F.size(steps).cast("string"), F.lit(" recommendations)."))),
-        _step(C.STEP_NOTE, "completed",
-              F.when(note["fallback_used"],
-                     F.lit("Model enrichment unavailable. Deterministic explanation attached."))
-              .otherwise(F.concat(F.lit("Model enrichment completed via "),
-                                  F.coalesce(note["model"], F.lit("model route")), F.lit(".")))),
-        _step(C.STEP_PACKET, "completed", F.lit("Authority report draft compiled.")),
-        _step(C.STEP_GUARD, F.when(guard_failed, "error").otherwise("completed"),
-              F.when(guard_failed,
-                     F.lit("Guardrail check FAILED: Raw PII detected in output. Halting."))
-              .otherwise(F.lit("Guardrail check PASSED. Report is safe to present to the user."))),
+        (has_image, step(C.STEP_OCR, f"concat({lit(C.DETAIL_OCR)}, '\"', {ocr_preview.sql(raw_text)}, '\"')")),
+        (None, step(C.STEP_REDACT, lit(C.DETAIL_REDACT))),
+        (None, step(C.STEP_LINKS, either(
+            f"size({links}) > 0", f"concat({lit(C.DETAIL_LINKS)}, cast(size({links}) AS string), ' link(s): ', "
+                                  f"{link_domains_text(links)})", lit(C.DETAIL_NO_LINKS)))),
+        (f"size({links}) > 0", step(C.STEP_DOMAINS, either(
+            f"size({high}) > 0", f"concat({lit(C.DETAIL_HIGH_DOMAINS)}, array_join({high}, ', '))", lit(C.DETAIL_DOMAINS)))),
+        (None, step(C.STEP_SIGNALS, either(
+            f"size({indicators}) > 0", f"concat({lit(C.DETAIL_SIGNALS)}, cast(size({indicators}) AS string), "
+                                       f"' threat signature(s): ', {categories})", lit(C.DETAIL_NO_SIGNALS)))),
+        (None, step(C.STEP_SCORE, f"concat({lit(C.DETAIL_SCORE)}, upper({verdict}), ' (', cast({risk_score} AS string), '/100)')")),
+        (None, step(C.STEP_PLAN, f"concat({lit(C.DETAIL_PLAN)}, cast(size({steps}) AS string), ' recommendations).')")),
+        (None, step(C.STEP_NOTE, either(f"{note}.fallback_used", lit(C.DETAIL_NOTE_OFFLINE),
+                                        f"concat({lit(C.DETAIL_NOTE)}, coalesce({note}.model, 'model route'), '.')"))),
+        (None, step(C.STEP_PACKET, lit(C.DETAIL_PACKET))),
+        (None, step(C.STEP_GUARD, either(guard_failed, lit(C.DETAIL_GUARD_FAILED), lit(C.DETAIL_GUARD)),
+                    either(guard_failed, "'error'", "'completed'"))),
     ]
-    # concat of one-element / empty arrays keeps the trace code-generated
-    # (array_compact is a lambda filter that would interpret every step)
-    return F.concat(*[x if i in (0, 3) else F.array(x) for i, x in enumerate(items)])
+    return "concat(" + ", ".join(f"array({s})" if c is None else either(c, f"array({s})", _NO_STEP) for c, s in items) + ")"
 
 
 # --- labels -----------------------------------------------------------------
@@ -231,10 +197,19 @@ def clean_step(step: Column) -> Column:
     out = F.replace(step, F.lit("**"), F.lit(""))
     for sym in C.STEP_SYMBOLS:
         out = F.replace(out, F.lit(sym), F.lit(""))
-    from .redact import strip_ws
     return strip_ws(out)
 
 
+def dashboard_step(step: Column) -> Column:
+    """G16, dashboard form: the first of its four signs is dropped (the warning sign at the
+    start only) with the blanks after it, then all '**'."""
+    start, *anywhere = C.DASHBOARD_SIGNS
+    blanks = f"[{JS_SPACE}]*"
+    signs = "|".join(anywhere)
+    once = F.regexp_replace(step, f"(?s)^(?:{start}{blanks}|(.*?)(?:{signs}){blanks})", "$1")
+    return F.replace(once, F.lit("**"), F.lit(""))
+
+
 def step_status_label(status: Column) -> Column:
     """G17."""
     return (F.when(status == "completed", "DONE").when(status == "running", "RUN")

@@ -1,204 +1,122 @@
-"""Risk synthesis (K1-K12) over a message's domain reports and indicators.
+"""Risk synthesis rules (K1-K13) over a message's domain reports and indicators.
 
 Inputs are the per-message arrays, so the max/argmax/sums are array
-aggregates inside the row: no groupBy, no shuffle.
+aggregates inside the row: no groupBy, no shuffle. ``SCORE`` is the only copy
+of the rules: its levels become columns of a plan, or one nested expression
+(``score_risk``, the tool).
 """
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from .. import constants as C
+from .rule import Stages, case, lit, present, rule
+
 
+def _by_category(category: str, values: dict, default: str) -> str:
+    return case([(f"{category} = {lit(c)}", v) for c, v in values.items()], default)
 
-def category_impact(category: Column) -> Column:
+
+def _impact(category: str) -> str:
     """K1."""
-    expr = F.when(F.lit(False), F.lit(0))
-    for cat, (impact, _) in C.CATEGORY_WEIGHTS.items():
-        expr = expr.when(category == cat, F.lit(impact))
-    return expr.otherwise(F.lit(C.DEFAULT_WEIGHT[0]))
+    return _by_category(category, {c: i for c, (i, _) in C.CATEGORY_WEIGHTS.items()}, C.DEFAULT_WEIGHT[0])
 
 
-def category_severity(category: Column) -> Column:
+def _severity(category: str) -> str:
     """K2."""
-    expr = F.when(F.lit(False), F.lit(""))
-    for cat, (_, severity) in C.CATEGORY_WEIGHTS.items():
-        expr = expr.when(category == cat, F.lit(severity))
-    return expr.otherwise(F.lit(C.DEFAULT_WEIGHT[1]))
+    return _by_category(category, {c: lit(s) for c, (_, s) in C.CATEGORY_WEIGHTS.items()}, lit(C.DEFAULT_WEIGHT[1]))
+
 
+def _band(score: str, names: tuple[str, str, str]) -> str:
+    return case([(f"{score} >= {C.SCORE_HIGH}", lit(names[0])), (f"{score} >= {C.SCORE_MEDIUM}", lit(names[1]))], lit(names[2]))
 
-def score_band(score: Column) -> Column:
-    """K3 / G8 band: high / medium / low at 70 / 35."""
-    return (F.when(score >= C.SCORE_HIGH, "high")
-            .when(score >= C.SCORE_MEDIUM, "medium").otherwise("low"))
 
+def _level(score: str) -> str:
+    """K3."""
+    return _band(score, ("high", "medium", "low"))
 
-def score_verdict(score: Column) -> Column:
+
+@rule
+def score_verdict(score: str) -> str:
     """K10."""
-    return (F.when(score >= C.SCORE_HIGH, "High")
-            .when(score >= C.SCORE_MEDIUM, "Medium").otherwise("Low"))
+    return _band(score, ("High", "Medium", "Low"))
 
 
-def combo_boost(m: Column, n: Column) -> Column:
+def _boost(m: str, n: str) -> str:
     """K7."""
-    return (F.when(m >= 90, 4 + F.least(n, F.lit(3)))
-            .when(m >= 70, 6 + F.least(n * 2, F.lit(8)))
-            .when(m >= 35, 10 + F.least(n * 3, F.lit(18)))
-            .otherwise(F.least(n * 2, F.lit(8))))
+    return case([(f"{m} >= 90", f"4 + least({n}, 3)"), (f"{m} >= 70", f"6 + least({n} * 2, 8)"),
+                 (f"{m} >= 35", f"10 + least({n} * 3, 18)")], f"least({n} * 2, 8)")
 
 
-def combo_cap(m: Column, n: Column) -> Column:
+def _cap(m: str, n: str) -> str:
     """K8."""
-    return (F.when((m >= 95) & (n >= 4), 100).when(m >= 90, 98)
-            .when(m >= 70, 96).when(m >= 35, 88).otherwise(85))
-
-
-def _trace_item(label, impact, source, severity, evidence, calculation) -> Column:
-    return F.struct(
-        label.alias("label"), impact.cast("int").alias("impact"), source.alias("source"),
-        severity.alias("severity"), evidence.alias("evidence"),
-        calculation.alias("calculation"))
-
-
-def score_inputs(reports: Column, indicators: Column) -> Column:
-    """First stage: max domain score, its first report, counts and text sum."""
-    m = F.greatest(F.coalesce(F.array_max(F.transform(reports, lambda r: r["risk_score"])),
-                              F.lit(0)), F.lit(0))
-    return F.struct(
-        m.cast("int").alias("m"),
-        F.size(indicators).alias("n"),
-        F.size(reports).alias("n_reports"),
-        F.aggregate(indicators, F.lit(0),
-                    lambda acc, i: acc + category_impact(i["category"])).alias("text_sum"),
-        F.get(F.filter(reports, lambda r: r["risk_score"] == m), 0).alias("top"),
-        F.transform(indicators, lambda i: i["category"]).alias("cats"),
-    )
-
-
-def score_from_inputs(s: Column, indicators: Column) -> Column:
-    """Second stage: total, verdict, confidence, breakdown and ordered trace."""
-    m, n, text_sum = s["m"], s["n"], s["text_sum"]
-    before = F.greatest(text_sum, m)
-    with_domain = F.when(n >= 2, F.least(before + combo_boost(m, n), combo_cap(m, n))
-                         ).otherwise(before)
-    total = F.least(F.when(m > 0, with_domain).otherwise(F.least(text_sum, F.lit(85))),
-                    F.lit(100)).cast("int")
-    confidence = F.least(
-        55 + F.when(s["n_reports"] > 0, 15).otherwise(0)
-        + F.when(m >= 70, 15).otherwise(0) + F.least(n * 8, F.lit(24)),
-        F.lit(98)).cast("int")
-
-    def has(cat: str) -> Column:
-        return F.array_contains(s["cats"], cat)
-
-    lines = F.array_compact(F.array(
-        F.when(m > 50, F.lit(C.BREAKDOWN_DOMAIN)),
-        *[F.when(has(cat), F.lit(line)) for cat, line in C.BREAKDOWN_LINES]))
-    no_lines = F.size(lines) == 0
-    breakdown = F.when(no_lines, F.array(F.lit(C.BREAKDOWN_NONE))).otherwise(lines)
-
-    top = s["top"]
-    top_ind = top["indicators"]
-    domain_item = _trace_item(
-        F.lit(C.TRACE_DOMAIN_LABEL), m, F.lit("domain_pattern"), score_band(m),
-        F.concat(F.coalesce(top["domain"], F.lit("suspicious domain")), F.lit(": "),
-                 F.when(F.size(top_ind) > 0, F.array_join(F.slice(top_ind, 1, 2), "; "))
-                 .otherwise(F.lit(C.TRACE_DOMAIN_DEFAULT_EVIDENCE))),
-        F.lit(C.TRACE_DOMAIN_CALC))
-    text_items = F.transform(indicators, lambda i: _trace_item(
-        F.coalesce(i["category"], F.lit("Text Signal")), category_impact(i["category"]),
-        F.lit("message_text"), category_severity(i["category"]),
-        F.coalesce(i["detail"], F.lit(C.TRACE_TEXT_DEFAULT_EVIDENCE)),
-        F.concat(F.lit("+"), category_impact(i["category"]).cast("string"),
-                 F.lit(" for this matched social engineering signal."))))
-    combo_item = _trace_item(
-        F.lit(C.TRACE_COMBO_LABEL), total - before, F.lit("risk_synthesis"),
-        score_band(total), F.lit(C.TRACE_COMBO_EVIDENCE), F.lit(C.TRACE_COMBO_CALC))
-    baseline_item = _trace_item(
-        F.lit(C.TRACE_BASELINE_LABEL), F.lit(0), F.lit("local_rules"), F.lit("low"),
-        F.lit(C.TRACE_BASELINE_EVIDENCE), F.lit(C.TRACE_BASELINE_CALC))
-    trace = F.concat(
-        F.array_compact(F.array(F.when(top.isNotNull() & (m > 0), domain_item))),
-        text_items,
-        F.array_compact(F.array(F.when((m > 0) & (n >= 2), combo_item))),
-        F.array_compact(F.array(F.when(no_lines, baseline_item))),
-    )
-    return F.struct(
-        total.alias("risk_score"),
-        score_verdict(total).alias("verdict"),
-        confidence.alias("confidence"),
-        breakdown.alias("breakdown"),
-        trace.alias("score_trace"),
-        m.alias("max_domain_score"),
-        top["domain"].alias("top_domain"),
-        text_sum.cast("int").alias("text_sum"),
-    )
-
-
-def score_risk(reports: Column, indicators: Column) -> Column:
-    """K13 in one expression (pipelines use the two stages as columns)."""
-    return score_from_inputs(score_inputs(reports, indicators), indicators)
+    return case([(f"{m} >= 95 AND {n} >= 4", 100), (f"{m} >= 90", 98), (f"{m} >= 70", 96), (f"{m} >= 35", 88)], "85")
+
+
+def _item(label: str, impact: str, source: str, severity: str, evidence: str, calculation: str) -> str:
+    return (f"named_struct('label', {label}, 'impact', cast({impact} AS int), 'source', {lit(source)}, "
+            f"'severity', {severity}, 'evidence', {evidence}, 'calculation', {calculation})")
+
+
+_NO_ITEM = ("cast(array() AS array<struct<label: string, impact: int, source: string, severity: string, "
+            "evidence: string, calculation: string>>)")
+_DOMAIN_ITEM = _item(
+    lit(C.TRACE_DOMAIN_LABEL), "{max_domain_score}", "domain_pattern", _level("{max_domain_score}"),
+    "concat(coalesce({_top}.domain, 'suspicious domain'), ': ', CASE WHEN size({_top}.indicators) > 0 "
+    f"THEN array_join(slice({{_top}}.indicators, 1, 2), '; ') ELSE {lit(C.TRACE_DOMAIN_DEFAULT_EVIDENCE)} END)",
+    lit(C.TRACE_DOMAIN_CALC))
+_TEXT_ITEM = _item(
+    "coalesce(x.category, 'Text Signal')", _impact("x.category"), "message_text", _severity("x.category"),
+    f"coalesce(x.detail, {lit(C.TRACE_TEXT_DEFAULT_EVIDENCE)})",
+    f"concat('+', cast({_impact('x.category')} AS string), ' for this matched social engineering signal.')")
+_COMBO_ITEM = _item(lit(C.TRACE_COMBO_LABEL), "{risk_score} - {_before}", "risk_synthesis", _level("{risk_score}"),
+                    lit(C.TRACE_COMBO_EVIDENCE), lit(C.TRACE_COMBO_CALC))
+_BASELINE_ITEM = _item(lit(C.TRACE_BASELINE_LABEL), "0", "local_rules", "'low'", lit(C.TRACE_BASELINE_EVIDENCE),
+                       lit(C.TRACE_BASELINE_CALC))
+
+#: Inputs: domain_reports, indicators.
+SCORE = Stages(
+    {   # K4, K5: what the arrays say
+        "max_domain_score": "cast(greatest(coalesce(array_max(transform({domain_reports}, x -> x.risk_score)), 0), 0) AS int)",
+        "_n": "size({indicators})",
+        "_n_reports": "size({domain_reports})",
+        "text_sum": f"aggregate({{indicators}}, 0, (acc, x) -> acc + {_impact('x.category')})",
+        "_cats": "transform({indicators}, x -> x.category)",
+    }, {
+        "_top": "get(filter({domain_reports}, x -> x.risk_score = {max_domain_score}), 0)",
+        "_before": "greatest({text_sum}, {max_domain_score})",
+        "_lines": present([("{max_domain_score} > 50", lit(C.BREAKDOWN_DOMAIN)), *[
+            (f"array_contains({{_cats}}, {lit(c)})", lit(line)) for c, line in C.BREAKDOWN_LINES]]),
+        # K6
+        "confidence": "cast(least(55 + CASE WHEN {_n_reports} > 0 THEN 15 ELSE 0 END "
+                      "+ CASE WHEN {max_domain_score} >= 70 THEN 15 ELSE 0 END + least({_n} * 8, 24), 98) AS int)",
+    }, {    # K9
+        "risk_score": "cast(least(CASE WHEN {max_domain_score} > 0 THEN CASE WHEN {_n} >= 2 "
+                      f"THEN least({{_before}} + {_boost('{max_domain_score}', '{_n}')}, "
+                      f"{_cap('{max_domain_score}', '{_n}')}) ELSE {{_before}} END "
+                      "ELSE least({text_sum}, 85) END, 100) AS int)",
+    }, {    # K10-K12
+        "verdict": _band("{risk_score}", ("High", "Medium", "Low")),
+        "breakdown": f"CASE WHEN size({{_lines}}) = 0 THEN array({lit(C.BREAKDOWN_NONE)}) ELSE {{_lines}} END",
+        "score_trace": f"concat(CASE WHEN {{_top}} IS NOT NULL AND {{max_domain_score}} > 0 THEN array({_DOMAIN_ITEM}) ELSE {_NO_ITEM} END, "
+                       f"transform({{indicators}}, x -> {_TEXT_ITEM}), "
+                       f"CASE WHEN {{max_domain_score}} > 0 AND {{_n}} >= 2 THEN array({_COMBO_ITEM}) ELSE {_NO_ITEM} END, "
+                       f"CASE WHEN size({{_lines}}) = 0 THEN array({_BASELINE_ITEM}) ELSE {_NO_ITEM} END)",
+        "top_domain": "CASE WHEN {max_domain_score} > 0 THEN {_top}.domain END",
+    })
+_INNER = ["_n", "_n_reports", "_top", "_cats", "_before", "_lines"]
+SCORE_FIELDS = ["risk_score", "verdict", "confidence", "breakdown", "score_trace", "max_domain_score", "top_domain", "text_sum"]
 
 
 def add_score_columns(df, reports: str = "domain_reports", indicators: str = "indicators"):
-    """K1-K12 staged as separate top-level columns.
+    """K1-K12 as columns, one level a projection.
 
     Intermediate results are plain columns (not struct fields) so Catalyst keeps
     each computed once: field accesses on a struct constructor are inlined by the
     optimizer, which would copy the per-link domain expressions into every use.
     """
-    r, i = F.col(reports), F.col(indicators)
-    df = df.withColumns({
-        "max_domain_score": F.greatest(F.coalesce(
-            F.array_max(F.transform(r, lambda x: x["risk_score"])), F.lit(0)), F.lit(0)).cast("int"),
-        "_n": F.size(i),
-        "_n_reports": F.size(r),
-        "text_sum": F.aggregate(i, F.lit(0), lambda acc, x: acc + category_impact(x["category"])),
-        "_cats": F.transform(i, lambda x: x["category"])})
-    m, n, text_sum = F.col("max_domain_score"), F.col("_n"), F.col("text_sum")
-    before = F.greatest(text_sum, m)
-    with_domain = F.when(n >= 2, F.least(before + combo_boost(m, n), combo_cap(m, n))).otherwise(before)
-    lines = F.array_compact(F.array(
-        F.when(m > 50, F.lit(C.BREAKDOWN_DOMAIN)),
-        *[F.when(F.array_contains(F.col("_cats"), cat), F.lit(line)) for cat, line in C.BREAKDOWN_LINES]))
-    df = df.withColumns({
-        "_top": F.get(F.filter(r, lambda x: x["risk_score"] == F.col("max_domain_score")), 0),
-        "_lines": lines,
-        "_before": before,
-        "risk_score": F.least(F.when(m > 0, with_domain)
-                              .otherwise(F.least(text_sum, F.lit(85))), F.lit(100)).cast("int"),
-        "confidence": F.least(
-            55 + F.when(F.col("_n_reports") > 0, 15).otherwise(0)
-            + F.when(m >= 70, 15).otherwise(0) + F.least(n * 8, F.lit(24)), F.lit(98)).cast("int")})
-    total = F.col("risk_score")
-    no_lines = F.size(F.col("_lines")) == 0
-    top = F.col("_top")
-    top_ind = top["indicators"]
-    domain_item = _trace_item(
-        F.lit(C.TRACE_DOMAIN_LABEL), m, F.lit("domain_pattern"), score_band(m),
-        F.concat(F.coalesce(top["domain"], F.lit("suspicious domain")), F.lit(": "),
-                 F.when(F.size(top_ind) > 0, F.array_join(F.slice(top_ind, 1, 2), "; "))
-                 .otherwise(F.lit(C.TRACE_DOMAIN_DEFAULT_EVIDENCE))),
-        F.lit(C.TRACE_DOMAIN_CALC))
-    text_items = F.transform(i, lambda x: _trace_item(
-        F.coalesce(x["category"], F.lit("Text Signal")), category_impact(x["category"]),
-        F.lit("message_text"), category_severity(x["category"]),
-        F.coalesce(x["detail"], F.lit(C.TRACE_TEXT_DEFAULT_EVIDENCE)),
-        F.concat(F.lit("+"), category_impact(x["category"]).cast("string"),
-                 F.lit(" for this matched social engineering signal."))))
-    combo_item = _trace_item(
-        F.lit(C.TRACE_COMBO_LABEL), total - F.col("_before"), F.lit("risk_synthesis"),
-        score_band(total), F.lit(C.TRACE_COMBO_EVIDENCE), F.lit(C.TRACE_COMBO_CALC))
-    baseline_item = _trace_item(
-        F.lit(C.TRACE_BASELINE_LABEL), F.lit(0), F.lit("local_rules"), F.lit("low"),
-        F.lit(C.TRACE_BASELINE_EVIDENCE), F.lit(C.TRACE_BASELINE_CALC))
-    df = df.withColumns({
-        "verdict": score_verdict(total),
-        "breakdown": F.when(no_lines, F.array(F.lit(C.BREAKDOWN_NONE))).otherwise(F.col("_lines")),
-        "score_trace": F.concat(
-            F.when(top.isNotNull() & (m > 0), F.array(domain_item)).otherwise(F.slice(F.array(domain_item), 1, 0)),
-            text_items,
-            F.when((m > 0) & (n >= 2), F.array(combo_item)).otherwise(F.slice(F.array(combo_item), 1, 0)),
-            F.when(no_lines, F.array(baseline_item)).otherwise(F.slice(F.array(baseline_item), 1, 0))),
-        "top_domain": F.when(m > 0, top["domain"])})
-    return df.drop("_n", "_n_reports", "_top", "_cats", "_before", "_lines")
+    return SCORE.add(df, {"domain_reports": reports, "indicators": indicators}).drop(*_INNER)
+
+
+@rule
+def score_risk(reports: str, indicators: str) -> str:
+    """The same levels as one expression."""
+    return SCORE.nested({"domain_reports": reports, "indicators": indicators}, SCORE_FIELDS)

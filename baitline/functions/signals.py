@@ -1,4 +1,4 @@
-"""Persuasion signals (T1-T7) as column expressions.
+"""Persuasion signal rules.
 
 Keyword lexicons are substring tests on the lower-cased redacted text;
 brands are word matches. Everything is a built-in predicate evaluated in
@@ -10,83 +10,57 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from .rule import let, lit, present, rule
 
 # Word boundary that agrees across engines: not a letter, digit or '_'.
 _EDGE_L = r"(^|[^\p{L}\p{N}_])"
 _EDGE_R = r"([^\p{L}\p{N}_]|$)"
 
+HIT_FIELDS = ["urgency", "brands", "financial", "data", "relationship"]
+HIT_COLUMNS = [f"h_{f}" for f in HIT_FIELDS]
+
 
 def brand_word_pattern(brand: str) -> str:
     return _EDGE_L + brand + _EDGE_R
 
 
-def _matched(pairs: list[tuple[Column, str]]) -> Column:
-    """Values whose condition holds, in order. Built as
-    ``flatten(array(when(c, array(v)) else array()))`` so the whole expression is
-    code-generated (``array_compact`` is a lambda ``filter``: its children would
-    be interpreted, re-lowering the text for every keyword)."""
-    empty = F.array().cast("array<string>")
-    return F.flatten(F.array(*[F.when(cond, F.array(F.lit(v))).otherwise(empty)
-                               for cond, v in pairs]))
-
-
-def keyword_hits(lower_text: Column, keywords: list[str]) -> Column:
-    """Matched keywords in lexicon order."""
-    return _matched([(lower_text.contains(k), k) for k in keywords])
-
-
-def brand_hits(lower_text: Column) -> Column:
-    """Brands named as words (the substring test first keeps it cheap)."""
-    return _matched([(lower_text.contains(b) & lower_text.rlike(brand_word_pattern(b)), b)
-                     for b in C.BRANDS])
-
-
-def signal_hits(text: Column) -> Column:
-    """Raw hits per category over the (redacted) text."""
-    low = F.lower(text)
-    return F.struct(
-        keyword_hits(low, C.URGENCY_KEYWORDS).alias("urgency"),
-        brand_hits(low).alias("brands"),
-        keyword_hits(low, C.FINANCIAL_KEYWORDS).alias("financial"),
-        keyword_hits(low, C.DATA_KEYWORDS).alias("data"),
-        keyword_hits(low, C.RELATIONSHIP_KEYWORDS).alias("relationship"),
-    )
-
-
-_HIT_FIELDS = ["urgency", "brands", "financial", "data", "relationship"]
+def _hits(low: str, keywords: list[str] | None) -> str:
+    """Matched keywords of a lower-cased text in lexicon order; None: brands named as words
+    (the substring test first keeps it cheap)."""
+    if keywords is None:
+        return present([(f"contains({low}, {lit(b)}) AND {low} RLIKE {lit(brand_word_pattern(b))}", lit(b))
+                        for b in C.BRANDS])
+    return present([(f"contains({low}, {lit(k)})", lit(k)) for k in keywords])
 
 
-def indicators_from_hits(h: Column) -> Column:
-    """``array<struct<category, detail>>`` in category order; evidence is
-    the first three hits (all brands for Brand Impersonation)."""
-    items = []
-    for (category, keywords, prefix), field in zip(C.SIGNAL_CATEGORIES, _HIT_FIELDS):
-        hits = h[field]
-        shown = hits if keywords is None else F.slice(hits, 1, 3)
-        items.append(F.when(F.size(hits) > 0, F.struct(
-            F.lit(category).alias("category"),
-            F.concat(F.lit(prefix), F.array_join(shown, ", ")).alias("detail"))))
-    return F.array_compact(F.array(*items))
+_NO_INDICATOR = "cast(array() AS array<struct<category: string, detail: string>>)"
 
 
-def detect_signals(text: Column) -> Column:
-    return indicators_from_hits(signal_hits(text))
+def _indicators(hits: list[str]) -> str:
+    """``array<struct<category, detail>>`` in category order; evidence is the first three
+    hits (all brands for Brand Impersonation)."""
+    pairs = []
+    for (category, keywords, prefix), h in zip(C.SIGNAL_CATEGORIES, hits):
+        shown = h if keywords is None else f"slice({h}, 1, 3)"
+        pairs.append((f"size({h}) > 0", f"named_struct('category', {lit(category)}, "
+                                        f"'detail', concat({lit(prefix)}, array_join({shown}, ', ')))"))
+    return present(pairs, _NO_INDICATOR)
 
 
-def categories_text(indicators: Column, sep: str = "|") -> Column:
-    return F.array_join(F.transform(indicators, lambda i: i["category"]), sep)
+@rule
+def detect_signals(text: str) -> str:
+    """T1-T7 in one expression; the lower-cased text and the hits are bound once."""
+    found = ", ".join(f"{lit(f)}, {_hits('low', k)}" for f, (_, k, _) in zip(HIT_FIELDS, C.SIGNAL_CATEGORIES))
+    return let("low", f"lower({text})", let("h", f"named_struct({found})", _indicators([f"h.{f}" for f in HIT_FIELDS])))
 
 
-def hit_rows(h: Column) -> Column:
-    """T8 long form: ``array<struct<category, rank, keyword>>`` (explode it)."""
-    def rows_of(category: str, hits: Column) -> Column:
-        return F.transform(hits, lambda k, i: F.struct(
-            F.lit(category).alias("category"), (i + 1).alias("rank"), k.alias("keyword")))
-    return F.concat(*[rows_of(category, h[field]) for (category, _, _), field
-                      in zip(C.SIGNAL_CATEGORIES, _HIT_FIELDS)])
+def signal_hit_columns(text: str) -> dict[str, Column]:
+    """{hit column: expression} for ``withColumns`` (one projection)."""
+    return {c: F.expr(_hits(f"lower({text})", k)) for c, (_, k, _) in zip(HIT_COLUMNS, C.SIGNAL_CATEGORIES)}
 
 
-HIT_COLUMNS = ["h_urgency", "h_brands", "h_financial", "h_data", "h_relationship"]
+def indicators_from_columns() -> Column:
+    return F.expr(_indicators(HIT_COLUMNS))
 
 
 def add_signal_columns(df, text: str, out: str = "indicators"):
@@ -94,19 +68,12 @@ def add_signal_columns(df, text: str, out: str = "indicators"):
     return df.withColumns(signal_hit_columns(text)).withColumn(out, indicators_from_columns())
 
 
-def signal_hit_columns(text: str) -> dict:
-    """{hit column: expression} for ``withColumns`` (one projection)."""
-    low = F.lower(F.col(text))
-    hits = [keyword_hits(low, C.URGENCY_KEYWORDS), brand_hits(low),
-            keyword_hits(low, C.FINANCIAL_KEYWORDS), keyword_hits(low, C.DATA_KEYWORDS),
-            keyword_hits(low, C.RELATIONSHIP_KEYWORDS)]
-    return dict(zip(HIT_COLUMNS, hits))
-
+def categories_text(indicators: Column, sep: str = "|") -> Column:
+    return F.array_join(F.transform(indicators, lambda i: i["category"]), sep)
 
-def indicators_from_columns() -> Column:
-    h = {f: F.col(c) for f, c in zip(_HIT_FIELDS, HIT_COLUMNS)}
 
-    class _H:
-        def __getitem__(self, k):
-            return h[k]
-    return indicators_from_hits(_H())
+def hit_rows() -> Column:
+    """T8 long form over the hit columns: ``array<struct<category, rank, keyword>>`` (inline it)."""
+    return F.expr("concat(" + ", ".join(
+        f"transform({h}, (k, i) -> named_struct('category', {lit(category)}, 'rank', i + 1, 'keyword', k))"
+        for (category, _, _), h in zip(C.SIGNAL_CATEGORIES, HIT_COLUMNS)) + ")")

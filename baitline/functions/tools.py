@@ -1,18 +1,18 @@
 """The tool surface.
 
-Seven named tools plus their aliases map to the column functions of this
-package (``call_tool``); an unknown name raises ``ValueError``. The scalar
-tools whose bodies are plain SQL are also registered as SQL temporary
-functions with ``DEFAULT`` arguments, so ``SELECT redact_pii(text) FROM t``
-runs as a built-in expression (no Python UDF). Composite tools (domain
-inspection, signals, score, packet) are exposed to SQL through the report
-view registered by ``register_report_view``.
+Seven named tools and their aliases, for DataFrame users (``call_tool``) and as SQL
+functions with default arguments (``register_sql_functions``): ``SELECT redact_pii(text)
+FROM t`` is inlined as a built-in expression, no Python UDF. The body of every function is
+the text of the rule that the pipeline runs; nothing is written twice.
+
+Two table functions give rows instead of arrays, for lateral joins:
+``SELECT m.id, r.* FROM messages m, LATERAL link_reports(m.text) r``.
 """
 from __future__ import annotations
 
-from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -23,106 +23,94 @@ from . import redact as R
 from . import report as G
 from . import scoring as K
 from . import signals as T
-from .regex import python_re
-
-
-def _steps_tool(verdict: Column | None = None, situation: Column | None = None) -> Column:
-    # the verdict argument is accepted and ignored, like the original tool
-    return P.safe_steps(situation if situation is not None else F.lit("before_click"))
-
-
-def _packet_tool(text: Column | None = None, redacted_text: Column | None = None,
-                 risk_score: Column | None = None, indicators: Column | None = None,
-                 safe_steps: Column | None = None) -> Column:
-    empty_ind = F.array().cast("array<struct<category:string,detail:string>>")
-    return G.case_packet(
-        redacted_text if redacted_text is not None else F.lit(""),
-        risk_score if risk_score is not None else F.lit(0),
-        indicators if indicators is not None else empty_ind,
-        safe_steps if safe_steps is not None else F.array().cast("array<string>"))
-
 
-def _or_empty(col: Column | None) -> Column:
-    return col if col is not None else F.lit("")
-
-
-TOOLS: dict[str, Callable[..., Column]] = {
-    "redact_pii": lambda text=None: R.redact_pii(_or_empty(text)),
-    "extract_links": lambda text=None: L.extract_links(_or_empty(text)),
-    "inspect_domain_pattern": lambda domain=None: D.inspect_domain(_or_empty(domain)),
-    "detect_social_engineering": lambda text=None: T.detect_signals(_or_empty(text)),
-    "score_risk": lambda domain_reports, text_indicators: K.score_risk(domain_reports, text_indicators),
-    "generate_safe_steps": _steps_tool,
-    "generate_report_draft": _packet_tool,
+LINKS = "ARRAY<STRUCT<original: STRING, domain: STRING>>"
+REPORT = ("STRUCT<domain: STRING, risk_score: INT, verdict: STRING, indicators: ARRAY<STRING>, "
+          "detected_brands: ARRAY<STRING>>")
+INDICATORS = "ARRAY<STRUCT<category: STRING, detail: STRING>>"
+SCORE = ("STRUCT<risk_score: INT, verdict: STRING, confidence: INT, breakdown: ARRAY<STRING>, "
+         "score_trace: ARRAY<STRUCT<label: STRING, impact: INT, source: STRING, severity: STRING, evidence: STRING, "
+         "calculation: STRING>>, max_domain_score: INT, top_domain: STRING, text_sum: INT>")
+
+
+@dataclass(frozen=True)
+class Tool:
+    """Parameters as (name, type, default as SQL), the result's type, and the body over the parameters."""
+    parameters: list[tuple[str, str, str]]
+    returns: str
+    body: str
+
+    def signature(self) -> str:
+        return ", ".join(f"{n} {t} DEFAULT {d}" for n, t, d in self.parameters)
+
+
+def _none(kind: str) -> str:
+    return f"cast(array() AS {kind})"
+
+
+_TEXT = [("text", "STRING", "''")]
+TOOLS: dict[str, Tool] = {
+    "redact_pii": Tool(_TEXT, "STRING", R.redact_pii.sql("text")),
+    "extract_links": Tool(_TEXT, LINKS, L.extract_links.sql("text")),
+    "inspect_domain_pattern": Tool([("domain", "STRING", "''")], REPORT, D.inspect_domain.sql("domain")),
+    "detect_social_engineering": Tool(_TEXT, INDICATORS, T.detect_signals.sql("text")),
+    "score_risk": Tool([("domain_reports", f"ARRAY<{REPORT}>", _none(f"ARRAY<{REPORT}>")),
+                        ("text_indicators", INDICATORS, _none(INDICATORS))],
+                       SCORE, K.score_risk.sql("domain_reports", "text_indicators")),
+    # the verdict argument is accepted and has no effect
+    "generate_safe_steps": Tool([("verdict", "STRING", "'Low'"), ("situation", "STRING", "'before_click'")],
+                                "ARRAY<STRING>", P.safe_steps.sql("situation")),
+    "generate_report_draft": Tool([("text", "STRING", "''"), ("redacted_text", "STRING", "''"), ("risk_score", "INT", "0"),
+                                   ("indicators", INDICATORS, _none(INDICATORS)),
+                                   ("safe_steps", "ARRAY<STRING>", _none("ARRAY<STRING>"))],
+                                  "STRING", G.case_packet.sql("redacted_text", "risk_score", "indicators", "safe_steps")),
 }
 ALIASES = {alias: name for name, alias in C.TOOL_ALIASES.items()}
 
+#: Further functions: the verdict of a score, and rows for lateral joins.
+SCALARS = {"risk_verdict": Tool([("score", "INT", "0")], "STRING", K.score_verdict.sql("score"))}
+TABLES = {
+    "link_reports": Tool([("text", "STRING", "''")], "pos INT, original STRING, domain STRING, risk_score INT, verdict STRING, "
+                         "indicators ARRAY<STRING>, detected_brands ARRAY<STRING>",
+                         "SELECT pos + 1, link.original, r.domain, r.risk_score, r.verdict, r.indicators, r.detected_brands "
+                         f"FROM (SELECT pos, link, {D.inspect_domain.sql('link.domain')} AS r "
+                         f"FROM (SELECT posexplode({L.extract_links.sql('text')}) AS (pos, link)))"),
+    "text_signals": Tool([("text", "STRING", "''")], "pos INT, category STRING, detail STRING",
+                         "SELECT pos + 1, signal.category, signal.detail "
+                         f"FROM (SELECT posexplode({T.detect_signals.sql('text')}) AS (pos, signal))"),
+}
 
-def resolve_tool(name: str) -> Callable[..., Column]:
+
+def resolve_tool(name: str) -> Tool:
     canonical = name if name in TOOLS else ALIASES.get(name)
     if canonical is None:
         raise ValueError(f"Unknown tool: {name}")
     return TOOLS[canonical]
 
 
-def call_tool(name: str, **kwargs: Column) -> Column:
-    return resolve_tool(name)(**kwargs)
-
-
-# --- SQL registration ----------------------------------------------------------
-
-def sql_lit(s: str) -> str:
-    """A Spark SQL string literal (backslashes and quotes escaped)."""
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def _array_sql(items: list[str]) -> str:
-    return "array(" + ", ".join(sql_lit(x) for x in items) + ")"
-
-
-def redact_sql(arg: str) -> str:
-    out = arg
-    for pattern, mask in C.REDACTION_PASSES:
-        out = f"regexp_replace({out}, {sql_lit(python_re(pattern))}, {sql_lit(mask)})"
-    return out
-
-
-def steps_sql(arg: str) -> str:
-    whens = " ".join(f"WHEN {arg} = {sql_lit(s)} THEN {_array_sql(v)}" for s, v in C.SAFE_STEPS.items())
-    return f"CASE {whens} ELSE {_array_sql(C.GENERIC_STEPS)} END"
-
-
-def links_sql(arg: str) -> str:
-    netloc = (f"regexp_extract(CASE WHEN startswith(u, 'http') THEN u ELSE concat('http://', u) END, "
-              f"{sql_lit('^https?://([^/?#]*)')}, 1)")
-    bracket_ok = sql_lit(r"^[^\[\]]*\[[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*\][^\[\]]*$")
-    domain = f"regexp_replace(substring_index(lower(l.netloc), ':', 1), {sql_lit(r'^www[.]')}, '')"
-    return (f"filter(transform(filter(transform(regexp_extract_all({arg}, {sql_lit(python_re(C.URL_PATTERN))}, 1), "
-            f"u -> named_struct('original', u, 'netloc', {netloc})), "
-            f"l -> NOT (contains(l.netloc, '[') OR contains(l.netloc, ']')) OR l.netloc RLIKE {bracket_ok}), "
-            f"l -> named_struct('original', l.original, 'domain', {domain})), x -> x.domain != '')")
+def call_tool(name: str, **operands: Column) -> Column:
+    """A tool on columns, by name or alias; operands that are left out get their defaults."""
+    tool = resolve_tool(name)
+    known = {n for n, _, _ in tool.parameters}
+    if set(operands) - known:
+        raise ValueError(f"{name} has no operand {sorted(set(operands) - known)}")
+    bound = F.struct(*[operands.get(n, F.expr(d)).cast(t).alias(n) for n, t, d in tool.parameters])
+    # parameters become fields of a bound struct, so a name never meets a column of the table
+    body = tool.body
+    for n, _, _ in reversed(tool.parameters):
+        body = f"get(transform(array(given.{n}), {n} -> {body}), 0)"
+    return F.get(F.call_function("transform", F.array(bound), F.expr(f"given -> {body}")), F.lit(0))
 
 
 def register_sql_functions(spark: SparkSession) -> list[str]:
-    """Register the scalar tools (and their aliases) as SQL temporary functions."""
-    bodies = {
-        "redact_pii": ("text STRING DEFAULT ''", "STRING", redact_sql("text")),
-        "extract_links": ("text STRING DEFAULT ''",
-                          "ARRAY<STRUCT<original: STRING, domain: STRING>>", links_sql("text")),
-        "generate_safe_steps": ("verdict STRING DEFAULT 'Low', situation STRING DEFAULT 'before_click'",
-                                "ARRAY<STRING>", steps_sql("situation")),
-        "risk_verdict": ("score INT DEFAULT 0", "STRING",
-                         "CASE WHEN score >= 70 THEN 'High' WHEN score >= 35 THEN 'Medium' ELSE 'Low' END"),
-    }
-    names = []
-    for name, (params, returns, body) in bodies.items():
-        for fn in [name] + ([C.TOOL_ALIASES[name]] if name in C.TOOL_ALIASES else []):
-            spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {fn}({params}) RETURNS {returns} RETURN {body}")
-            names.append(fn)
-    return names
-
-
-def register_report_view(reports: DataFrame, name: str = "reports") -> str:
-    """Expose full report rows (domain reports, indicators, score, packet) to SQL."""
-    reports.createOrReplaceTempView(name)
-    return name
+    """Register the tools, their aliases, ``risk_verdict`` and the table functions for this session."""
+    made = []
+    for name, tool in (TOOLS | SCALARS).items():
+        for fn in [name, *([C.TOOL_ALIASES[name]] if name in C.TOOL_ALIASES else [])]:
+            spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {fn}({tool.signature()}) RETURNS {tool.returns} RETURN {tool.body}")
+            made.append(fn)
+    for name, tool in TABLES.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({tool.signature()}) RETURNS TABLE({tool.returns}) "
+                  f"RETURN {tool.body}")
+        made.append(name)
+    return made

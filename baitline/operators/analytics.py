@@ -11,13 +11,15 @@ they run in the report's own stage. Cross-case views shuffle once:
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import redact as R
 from ..functions import report as G
 from ..functions.rows import positioned
+from ..plans.investigate import report_struct
+from ..sources.history import newest_cases
 from .domains import report_of
 
 
@@ -38,6 +40,19 @@ def evidence_stats(rep: DataFrame) -> DataFrame:
         F.array_join(F.slice("breakdown", 1, 3), " | ").alias("breakdown_preview"))
 
 
+def popup_preview(rep: DataFrame) -> DataFrame:
+    """A8, popup form: headline, summary, the first three contributors with their tone, next step."""
+    def js_or(*values: Column) -> Column:
+        return F.coalesce(*[F.nullif(v, F.lit("")) for v in values])
+    pills = F.transform(F.slice("score_trace", 1, 3), lambda t: F.concat(
+        F.lit("+"), t["impact"].cast("string"), F.lit(" "), t["label"], F.lit(" ["), G.risk_band(t["impact"]), F.lit("]")))
+    return rep.select(
+        "msg_id", F.concat("verdict", F.lit(" / "), F.col("risk_score").cast("string")).alias("headline"),
+        js_or(F.col("ai_analysis.executive_summary"), F.get("breakdown", 0), F.lit("Review recommended.")).alias("summary"),
+        F.array_join(pills, " | ").alias("pills"),
+        js_or(F.get("safe_steps", 0), F.lit("Use official channels before interacting.")).alias("next_step"))
+
+
 def _by_impact(a: Column, b: Column) -> Column:
     """Descending impact, then trace position (stable)."""
     return (F.when(a["impact"] > b["impact"], -1).when(a["impact"] < b["impact"], 1)
@@ -60,10 +75,24 @@ def primary_evidence(reports: Column, indicators: Column) -> Column:
 
 
 def case_id(msg_id: Column) -> Column:
-    return F.concat(F.lit("case-"), msg_id.cast("string"))
+    """A4: an id that does not show the message's own, the same on every run."""
+    return F.concat(F.lit("case-"), F.substring(F.md5(msg_id.cast("string")), 1, 12))
+
+
+def stored_report(rep: DataFrame) -> Column:
+    """The nested report as the history keeps it: links by domain only, no transcription."""
+    stored, safe_links = G.sanitize_for_history(F.col("redacted_text"), F.col("links"))
+    return (report_struct(rep).withField("redacted_text", stored).withField("links", safe_links)
+            .withField("extracted_text", F.lit(None).cast("string")))
+
+
+def case_files(rep: DataFrame) -> DataFrame:
+    """A4 with its report: the rows of the history store. A reader of a few report fields reads
+    those columns only (nested column pruning)."""
+    return case_records(rep, stored_report(rep).alias("report"))
 
 
-def case_records(rep: DataFrame) -> DataFrame:
+def case_records(rep: DataFrame, *more: Column) -> DataFrame:
     """A4: the stored case row (sanitised text, route, counts)."""
     stored, safe_links = G.sanitize_for_history(F.col("redacted_text"), F.col("links"))
     return rep.select(
@@ -74,43 +103,103 @@ def case_records(rep: DataFrame) -> DataFrame:
         F.size("domain_reports").alias("domain_count"),
         F.size("indicators").alias("indicator_count"),
         R.text_preview(F.col("redacted_text")).alias("text_preview"),
-        stored.alias("stored_text"), safe_links.alias("stored_links"))
+        stored.alias("stored_text"), safe_links.alias("stored_links"), *more)
 
 
-def recent_cases(cases: DataFrame, n: int = C.HISTORY_SIZE) -> DataFrame:
+def recent_cases(cases: DataFrame, n: int = C.HISTORY_SIZE, *more: Column) -> DataFrame:
     """Newest ``n`` cases per user with list-row labels."""
-    w = Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("msg_id").desc())
-    ranked = cases.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
-    return ranked.select(
+    return newest_cases(cases, n).select(
         "user_id", "rank", "msg_id", "case_id",
         F.date_format("ts", "MMM d, hh:mm a").alias("time_label"),
         G.status_line(F.col("verdict"), F.col("risk_score")).alias("status"),
         "text_preview", G.situation_label(F.col("situation")).alias("situation_label"),
-        "domain_count", "indicator_count", "ai_route")
+        "domain_count", "indicator_count", "ai_route", *more)
+
+
+def _domain_mentions(rep: DataFrame) -> DataFrame:
+    """A row per link: (msg_id, user_id, ts, domain, is_first of its message)."""
+    return (rep.select("msg_id", "user_id", "ts",
+                       F.transform("domain_reports", lambda r: r["domain"]).alias("domains"))
+            .select("msg_id", "user_id", "ts", positioned(F.transform("domains", lambda d, i: F.struct(
+                d.alias("domain"), (F.array_position(F.col("domains"), d) == i + 1).alias("is_first"))),
+                ["domain", "is_first"])))
+
+
+def _campaign_rows(counted: DataFrame) -> DataFrame:
+    """Campaign rows from ``domain, n_links, n_messages, n_users, first_ts, last_ts``: risk and
+    brands depend on the domain alone and are computed once for each."""
+    reported = counted.withColumn("report", report_of("domain"))
+    return reported.select(
+        "domain", "n_links", "n_messages", "n_users", F.col("report.risk_score").alias("max_risk"),
+        F.date_format("first_ts", "yyyy-MM-dd HH:mm:ss").alias("first_seen"),
+        F.date_format("last_ts", "yyyy-MM-dd HH:mm:ss").alias("last_seen"),
+        F.array_join("report.detected_brands", ",").alias("brands"))
 
 
 def campaigns(rep: DataFrame) -> DataFrame:
     """Repeated domains across cases (``msg_id`` is unique in ``rep``).
 
     Each row marks the first link of its message to the domain, so messages are
-    a plain sum and users the only distinct count. Risk and brands depend on the
-    domain alone and are computed once for each domain, after the aggregate.
+    a plain sum and users the only distinct count.
     """
-    rows = (rep.select("user_id", "ts", F.transform("domain_reports", lambda r: r["domain"]).alias("domains"))
-            .select("user_id", "ts", positioned(F.transform("domains", lambda d, i: F.struct(
-                d.alias("domain"), (F.array_position(F.col("domains"), d) == i + 1).alias("is_first"))),
-                ["domain", "is_first"])))
-    counted = rows.groupBy("domain").agg(
+    return _campaign_rows(_domain_mentions(rep).groupBy("domain").agg(
         F.count(F.lit(1)).alias("n_links"),
         F.sum(F.col("is_first").cast("bigint")).alias("n_messages"),
         F.countDistinct("user_id").alias("n_users"),
-        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-    reported = counted.withColumn("report", report_of(F.col("domain")))
-    return reported.select(
-        "domain", "n_links", "n_messages", "n_users", F.col("report.risk_score").alias("max_risk"),
-        F.date_format("first_ts", "yyyy-MM-dd HH:mm:ss").alias("first_seen"),
-        F.date_format("last_ts", "yyyy-MM-dd HH:mm:ss").alias("last_seen"),
-        F.array_join("report.detected_brands", ",").alias("brands"))
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")))
+
+
+# --- A7 day by day: mergeable partial campaigns ----------------------------------------
+
+def campaign_days(rep: DataFrame) -> DataFrame:
+    """One row per (domain, day, block of 32,768 user ids): sums, bounds and the exact set of
+    users and of messages' users as bitmaps. All columns merge, so a day is computed once.
+
+    A bitmap takes 4 KB in memory and little on disk (mostly zero bytes, compressed);
+    the number of rows is at most the number of links.
+    """
+    rows = _domain_mentions(rep).withColumns({
+        "day": F.to_date("ts"), "block": F.bitmap_bucket_number("user_id"),
+        "bit": F.bitmap_bit_position("user_id")})
+    return rows.groupBy("domain", "day", "block").agg(
+        F.count(F.lit(1)).alias("n_links"), F.sum(F.col("is_first").cast("bigint")).alias("n_messages"),
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
+        F.bitmap_construct_agg("bit").alias("users"))
+
+
+def merge_days(days: DataFrame) -> DataFrame:
+    """A7 from any days' partial campaigns: equals ``campaigns`` over their messages."""
+    blocks = days.groupBy("domain", "block").agg(
+        F.sum("n_links").alias("n_links"), F.sum("n_messages").alias("n_messages"),
+        F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"),
+        F.bitmap_or_agg("users").alias("users"))
+    return _campaign_rows(blocks.groupBy("domain").agg(
+        F.sum("n_links").alias("n_links"), F.sum("n_messages").alias("n_messages"),
+        F.sum(F.when(F.col("block").isNull(), 0).otherwise(F.bitmap_count("users"))).alias("n_users"),
+        F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts")))
+
+
+def campaign_totals(days: DataFrame) -> DataFrame:
+    """A7 with totals: per domain verdict, per day, and over all (GROUPING SETS).
+
+    ``level`` names the set; users are counted once in each, because their bitmaps are
+    joined by OR and not added up.
+    """
+    domains = days.select("domain").distinct()
+    verdicts = domains.select("domain", report_of("domain")["verdict"].alias("domain_verdict"))
+    rows = days.join(verdicts, "domain")
+    verdict, day = F.col("domain_verdict"), F.col("day")
+    blocks = rows.groupingSets([[verdict, F.col("block")], [day, F.col("block")], [F.col("block")]],
+                               verdict, day, F.col("block")).agg(
+        F.grouping("domain_verdict").alias("no_verdict"), F.grouping("day").alias("no_day"),
+        F.sum("n_links").alias("n_links"), F.bitmap_or_agg("users").alias("users"),
+        F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
+    level = (F.when(F.col("no_verdict") == 0, "verdict").when(F.col("no_day") == 0, "day").otherwise("all"))
+    return (blocks.groupBy(level.alias("level"), "domain_verdict", F.date_format("day", "yyyy-MM-dd").alias("day"))
+            .agg(F.sum("n_links").alias("n_links"),
+                 F.sum(F.when(F.col("block").isNull(), 0).otherwise(F.bitmap_count("users"))).alias("n_users"),
+                 F.date_format(F.min("first_ts"), "yyyy-MM-dd HH:mm:ss").alias("first_seen"),
+                 F.date_format(F.max("last_ts"), "yyyy-MM-dd HH:mm:ss").alias("last_seen")))
 
 
 def brand_campaigns(rep: DataFrame) -> DataFrame:

@@ -20,16 +20,15 @@ from pyspark.sql import functions as F
 from ..functions import domains as D
 
 
-def report_of(domain: Column) -> Column:
-    """The report of one domain, staged through a one-element array so each rule input is bound once."""
-    return F.get(F.transform(F.transform(F.transform(F.array(domain), D.domain_prep),
-                                         D.flags_from_prep), D.report_from_flags), 0)
+def report_of(domain: str | Column) -> Column:
+    """The report of one domain."""
+    return D.inspect_domain(domain)
 
 
 def domain_dimension(links: DataFrame) -> DataFrame:
     """``domain, report, n_links`` for every distinct domain of ``links``."""
     counted = links.groupBy("domain").agg(F.count(F.lit(1)).alias("n_links"))
-    return counted.select("domain", report_of(F.col("domain")).alias("report"), "n_links")
+    return counted.select("domain", report_of("domain").alias("report"), "n_links")
 
 
 def attach_reports(links: DataFrame, dimension: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import links as L
 from ..functions import redact as R
+from ..functions.scoring import score_verdict
 
 
 def fixture_text(marker: Column) -> Column:
@@ -24,7 +25,7 @@ def fixture_text(marker: Column) -> Column:
 
 def source_text(text: Column, marker: Column) -> Column:
     """Q1: typed text, else fixture text, else the default sentence; trimmed."""
-    return R.strip_ws(F.coalesce(F.nullif(text, F.lit("")), F.nullif(fixture_text(marker), F.lit("")),
+    return R.strip_js(F.coalesce(F.nullif(text, F.lit("")), F.nullif(fixture_text(marker), F.lit("")),
                                  F.lit(C.LITE_DEFAULT_TEXT)))
 
 
@@ -119,7 +120,7 @@ def _item(label, impact, source, severity, evidence, calculation) -> Column:
 
 
 def add_lite_report(df: DataFrame, marker: str = "image") -> DataFrame:
-    """Q6/Q8: lite score trace (<= 4 items), fallback note and the 8-step trace."""
+    """Q6/Q8: lite score trace (<= 4 items), fallback note, the 8-step trace, the domain record and the transcription."""
     c = F.col
     has_domain, has_brand = c("lite_domain") != "", c("lite_brand") != "UNKNOWN"
     low = F.lower(c("lite_text"))
@@ -174,10 +175,29 @@ def add_lite_report(df: DataFrame, marker: str = "image") -> DataFrame:
         step(C.STEP_PLAN, "Generated contextual user-safe next steps."),
         step(C.STEP_NOTE, "Backend unavailable; browser demo fallback explanation attached."),
         step(C.STEP_PACKET, "Built a compact client-side demo case packet."))
-    return df.withColumns({"lite_note": note, "lite_trace": steps})
+    domain_report = F.struct(
+        c("lite_domain").alias("domain"), risk.alias("risk_score"), score_verdict("lite_domain_risk").alias("verdict"),
+        c("lite_breakdown").alias("indicators"),
+        F.when(has_brand, F.array(F.lower("lite_brand"))).otherwise(F.array().cast("array<string>"))
+        .alias("detected_brands"))
+    return df.withColumns({
+        "lite_note": note, "lite_trace": steps,
+        "lite_domain_reports": F.filter(F.array(domain_report), lambda r: r["domain"] != ""),
+        "lite_extracted_text": F.when(image, c("lite_text"))})
 
 
 def agreement(rep: DataFrame) -> DataFrame:
     """Q9: confusion counts of the full and the lite verdicts."""
     return rep.groupBy(F.col("verdict").alias("full_verdict"),
                        F.col("lite_verdict")).agg(F.count(F.lit(1)).alias("n_messages"))
+
+
+def agreement_totals(rep: DataFrame) -> DataFrame:
+    """Q9 with its margins: the matrix, a total per verdict of either rule set, and over all (CUBE).
+
+    ``level`` tells a margin from a verdict that is null: 0 cell, 1 row total of the full
+    verdict, 2 of the lite verdict, 3 all.
+    """
+    return rep.cube(F.col("verdict").alias("full_verdict"), "lite_verdict").agg(
+        F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("n_messages"),
+        F.sum((F.col("verdict") == F.col("lite_verdict")).cast("bigint")).alias("n_agree"))

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import plan as P
-from ..functions.redact import strip_ws
+from ..functions import report as G
+from ..functions.redact import strip_js, strip_ws
 
 #: Follows the text inside a list, so that text after the first JSON value is seen as an error.
 END_MARK = "end of answer"
@@ -29,7 +30,8 @@ END_MARK = "end of answer"
 def parse_whole(text: Column) -> Column:
     """VARIANT of a text that is one JSON value and nothing else; else null."""
     listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f', "{END_MARK}"]')))
-    return F.when(F.try_variant_get(listed, "$[1]", "string") == END_MARK,
+    return F.when((F.size(F.try_variant_get(listed, "$", "array<variant>")) == 2)
+                  & (F.try_variant_get(listed, "$[1]", "string") == END_MARK),
                   F.try_variant_get(listed, "$[0]", "variant"))
 
 
@@ -58,8 +60,8 @@ def field(value: Column, key: str, kind: str = "string") -> Column:
 
 def strip_fence(text: Column) -> Column:
     """Drop a leading ```json / trailing ``` fence."""
-    t = strip_ws(text)
-    return strip_ws(F.regexp_replace(F.regexp_replace(t, r"(?i)^```(?:json)?", ""), "```$", ""))
+    t = strip_js(text)
+    return strip_js(F.regexp_replace(F.regexp_replace(t, r"(?i)^```(?:json)?", ""), "```$", ""))
 
 
 def string_list(raw: Column, limit: int = 3) -> Column:
@@ -109,7 +111,7 @@ def note_inputs(attempts: DataFrame) -> DataFrame:
         c("http_code") != 200, F.concat(c("http_code").cast("string"), F.lit(": "), detail)).otherwise(
         F.lit("invalid JSON object"))
     call = F.struct(
-        (~ok).alias("failed"), c("http_code").eqNullSafe(429).alias("busy"),
+        (~ok).alias("failed"), (~ok & failure.contains("429")).alias("busy"),
         F.concat(c("model"), F.lit(" -> "), failure).alias("failure"),
         F.coalesce(optional("response_model"), c("model")).alias("model"),
         c("content").alias("content"), c("request_id").alias("request_id"), optional("usage").alias("usage"))
@@ -152,7 +154,7 @@ def live_or_offline(offline: Column, verdict: Column, situation: Column,
         F.col("note_usage").alias("usage"),
         text("executive_summary").alias("executive_summary"),
         text("user_explanation").alias("user_explanation"),
-        strip_ws(F.coalesce(field(obj, "recommended_priority"), P.priority(verdict, situation))
+        strip_ws(F.coalesce(field(obj, "recommended_priority"), P.priority("verdict", "situation"))
                  ).alias("recommended_priority"),
         normalize_evidence(field(obj, "evidence", "variant"), verdict).alias("evidence"),
         string_list(field(obj, "questions", "variant")).alias("questions"),
@@ -181,6 +183,19 @@ def prompt_payload(redacted: Column, situation: Column, verdict: Column, risk_sc
         F.lit("The message was PII-redacted locally before this model prompt.").alias("privacy_note")))
 
 
+def browser_payload(df: DataFrame) -> Column:
+    """P6, browser variant: the body over lite-report columns (links by domain only)."""
+    c = F.col
+    return F.to_json(F.struct(
+        G.situation_label(c("situation")).alias("context"), c("lite_verdict").alias("verdict"),
+        c("lite_score").alias("risk_score"), c("lite_confidence").alias("confidence"),
+        c("lite_redacted").alias("redacted_text"),
+        F.transform("lite_links", lambda l: F.struct(l["domain"].alias("domain"))).alias("links"),
+        c("lite_domain_reports").alias("domain_reports"),
+        c("lite_indicators").alias("social_engineering_indicators"),
+        c("lite_score_trace").alias("score_trace"), c("lite_steps").alias("local_next_actions")))
+
+
 def model_routes(primary: Column) -> Column:
     """The primary model then the fallbacks, order kept, duplicates and blanks dropped."""
     return F.array_distinct(F.filter(
@@ -201,6 +216,18 @@ def browser_answers(attempts: DataFrame) -> DataFrame:
                        F.lit(True).alias("b_called"))
 
 
+def unanswered(messages: DataFrame, attempts: DataFrame, situations: DataFrame) -> DataFrame:
+    """The worklist for a model job: messages of a known situation without an answer.
+
+    Membership is a semi join with the situations, "no answer" a null-safe anti join with
+    the answered messages: a message without an id stays on the list once per row.
+    """
+    answered = (note_inputs(attempts).where(F.col("note_model").isNotNull())
+                .select(F.col("msg_id").alias("answered_id")))
+    known = messages.join(F.broadcast(situations.select("situation")), "situation", "left_semi")
+    return known.join(answered, known["msg_id"].eqNullSafe(answered["answered_id"]), "left_anti")
+
+
 def browser_parse(content: Column) -> Column:
     """Fence stripped, then the whole text or first '{' to last '}'; null counts as ``{}``."""
     return parse_object(strip_fence(content))
@@ -210,8 +237,9 @@ def overlay_columns(df: DataFrame) -> DataFrame:
     """P15 over lite-report rows joined with ``browser_answers``: evidence <= 4,
     actions <= 5 (else the steps), questions <= 3, packet and trace rewritten."""
     c = F.col
-    has = c("b_model").isNotNull()
-    obj = browser_parse(c("b_content"))
+    # a column of its own: parsed once, whatever number of fields is read
+    df = df.withColumn("_answer", browser_parse(c("b_content")))
+    has, obj = c("b_model").isNotNull(), c("_answer")
 
     def js_or(*vals: Column) -> Column:   # JavaScript `a || b`: '' and null are false
         return F.coalesce(*[F.nullif(v, F.lit("")) for v in vals])
@@ -235,7 +263,17 @@ def overlay_columns(df: DataFrame) -> DataFrame:
     packet = F.concat_ws("\n", F.replace(c("lite_packet"), F.lit("Analyst route: Browser Demo Fallback"),
                                          F.concat(F.lit("Analyst route: Browser Model ("), c("b_model"), F.lit(")"))),
                          F.lit(""), F.lit("Model summary:"), summary)
+    step_text = F.when(has, F.concat(F.lit("Model enrichment completed via browser route ("), c("b_model"), F.lit(").")))\
+        .when(c("b_called"), F.lit(C.OVERLAY_FAILED))
     return df.withColumns({
+        "overlay_status": F.when(has, F.lit("live")).otherwise(note["status"]),
+        "overlay_fallback_used": ~has,
+        "overlay_explanation": F.when(has, js_or(field(obj, "user_explanation"), note["user_explanation"])
+                                      ).otherwise(note["user_explanation"]),
+        "overlay_confidence_note": F.when(has, js_or(field(obj, "confidence_note"), F.lit(C.OVERLAY_CONFIDENCE))
+                                          ).otherwise(note["confidence_note"]),
+        "overlay_trace": F.transform("lite_trace", lambda s: s.withField("detail", F.when(
+            s["step"] == C.STEP_NOTE, F.coalesce(step_text, s["detail"])).otherwise(s["detail"]))),
         "overlay_provider": F.when(has, F.lit("browser_model_route")).otherwise(note["provider"]),
         "overlay_model": F.when(has, c("b_model")).otherwise(note["model"]),
         "overlay_priority": F.when(has, js_or(field(obj, "recommended_priority"), note["recommended_priority"],
@@ -245,7 +283,4 @@ def overlay_columns(df: DataFrame) -> DataFrame:
         "overlay_actions": F.when(has, actions).otherwise(c("lite_steps")),
         "overlay_questions": F.when(has, questions).otherwise(note["questions"]),
         "overlay_packet": F.when(has, packet).otherwise(c("lite_packet")),
-        "overlay_step": F.when(has, F.concat(F.lit("Model enrichment completed via browser route ("),
-                                             c("b_model"), F.lit(")."))).when(
-            c("b_called"), F.lit(C.OVERLAY_FAILED)).otherwise(
-            F.lit("Backend unavailable; browser demo fallback explanation attached."))})
+        "overlay_step": F.coalesce(step_text, F.lit("Backend unavailable; browser demo fallback explanation attached."))}).drop("_answer")

@@ -25,29 +25,23 @@ from ..functions import redact as R
 from ..functions import report as G
 from ..functions import scoring as K
 from ..functions import signals as T
+from ..functions.rule import lit
 from ..sources import intake as S
 
 
-def analyse(df: DataFrame, text_col: str = "raw_text") -> DataFrame:
+def analyse(df: DataFrame, text: str = "raw_text") -> DataFrame:
     """Core rules over any text column: redaction, links, domain reports,
     signals (on the redacted text) and the score.
 
     Columns are added one dependency level at a time with ``withColumns`` (each
     ``withColumn`` would re-analyse the whole growing plan)."""
-    text = F.col(text_col)
     df = df.withColumns({"redacted_text": R.redact_pii(text), "links": L.extract_links(text)})
-    df = df.withColumns({"domain_reports": D.inspect_links(F.col("links")),
-                         **T.signal_hit_columns("redacted_text")})
+    df = df.withColumns({"domain_reports": D.inspect_links("links"), **T.signal_hit_columns("redacted_text")})
     df = df.withColumn("indicators", T.indicators_from_columns()).drop(*T.HIT_COLUMNS)
     return K.add_score_columns(df)
 
 
-def offline_reason(demo_offline: Column) -> Column:
-    return F.when(F.coalesce(demo_offline, F.lit(False)), F.lit(C.REASON_OFFLINE)
-                  ).otherwise(F.lit(C.REASON_NO_RESPONSE))
-
-
-def investigate(messages: DataFrame, ocr_text_col: str | None = None,
+def investigate(messages: DataFrame, ocr_text_col: str = "NULL",
                 header: str = C.PACKET_HEADER, notes: DataFrame | None = None) -> DataFrame:
     """Full report rows for (validated) messages.
 
@@ -56,34 +50,28 @@ def investigate(messages: DataFrame, ocr_text_col: str | None = None,
     ``operators.notes.note_inputs``) attaches live analyst answers: it is
     joined to the raw messages, before the report columns widen the rows.
     """
-    ocr = F.col(ocr_text_col) if ocr_text_col else None
     if notes is not None:
         messages = messages.join(notes, "msg_id", "left")
     df = messages.withColumns({
-        "has_image": F.coalesce(S.has_image(F.col("image")), F.lit(False)),
-        "raw_text": S.message_text(F.col("text"), F.col("image"), F.col("demo_offline"), ocr),
-        "safe_steps": P.safe_steps(F.col("situation"))})
+        "has_image": F.coalesce(S.has_image("image"), F.lit(False)),
+        "raw_text": S.message_text("text", "image", "demo_offline", ocr_text_col),
+        "safe_steps": P.safe_steps("situation")})
     df = analyse(df)
     df = df.withColumns({
-        "ai_analysis": P.offline_note(
-            offline_reason(F.col("demo_offline")), F.col("situation"), F.col("verdict"),
-            F.col("risk_score"), F.col("breakdown"), F.size("domain_reports"),
-            F.size("indicators"), F.col("safe_steps")),
-        "_packet": G.case_packet(F.col("redacted_text"), F.col("risk_score"),
-                                 F.col("indicators"), F.col("safe_steps"), header)})
+        "ai_analysis": P.offline_note(P.offline_reason.sql("demo_offline"), "situation", "verdict", "risk_score",
+                                      "breakdown", "domain_reports", "indicators", "safe_steps"),
+        "_packet": G.case_packet("redacted_text", "risk_score", "indicators", "safe_steps", lit(header))})
     if notes is not None:
         df = _attach_live_notes(df)
-    df = df.withColumns({"guard_failed": R.leaks_pii(F.col("_packet")),
-                         "report_draft": G.guarded_packet(F.col("_packet"))})
+    df = df.withColumns({"guard_failed": R.leaks_pii("_packet"), "report_draft": G.guarded_packet("_packet")})
     return finish_trace(df).drop("_packet")
 
 
 def finish_trace(df: DataFrame) -> DataFrame:
     """(Re)build the investigation trace from the current note and packet."""
     return df.withColumn("trace", G.investigation_trace(
-        F.col("has_image"), F.col("raw_text"), F.col("links"), F.col("domain_reports"),
-        F.col("indicators"), F.col("verdict"), F.col("risk_score"), F.col("safe_steps"),
-        F.col("ai_analysis"), F.col("guard_failed")))
+        "has_image", "raw_text", "links", "domain_reports", "indicators", "verdict", "risk_score", "safe_steps",
+        "ai_analysis", "guard_failed"))
 
 
 REPORT_FIELDS = ["redacted_text", "links", "domain_reports", "indicators", "verdict",

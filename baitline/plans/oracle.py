@@ -9,7 +9,7 @@ expressions are shared. Each function returns one self-contained statement.
 from __future__ import annotations
 
 from .. import constants as C
-from ..functions.regex import python_re
+from ..functions.regex import JS_SPACE, PY_SPACE, python_re
 from ..sources.messages import view_sql
 
 
@@ -22,7 +22,8 @@ def qlist(items) -> str:
     return "[" + ", ".join(q(x) for x in items) + "]"
 
 
-WS = r"^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$"
+WS = f"^[{PY_SPACE}]+|[{PY_SPACE}]+$"
+JS_WS = f"^[{JS_SPACE}]+|[{JS_SPACE}]+$"
 BRACKET_OK = r"^[^\[\]]*\[[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*\][^\[\]]*$"
 
 
@@ -37,6 +38,10 @@ def strip_sql(col: str) -> str:
     return f"regexp_replace({col}, {q(WS)}, '', 'g')"
 
 
+def trim_sql(col: str) -> str:
+    return f"regexp_replace({col}, {q(JS_WS)}, '', 'g')"
+
+
 def _case_first(pairs, default="NULL") -> str:
     whens = " ".join(f"WHEN {c} THEN {v}" for c, v in pairs)
     return f"CASE {whens} ELSE {default} END"
@@ -142,7 +147,8 @@ def link_ctes(prefix: str, source: str, key: str, text: str) -> str:
   FROM (
     SELECT *, regexp_replace(split_part(lower(netloc), ':', 1), '^www[.]', '') AS domain
     FROM {prefix}_n
-    WHERE NOT (contains(netloc, '[') OR contains(netloc, ']')) OR regexp_matches(netloc, {q(BRACKET_OK)})
+    WHERE (NOT (contains(netloc, '[') OR contains(netloc, ']')) OR regexp_matches(netloc, {q(BRACKET_OK)}))
+      AND translate(netloc, {q(C.NFKC_DELIMITERS)}, '') = netloc
   ) WHERE domain <> ''
 )"""
 

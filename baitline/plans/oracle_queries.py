@@ -4,8 +4,8 @@ from __future__ import annotations
 from .. import constants as C
 from .oracle import (base_ctes, domain_report_ctes, link_ctes, packet_sql, q, qlist,
                      redact_sql, reject_sql, screenshot_sql, signal_ctes, strip_sql,
-                     target_brand_sql, trace_rows_sql, valid_sql)
-from ..functions.regex import js_re
+                     target_brand_sql, trace_rows_sql, trim_sql, valid_sql)
+from ..functions.regex import JS_SPACE, js_re
 from ..sources.messages import view_sql
 
 
@@ -211,11 +211,27 @@ FROM rep WHERE has_image"""
     _overlay(out, base)
     _payloads(out, base)
     _exports(out, base)
+    _texts(out)
+    _intake(out, base)
+    draft = packet_sql()
+    fixed = "CASE WHEN risk_score >= 70 THEN 'HIGH' WHEN risk_score >= 35 THEN 'MEDIUM' ELSE 'LOW' END"
+    draft_80 = draft.replace(fixed, "'HIGH'").replace("CAST(risk_score AS VARCHAR)", "'80'")
+    empty = (f"(SELECT {draft} FROM (SELECT '' AS redacted_text, 0 AS risk_score, []::VARCHAR[] AS safe_steps, "
+             "[]::STRUCT(category VARCHAR, detail VARCHAR)[] AS indicators))")
     out["sql_tools"] = f"""{base}
 SELECT msg_id, redacted_text, true AS alias_ok, CAST(coalesce(len(domains), 0) AS INTEGER) AS n_links,
   coalesce(array_to_string(domains, ','), '') AS domains, safe_steps[1] AS first_step,
-  {q(C.SAFE_STEPS['before_click'][0])} AS default_first_step, '' AS empty_redaction
-FROM rep"""
+  {q(C.SAFE_STEPS['before_click'][0])} AS default_first_step, '' AS empty_redaction,
+  f.risk_score AS first_domain_risk, array_to_string(list_transform(indicators, lambda i: i.category), '|') AS categories,
+  CASE WHEN n_reports = 1 THEN rep.risk_score END AS one_link_score,
+  CASE WHEN n_reports = 1 THEN rep.verdict END AS one_link_verdict, 0 AS default_score, 1 AS default_trace,
+  {draft_80} AS draft, {empty} AS default_draft
+FROM rep LEFT JOIN (SELECT msg_id, risk_score FROM m_dr WHERE pos = 1) f USING (msg_id)"""
+    out["sql_tool_rows"] = f"""{base}
+SELECT 'link' AS kind, msg_id, pos, domain AS name, CAST(risk_score AS VARCHAR) AS detail FROM m_dr
+UNION ALL
+SELECT 'signal', msg_id, CAST(generate_subscripts(indicators, 1) AS INTEGER), unnest(indicators).category,
+  unnest(indicators).detail FROM rep"""
     return out
 
 
@@ -247,7 +263,7 @@ QUALIFY row_number() OVER (PARTITION BY msg_id ORDER BY impact DESC, pos) <= 3""
 SELECT msg_id, coalesce(top_domain, indicators[1].category, 'No major signal') AS primary_evidence FROM rep"""
 
     cases = f"""cases AS (
-  SELECT 'case-' || CAST(msg_id AS VARCHAR) AS case_id, msg_id, user_id, ts,
+  SELECT 'case-' || substr(md5(CAST(msg_id AS VARCHAR)), 1, 12) AS case_id, msg_id, user_id, ts,
     strftime(ts, '%Y-%m-%d %H:%M:%S') AS created_at, verdict, risk_score, confidence, situation,
     'Local Fallback' AS ai_route, CAST(n_reports AS INTEGER) AS domain_count,
     CAST(n AS INTEGER) AS indicator_count, {preview} AS text_preview
@@ -267,6 +283,21 @@ SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, m
   msg_id, case_id, strftime(ts, '%b %-d, %I:%M %p') AS time_label, {status} AS status, text_preview,
   {_sit_label('situation')} AS situation_label, domain_count, indicator_count, ai_route
 FROM cases
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, msg_id DESC) <= {C.HISTORY_SIZE}"""
+
+    guard = f"(contains(pk, '@') AND NOT contains(pk, {q(C.EMAIL_MASK)}))"
+    out["history_store"] = f"""{base},
+{cases},
+{trace_rows_sql().strip()},
+pk AS (SELECT msg_id, redacted_text, domains, {packet_sql()} AS pk FROM rep),
+nt AS (SELECT msg_id, CAST(count(*) AS INTEGER) AS n_trace FROM trp GROUP BY msg_id)
+SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, msg_id DESC) AS INTEGER) AS rank,
+  msg_id, case_id, strftime(ts, '%b %-d, %I:%M %p') AS time_label, {status} AS status, text_preview,
+  {_sit_label('situation')} AS situation_label, domain_count, indicator_count, ai_route,
+  coalesce(nullif(pk.redacted_text, ''), {q(C.SCREENSHOT_TEXT_MASK)}) AS report_text,
+  coalesce(array_to_string(domains, ','), '') AS report_links, true AS no_transcription, n_trace,
+  CASE WHEN {guard} THEN {q(C.GUARDRAIL_BLOCKED)} ELSE pk END AS report_draft
+FROM cases JOIN pk USING (msg_id) JOIN nt USING (msg_id)
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, msg_id DESC) <= {C.HISTORY_SIZE}"""
 
     out["campaigns"] = f"""{base}
@@ -278,6 +309,14 @@ SELECT d.domain, count(*) AS n_links, count(DISTINCT d.msg_id) AS n_messages,
 FROM m_dr d JOIN rep r USING (msg_id)
 GROUP BY d.domain"""
 
+    out["campaigns_by_day"] = out["campaigns"]
+    out["campaign_totals"] = f"""{base},
+lk AS (SELECT d.verdict AS domain_verdict, strftime(r.ts, '%Y-%m-%d') AS day, r.user_id, r.ts
+       FROM m_dr d JOIN rep r USING (msg_id))
+SELECT CASE WHEN GROUPING(domain_verdict) = 0 THEN 'verdict' WHEN GROUPING(day) = 0 THEN 'day' ELSE 'all' END AS level,
+  domain_verdict, day, count(*) AS n_links, count(DISTINCT user_id) AS n_users,
+  strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen
+FROM lk GROUP BY GROUPING SETS ((domain_verdict), (day), ()) """
     out["brand_campaigns"] = f"""{base}
 SELECT brand, count(DISTINCT msg_id) AS n_messages, count(DISTINCT user_id) AS n_users,
   max(risk_score) AS max_risk, round(avg(risk_score), 2) AS avg_risk
@@ -285,20 +324,24 @@ FROM (SELECT msg_id, user_id, risk_score, unnest(h_brand) AS brand FROM rep)
 GROUP BY brand"""
 
 
+def _lite_host() -> str:
+    return ("regexp_replace(lower(regexp_replace(regexp_replace(regexp_extract(u, "
+            "'(?i)^https?://([^/?#\\\\]*)', 1), '^.*@', ''), ':[0-9]*$', '')), '^www[.]', '')")
+
+
 def _lite_sql() -> tuple[str, str]:
     fixture = _case_first_sql([(f"contains(upper(coalesce(image, '')), {q(k)})", q(t))
                                for k, t in C.LITE_FIXTURE_TEXTS], "''")
     redacted = (f"regexp_replace(regexp_replace(regexp_replace(lite_text, {q(C.LITE_EMAIL_PATTERN)}, "
                 f"{q(C.EMAIL_MASK)}, 'g'), {q(js_re(C.LITE_PHONE_PATTERN))}, {q(C.PHONE_MASK)}, 'g'), "
                 f"{q(C.LITE_ID_PATTERN)}, {q(C.LITE_ID_MASK)}, 'g')")
-    host = ("regexp_replace(lower(regexp_replace(regexp_replace(regexp_extract(u, "
-            "'(?i)^https?://([^/?#\\\\]*)', 1), '^.*@', ''), ':[0-9]*$', '')), '^www[.]', '')")
+    host = _lite_host()
     steps = _case_first_sql([(f"situation = {q(k)}", qlist(v)) for k, v in C.LITE_SAFE_STEPS.items()],
                             qlist(C.SAFE_STEPS["before_click"]))
     risky = " OR ".join(f"contains(lite_domain, {q(e)})" for e in C.LITE_RISKY_ENDINGS)
     lite = f"""lt0 AS (
   SELECT msg_id, image, situation,
-    {strip_sql(f"coalesce(nullif(text, ''), nullif({fixture}, ''), {q(C.LITE_DEFAULT_TEXT)})")} AS lite_text
+    {trim_sql(f"coalesce(nullif(text, ''), nullif({fixture}, ''), {q(C.LITE_DEFAULT_TEXT)})")} AS lite_text
   FROM acc
 ),
 lt1 AS (
@@ -408,6 +451,60 @@ SELECT msg_id,
     {q(C.STEP_NOTE + ': Backend unavailable; browser demo fallback explanation attached.')},
     'Incident Report Generator: Built a compact client-side demo case packet.'], ' | ') AS steps
 FROM lr"""
+    out["lite_domain_records"] = f"""{base},
+{lite}
+SELECT msg_id, CAST(CASE WHEN lite_domain <> '' THEN 1 ELSE 0 END AS INTEGER) AS n_records,
+  nullif(lite_domain, '') AS domain, CASE WHEN lite_domain <> '' THEN lite_domain_risk END AS risk_score,
+  CASE WHEN lite_domain <> '' THEN CASE WHEN lite_domain_risk >= 70 THEN 'High'
+       WHEN lite_domain_risk >= 35 THEN 'Medium' ELSE 'Low' END END AS verdict,
+  CASE WHEN lite_domain <> '' THEN array_to_string(lite_bd, ' | ') END AS indicators,
+  CASE WHEN lite_domain <> '' THEN CASE WHEN lite_brand = 'UNKNOWN' THEN '' ELSE lower(lite_brand) END END AS brands,
+  CASE WHEN coalesce(image, '') <> '' THEN lite_text END AS extracted_text
+FROM lite"""
+    out["browser_payloads"] = f"""{base},
+{lite},
+ll AS (
+  SELECT *, regexp_extract_all(lite_text, {q(js_re(C.LITE_URL_PATTERN))}, 0) AS urls,
+    list_filter([
+      CASE WHEN lite_domain <> '' THEN {{'label': 'Highest domain risk', 'impact': lite_domain_risk,
+        'source': 'client_demo_domain_pattern', 'severity': {risk_sev},
+        'evidence': lite_domain || ': unverified destination in a suspicious message.',
+        'calculation': 'demo domain pattern score'}} END,
+      CASE WHEN lite_brand <> 'UNKNOWN' THEN {{'label': 'Brand impersonation', 'impact': 16,
+        'source': 'client_demo_brand_signal', 'severity': 'medium',
+        'evidence': 'Message claims to be from ' || lite_brand || '.', 'calculation': 'matched trusted brand signal'}} END,
+      CASE WHEN f_pay THEN {{'label': 'Financial pressure', 'impact': 12, 'source': 'client_demo_social_signal',
+        'severity': 'medium', 'evidence': 'Payment, fee, prize, or transfer language detected.',
+        'calculation': 'social engineering hook'}} END,
+      CASE WHEN f_data THEN {{'label': 'Data collection prompt', 'impact': 12, 'source': 'client_demo_privacy_signal',
+        'severity': 'medium', 'evidence': 'Message asks for verification, login, identity, or credential action.',
+        'calculation': 'credential/data hook'}} END], lambda x: x IS NOT NULL)[1:4] AS tr,
+    list_filter([
+      CASE WHEN lite_brand <> 'UNKNOWN' THEN {{'category': {q(C.BRAND)}, 'detail': 'Claims to represent ' || lite_brand
+        || ' while routing to an unverified destination.'}} END,
+      CASE WHEN f_pay THEN {{'category': {q(C.FINANCIAL)}, 'detail': 'Mentions a payment, fee, prize, or transfer pressure.'}} END,
+      CASE WHEN f_data THEN {{'category': {q(C.DATA)}, 'detail': 'Pushes the user toward account, identity, or credential confirmation.'}} END,
+      CASE WHEN f_urg THEN {{'category': 'Urgency Pressure', 'detail': 'Uses time pressure or account consequences to rush action.'}} END
+    ], lambda x: x IS NOT NULL) AS ind
+  FROM lite
+)
+SELECT msg_id, CAST(to_json({{
+  'context': {_sit_label('situation')}, 'verdict': lite_verdict, 'risk_score': lite_score,
+  'confidence': lite_confidence, 'redacted_text': lite_redacted,
+  'links': list_transform(urls, lambda u: {{'domain': {_lite_host()}}}),
+  'domain_reports': CASE WHEN lite_domain <> '' THEN [{{'domain': lite_domain, 'risk_score': lite_domain_risk,
+      'verdict': CASE WHEN lite_domain_risk >= 70 THEN 'High' WHEN lite_domain_risk >= 35 THEN 'Medium' ELSE 'Low' END,
+      'indicators': lite_bd,
+      'detected_brands': CASE WHEN lite_brand = 'UNKNOWN' THEN []::VARCHAR[] ELSE [lower(lite_brand)] END}}]
+    ELSE []::STRUCT(domain VARCHAR, risk_score INTEGER, verdict VARCHAR, indicators VARCHAR[], detected_brands VARCHAR[])[] END,
+  'social_engineering_indicators': ind, 'score_trace': tr, 'local_next_actions': lite_steps}}) AS VARCHAR) AS payload
+FROM ll"""
+    out["lite_agreement_totals"] = f"""{base},
+{lite}
+SELECT r.verdict AS full_verdict, l.lite_verdict,
+  CAST(GROUPING(r.verdict) * 2 + GROUPING(l.lite_verdict) AS INTEGER) AS level, count(*) AS n_messages,
+  CAST(sum(CASE WHEN r.verdict = l.lite_verdict THEN 1 ELSE 0 END) AS BIGINT) AS n_agree
+FROM rep r JOIN lite l USING (msg_id) GROUP BY CUBE (r.verdict, l.lite_verdict)"""
     out["lite_agreement"] = f"""{base},
 {lite}
 SELECT r.verdict AS full_verdict, l.lite_verdict, count(*) AS n_messages
@@ -508,8 +605,10 @@ at2 AS (
 ),
 at3 AS (
   SELECT a.*, (a.attempt = 0 OR EXISTS (SELECT 1 FROM at2 b WHERE b.msg_id = a.msg_id AND b.model_rank = a.model_rank
-                                        AND b.attempt = 0 AND b.http_code = 429)) AS reachable,
-    EXISTS (SELECT 1 FROM at2 b WHERE b.msg_id = a.msg_id AND b.model_rank = a.model_rank AND b.attempt = 1) AS has_retry
+                                        AND b.attempt = 0 AND NOT b.ok
+                                        AND (coalesce(b.http_code = 429, false) OR contains(coalesce(b.error, ''), '429')))) AS reachable,
+    EXISTS (SELECT 1 FROM at2 b WHERE b.msg_id = a.msg_id AND b.model_rank = a.model_rank AND b.attempt = 1) AS has_retry,
+    NOT ok AND (coalesce(http_code = 429, false) OR contains(coalesce(error, ''), '429')) AS busy
   FROM at2 a
 ),
 win AS (
@@ -522,7 +621,7 @@ fails AS (
       FILTER (WHERE a.k <= 3), '') AS reason
   FROM (SELECT a.*, row_number() OVER (PARTITION BY a.msg_id ORDER BY a.model_rank, a.attempt) AS k
         FROM at3 a LEFT JOIN win w USING (msg_id)
-        WHERE a.reachable AND NOT a.ok AND NOT (a.attempt = 0 AND coalesce(a.http_code = 429, false) AND a.has_retry)
+        WHERE a.reachable AND NOT a.ok AND NOT (a.attempt = 0 AND a.busy AND a.has_retry)
           AND (w.w_rank IS NULL OR a.model_rank < w.w_rank)) a
   GROUP BY a.msg_id
 ),
@@ -599,8 +698,6 @@ FROM (SELECT * FROM rep WHERE has_image) r LEFT JOIN {man} ON contains(upper(r.i
     out["packet_files"] = f"""{base},
 pk AS (SELECT *, {packet_sql()} AS pk FROM rep)
 SELECT msg_id, verdict, CASE WHEN {guard} THEN {q(C.GUARDRAIL_BLOCKED)} ELSE pk END AS packet FROM pk"""
-    out["history_store"] = out["recent_cases"]
-
 
 def _labels(out: dict, base: str) -> None:
     nl = " || chr(10) || "
@@ -634,6 +731,23 @@ def _labels(out: dict, base: str) -> None:
         "'Confidence: ' || CAST(confidence AS VARCHAR) || '%'",
         "'Top signal: ' || coalesce(nullif(first_label, ''), nullif(breakdown[1], ''), 'review needed')",
         "'Action: ' || coalesce(nullif(safe_steps[1], ''), 'Use official channels before interacting.')"])
+    out["breakdown_topics"] = f"""{base},
+bl AS (SELECT msg_id, unnest(breakdown) AS line, CAST(generate_subscripts(breakdown, 1) AS INTEGER) AS pos FROM rep)
+SELECT msg_id, pos, line, {topic.replace(b, 'lower(line)')} AS topic FROM bl"""
+    start, *anywhere = C.DASHBOARD_SIGNS
+    sign = f"(?s)^(?:{start}[{JS_SPACE}]*|(.*?)(?:{'|'.join(anywhere)})[{JS_SPACE}]*)"
+    out["dashboard_steps"] = f"""{base},
+st AS (SELECT msg_id, unnest(safe_steps) AS step, CAST(generate_subscripts(safe_steps, 1) AS INTEGER) AS step_no FROM rep)
+SELECT msg_id, step_no, replace(regexp_replace(step, {q(sign)}, '\\1'), '**', '') AS step FROM st"""
+    out["popup_previews"] = f"""{base},
+{trace_rows_sql().strip()},
+pl AS (SELECT msg_id, string_agg('+' || CAST(impact AS VARCHAR) || ' ' || label || ' [' || CASE WHEN impact >= 70 THEN 'danger'
+         WHEN impact >= 35 THEN 'warning' ELSE 'safe' END || ']', ' | ' ORDER BY pos) AS pills
+       FROM trp WHERE pos <= 3 GROUP BY msg_id)
+SELECT msg_id, verdict || ' / ' || CAST(risk_score AS VARCHAR) AS headline,
+  'Classified this as ' || verdict || ' risk (' || CAST(risk_score AS VARCHAR) || '/100) using local rules.' AS summary,
+  coalesce(pills, '') AS pills, coalesce(nullif(safe_steps[1], ''), 'Use official channels before interacting.') AS next_step
+FROM rep LEFT JOIN pl USING (msg_id)"""
     out["report_labels"] = f"""{base},
 {trace_rows_sql().strip()},
 pk AS (SELECT *, {packet_sql()} AS pk FROM rep),
@@ -649,9 +763,9 @@ FROM pk JOIN tt USING (msg_id)"""
 
 
 def _conversations(out: dict) -> None:
-    sel = f"""SELECT conv_id * 1000 + turn AS msg_id, conv_id, turn, {strip_sql('text')} AS text,
+    sel = f"""SELECT conv_id * 1000 + turn AS msg_id, conv_id, turn, {trim_sql('text')} AS text,
   'before_click' AS situation, CAST(NULL AS VARCHAR) AS image, false AS demo_offline
-FROM conversations WHERE length({strip_sql('text')}) > 0"""
+FROM conversations WHERE length({trim_sql('text')}) > 0"""
     guard = f"(contains(pk, '@') AND NOT contains(pk, {q(C.EMAIL_MASK)}))"
     out["conversation_reports"] = f"""{base_ctes(sel)},
 pk AS (SELECT *, {packet_sql()} AS pk FROM rep)
@@ -663,12 +777,55 @@ SELECT conv_id, turn, situation, verdict, risk_score, confidence,
 FROM pk"""
 
 
+def _texts(out: dict) -> None:
+    """Full reports over whole documents and pages."""
+    guard = f"(contains(pk, '@') AND NOT contains(pk, {q(C.EMAIL_MASK)}))"
+    for name, key, text, table in (("document_reports", "doc_id", "text", "documents"),
+                                   ("page_reports", "page_id", "html", "pages")):
+        sel = (f"SELECT {key} AS msg_id, {text} AS text, 'before_click' AS situation, "
+               f"CAST(NULL AS VARCHAR) AS image, false AS demo_offline FROM {table}")
+        # every text counts, blank ones too
+        base = base_ctes(sel).replace(f"acc AS (SELECT * FROM msgs WHERE {valid_sql()})", "acc AS (SELECT * FROM msgs)")
+        out[name] = f"""{base},
+{_trace_text_sql().strip()},
+its AS (SELECT msg_id, string_agg(detail, ' | ' ORDER BY k) AS trace FROM it GROUP BY msg_id)
+SELECT msg_id AS {key}, verdict, risk_score, confidence, CAST(m AS INTEGER) AS max_domain_score,
+  CASE WHEN m > 0 THEN top_domain END AS top_domain, CAST(n_reports AS INTEGER) AS n_links,
+  array_to_string(list_transform(indicators, lambda i: i.category), '|') AS categories,
+  array_to_string(breakdown, ' | ') AS breakdown, trace, {guard} AS guard_failed,
+  md5(CASE WHEN {guard} THEN {q(C.GUARDRAIL_BLOCKED)} ELSE pk END) AS draft_md5
+FROM pk JOIN its USING (msg_id)"""
+
+
+def _intake(out: dict, base: str) -> None:
+    """Requests read back from files, messages without an answer, exports by day."""
+    msgs = f"msgs AS ({view_sql('events')})"
+    samples = _values([(n, txt) for n, _, _, txt in C.SAMPLES], ["name", "sample"])
+    out["request_intake"] = f"""WITH {msgs},
+req AS (SELECT * REPLACE (coalesce(text, '') AS text), msg_id % 17 = 3 AS cut FROM msgs)
+SELECT 'json' AS kind, msg_id, CASE WHEN NOT cut THEN situation END AS situation,
+  CASE WHEN cut THEN 'The request is not valid JSON.' ELSE {reject_sql()} END AS reject_reason,
+  CAST(CASE WHEN cut THEN 0 ELSE length(text) END AS INTEGER) AS n_chars, true AS has_source
+FROM req
+UNION ALL
+SELECT 'text', NULL, 'before_click', NULL, CAST(length(text) + 1 AS INTEGER), true
+FROM (SELECT DISTINCT t.name, m.text FROM msgs m JOIN {samples} ON m.text = t.sample)"""
+    notes = out["analyst_notes_live"]
+    out["unanswered_messages"] = f"""WITH won AS ({notes[:notes.rindex('SELECT msg_id,')]} SELECT msg_id FROM win),
+{msgs}
+SELECT msg_id, situation, demo_offline FROM msgs
+WHERE {valid_sql()} AND msg_id NOT IN (SELECT msg_id FROM won)"""
+    exports = out["report_exports"]
+    out["export_files"] = f"""WITH x AS ({exports})
+SELECT json_extract_string(export_json, '$.exported_at')[1:10] AS day, export_json FROM x"""
+
+
 def _overlay(out: dict, base: str) -> None:
     from ..sources.responses import N_SCENARIOS, attempt_columns, steps_values_sql
     lite, packet = _lite_sql()
     cols = ", ".join(f"{expr} AS {name}" for name, expr in attempt_columns())
-    t = strip_sql("b_content")
-    t2 = strip_sql(f"regexp_replace(regexp_replace({t}, '(?i)^```(?:json)?', ''), '```$', '')")
+    t = trim_sql("b_content")
+    t2 = trim_sql(f"regexp_replace(regexp_replace({t}, '(?i)^```(?:json)?', ''), '```$', '')")
     first = f"instr(t2, '{{')"
     last = f"(length(t2) - instr(reverse(t2), '}}') + 1)"
     cand = (f"CASE WHEN json_valid(t2) THEN t2 "
@@ -684,7 +841,7 @@ def _overlay(out: dict, base: str) -> None:
             text = f"CASE WHEN json_type(e) = 'OBJECT' THEN json_extract_string(e, '$.signal') ELSE {text} END"
         return f"list_transform(json_extract({arr(key)}, '$[*]'), lambda e: {text})[1:{n}]"
     qs = qlist(C.LITE_NOTE_QUESTIONS)
-    out["browser_overlay"] = f"""{base},
+    overlay = f"""{base},
 {lite},
 lr AS (
   SELECT *, list_filter([
@@ -710,7 +867,31 @@ ov AS (
   SELECT l.*, b.b_model, b.obj, l.msg_id IN (SELECT msg_id FROM att) AS called,
     coalesce(nullif(json_extract_string(b.obj, '$.executive_summary'), ''), l.note_summary) AS b_summary
   FROM lr l LEFT JOIN bo b USING (msg_id)
-),
+)"""
+    step = (f"CASE WHEN b_model IS NOT NULL THEN 'Model enrichment completed via browser route (' || b_model || ').' "
+            f"WHEN called THEN {q(C.OVERLAY_FAILED)} "
+            "ELSE 'Backend unavailable; browser demo fallback explanation attached.' END")
+    out["browser_reports"] = f"""{overlay}
+SELECT msg_id, CASE WHEN b_model IS NOT NULL THEN 'live' ELSE 'fallback' END AS status, b_model IS NULL AS fallback_used,
+  CASE WHEN b_model IS NOT NULL THEN coalesce(nullif(json_extract_string(obj, '$.user_explanation'), ''),
+       {q(C.LITE_NOTE_EXPLANATION)}) ELSE {q(C.LITE_NOTE_EXPLANATION)} END AS user_explanation,
+  CASE WHEN b_model IS NOT NULL THEN coalesce(nullif(json_extract_string(obj, '$.confidence_note'), ''),
+       {q(C.OVERLAY_CONFIDENCE)}) ELSE {q(C.LITE_NOTE_CONFIDENCE)} END AS confidence_note,
+  array_to_string(CASE WHEN b_model IS NOT NULL AND json_type({arr('next_actions')}) = 'ARRAY'
+       AND json_array_length({arr('next_actions')}) > 0 THEN {items('next_actions', 5)} ELSE lite_steps END, ' | ') AS safe_steps,
+  array_to_string([
+    CASE WHEN coalesce(image, '') <> '' THEN 'Screenshot Fixture OCR: Loaded deterministic screenshot fixture text in browser demo mode.'
+         ELSE 'PII Redaction: Redacted sensitive values locally for browser demo mode.' END,
+    'Link Extraction: ' || CASE WHEN lite_domain <> '' THEN 'Found ' || lite_domain || '.' ELSE 'No URL extracted.' END,
+    'Domain Inspection: ' || CASE WHEN lite_domain <> '' THEN 'Applied browser demo domain-pattern scoring.'
+                                  ELSE 'Skipped domain scoring because no URL was present.' END,
+    'Threat Intelligence Check: Matched social-engineering demo signals.',
+    'Risk Synthesis: Assigned ' || lite_verdict || ' risk (' || CAST(lite_score AS VARCHAR) || '/100).',
+    'Safety Planner: Generated contextual user-safe next steps.',
+    {q(C.STEP_NOTE + ': ')} || {step},
+    'Incident Report Generator: Built a compact client-side demo case packet.'], ' | ') AS trace
+FROM ov"""
+    out["browser_overlay"] = f"""{overlay},
 fin AS (
   SELECT msg_id,
     CASE WHEN b_model IS NOT NULL THEN 'browser_model_route' ELSE 'browser-demo' END AS overlay_provider,

@@ -58,21 +58,21 @@ def verdict_by_event_type(spark, sf_dir):
 
 def message_redaction(spark, sf_dir):
     rep = accepted(spark, sf_dir).withColumn(
-        "raw_text", S.message_text(F.col("text"), F.col("image"), F.col("demo_offline")))
-    return (rep.withColumn("redacted_text", R.redact_pii(F.col("raw_text")))
+        "raw_text", S.message_text("text", "image", "demo_offline"))
+    return (rep.withColumn("redacted_text", R.redact_pii("raw_text"))
             .select("msg_id", "redacted_text", *_mask_counts("redacted_text")))
 
 
 def document_redaction(spark, sf_dir):
     docs = tables.documents(spark, sf_dir)
-    return (docs.withColumn("redacted_text", R.redact_pii(F.col("text")))
+    return (docs.withColumn("redacted_text", R.redact_pii("text"))
             .select("doc_id", "redacted_text", *_mask_counts("redacted_text")))
 
 
 def conversation_signals(spark, sf_dir):
     """Redaction + signals over every conversation turn (whole texts)."""
     conv = tables.conversations(spark, sf_dir)
-    red = conv.withColumn("redacted_text", R.redact_pii(F.col("text")))
+    red = conv.withColumn("redacted_text", R.redact_pii("text"))
     ind = T.add_signal_columns(red, "redacted_text")
     return ind.select("conv_id", "turn", "role",
                       F.size("indicators").alias("n_categories"),
@@ -84,13 +84,13 @@ def conversation_signals(spark, sf_dir):
 
 def message_links(spark, sf_dir):
     src = accepted(spark, sf_dir).withColumn(
-        "raw_text", S.message_text(F.col("text"), F.col("image"), F.col("demo_offline")))
-    return src.select("msg_id", positioned(L.extract_links(F.col("raw_text")), ["original", "domain"]))
+        "raw_text", S.message_text("text", "image", "demo_offline"))
+    return src.select("msg_id", positioned(L.extract_links("raw_text"), ["original", "domain"]))
 
 
 def page_links(spark, sf_dir):
     pages = tables.pages(spark, sf_dir)
-    return pages.select("page_id", positioned(L.extract_links(F.col("html")), ["original", "domain"]))
+    return pages.select("page_id", positioned(L.extract_links("html"), ["original", "domain"]))
 
 
 # --- domains -------------------------------------------------------------------
@@ -122,8 +122,13 @@ def message_domain_reports(spark, sf_dir):
 
 
 def domain_join_back(spark, sf_dir):
-    """D13 (join form) + D14: distinct-domain reports joined back to links."""
-    links = message_links(spark, sf_dir)
+    """D13 (join form) + D14: distinct-domain reports joined back to links.
+
+    The links are written once: extraction runs once over the texts, the dimension reads the
+    domain column only, and the join splits a hot domain (a bucketed table could not)."""
+    path = _sink_path(spark, "links")
+    message_links(spark, sf_dir).select("msg_id", "pos", "domain").write.parquet(path)
+    links = spark.read.parquet(path)
     per_msg = OD.attach_reports(links, OD.domain_dimension(links.select("domain")))
     return per_msg.select(
         "msg_id",
@@ -148,12 +153,10 @@ def message_signals(spark, sf_dir):
 def signal_hits_long(spark, sf_dir):
     """One row per (message, category, keyword)."""
     src = accepted(spark, sf_dir).withColumn(
-        "raw_text", S.message_text(F.col("text"), F.col("image"), F.col("demo_offline")))
-    red = src.withColumn("redacted_text", R.redact_pii(F.col("raw_text")))
+        "raw_text", S.message_text("text", "image", "demo_offline"))
+    red = src.withColumn("redacted_text", R.redact_pii("raw_text"))
     hits = T.add_signal_columns(red, "redacted_text")
-    h = {f: F.col(c) for f, c in zip(["urgency", "brands", "financial", "data", "relationship"],
-                                     T.HIT_COLUMNS)}
-    return hits.select("msg_id", F.inline(T.hit_rows(h)))
+    return hits.select("msg_id", F.inline(T.hit_rows()))
 
 
 # --- score ---------------------------------------------------------------------
@@ -185,6 +188,25 @@ def safe_plan(spark, sf_dir):
                     G.clean_step(F.col("step")).alias("clean_step")))
 
 
+def dashboard_steps(spark, sf_dir):
+    """G16, dashboard form: the first warning sign and all bold marks removed."""
+    rep = reports(spark, sf_dir)
+    return (rep.select("msg_id", positioned(F.col("safe_steps"), None, "step_no", "step"))
+            .select("msg_id", "step_no", G.dashboard_step(F.col("step")).alias("step")))
+
+
+def breakdown_topics(spark, sf_dir):
+    """G14 for every breakdown line."""
+    rep = reports(spark, sf_dir)
+    return (rep.select("msg_id", positioned(F.col("breakdown"), None, "pos", "line"))
+            .select("msg_id", "pos", "line", G.breakdown_topic(F.col("line")).alias("topic")))
+
+
+def popup_previews(spark, sf_dir):
+    """The popup's headline, summary, first three contributors and next step."""
+    return OA.popup_preview(reports(spark, sf_dir))
+
+
 def analyst_notes(spark, sf_dir):
     rep = reports(spark, sf_dir)
     a = F.col("ai_analysis")
@@ -201,7 +223,7 @@ def analyst_notes(spark, sf_dir):
 
 def case_packets(spark, sf_dir):
     rep = reports(spark, sf_dir)
-    return rep.select("msg_id", G.target_brand(F.col("indicators")).alias("target_brand"),
+    return rep.select("msg_id", G.target_brand("indicators").alias("target_brand"),
                       "guard_failed", "report_draft")
 
 
@@ -238,8 +260,8 @@ def intake_quarantine(spark, sf_dir):
 
 
 def screenshot_texts(spark, sf_dir):
-    src = accepted(spark, sf_dir).filter(S.has_image(F.col("image")))
-    txt = S.message_text(F.col("text"), F.col("image"), F.col("demo_offline"))
+    src = accepted(spark, sf_dir).filter(S.has_image("image"))
+    txt = S.message_text("text", "image", "demo_offline")
     return src.select("msg_id", txt.alias("raw_text"), R.ocr_preview(txt).alias("ocr_preview"))
 
 
@@ -276,6 +298,26 @@ def campaigns(spark, sf_dir):
     return OA.campaigns(reports(spark, sf_dir))
 
 
+def _campaign_days(spark, sf_dir):
+    """Partial campaigns of all days, written in two loads of which the second is repeated."""
+    from ..sources.sinks import write_campaign_days
+    path = _sink_path(spark, "campaign-days")
+    days = OA.campaign_days(reports(spark, sf_dir))
+    early = F.dayofmonth("day") <= 15
+    for load in (early, ~early, ~early):
+        write_campaign_days(days.where(load), path)
+    return spark.read.parquet(path).withColumn("day", F.col("day").cast("date"))
+
+
+def campaigns_by_day(spark, sf_dir):
+    """A7 merged from days that were computed one load at a time."""
+    return OA.merge_days(_campaign_days(spark, sf_dir))
+
+
+def campaign_totals(spark, sf_dir):
+    return OA.campaign_totals(_campaign_days(spark, sf_dir))
+
+
 def brand_campaigns(spark, sf_dir):
     return OA.brand_campaigns(reports(spark, sf_dir))
 
@@ -332,25 +374,92 @@ def lite_agreement(spark, sf_dir):
     return OL.agreement(both)
 
 
+def lite_agreement_totals(spark, sf_dir):
+    both = OL.add_lite_columns(reports(spark, sf_dir))
+    return OL.agreement_totals(both)
+
+
+def _lite_reports(spark, sf_dir):
+    return OL.add_lite_report(OL.add_lite_columns(accepted(spark, sf_dir)))
+
+
+def lite_domain_records(spark, sf_dir):
+    """Q8: the lite report's domain record and transcription."""
+    r = F.get("lite_domain_reports", 0)
+    return _lite_reports(spark, sf_dir).select(
+        "msg_id", F.size("lite_domain_reports").alias("n_records"), r["domain"].alias("domain"),
+        r["risk_score"].alias("risk_score"), r["verdict"].alias("verdict"),
+        F.array_join(r["indicators"], " | ").alias("indicators"),
+        F.array_join(r["detected_brands"], ",").alias("brands"),
+        F.col("lite_extracted_text").alias("extracted_text"))
+
+
+def browser_payloads(spark, sf_dir):
+    """Request bodies of the browser variant."""
+    from ..operators.notes import browser_payload
+    lite = _lite_reports(spark, sf_dir)
+    return lite.select("msg_id", browser_payload(lite).alias("payload"))
+
+
+def browser_reports(spark, sf_dir):
+    """P15 as a report: the note's remaining fields and the rewritten trace."""
+    from ..operators.notes import browser_answers, overlay_columns
+    from ..sources.responses import attempts_from
+    acc = accepted(spark, sf_dir)
+    lite = OL.add_lite_report(OL.add_lite_columns(acc)).join(
+        browser_answers(attempts_from(acc)), "msg_id", "left")
+    return overlay_columns(lite).select(
+        "msg_id", F.col("overlay_status").alias("status"), F.col("overlay_fallback_used").alias("fallback_used"),
+        F.col("overlay_explanation").alias("user_explanation"),
+        F.col("overlay_confidence_note").alias("confidence_note"),
+        F.array_join("overlay_actions", " | ").alias("safe_steps"),
+        F.array_join(F.transform("overlay_trace", lambda s: F.concat(s["step"], F.lit(": "), s["detail"])),
+                     " | ").alias("trace"))
+
+
 # --- SQL surface (U1-U3) ------------------------------------------------------------
 
 def sql_tools(spark, sf_dir):
-    """Scalar tools called from SQL, by name and alias, with defaults."""
+    """All seven tools called from SQL, by name and alias, with arguments and defaults."""
     from ..functions.tools import register_sql_functions
     register_sql_functions(spark)
-    src = accepted(spark, sf_dir).withColumn(
-        "raw_text", S.message_text(F.col("text"), F.col("image"), F.col("demo_offline")))
+    src = accepted(spark, sf_dir).withColumn("raw_text", S.message_text("text", "image", "demo_offline"))
     src.select("msg_id", "raw_text", "situation").createOrReplaceTempView("baitline_messages")
     return spark.sql("""
-        SELECT msg_id,
-               redact_pii(raw_text) AS redacted_text,
-               clean_text_pii(raw_text) = redact_pii(raw_text) AS alias_ok,
-               size(extract_links(raw_text)) AS n_links,
-               array_join(transform(get_links(raw_text), l -> l.domain), ',') AS domains,
-               generate_safe_steps('Low', situation)[0] AS first_step,
-               fetch_safe_steps()[0] AS default_first_step,
-               redact_pii() AS empty_redaction
-        FROM baitline_messages""")
+        WITH cleaned AS (
+          SELECT msg_id, situation, raw_text, redact_pii(raw_text) AS redacted_text, extract_links(raw_text) AS links
+          FROM baitline_messages),
+        read AS (
+          SELECT *, detect_social_engineering(redacted_text) AS indicators, fetch_safe_steps('Low', situation) AS steps,
+                 inspect_domain_pattern(get(links, 0).domain) AS first_report
+          FROM cleaned),
+        scored AS (SELECT *, score_risk(array(first_report), indicators) AS score FROM read)
+        SELECT msg_id, redacted_text, clean_text_pii(raw_text) = redacted_text AS alias_ok,
+               size(links) AS n_links, array_join(transform(get_links(raw_text), l -> l.domain), ',') AS domains,
+               steps[0] AS first_step, fetch_safe_steps()[0] AS default_first_step, redact_pii() AS empty_redaction,
+               CASE WHEN size(links) > 0 THEN analyze_domain(get(links, 0).domain).risk_score END AS first_domain_risk,
+               array_join(transform(check_social_engineering(redacted_text), i -> i.category), '|') AS categories,
+               CASE WHEN size(links) = 1 THEN score.risk_score END AS one_link_score,
+               CASE WHEN size(links) = 1 THEN risk_verdict(score.risk_score) END AS one_link_verdict,
+               assess_risk().risk_score AS default_score, size(assess_risk().score_trace) AS default_trace,
+               draft_report(raw_text, redacted_text, 80, indicators, steps) AS draft,
+               generate_report_draft() AS default_draft
+        FROM scored""")
+
+
+def sql_tool_rows(spark, sf_dir):
+    """The table functions in lateral joins: a row per link with its report, and per signal."""
+    from ..functions.tools import register_sql_functions
+    register_sql_functions(spark)
+    src = accepted(spark, sf_dir).withColumn("raw_text", S.message_text("text", "image", "demo_offline"))
+    src.select("msg_id", "raw_text").createOrReplaceTempView("baitline_texts")
+    return spark.sql("""
+        WITH cleaned AS (SELECT msg_id, redact_pii(raw_text) AS redacted_text FROM baitline_texts)
+        SELECT 'link' AS kind, m.msg_id, r.pos, r.domain AS name, cast(r.risk_score AS string) AS detail
+        FROM baitline_texts m, LATERAL link_reports(m.raw_text) r
+        UNION ALL
+        SELECT 'signal', m.msg_id, s.pos, s.category, s.detail
+        FROM cleaned m, LATERAL text_signals(m.redacted_text) s""")
 
 
 # --- streaming (ST1-ST4) -------------------------------------------------------------
@@ -428,10 +537,8 @@ def prompt_payloads(spark, sf_dir):
 # --- catalogues and sinks (S2-S4, S9-S11, T8 join form) ------------------------------
 
 def _sink_path(spark, name):
-    import os
-    import uuid
-    from ..session import checkpoint_dir
-    return os.path.join(checkpoint_dir(spark), "sinks", f"{name}-{uuid.uuid4().hex[:12]}")
+    from ..session import work_folder
+    return work_folder(spark, "sinks", name)
 
 
 def sample_matches(spark, sf_dir):
@@ -478,12 +585,67 @@ def packet_files(spark, sf_dir):
 
 
 def history_store(spark, sf_dir):
-    """Newest cases per user written as a parquet table and read back."""
-    from ..sources.sinks import write_history
-    path = _sink_path(spark, "history")
-    write_history(OA.recent_cases(OA.case_records(reports(spark, sf_dir))), path)
-    return spark.read.parquet(path)
-
+    """S11 with A4's nested report: cases merged in three loads into the keyed store, then the newest per user.
+
+    The case files are written once, so the loads do not repeat the investigation."""
+    from ..sources.history import HistoryStore
+    path = _sink_path(spark, "cases")
+    OA.case_files(reports(spark, sf_dir)).write.parquet(path)
+    cases = spark.read.parquet(path)
+    store = HistoryStore(spark, _sink_path(spark, "history"))
+    for situation in C.SITUATIONS:
+        store.merge(cases.where(F.col("situation") == situation))
+    return OA.recent_cases(
+        store.read(), C.HISTORY_SIZE, F.col("report.redacted_text").alias("report_text"),
+        F.array_join(F.transform("report.links", lambda l: l["original"]), ",").alias("report_links"),
+        F.col("report.extracted_text").isNull().alias("no_transcription"),
+        F.size("report.score_trace").alias("n_trace"), F.col("report.report_draft").alias("report_draft"))
+
+
+def export_files(spark, sf_dir):
+    """Exports written day by day in two loads, the second one repeated, and read back."""
+    from ..sources.sinks import read_exports, write_exports
+    path = _sink_path(spark, "exports")
+    rep = reports(spark, sf_dir)
+    early = F.dayofmonth("ts") <= 15
+    for load in (early, ~early, ~early):
+        write_exports(rep.where(load), path)
+    return read_exports(spark, path).select("day", F.col("value").alias("export_json"))
+
+
+def request_intake(spark, sf_dir):
+    """Messages written as JSON requests, some cut off, scanned with their quarantine;
+    the catalogue's samples found in the table are scanned as text files."""
+    from ..sources import requests as SR
+    path = _sink_path(spark, "requests")
+    msgs = messages(spark, sf_dir)
+    SR.write_requests(msgs, f"{path}/whole")
+    lines = spark.read.text(f"{path}/whole")
+    number = F.regexp_extract("value", '"msg_id":([0-9]+)', 1).cast("bigint")
+    cut = F.when(number % 17 == 3, F.expr("left(value, length(value) - 5)")).otherwise(F.col("value"))
+    lines.select(cut.alias("value")).write.text(f"{path}/json")
+    accepted_rows, quarantine = SR.split_requests(SR.read_requests(spark, f"{path}/json"))
+    (sample_matches(spark, sf_dir).join(msgs, "msg_id").select("sample", "text").distinct()
+     .write.partitionBy("sample").text(f"{path}/texts"))
+    texts, blank = SR.split_requests(SR.read_texts(spark, f"{path}/texts/*"))
+    of_record = F.regexp_extract("record", '"msg_id":([0-9]+)', 1).cast("bigint")
+
+    def shown(df, kind, msg_id, reason):
+        return df.select(F.lit(kind).alias("kind"), msg_id.cast("bigint").alias("msg_id"), "situation", reason.alias("reject_reason"),
+                         F.length("text").alias("n_chars"), F.col("source").contains(path.rsplit("/", 1)[1]).alias("has_source"))
+    none = F.lit(None).cast("string")
+    return (shown(accepted_rows, "json", F.col("msg_id"), none)
+            .unionByName(shown(quarantine, "json", F.coalesce("msg_id", of_record), F.col("reject_reason")))
+            .unionByName(shown(texts.unionByName(blank, allowMissingColumns=True), "text", F.lit(None), none)))
+
+
+def unanswered_messages(spark, sf_dir):
+    """Accepted messages for which no model call gave a usable answer."""
+    from ..operators.notes import unanswered
+    from ..sources.fixtures import situations
+    from ..sources.responses import attempts_from
+    acc = accepted(spark, sf_dir)
+    return unanswered(acc, attempts_from(acc), situations(spark)).select("msg_id", "situation", "demo_offline")
 
 
 # --- extension intake over real conversation text (S8 -> G5) --------------------------
@@ -501,3 +663,28 @@ def conversation_reports(spark, sf_dir):
                       T.categories_text(F.col("indicators")).alias("categories"),
                       G.status_line(F.col("verdict"), F.col("risk_score")).alias("status_line"),
                       "guard_failed")
+
+
+def _text_reports(texts):
+    """G5 over whole texts (msg_id, text): everything else at its default."""
+    rep = investigate(texts.withColumns({
+        "situation": F.lit("before_click"), "image": F.lit(None).cast("string"), "demo_offline": F.lit(False)}))
+    return rep.select(
+        "msg_id", "verdict", "risk_score", "confidence", "max_domain_score", "top_domain",
+        F.size("links").alias("n_links"), T.categories_text(F.col("indicators")).alias("categories"),
+        F.array_join("breakdown", " | ").alias("breakdown"),
+        F.array_join(F.transform("trace", lambda s: s["detail"]), " | ").alias("trace"),
+        "guard_failed", F.md5("report_draft").alias("draft_md5"))
+
+
+def document_reports(spark, sf_dir):
+    """G5 over every whole document."""
+    docs = tables.documents(spark, sf_dir)
+    return _text_reports(docs.select(F.col("doc_id").alias("msg_id"), "text")).withColumnRenamed("msg_id", "doc_id")
+
+
+def page_reports(spark, sf_dir):
+    """G5 over the whole source of every page."""
+    pages = tables.pages(spark, sf_dir)
+    return _text_reports(pages.select(F.col("page_id").alias("msg_id"), F.col("html").alias("text"))
+                         ).withColumnRenamed("msg_id", "page_id")

@@ -40,9 +40,24 @@ SPARK_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lite_agreement": Q.lite_agreement,
     "browser_overlay": Q.browser_overlay,
     "sql_tools": Q.sql_tools,
+    "sql_tool_rows": Q.sql_tool_rows,
     "analyst_notes_live": Q.analyst_notes_live,
     "prompt_payloads": Q.prompt_payloads,
     "conversation_reports": Q.conversation_reports,
+    "document_reports": Q.document_reports,
+    "page_reports": Q.page_reports,
+    "dashboard_steps": Q.dashboard_steps,
+    "breakdown_topics": Q.breakdown_topics,
+    "popup_previews": Q.popup_previews,
+    "campaigns_by_day": Q.campaigns_by_day,
+    "campaign_totals": Q.campaign_totals,
+    "lite_agreement_totals": Q.lite_agreement_totals,
+    "lite_domain_records": Q.lite_domain_records,
+    "browser_payloads": Q.browser_payloads,
+    "browser_reports": Q.browser_reports,
+    "unanswered_messages": Q.unanswered_messages,
+    "request_intake": Q.request_intake,
+    "export_files": Q.export_files,
     "sample_matches": Q.sample_matches,
     "screenshot_fixtures": Q.screenshot_fixtures,
     "lexicon_hits": Q.lexicon_hits,

@@ -1,7 +1,7 @@
-"""Session and checkpoint helpers."""
+"""Session and shared-folder helpers."""
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -25,19 +25,15 @@ def get_spark(master: str | None = None, partitions: int = 8, app: str = "baitli
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared folder for checkpoints and written intermediates.
 
-    Only when the setting is absent (local tests) a fresh temporary folder is
-    created and registered; on a cluster the platform must provide a shared one.
+    It is the one that ``spark.checkpoint.dir`` names; where that is unset (tests), a
+    folder in the session's warehouse, which every executor can reach too.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or \
-        spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if configured:
-        spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    path = tempfile.mkdtemp(prefix="baitline-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    return (configured or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work").rstrip("/")
+
+
+def work_folder(spark: SparkSession, kind: str, name: str) -> str:
+    """A new folder name in the shared folder."""
+    return f"{checkpoint_dir(spark)}/{kind}/{name}-{uuid.uuid4().hex[:12]}"

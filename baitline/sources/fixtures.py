@@ -22,6 +22,12 @@ def samples(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(C.SAMPLES, "name string, source string, situation string, text string")
 
 
+def situations(spark: SparkSession) -> DataFrame:
+    """The known situations (three rows) with their labels."""
+    return spark.createDataFrame([(x, C.SITUATION_LABELS.get(x, C.SITUATION_LABEL_DEFAULT)) for x in C.SITUATIONS],
+                                 "situation string, label string")
+
+
 def screenshot_manifest(path: str = MANIFEST) -> list[dict]:
     """The fixtures of the manifest, a handful of rows shipped with the package and
     read on the driver, so executors need no copy of the file."""

@@ -1,8 +1,8 @@
 """Intake operators (S3, S5-S8): text resolution, validation, quarantine.
 
 All are projections/filters over the message rows; the screenshot marker
-lookup is a short ``coalesce`` chain over a fixed five-entry table instead of
-a theta join, so it stays in the scan stage.
+lookup is a short CASE over a fixed five-entry table instead of a theta join,
+so it stays in the scan stage.
 """
 from __future__ import annotations
 
@@ -10,41 +10,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.redact import strip_ws
+from ..functions.redact import strip_js, strip_ws
+from ..functions.rule import case, lit, rule
 
 
-def fixture_text(image: Column) -> Column:
+def fixture_text(image: str) -> str:
     """S5 first step: text of the first marker contained in the upper-cased payload."""
-    up = F.upper(F.coalesce(image, F.lit("")))
-    return F.coalesce(*[F.when(up.contains(key), F.lit(text)) for key, text in C.OCR_TEXTS])
+    return case([(f"contains(upper({image}), {lit(k)})", lit(t)) for k, t in C.OCR_TEXTS], "NULL")
 
 
-def screenshot_text(image: Column, demo_offline: Column,
-                    ocr_text: Column | None = None) -> Column:
+def screenshot_text(image: str, demo_offline: str, ocr_text: str = "NULL") -> str:
     """S5 fallback chain: marker text; forced local -> courier text; a supplied
     transcription (the live model's answer, computed outside Spark); hint words
     in the payload -> bank text; else courier text."""
-    low = F.lower(F.coalesce(image, F.lit("")))
-    hinted = F.lit(False)
-    for word in C.OCR_HINT_WORDS:
-        hinted = hinted | low.contains(word)
-    chain = [fixture_text(image),
-             F.when(F.coalesce(demo_offline, F.lit(False)), F.lit(C.OCR_DEFAULT_TEXT))]
-    if ocr_text is not None:
-        chain.append(ocr_text)
-    chain += [F.when(hinted, F.lit(C.OCR_TEXTS[0][1])), F.lit(C.OCR_DEFAULT_TEXT)]
-    return F.coalesce(*chain)
+    hinted = " OR ".join(f"contains(lower({image}), {lit(w)})" for w in C.OCR_HINT_WORDS)
+    return (f"coalesce({fixture_text(image)}, CASE WHEN coalesce({demo_offline}, false) THEN {lit(C.OCR_DEFAULT_TEXT)} END, "
+            f"{ocr_text}, CASE WHEN {hinted} THEN {lit(C.OCR_TEXTS[0][1])} END, {lit(C.OCR_DEFAULT_TEXT)})")
 
 
-def has_image(image: Column) -> Column:
-    return image.isNotNull() & (image != "")
+@rule
+def has_image(image: str) -> str:
+    return f"({image} IS NOT NULL AND {image} != '')"
 
 
-def message_text(text: Column, image: Column, demo_offline: Column,
-                 ocr_text: Column | None = None) -> Column:
+@rule
+def message_text(text: str, image: str, demo_offline: str, ocr_text: str = "NULL") -> str:
     """With an image its transcription replaces the typed text."""
-    return F.when(has_image(image), screenshot_text(image, demo_offline, ocr_text)
-                  ).otherwise(F.coalesce(text, F.lit("")))
+    return (f"CASE WHEN {has_image.sql(image)} THEN {screenshot_text(image, demo_offline, ocr_text)} "
+            f"ELSE coalesce({text}, '') END")
 
 
 def reject_reason(text: Column, image: Column, situation: Column) -> Column:
@@ -77,6 +70,6 @@ def extension_intake(selections: DataFrame, text_col: str = "text",
     situation = (F.coalesce(F.col(situation_col), F.lit("before_click"))
                  if situation_col else F.lit("before_click"))
     return (selections
-            .withColumn(text_col, strip_ws(F.col(text_col)))
+            .withColumn(text_col, strip_js(F.col(text_col)))
             .filter(F.length(F.col(text_col)) > 0)
             .withColumn("situation", situation))

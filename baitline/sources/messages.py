@@ -54,7 +54,8 @@ def _templates() -> list[str]:
         f"'HTTP://CAPS-' || {_ID} || '.XYZ/pay now or call 202-555-'"
         f" || lpad(CAST(event_id % 10000 AS STRING), 4, '0')",                  # 8
         f"'Login at http://user:pw@host' || {_U} || '.io:80/p to keep your code'",  # 9
-        f"'Broken https://[bad/x and https://ok-' || {_ID} || '.top here'",     # 10
+        f"'Broken https://[bad/x https://ex℀mple.com/x https://a＃b.io https://h：80.io and https://ok-'"
+        f" || {_ID} || '.top here'",                                            # 10
         f"'Visit https://evil' || {_U} || '.xyz. Today only, your reward waits.'",  # 11
         f"'Invoice from paypal.co.uk: pay at https://paypal.co.uk/invoice/' || {_ID}",  # 12
         f"'Contact me @handle' || {_U} || ' for the refund'",                   # 13
@@ -68,7 +69,7 @@ def _templates() -> list[str]:
         f" || {_ID} || '.xyz/'",                                                # 19
         "'my dear friend, keep this secret until we meet'",                     # 20
         "NULL",                                                                 # 21 screenshot
-        "''",                                                                   # 22 rejected
+        "'\u00a0 \u2003'",                                                       # 22 rejected: blanks only
         f"'Quick question about ' || {_BRAND} || ' at www.' || {_BRAND} || '.com'",  # 23
         f"'Urgent: claim your reward, login at https://amaz0n-prize-' || {_ID} || '.xyz'",  # 24
         f"'Lunch at 12:30, table for ' || {_U} || '. Thanks!'",                 # 25
@@ -124,14 +125,3 @@ def view_sql(events_table: str = "events") -> str:
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type"])
     return events.selectExpr(*[f"{expr} AS {name}" for name, expr in view_columns()])
-
-
-def text_file_messages(spark: SparkSession, path: str, situation: str = "before_click") -> DataFrame:
-    """S1 (files): one message per text file (``wholetext``), keyed by its path."""
-    from pyspark.sql import functions as F
-    files = spark.read.text(path, wholetext=True).select(
-        F.input_file_name().alias("path"), F.col("value").alias("text"))
-    return files.select(
-        F.xxhash64("path").alias("msg_id"), "path", "text",
-        F.lit(situation).alias("situation"), F.lit(None).cast("string").alias("image"),
-        F.lit(False).alias("demo_offline"))

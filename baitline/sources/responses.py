@@ -8,7 +8,7 @@ then success, server error then fenced JSON, every route failing, broken JSON,
 a JSON array instead of an object, missing content, oversized lists, a list
 around an object, data after an object, calls without an answer, strings that
 look like lists or objects. Like the message view it is written as SQL both Spark and DuckDB run, joined to a fixed
-scenario table (29 rows, broadcast).
+scenario table (32 rows, broadcast).
 """
 from __future__ import annotations
 
@@ -36,6 +36,8 @@ SCENARIO_STEPS = [
     (6, 2, 0, 200, None, "empty"),
     (7, 1, 0, 404, "not found", None),
     (7, 2, 0, 200, None, "many"),
+    (8, 1, 0, 500, "limit 429 reached", None),
+    (8, 1, 1, 200, None, "clean"),
     (9, 1, 0, 200, None, "listed"),
     (9, 2, 0, 200, None, "extra"),
     (9, 3, 0, 200, None, "clean"),
@@ -107,7 +109,7 @@ def attempts_from(messages: DataFrame) -> DataFrame:
     steps = spark.createDataFrame(
         SCENARIO_STEPS, "scenario int, model_rank int, attempt int, http_code int, error string, kind string")
     keyed = messages.select("msg_id").withColumn("scenario", (F.col("msg_id") % N_SCENARIOS).cast("int"))
-    # the scenario table is 29 fixed rows: broadcasting it is bounded by construction
+    # the scenario table is 32 fixed rows: broadcasting it is bounded by construction
     joined = keyed.join(F.broadcast(steps), "scenario")
     return joined.selectExpr(*[f"{expr} AS {name}" for name, expr in attempt_columns()])
 

@@ -1,8 +1,8 @@
-"""Sinks (S9-S11): JSON report export, case packets, case history.
+"""Sinks (S9, S10): JSON report export, case packets, partial campaigns.
 
 All writes go to folders under the shared checkpoint folder (or a caller
-path); writes are whole-folder overwrites, so a retried job leaves one
-consistent copy.
+path). A retried job leaves one consistent copy: packets overwrite their folder,
+exports and campaigns the days they hold. The history (S11) is ``sources.history``.
 """
 from __future__ import annotations
 
@@ -25,7 +25,23 @@ def export_json(rep: DataFrame, exported_at: Column | None = None, app: str = "b
 
 
 def write_exports(rep: DataFrame, path: str) -> None:
-    rep.select(export_json(rep).alias("value")).write.mode("overwrite").text(path)
+    """Export documents as JSON lines in one folder per day of the message.
+
+    Dynamic partition overwrite: a run replaces the days it holds and leaves the others, so
+    days can be exported one by one and exported again.
+    """
+    day = F.date_format("ts", "yyyy-MM-dd")
+    (rep.select(day.alias("day"), export_json(rep, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).alias("value"))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").text(path))
+
+
+def read_exports(spark, path: str) -> DataFrame:
+    return spark.read.schema("value string, day string").text(path)
+
+
+def write_campaign_days(days: DataFrame, path: str) -> None:
+    """Partial campaigns in one folder per day; a day that is computed again replaces itself."""
+    (days.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path))
 
 
 def write_packets(rep: DataFrame, path: str) -> None:
@@ -36,8 +52,3 @@ def write_packets(rep: DataFrame, path: str) -> None:
 
 def read_packets(spark, path: str) -> DataFrame:
     return spark.read.schema("msg_id bigint, packet string, verdict string").json(path)
-
-
-def write_history(cases: DataFrame, path: str) -> None:
-    """The case-history table (newest cases per user) as parquet."""
-    cases.write.mode("overwrite").parquet(path)

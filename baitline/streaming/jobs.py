@@ -1,40 +1,44 @@
 """Structured Streaming jobs over arriving messages (ST1-ST4).
 
 The same column expressions as the batch pipeline run on a ``readStream`` of
-the events table. Checkpoints and outputs live under the shared folder named
-by ``spark.checkpoint.dir`` (``session.checkpoint_dir``), so a restarted job
-resumes from its offsets and state after losing executors or the driver.
+the events table, stored as one file or as a folder of files.
 
 - ``stream_reports`` (ST1): stateless, append mode, parquet sink.
-- ``stream_verdict_windows`` (ST2): event-time windows with a watermark; rows
-  later than the watermark are dropped. Runs in update mode: every micro-batch
-  writes the windows it changed to a folder named by its batch id (a replayed
-  batch rewrites it), and the newest state of each window counts, so windows
-  that are still open when a bounded run ends are in the result.
-- ``stream_session_counts`` (ST2): session windows, which only append mode
-  knows; sessions still open at the end come from a batch pass.
-- ``stream_history`` (ST3): ``foreachBatch`` upsert of the newest 8 cases per
-  user; each batch writes a new version folder named by its batch id, so a
-  replayed batch rewrites the same folder (idempotent).
+- ``stream_verdict_windows`` (ST2): event-time windows, tumbling or sliding, with a
+  watermark; rows later than the watermark are dropped.
+- ``stream_session_counts`` (ST2): sessions of a user, merged in the state store.
+- ``stream_history`` (ST3): ``foreachBatch`` merges each batch into the keyed history
+  store (``sources.history``): a batch reads and writes the buckets of its users only,
+  and a replayed batch is merged once.
 - ``stream_dedup`` (ST4): repeated submissions of a message collapse with
   ``dropDuplicatesWithinWatermark``.
 
-The ``run_*`` helpers run a job to completion with an ``availableNow`` trigger
-and return the written result as a batch DataFrame.
+Windows and sessions run in append mode: the sink gets those that the watermark has
+closed. Those still open when a bounded run ends are in the stream's own state, which is
+read from the checkpoint (Spark's ``statestore`` source) and added to the result. Nothing
+is computed again from the input, and an open window goes on growing in the next run.
+
+The ``run_*`` helpers run a job to completion with an ``availableNow`` trigger and return
+the result as a batch DataFrame. ``at`` names the folder of a job (sink and checkpoint): a
+run on the folder of an earlier run resumes from its offsets and state. Without ``at`` a
+job starts in a new folder below the shared one. An input without files, or without rows,
+gives an empty result.
 """
 from __future__ import annotations
 
 import os
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .. import constants as C
 from ..plans.investigate import investigate
-from ..session import checkpoint_dir
+from ..session import work_folder
+from ..sources.folders import Folder
+from ..sources.history import HistoryStore, newest_cases
 from ..sources.intake import split_intake
 from ..sources.messages import view_columns
+from ..sources.tables import table_path
 
 EVENTS_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
@@ -42,15 +46,13 @@ EVENTS_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type S
 def message_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
     """The ``messages`` view over a stream of event files; ``max_files`` bounds a
     micro-batch (default: all files that are there)."""
-    reader = spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events*.parquet")
+    reader = spark.readStream.schema(EVENTS_SCHEMA)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return _view(reader.parquet(sf_dir))
-
-
-def message_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same view over the files that are there now."""
-    return _view(spark.read.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events*.parquet").parquet(sf_dir))
+    # a file source takes folders or patterns: this pattern matches the table's name alone,
+    # be it a file or a folder
+    path = table_path(sf_dir, "events")
+    return _view(reader.parquet(f"{path[:-1]}[{path[-1]}]"))
 
 
 def _view(events: DataFrame) -> DataFrame:
@@ -60,6 +62,10 @@ def _view(events: DataFrame) -> DataFrame:
     return view.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def _clock(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
+
+
 def report_columns(rep: DataFrame) -> DataFrame:
     return rep.select("msg_id", "user_id", "ts", "situation", "verdict", "risk_score", "confidence",
                       F.size("domain_reports").alias("domain_count"),
@@ -80,10 +86,8 @@ def stream_verdict_windows(reports: DataFrame, window: str = "1 day",
                .groupBy(w.alias("w"), "verdict")
                .agg(F.count(F.lit(1)).alias("n_messages"),
                     F.max("risk_score").alias("max_score")))
-    return counted.select(
-        F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
-        F.date_format("w.end", "yyyy-MM-dd HH:mm:ss").alias("window_end"),
-        "verdict", "n_messages", "max_score")
+    return counted.select(_clock(F.col("w.start")).alias("window_start"), _clock(F.col("w.end")).alias("window_end"),
+                          "verdict", "n_messages", "max_score")
 
 
 def stream_session_counts(reports: DataFrame, gap: str = "30 minutes",
@@ -92,130 +96,98 @@ def stream_session_counts(reports: DataFrame, gap: str = "30 minutes",
     counted = (reports.withWatermark("ts", delay)
                .groupBy(F.session_window("ts", gap).alias("s"), "user_id")
                .agg(F.count(F.lit(1)).alias("n_messages"), F.max("risk_score").alias("max_score")))
-    return counted.select(
-        "user_id",
-        F.date_format("s.start", "yyyy-MM-dd HH:mm:ss").alias("session_start"),
-        F.date_format("s.end", "yyyy-MM-dd HH:mm:ss").alias("session_end"),
-        "n_messages", "max_score")
+    return counted.select("user_id", _clock(F.col("s.start")).alias("session_start"),
+                          _clock(F.col("s.end")).alias("session_end"), "n_messages", "max_score")
 
 
-def newest_cases(df: DataFrame, n: int = C.HISTORY_SIZE) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("msg_id").desc())
-    return (df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n))
+HISTORY_COLUMNS = ["user_id", "msg_id", "ts", "verdict", "risk_score"]
 
 
-def history_upsert(history_root: str):
-    """ST3: ``foreachBatch`` function merging a batch into the newest-8 history."""
+def history_upsert(root: str):
+    """ST3: ``foreachBatch`` function merging a batch into the history store at ``root``."""
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        versions = _versions(history_root, spark)
-        previous = [v for v in versions if v < batch_id]
-        rows = batch.select("user_id", "msg_id", "ts", "verdict", "risk_score")
-        if previous:
-            old = spark.read.parquet(os.path.join(history_root, f"v={max(previous)}"))
-            rows = rows.unionByName(old.drop("rank"))
-        merged = newest_cases(rows.dropDuplicates(["msg_id"]))
-        merged.write.mode("overwrite").parquet(os.path.join(history_root, f"v={batch_id}"))
+        HistoryStore(batch.sparkSession, root).merge(batch.select(*HISTORY_COLUMNS), batch_id)
     return upsert
 
 
-def _versions(root: str, spark: SparkSession | None = None) -> list[int]:
-    """Completed history versions, listed through the Hadoop FileSystem API so
-    the shared checkpoint folder may live on any cluster file system."""
-    spark = spark or SparkSession.getActiveSession()
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    out = []
-    for status in fs.listStatus(path):
-        name = status.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-            out.append(int(name[2:]))
-    return sorted(out)
-
-
 def stream_dedup(messages_a: DataFrame, messages_b: DataFrame, delay: str = "1 hour") -> DataFrame:
     """ST4: the same message submitted twice is kept once."""
     both = messages_a.unionByName(messages_b)
     return (both.withWatermark("ts", delay)
             .dropDuplicatesWithinWatermark(["msg_id"])
-            .select("msg_id", "user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts")))
+            .select("msg_id", "user_id", _clock(F.col("ts")).alias("ts")))
 
 
 # --- runners (availableNow) ----------------------------------------------------------
 
-def _paths(spark: SparkSession, name: str) -> tuple[str, str]:
-    base = os.path.join(checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:12]}")
-    return os.path.join(base, "out"), os.path.join(base, "checkpoint")
+def _folders(spark: SparkSession, name: str, at: str | None) -> tuple[str, str]:
+    base = (at or work_folder(spark, "streams", name)).rstrip("/")
+    return Folder(spark, os.path.join(base, "out")).make().path, os.path.join(base, "checkpoint")
 
 
-def _run_to_parquet(df: DataFrame, out: str, ckpt: str, mode: str = "append") -> None:
-    q = (df.writeStream.format("parquet").option("path", out)
-         .option("checkpointLocation", ckpt).outputMode(mode)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+def _run_to_parquet(df: DataFrame, out: str, ckpt: str) -> DataFrame:
+    """Run an append stream to its end; everything its sink holds."""
+    (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
+     .outputMode("append").trigger(availableNow=True).start().awaitTermination())
+    return df.sparkSession.read.schema(df.schema).parquet(out)
 
 
-def run_stream_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, ckpt = _paths(spark, "reports")
-    _run_to_parquet(stream_reports(message_stream(spark, sf_dir)), out, ckpt)
-    return spark.read.parquet(out)
+def open_groups(spark: SparkSession, ckpt: str, columns: list[Column], schema: StructType) -> DataFrame:
+    """Groups that the stream of a checkpoint still holds open: ``columns`` over the ``key``
+    and ``value`` of its state after the last batch."""
+    if not Folder(spark, ckpt).names("commits"):
+        return spark.createDataFrame([], schema)
+    return spark.read.format("statestore").load(ckpt).select(*columns)
 
 
-_WINDOW_KEY = ["window_start", "window_end", "verdict"]
+def run_stream_reports(spark: SparkSession, sf_dir: str, at: str | None = None) -> DataFrame:
+    return _run_to_parquet(stream_reports(message_stream(spark, sf_dir)), *_folders(spark, "reports", at))
 
 
 def run_windows(windows: DataFrame, out: str, ckpt: str) -> DataFrame:
-    """Run a window stream in update mode; the newest state of every window."""
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
-
-    (windows.writeStream.foreachBatch(upsert).option("checkpointLocation", ckpt).outputMode("update")
-     .trigger(availableNow=True).start().awaitTermination())
-    return (windows.sparkSession.read.parquet(out).groupBy(*_WINDOW_KEY)
-            .agg(F.max(F.struct("batch", "n_messages", "max_score")).alias("last"))
-            .select(*_WINDOW_KEY, "last.n_messages", "last.max_score"))
-
-
-def run_verdict_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run a stream of ``stream_verdict_windows``: closed windows, then open ones."""
+    closed = _run_to_parquet(windows, out, ckpt)
+    w, value = F.col("key.window"), F.col("value")
+    return closed.unionByName(open_groups(windows.sparkSession, ckpt, [
+        _clock(w["start"]).alias("window_start"), _clock(w["end"]).alias("window_end"),
+        F.col("key.verdict").alias("verdict"), value["count"].alias("n_messages"), value["max"].alias("max_score")],
+        windows.schema))
+
+
+def run_session_counts(sessions: DataFrame, out: str, ckpt: str) -> DataFrame:
+    """Run a stream of ``stream_session_counts``: closed sessions, then open ones."""
+    closed = _run_to_parquet(sessions, out, ckpt)
+    value = F.col("value")
+    return closed.unionByName(open_groups(sessions.sparkSession, ckpt, [
+        value["user_id"].alias("user_id"), _clock(value["session_window"]["start"]).alias("session_start"),
+        _clock(value["session_window"]["end"]).alias("session_end"), value["count"].alias("n_messages"),
+        value["max"].alias("max_score")], sessions.schema))
+
+
+def run_verdict_windows(spark: SparkSession, sf_dir: str, at: str | None = None) -> DataFrame:
     rep = stream_reports(message_stream(spark, sf_dir))
-    return run_windows(stream_verdict_windows(rep), *_paths(spark, "windows"))
+    return run_windows(stream_verdict_windows(rep), *_folders(spark, "windows", at))
 
 
-def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, ckpt = _paths(spark, "history")
+def run_sliding_windows(spark: SparkSession, sf_dir: str, at: str | None = None) -> DataFrame:
     rep = stream_reports(message_stream(spark, sf_dir))
-    q = (rep.writeStream.foreachBatch(history_upsert(out)).option("checkpointLocation", ckpt)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    latest = _versions(out, spark)[-1]
-    return spark.read.parquet(os.path.join(out, f"v={latest}"))
+    return run_windows(stream_verdict_windows(rep, "1 day", "1 hour", "6 hours"), *_folders(spark, "sliding", at))
 
 
-def run_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, ckpt = _paths(spark, "dedup")
-    _run_to_parquet(stream_dedup(message_stream(spark, sf_dir), message_stream(spark, sf_dir)),
-                    out, ckpt)
-    return spark.read.parquet(out)
+def run_sessions(spark: SparkSession, sf_dir: str, at: str | None = None) -> DataFrame:
+    rep = stream_reports(message_stream(spark, sf_dir))
+    return run_session_counts(stream_session_counts(rep), *_folders(spark, "sessions", at))
 
 
-def run_sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run_history(spark: SparkSession, sf_dir: str, at: str | None = None) -> DataFrame:
+    """The history after all batches, with the rank of each case."""
+    out, ckpt = _folders(spark, "history", at)
     rep = stream_reports(message_stream(spark, sf_dir))
-    return run_windows(stream_verdict_windows(rep, "1 day", "1 hour", "6 hours"), *_paths(spark, "sliding"))
+    (rep.writeStream.foreachBatch(history_upsert(out)).option("checkpointLocation", ckpt)
+     .trigger(availableNow=True).start().awaitTermination())
+    return newest_cases(HistoryStore(spark, out, rep.select(*HISTORY_COLUMNS).schema).read())
 
 
-def run_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, ckpt = _paths(spark, "sessions")
-    rep = stream_reports(message_stream(spark, sf_dir))
-    _run_to_parquet(stream_session_counts(rep), out, ckpt)
-    closed = spark.read.parquet(out)
-    batch = stream_reports(message_batch(spark, sf_dir))
-    every = stream_session_counts(batch)
-    # the stream's closed sessions come first, the rest are those it still holds open (a
-    # grouping, because an anti join would be pushed below the merging of sessions)
-    both = closed.withColumn("closed", F.lit(1)).unionByName(every.withColumn("closed", F.lit(0)))
-    keys = ["user_id", "session_start", "session_end"]
-    return (both.groupBy(*keys).agg(F.max(F.struct("closed", "n_messages", "max_score")).alias("s"))
-            .select(*keys, "s.n_messages", "s.max_score"))
+def run_dedup(spark: SparkSession, sf_dir: str, at: str | None = None) -> DataFrame:
+    return _run_to_parquet(stream_dedup(message_stream(spark, sf_dir), message_stream(spark, sf_dir)),
+                           *_folders(spark, "dedup", at))

@@ -70,3 +70,18 @@ def test_campaigns_need_no_expand_and_no_sort(spark):
 def test_notes_collect_no_list(spark):
     plan = _plan(Q.analyst_notes_live(spark, SF))
     assert "collect_list" not in plan
+
+
+def test_campaigns_build_no_packet_and_no_trace(spark):
+    """Columns that nobody reads are not computed."""
+    plan = _plan(Q.campaigns(spark, SF))
+    assert "CASE PACKET" not in plan and "Safety Review Guardrail" not in plan and "Claimed source" not in plan
+
+
+def test_report_queries_are_built_fast(spark):
+    """The rules are texts: a report costs few calls to build (it took seconds as single columns)."""
+    import time
+    Q.risk_scores(spark, SF)
+    start = time.time()
+    Q.risk_scores(spark, SF)
+    assert time.time() - start < 2.5

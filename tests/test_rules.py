@@ -153,12 +153,60 @@ def test_edge_rows(spark, msg_schema):
 
 
 def test_text_file_messages(spark, tmp_path):
-    from baitline.sources.messages import text_file_messages
+    from baitline.sources.requests import read_texts
     for name, _, _, text in C.SAMPLES:
         (tmp_path / f"{name}.txt").write_text(text + "\n")
-    rep = investigate(text_file_messages(spark, str(tmp_path)))
-    scores = {r.path.rsplit("/", 1)[-1]: r.risk_score for r in rep.select("path", "risk_score").collect()}
-    assert scores == {"courier.txt": 95, "bank.txt": 96, "lottery.txt": 34, "romance.txt": 36}
+    rep = investigate(read_texts(spark, str(tmp_path)))
+    scores = {r.name: r.risk_score for r in rep.select("name", "risk_score").collect()}
+    assert scores == {"courier": 95, "bank": 96, "lottery": 34, "romance": 36}
+
+
+def test_hosts_that_normalise_to_a_delimiter_are_skipped(spark):
+    """The stated characters are those whose NFKC form holds a delimiter, and no others."""
+    import unicodedata
+    odd = {chr(c) for c in range(128, 0x110000) if not 0xD800 <= c < 0xE000
+           and set(unicodedata.normalize("NFKC", chr(c))) & set("/?#@:")}
+    assert odd == set(C.NFKC_DELIMITERS)
+    texts = [f"go https://ex{c}mple.com/x now" for c in C.NFKC_DELIMITERS] + ["go https://exämple.com/x now"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(L.extract_links("t").alias("l")).collect()
+    assert [len(r.l) for r in got] == [0] * len(C.NFKC_DELIMITERS) + [1]
+
+
+def test_a_rule_is_the_same_on_names_columns_and_in_sql(spark):
+    from baitline.functions import tools
+    tools.register_sql_functions(spark)
+    df = spark.createDataFrame([(t,) for t in [*SAMPLE.values(), "", None, "mail a@b.co at www.x.xyz"]], "text string")
+    df.createOrReplaceTempView("rule_texts")
+    for name, made, sql in [("redact", R.redact_pii, "redact_pii"), ("links", L.extract_links, "extract_links"),
+                            ("signals", T.detect_signals, "detect_social_engineering")]:
+        by_name = df.select(made("text").alias("x")).collect()
+        assert by_name == df.select(made(F.col("text")).alias("x")).collect(), name
+        assert by_name == spark.sql(f"SELECT {sql}(text) AS x FROM rule_texts").collect(), name
+
+
+def test_the_score_is_the_same_in_columns_and_nested(spark, msg_schema):
+    rows = [(i, t, "before_click", None, False) for i, t in enumerate(SAMPLE.values())] + [(9, "hi", "compromised", None, True)]
+    rep = investigate(spark.createDataFrame(rows, msg_schema))
+    both = rep.select(*K.SCORE_FIELDS, K.score_risk("domain_reports", "indicators").alias("nested")).collect()
+    for r in both:
+        assert [r[f] for f in K.SCORE_FIELDS] == [r.nested[f] for f in K.SCORE_FIELDS]
+
+
+def test_blanks_are_unicode_blanks(spark):
+    from baitline.sources import intake as S
+    rows = [("\u00a0\u2003", None), ("\x1c", None), ("\ufeff", None), ("a", None)]
+    df = spark.createDataFrame(rows, "text string, image string").withColumn("situation", F.lit("before_click"))
+    got = [r.r is None for r in df.select(S.reject_reason(F.col("text"), F.col("image"), F.col("situation")).alias("r")).collect()]
+    assert got == [False, False, True, True]           # a byte order mark is no blank to Python, but to a browser
+    assert [r.text for r in S.extension_intake(df).collect()] == ["\x1c", "a"]
+
+
+def test_dashboard_steps_drop_the_first_sign_only(spark):
+    from baitline.functions import report as G
+    cases = {"\u26a0\ufe0f **Stop** now": "Stop now", "go \u274c  there \u274c": "go there \u274c",
+             "a \u26a0\ufe0f b": "a \u26a0\ufe0f b", "\u2611\ufe0f\u00a0x\ny": "x\ny", "plain": "plain", "": ""}
+    df = spark.createDataFrame([(k,) for k in cases], "s string").select(G.dashboard_step(F.col("s")).alias("x"))
+    assert [r.x for r in df.collect()] == list(cases.values())
 
 
 def test_unicode_classes_follow_python(spark):

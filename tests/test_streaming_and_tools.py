@@ -16,26 +16,9 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data
 
 def test_stream_restart_is_idempotent(spark):
     base = os.path.join(checkpoint_dir(spark), "test-restart", uuid.uuid4().hex)
-    out, ckpt = os.path.join(base, "out"), os.path.join(base, "ckpt")
-    jobs._run_to_parquet(jobs.stream_reports(jobs.message_stream(spark, SF)), out, ckpt)
-    first = spark.read.parquet(out).count()
+    first = jobs.run_stream_reports(spark, SF, base).count()
     # a restarted job resumes from its committed offsets: nothing is written twice
-    jobs._run_to_parquet(jobs.stream_reports(jobs.message_stream(spark, SF)), out, ckpt)
-    assert spark.read.parquet(out).count() == first > 0
-
-
-def test_history_upsert_replay(spark):
-    root = os.path.join(checkpoint_dir(spark), "test-history", uuid.uuid4().hex)
-    rows = spark.createDataFrame(
-        [(1, i, None, "High", 90) for i in range(12)],
-        "user_id long, msg_id long, ts timestamp, verdict string, risk_score int"
-    ).withColumn("ts", F.expr("timestamp_seconds(msg_id)"))
-    upsert = jobs.history_upsert(root)
-    upsert(rows.filter("msg_id < 6"), 0)
-    upsert(rows.filter("msg_id >= 6"), 1)
-    upsert(rows.filter("msg_id >= 6"), 1)          # replayed batch rewrites the same version
-    latest = spark.read.parquet(os.path.join(root, "v=1"))
-    assert sorted(r.msg_id for r in latest.collect()) == list(range(4, 12))
+    assert jobs.run_stream_reports(spark, SF, base).count() == first > 0
 
 
 def test_tool_names_and_aliases(spark):
@@ -47,6 +30,27 @@ def test_tool_names_and_aliases(spark):
     assert r == "mail " + C.EMAIL_MASK
 
 
+def test_every_tool_has_defaults_on_columns_and_in_sql(spark):
+    tools.register_sql_functions(spark)
+    for name, alias in C.TOOL_ALIASES.items():
+        by_column = spark.range(1).select(tools.call_tool(name).alias("r")).first().r
+        row = spark.sql(f"SELECT {name}() AS a, {alias}() AS b").first()
+        assert row.a == row.b == by_column, name
+    with pytest.raises(ValueError):
+        tools.call_tool("redact_pii", words=F.lit("x"))
+
+
+def test_table_functions_join_laterally(spark):
+    tools.register_sql_functions(spark)
+    spark.createDataFrame([(1, "pay at www.a.xyz or https://paypal-x.live/p"), (2, "hello"), (3, None)],
+                          "id long, text string").createOrReplaceTempView("lateral_texts")
+    rows = spark.sql("SELECT t.id, r.pos, r.domain, r.verdict FROM lateral_texts t, LATERAL link_reports(t.text) r "
+                     "ORDER BY t.id, r.pos").collect()
+    assert [tuple(r) for r in rows] == [(1, 1, "a.xyz", "Medium"), (1, 2, "paypal-x.live", "High")]
+    names = spark.sql("SELECT t.id, s.category FROM lateral_texts t, LATERAL text_signals(t.text) s").collect()
+    assert (1, C.FINANCIAL) in {tuple(r) for r in names} and all(r.id == 1 for r in names)
+
+
 def test_sql_functions_with_defaults(spark):
     tools.register_sql_functions(spark)
     row = spark.sql("SELECT redact_pii() AS a, generate_safe_steps()[0] AS b, "
@@ -131,8 +135,8 @@ def _answers(spark, contents):
 
 def test_only_one_whole_object_is_an_answer(spark):
     from baitline.operators.notes import note_inputs
-    good = ['{"a": 1}', ' {"a": 1}\n', 'so {"a": 1} is it', '```json {"a": 1} ```', '{}', None, '{"a": 1} x']
-    bad = ['[{"a": 1}]', '{"a": 1}{"b": 2}', '{"a": 1', '[1]', 'x', '', '"{}"', '3']
+    good = ['{"a": 1}', '{"a": ", "}', ' {"a": 1}\n', 'so {"a": 1} is it', '```json {"a": 1} ```', '{}', None, '{"a": 1} x']
+    bad = ['{"a":1}, "end of answer"', '{"a":1}, 2, "end of answer"', '[{"a": 1}]', '{"a": 1}{"b": 2}', '{"a": 1', '[1]', 'x', '', '"{}"', '3']
     got = {r.msg_id: r.note_model for r in note_inputs(_answers(spark, good + bad)).collect()}
     assert [got[i] for i in range(len(good + bad))] == ["m"] * len(good) + [None] * len(bad)
 
@@ -159,7 +163,8 @@ def test_routes_retries_and_repeated_records(spark):
     rows = [(1, "m1", 1, 0, 429, "busy", None, None, None, None), (1, "m1", 1, 1, 200, None, ok, "r", "own", "{}"),
             (2, "m1", 1, 0, 500, "down", None, None, None, None), (2, "m1", 1, 1, 200, None, ok, None, None, None),
             (3, "m1", 1, 0, 429, "busy", None, None, None, None), (3, "m2", 2, 0, 200, None, "x", None, None, None),
-            *[(4, f"m{i}", i, 0, 500, "down", None, None, None, None) for i in range(5, 0, -1)]]
+            *[(4, f"m{i}", i, 0, 500, "down", None, None, None, None) for i in range(5, 0, -1)],
+            (5, "m1", 1, 0, 500, "quota 429", None, None, None, None), (5, "m1", 1, 1, 200, None, ok, None, None, None)]
     df = spark.createDataFrame(rows + rows, ANSWERS)   # every call recorded twice
     got = {r.msg_id: r for r in note_inputs(df).collect()}
     assert (got[1].note_model, got[1].note_usage, got[1].note_failure) == ("own", "{}", None)
@@ -167,5 +172,22 @@ def test_routes_retries_and_repeated_records(spark):
     assert got[3].note_failure == C.REASON_ROUTING + "m1 -> 429: busy | m2 -> invalid JSON object"
     assert got[4].note_failure == C.REASON_ROUTING + " | ".join(f"m{i} -> 500: down" for i in (1, 2, 3))
     called = {r.msg_id: r.b_model for r in browser_answers(df).collect()}
-    assert called == {1: "m1", 2: "m1", 3: "m2", 4: None}
+    assert called == {1: "m1", 2: "m1", 3: "m2", 4: None, 5: "m1"}
+    assert got[5].note_model == "m1"                                     # 429 anywhere in the failure
     assert "collect_list" not in note_inputs(df)._jdf.queryExecution().toString()
+
+
+def test_the_worklist_is_a_null_safe_anti_join(spark):
+    from baitline.operators.notes import unanswered
+    from baitline.sources.fixtures import situations
+    ok = '{"a": 1}'
+    messages = spark.createDataFrame([(1, "before_click"), (2, "before_click"), (3, "curious"), (None, "compromised"),
+                                      (4, None), (5, "clicked_only")], "msg_id long, situation string")
+    calls = spark.createDataFrame([(1, "m", 1, 0, 200, None, ok, None, None, None), (2, "m", 1, 0, 500, "x", None, None, None, None),
+                                   (5, "m", 1, 0, 200, None, "[1]", None, None, None)], ANSWERS)
+    left = unanswered(messages, calls, situations(spark))
+    assert sorted((r.msg_id is None, r.msg_id) for r in left.collect()) == [(False, 2), (False, 5), (True, None)]
+    answered_null = calls.unionAll(spark.createDataFrame([(None, "m", 1, 0, 200, None, ok, None, None, None)], ANSWERS))
+    assert sorted(r.msg_id for r in unanswered(messages, answered_null, situations(spark)).collect()) == [2, 5]
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "LeftSemi" in plan
