@@ -7,11 +7,13 @@ these longest, padded windows are counted. A ROLLUP over the four columns sums t
 windows that share a prefix, which gives the frequency of every shorter phrase and,
 at its top, the words of a language; no order of n-grams is exploded apart.
 
-Windows are trimmed before they are counted: a phrase of ``min_count`` occurrences
-consists of adjacent pairs that each have as many, so a window may end before its first
-rarer pair. The pairs are counted by 64-bit hash (a collision only trims less), and the
-frequent hashes are joined: broadcast where their measured number is at most
-``BROADCAST_PAIRS``, else by a shuffle. The result is the same either way.
+Windows are trimmed before they are counted, or a corpus of mostly rare word orders would
+be shuffled several times over. A phrase of ``min_count`` occurrences consists of runs of
+2 and of 3 words that each have as many, so a window may end before its first rarer run.
+Runs are counted by 64-bit hash (pairs, then triples of frequent pairs), and the hashes
+that reach ``min_count`` set bits of a *filter*, 64 bits for each and ``MAX_BITS`` at most,
+that is broadcast in blocks of 32,768 bits. A false hit only trims less: frequencies are
+exact for every corpus, and the filter's size has a bound whatever the corpus is.
 
 Score of a phrase: over its cuts, the least of floor(scale * a / (l + r)); all arithmetic
 is in integers and decimals. A phrase that lies inside a longer candidate with
@@ -32,47 +34,76 @@ MIN_COUNT = 30
 SCALE = 2_000_000
 PERCENT = 80
 TOP = 2000
-#: Frequent pair hashes that may be broadcast (8 bytes each; some 80 MB as a hash table).
-BROADCAST_PAIRS = 1_000_000
+#: Bits of a filter at most (32 MB); beyond some 100 million frequent runs it trims little.
+MAX_BITS = 1 << 28
+#: Bits of a block: 512 longs.
+_BLOCK = 1 << 15
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = [f"w{i}" for i in range(1, ORDER + 1)]
 
 
-def windows(docs: DataFrame) -> DataFrame:
-    """(lang, w1..w4): a row per word occurrence, with the words that follow it in its piece."""
+def windows(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """(lang, w1..): a row per word occurrence, with the words that follow it in its piece."""
     pieces = docs.select(
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
         F.explode(F.split(F.translate(F.col("text"), _UPPER, _LOWER), "[.,;:!?\n-\r]")).alias("piece"))
     words = pieces.select("lang", F.array_remove(F.split("piece", "[ \t]+"), "").alias("w")).where("size(w) > 0")
-    leads = [F.col("w")] + [F.slice("w", k, F.size("w")) for k in range(2, ORDER + 1)]
-    return words.select("lang", F.inline(F.arrays_zip(*[x.alias(n) for x, n in zip(leads, _WORDS)]))).toDF("lang", *_WORDS)
-
-
-def _pair(first: str, second: str) -> Column:
-    return F.xxhash64("lang", first, second)
-
-
-def frequent_pairs(rows: DataFrame, min_count: int) -> DataFrame:
-    """Hashes of the adjacent pairs that occur ``min_count`` times or more."""
-    return materialise(rows.where("w2 IS NOT NULL").groupBy(_pair("w1", "w2").alias("pair"))
-                       .agg(F.count(F.lit(1)).alias("f")).where(F.col("f") >= min_count).select("pair"), "pairs")
-
-
-def trimmed(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Windows ended before their first pair that is not frequent."""
-    side = F.broadcast(pairs) if pairs.count() <= BROADCAST_PAIRS else pairs
-    for i in range(1, ORDER):
-        known = side.select(F.col("pair").alias(f"p{i}"))
-        rows = (rows.join(known, _pair(f"w{i}", f"w{i + 1}") == F.col(f"p{i}"), "left")
-                .withColumns({w: F.when(F.col(f"p{i}").isNotNull(), F.col(w)) for w in _WORDS[i:]}).drop(f"p{i}"))
-    return rows
+    leads = [F.col("w")] + [F.slice("w", k, F.size("w")) for k in range(2, order + 1)]
+    zipped = F.arrays_zip(*[x.alias(n) for x, n in zip(leads, _WORDS)])
+    return words.select("lang", F.inline(zipped)).toDF("lang", *_WORDS[:order])
+
+
+def _run(first: int, size: int) -> Column:
+    return F.xxhash64("lang", *_WORDS[first - 1:first - 1 + size])
+
+
+class Filter:
+    """The frequent ones of some 64-bit hashes (column h), as a broadcast table of bits."""
+
+    def __init__(self, hashes: DataFrame, min_count: int) -> None:
+        kept = materialise(hashes.groupBy("h").agg(F.count(F.lit(1)).alias("f"))
+                           .where(F.col("f") >= min_count).select("h"), "runs")
+        wanted = max(64 * kept.count(), _BLOCK)
+        self.bits = min(MAX_BITS, 1 << (wanted - 1).bit_length())
+        at = kept.select(F.col("h").bitwiseAND(F.lit(self.bits - 1)).alias("at"))
+        longs = at.groupBy(F.expr(f"cast(at div {_BLOCK} AS int)").alias("block"),
+                           F.expr(f"cast(at % {_BLOCK} div 64 AS int)").alias("word")).agg(
+            F.expr("bit_or(shiftleft(1L, cast(at % 64 AS int)))").alias("long"))
+        self.blocks = materialise(
+            longs.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("word", "long"))).alias("held"))
+            .select("block", F.transform(F.sequence(F.lit(0), F.lit(_BLOCK // 64 - 1)),
+                                         lambda i: F.coalesce(F.element_at("held", i), F.lit(0).cast("bigint"))).alias("longs")),
+            "filter")
+
+    def mark(self, rows: DataFrame, run: Column, name: str) -> DataFrame:
+        """``rows`` with a boolean column: whether the run's bit is set."""
+        at, block = f"__at_{name}", f"__block_{name}"
+        held = self.blocks.select(F.col("block").alias(block), F.col("longs").alias(f"__longs_{name}"))
+        placed = rows.withColumn(at, run.bitwiseAND(F.lit(self.bits - 1)))
+        met = placed.join(F.broadcast(held), F.expr(f"cast({at} div {_BLOCK} AS int)") == F.col(block), "left")
+        bit = F.expr(f"coalesce(shiftright(__longs_{name}[cast({at} % {_BLOCK} div 64 AS int)], "
+                     f"cast({at} % 64 AS int)) & 1L = 1L, false)")
+        return met.select(*rows.columns, bit.alias(name))
+
+
+def trimmed(docs: DataFrame, min_count: int) -> DataFrame:
+    """The longest windows, ended before their first run of 2 or 3 words that is not frequent."""
+    pairs = Filter(windows(docs, 2).where("w2 IS NOT NULL").select(_run(1, 2).alias("h")), min_count)
+    three = windows(docs, 3).where("w3 IS NOT NULL")
+    three = pairs.mark(pairs.mark(three, _run(1, 2), "a").where("a"), _run(2, 2), "b").where("b")
+    triples = Filter(three.select(_run(1, 3).alias("h")), min_count)
+    rows = pairs.mark(windows(docs), _run(1, 2), "two")
+    rows = triples.mark(triples.mark(rows, _run(1, 3), "three"), _run(2, 3), "four")
+    w2 = F.when(F.col("two"), F.col("w2"))
+    w3 = F.when(w2.isNotNull() & F.col("three"), F.col("w3"))
+    return rows.select("lang", "w1", w2.alias("w2"), w3.alias("w3"),
+                       F.when(w3.isNotNull() & F.col("four"), F.col("w4")).alias("w4"))
 
 
 def frequencies(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     """(lang, w1..w4, size, f): the phrases of 0 to 4 words, later columns null; size 0 is
     the language. Complete for every phrase of ``min_count`` occurrences, and for all words."""
-    rows = windows(docs)
-    top = trimmed(rows, frequent_pairs(rows, min_count)).groupBy("lang", *_WORDS).agg(F.count(F.lit(1)).alias("c"))
+    top = trimmed(docs, min_count).groupBy("lang", *_WORDS).agg(F.count(F.lit(1)).alias("c"))
     # a null marks padding inside ROLLUP's own nulls: grouping bits tell the two apart
     rolled = (top.rollup("lang", *_WORDS)
               .agg(F.sum("c").alias("f"), F.grouping_id().alias("bits"),

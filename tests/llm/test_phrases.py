@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from baitline.llm import phrases
 
@@ -64,9 +65,9 @@ def test_matches_a_count_of_every_phrase(spark):
 
 @pytest.mark.parametrize("least, top", [(2, 2000), (5, 7)])
 def test_ties_limits_and_the_joined_form(spark, monkeypatch, least, top):
-    """Many ties; frequent pairs joined by a shuffle instead of a broadcast."""
+    """Many ties; filters of one block, whose false hits trim less."""
     rows = corpus(2, 60)
-    monkeypatch.setattr(phrases, "BROADCAST_PAIRS", 0)
+    monkeypatch.setattr(phrases, "MAX_BITS", 1 << 15)
     df = spark.createDataFrame(rows, SCHEMA)
     assert found(phrases.phrases(df, min_count=least, top=top)) == naive(rows, least, top)
 
@@ -82,5 +83,22 @@ def test_only_the_longest_windows_are_exploded(spark):
     rows = sorted(tuple(r) for r in phrases.windows(df).collect())
     assert rows == [("en", "a", "b", "c", None), ("en", "b", "c", None, None), ("en", "c", None, None, None),
                     ("en", "d", None, None, None)]
+    plan = phrases.trimmed(df, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     plan = phrases.frequencies(df)._jdf.queryExecution().executedPlan().toString()
     assert "Expand" in plan and "Window" not in plan
+
+
+@pytest.mark.parametrize("bits", [1 << 15, 1 << 20])
+def test_a_filter_has_every_frequent_hash(spark, monkeypatch, bits):
+    """No frequent hash is missed; a large filter has few others."""
+    monkeypatch.setattr(phrases, "MAX_BITS", bits)
+    rng = random.Random(3)
+    frequent = [rng.randrange(-2**63, 2**63) for _ in range(3000)]
+    rare = [rng.randrange(-2**63, 2**63) for _ in range(3000)]
+    hashes = spark.createDataFrame([(h,) for h in frequent * 3 + rare * 2], "h bigint")
+    held = phrases.Filter(hashes, 3)
+    asked = spark.createDataFrame([(h, h in set(frequent)) for h in frequent + rare], "h bigint, wanted boolean")
+    got = held.mark(asked, F.col("h"), "hit").collect()
+    assert all(r.hit for r in got if r.wanted)
+    assert bits < 1 << 20 or sum(r.hit for r in got if not r.wanted) < 150
