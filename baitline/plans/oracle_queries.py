@@ -542,7 +542,7 @@ GROUP BY 1, 2, 3"""
     out["stream_user_sessions"] = f"""{base},
 sx AS (SELECT user_id, ts, risk_score,
          CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL
-                OR ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE
+                OR ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE
               THEN 1 ELSE 0 END AS starts
        FROM rep),
 sy AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM sx),

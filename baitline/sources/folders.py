@@ -32,6 +32,10 @@ class Folder:
     def remove(self, *names: str) -> None:
         self._fs.delete(self._path(*names), True)
 
+    def remove_all(self) -> None:
+        """Remove the folder itself."""
+        self.remove()
+
     def read(self, *names: str) -> str:
         stream = self._fs.open(self._path(*names))
         try:

@@ -69,13 +69,13 @@ def test_folder_tables_count_like_one_file(spark, sf, tmp_path, run):
 
 
 def sessions_of(events, gap=30):
-    """(user, first minute, last minute + gap, number) by hand."""
+    """(user, first minute, last minute + gap, number) by hand; a gap that is just reached goes on."""
     out = []
     for user in {e[2] for e in events}:
         times = sorted(e[1] for e in events if e[2] == user)
         group = [times[0]]
         for t in times[1:]:
-            if t - group[-1] >= gap:
+            if t - group[-1] > gap:
                 out.append((user, group[0], group[-1] + gap, len(group)))
                 group = []
             group.append(t)

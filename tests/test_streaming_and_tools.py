@@ -72,7 +72,8 @@ def test_windows_drop_late_rows(spark, tmp_path):
             "ts": pa.array([start + dt.timedelta(days=d) for d in days], pa.timestamp("us")),
             "user_id": pa.array([7] * len(ids), pa.int64()),
             "event_type": ["view"] * len(ids), "value": [1.0] * len(ids),
-            "props": ["{}"] * len(ids)}), str(tmp_path / name))
+            "props": ["{}"] * len(ids)}), str(tmp_path / "events.parquet" / name))
+    (tmp_path / "events.parquet").mkdir()
     # batch 0: day 1 x10 and day 3; batch 1: day 5; batch 2: 5 rows for day 1.
     # Spark judges lateness against the previous batch's watermark, so by
     # batch 2 the day-1 window is closed and its late rows are dropped.
@@ -136,11 +137,18 @@ def _answers(spark, contents):
 def test_only_one_whole_object_is_an_answer(spark):
     from baitline.operators.notes import note_inputs
     good = ['{"a": 1}', '{"a": ", "}', ' {"a": 1}\n', 'so {"a": 1} is it', '```json {"a": 1} ```', '{}', None, '{"a": 1} x']
-    bad = ['{"a":1}, "end of answer"', '{"a":1}, 2, "end of answer"', '[{"a": 1}]', '{"a": 1}{"b": 2}', '{"a": 1', '[1]', 'x', '', '"{}"', '3']
+    bad = ['[{"a": 1}]', '{"a": 1}{"b": 2}', '{"a": 1', '[1]', 'x', '', '"{}"', '3']
     got = {r.msg_id: r.note_model for r in note_inputs(_answers(spark, good + bad)).collect()}
     assert [got[i] for i in range(len(good + bad))] == ["m"] * len(good) + [None] * len(bad)
 
 
+def test_the_end_of_an_answer_cannot_be_forged(spark):
+    from baitline.operators import notes as N
+    df = _answers(spark, ['{"a": 1}', '{"a": 1}, "end of answer"', '{"a": 1}, 2, "end of answer"', '{"a": 1}]'])
+    got = [r.x for r in df.select(N.parse_whole(F.col("content")).isNotNull().alias("x")).collect()]
+    assert got == [True, False, False, False]
+
+
 def test_answer_fields_keep_their_json_type(spark):
     from baitline.operators import notes as N
     text = ('{"e": ["{brace", "[1, 2]", {"signal": " s ", "severity": "HIGH"}, {"why_it_matters": "w"}, 7, "sixth"],'
