@@ -13,11 +13,12 @@ The steps run over many documents at once in numpy.
 Search: equal sets are one. Signatures are cut into bands; sets that agree in a band
 share a bucket. Within a bucket nothing is paired with everything:
 
-1. each set is verified against two pivots of each of its buckets (full sets);
+1. each set is verified against two pivots of each of its buckets, the most central
+   member and one other, on full sets;
 2. verified links are joined by connected components;
 3. sets of a bucket that still holds two components go through an exact prefix join
-   (rarest shingles first, length bound), which pairs only sets of *different*
-   components, and all its candidates are verified too.
+   (rarest shingles first, bounds by length and place), which pairs only sets of
+   *different* components, and all its candidates are verified too.
 
 So no pair of a bucket is left unanswered, and a group of near copies costs links, not
 pairs. Sets are made again for the sets that share a bucket; no set is kept for the rest.
@@ -46,7 +47,6 @@ WORDS = 5
 PERCENT = 85
 BANDS, ROWS = 24, 6
 SLOTS = BANDS * ROWS
-PIVOTS = 2
 #: Elements whose permutations are walked at a time (bounds memory, also for long texts).
 _ELEMENTS = 1 << 16
 _GOLD = 0x9E3779B97F4A7C15
@@ -219,11 +219,18 @@ def _ordered(a: Column, b: Column) -> list[Column]:
 
 
 def _pivot_pairs(members: DataFrame) -> DataFrame:
-    """Each member of a bucket (key, name) with the bucket's pivots: its smallest by different orders."""
-    orders = [F.struct(F.xxhash64("name", F.lit(t)).alias("order"), "name") for t in range(PIVOTS)]
-    pivots = (members.groupBy("key").agg(*[F.min(o)["name"].alias(f"p{t}") for t, o in enumerate(orders)])
-              .select("key", F.array_distinct(F.array(*[f"p{t}" for t in range(PIVOTS)])).alias("pivots")))
-    met = members.join(pivots, "key").select("name", F.explode("pivots").alias("pivot")).where("name <> pivot")
+    """Each member of a bucket (key, name, k: the bucket's size) with the bucket's two pivots.
+
+    One is the most central member, the one that meets most others in all its buckets: in a
+    group of edited copies that is a text near the original, which most copies are linked to.
+    The other is any.
+    """
+    central = members.groupBy("name").agg(F.sum("k").alias("met"))
+    ranked = members.select("key", "name").join(central, "name")
+    pivots = (ranked.groupBy("key").agg(F.max(F.struct("met", "name"))["name"].alias("centre"),
+                                        F.min(F.struct(F.xxhash64("name"), "name"))["name"].alias("other"))
+              .select("key", F.explode(F.array_distinct(F.array("centre", "other"))).alias("pivot")))
+    met = members.select("key", "name").join(pivots, "key").where("name <> pivot")
     return met.select(*_ordered(F.col("name"), F.col("pivot"))).distinct()
 
 
@@ -237,28 +244,37 @@ def _named(members: DataFrame, links: DataFrame) -> DataFrame:
 
 def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     """All pairs (a, b) of sets (name, component, n, elements) of different components that can
-    be ``percent`` % alike: they share one of their rarest shingles and nearly their length.
-
-    Two such sets share a shingle among the first n - ceil(percent * n / 100) + 1 of each,
-    in one order for all. Sets of the component that holds most of a shingle's sets are
-    met by the others only, so a group that is linked already pairs with nothing inside.
+    be ``percent`` % alike: they share one of their rarest shingles, near enough to the front.
+
+    Shingles are ordered by rarity, in one order for all. Two sets alike have at least
+    ``need`` = ceil(percent (n + m) / (100 + percent)) shingles in common, so the first that
+    they share has that many, itself included, from its place on in both. The smaller set of
+    a pair is met by its first n - ceil(2 percent n / (100 + percent)) + 1 shingles, the larger
+    by its first n - ceil(percent n / 100) + 1. Sets of the component that holds most of a
+    shingle's sets are met by the others only, so a group that is linked already pairs
+    with nothing inside.
     """
     tokens = sets.select("name", "component", "n", F.explode("elements").alias("token"))
     seen = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("seen"), F.min("component").alias("lo"),
                                        F.max("component").alias("hi"))
     order = Window.partitionBy("name").orderBy("seen", "token")
+    whole = 100 + percent
     prefix = (tokens.join(seen, "token").withColumn("at", F.row_number().over(order))
-              .where(F.expr(f"at <= n - (({percent} * n + 99) div 100) + 1 AND lo <> hi")))
-    prefix = materialise(prefix.select("token", "name", "component", "n"), "prefix")
+              .where(F.expr(f"at <= n - (({percent} * n + 99) div 100) + 1 AND lo <> hi"))
+              .withColumn("short", F.expr(f"at <= n - ((2 * {percent} * n + {whole - 1}) div {whole}) + 1")))
+    prefix = materialise(prefix.select("token", "name", "component", "n", "at", "short"), "prefix")
     by_component = prefix.groupBy("token", "component").agg(F.count(F.lit(1)).alias("held"))
     largest = (by_component.groupBy("token")
                .agg(F.max(F.struct("held", "component"))["component"].alias("largest"), F.count(F.lit(1)).alias("k"))
                .where("k > 1").select("token", "largest"))
     others = (prefix.join(largest, "token").where("component <> largest")
-              .select("token", F.col("name").alias("x"), F.col("component").alias("x_comp"), F.col("n").alias("x_n")))
+              .select("token", *[F.col(c).alias(f"x_{c}") for c in ("name", "component", "n", "at", "short")]))
+    need = f"(({percent} * (n + x_n) + {whole - 1}) div {whole})"
     return (others.join(prefix, "token")
-            .where(f"component <> x_comp AND 100 * least(n, x_n) >= {percent} * greatest(n, x_n)")
-            .select(*_ordered(F.col("x"), F.col("name"))).distinct())
+            .where(f"component <> x_component AND least(n - at, x_n - x_at) + 1 >= {need} "
+                   f"AND 100 * least(n, x_n) >= {percent} * greatest(n, x_n) "
+                   "AND CASE WHEN n < x_n THEN short WHEN x_n < n THEN x_short ELSE short AND x_short END")
+            .select(*_ordered(F.col("x_name"), F.col("name"))).distinct())
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -268,15 +284,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     distinct = materialise(rows.where("n > 0").groupBy("name").agg(
         one["row"].alias("row"), F.first("keys").alias("keys")), "minhash-sets")
     filed = distinct.select("name", F.explode("keys").alias("key"))
-    shared = filed.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
-    members = materialise(filed.join(shared, "key").select("key", "name"), "minhash-members")
+    shared = filed.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    members = materialise(filed.join(shared, "key").select("key", "name", "k"), "minhash-members")
     wanted = materialise(distinct.join(members.select("name").distinct(), "name", "left_semi").select("row"),
                          "minhash-wanted")
     sets = materialise(_sets(docs, wanted), "minhash-full")
 
     links = materialise(_verified(_pivot_pairs(members), sets, percent), "minhash-links")
     comps = materialise(_named(members, links), "minhash-components")
-    placed = members.join(comps, "name")
+    placed = members.select("key", "name").join(comps, "name")
     mixed = (placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
              .where("lo <> hi").select("key"))
     open_sets = placed.join(mixed, "key", "left_semi").select("name", "component").distinct()
