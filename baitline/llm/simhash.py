@@ -13,6 +13,10 @@ fingerprint, only edges whose key is within ``max_bits`` of its own distance.
 Trees are placed by a shuffle on the shard name, not by a broadcast: their
 total size grows with the corpus, so no bound for a broadcast can be proven.
 
+A shard of more than ``TREE`` fingerprints (a hot source of slightly different copies) is
+cut into blocks; each pair of blocks is a unit of its own, so a tree holds two blocks at
+most, however large its shard is, and every pair of the shard still meets in a unit.
+
 A tree does not emit pairs. It joins what it finds in a local union-find and
 emits one link per fingerprint, to the smallest of its local group; connected
 components over these links give the classes.
@@ -37,6 +41,8 @@ from .components import connected_components
 
 MAX_BITS = 3
 _BLOCK, _PART = 16, 12
+#: Fingerprints of a block; a task's tree holds two blocks at most.
+TREE = 20_000
 #: Shingles hashed at a time, so a very long text needs bounded memory.
 _CHUNK = 65_536
 
@@ -134,6 +140,18 @@ def group_links(values: list[int], radius: int) -> list[tuple[int, int]]:
     return [(v, values[root(i)]) for i, v in enumerate(values) if root(i) != i]
 
 
+def units(fps: DataFrame) -> DataFrame:
+    """(shard, x, y, fp): each fingerprint in its 16 shards, and in a large shard once for each
+    block (x <= y, its own among them) that it is held against."""
+    placed = materialise(fps.select("fp", F.explode(shard_names(F.col("fp"))).alias("shard")), "shards")
+    large = (placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TREE)
+             .select("shard", F.ceil(F.col("n") / TREE).cast("int").alias("blocks")))
+    dealt = placed.join(large, "shard", "left").withColumn(
+        "mine", F.coalesce(F.pmod(F.xxhash64("fp"), F.col("blocks").cast("bigint")).cast("int"), F.lit(0)))
+    return (dealt.select("shard", "fp", "mine", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("other"))
+            .select("shard", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "fp"))
+
+
 def links(fps: DataFrame, radius: int = MAX_BITS) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints (column fp) within ``radius``."""
     if not 0 <= radius <= 3:
@@ -147,17 +165,20 @@ def links(fps: DataFrame, radius: int = MAX_BITS) -> DataFrame:
                 out.extend(group_links(held, radius))
 
         for batch in batches:
-            shard, fp = batch["shard"].to_numpy(), batch["fp"].to_numpy().view(np.uint64)
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]])
-            # shards of one fingerprint that neither continue nor may go on need no tree
+            keys = [batch[c].to_numpy() for c in ("shard", "x", "y")]
+            fp = batch["fp"].to_numpy().view(np.uint64)
+            turns = np.logical_or.reduce([np.diff(k) != 0 for k in keys])
+            cuts = np.concatenate([[0], np.flatnonzero(turns) + 1, [len(fp)]])
+            # units of one fingerprint that neither continue nor may go on need no tree
             wide = np.flatnonzero((np.diff(cuts) > 1) | (np.arange(len(cuts) - 1) == 0)
-                                  | (np.arange(len(cuts) - 1) == len(cuts) - 2)) if len(shard) else []
+                                  | (np.arange(len(cuts) - 1) == len(cuts) - 2)) if len(fp) else []
             out: list[tuple[int, int]] = []
             for k in wide:
                 lo, hi = int(cuts[k]), int(cuts[k + 1])
-                if shard[lo] != name:
+                unit = tuple(int(x[lo]) for x in keys)
+                if unit != name:
                     close(out)
-                    name, held = int(shard[lo]), []
+                    name, held = unit, []
                 held.extend(fp[lo:hi].tolist())
             if out:
                 yield _pairs(out)
@@ -170,8 +191,7 @@ def links(fps: DataFrame, radius: int = MAX_BITS) -> DataFrame:
         a, b = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in zip(*out))
         return pa.RecordBatch.from_arrays([a, b], ["a", "b"])
 
-    return (fps.select("fp", F.explode(shard_names(F.col("fp"))).alias("shard"))
-            .repartition("shard").sortWithinPartitions("shard", "fp")
+    return (units(fps).repartition("shard", "x", "y").sortWithinPartitions("shard", "x", "y", "fp")
             .mapInArrow(rows, "a bigint, b bigint"))
 
 

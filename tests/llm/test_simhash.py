@@ -86,6 +86,27 @@ def test_links_of_chosen_fingerprints(spark):
     assert sorted(map(sorted, got)) == groups(root, values)
 
 
+def test_a_large_shard_is_cut_into_blocks(spark, monkeypatch):
+    """Fingerprints that share their first 40 bits: many blocks, the same components, bounded trees."""
+    rng = random.Random(6)
+    values = sorted({(0xABCDE12345 << 24) | rng.getrandbits(24) for _ in range(500)})
+    df = spark.createDataFrame([(simhash.signed(v),) for v in values], "fp bigint").repartition(4)
+
+    def groups():
+        comps = {r.node: r.component for r in connected_components(simhash.links(df)).collect()}
+        out = {}
+        for v in values:
+            out.setdefault(comps.get(simhash.signed(v), simhash.signed(v)), []).append(v)
+        return sorted(out.values())
+
+    whole = groups()
+    assert 1 < len(whole) < len(values)
+    monkeypatch.setattr(simhash, "TREE", 40)
+    assert groups() == whole
+    sizes = [r["count"] for r in simhash.units(df).groupBy("shard", "x", "y").count().collect()]
+    assert max(sizes) < 4 * 40 and len(sizes) > 50
+
+
 def test_tree_follows_only_near_edges():
     tree, rng = simhash.BKTree(), random.Random(4)
     values = []
