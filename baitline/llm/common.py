@@ -9,11 +9,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import checkpoint_dir
+from ..sources.folders import Folder
 
 #: ASCII white space, the separators of the word rule ``[^\x20\x09-\x0D]+``.
 SPACE = " \t\n\r\x0b\x0c"
 
 
+_SCRATCHES: list[Scratch] = []
+
+
+class Scratch:
+    """The intermediate tables written within a ``with`` block.
+
+    What an operator returns is computed from them when it is read, so they can go once its
+    rows have been written elsewhere: ``keep_last`` removes all but the newest table.
+    """
+
+    def __enter__(self) -> Scratch:
+        self.paths: list[str] = []
+        _SCRATCHES.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _SCRATCHES.remove(self)
+
+    def keep_last(self, spark: SparkSession) -> None:
+        for path in self.paths[:-1]:
+            Folder(spark, path).remove_all()
+        del self.paths[:-1]
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet under the shared checkpoint folder and read it back.
 
@@ -23,6 +48,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for scratch in _SCRATCHES[-1:]:
+        scratch.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

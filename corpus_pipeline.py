@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns what it keeps; every stage but
 the last returns the columns of ``documents``. ``run`` writes each stage's result
 as Parquet under the shared checkpoint folder and rereads it for the next, so a
-stage that is run again after a loss starts from files.
+stage that is run again after a loss starts from files. The intermediate tables of a
+stage, and the stage before it, go once its result is written.
 
 Null texts: not toxic unless the prior says so, one empty line, no words, no
 tokens. ``n_chars`` follows the text when lines go.
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from baitline.llm import bpe, decontaminate, line_dedup, simhash, toxicity
-from baitline.llm.common import materialise, table
+from baitline.llm.common import Scratch, materialise, table
 from baitline.llm.queries import RANKS
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -65,6 +66,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole table ``documents``."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+    with Scratch() as scratch:
+        for name, stage in STAGES:
+            docs = materialise(stage(spark, docs, sf_dir), name)
+            scratch.keep_last(spark)
     return docs
