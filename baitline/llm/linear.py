@@ -5,7 +5,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import splitmix
+from .common import materialise, splitmix
+
+#: Hex digits of the hash prefixes by which a sample's reach is counted (4,096 prefixes a class).
+_SLOT_DIGITS = 3
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -19,17 +22,34 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: tuple[int,
 
     Rows are drawn by the hash of doc_id from labelled rows of at most
     ``max_chars`` characters, so the sample's bytes are bounded too. A document
-    with contradicting labels is left out; repeated rows count once.
+    with contradicting labels is left out; of rows that repeat a doc_id the smallest text
+    counts. Ids are drawn before texts: counts per hash prefix tell how far the sample
+    reaches, only ids up to there come to the driver, and one scan with these ids
+    broadcast (at most ``sum(per_class)``) fetches their texts. No text is shuffled but
+    those of the sample, and what is collected does not grow with the corpus.
     """
     marked = (labels.where(f"{label} IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id")
-              .agg(F.min(label).alias("y"), F.max(label).alias("y2")).where("y = y2").select("doc_id", "y"))
-    texts = docs.select("doc_id", "text").where(F.length("text").between(1, max_chars))
-    out: list[tuple[int, str]] = []
+              .agg(F.min(label).cast("int").alias("y"), F.max(label).alias("y2")).where("y = y2").select("doc_id", "y"))
+    short = docs.where(F.length("text").between(1, max_chars))
+    drawn = materialise(marked.join(short.select("doc_id"), "doc_id", "left_semi")
+                        .withColumn("at", F.sha2(F.col("doc_id").cast("string"), 256)), "labelled")
+    slot = F.substring("at", 1, _SLOT_DIGITS)
+    held: tuple[dict[str, int], dict[str, int]] = ({}, {})
+    for r in drawn.groupBy("y", slot.alias("slot")).agg(F.count(F.lit(1)).alias("n")).collect():
+        held[r["y"]][r["slot"]] = r["n"]
+    ids: list[tuple[int, int]] = []
     for y in (0, 1):
-        rows = (texts.join(marked.where(F.col("y") == y), "doc_id").dropDuplicates(["doc_id"])
-                .select("text").orderBy(F.sha2(F.col("doc_id").cast("string"), 256)).limit(per_class[y]).collect())
-        out += [(y, r["text"]) for r in rows]
-    return out
+        reach, last = 0, ""
+        for last in sorted(held[y]):
+            reach += held[y][last]
+            if reach >= per_class[y]:
+                break
+        near = drawn.where((F.col("y") == y) & (slot <= last)).orderBy("at").limit(per_class[y])
+        ids += [(y, r["doc_id"]) for r in near.select("doc_id").collect()]
+    wanted = docs.sparkSession.createDataFrame([(i,) for _, i in ids], "doc_id bigint")
+    found = {r["doc_id"]: r["text"] for r in short.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+             .join(F.broadcast(wanted), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).collect()}
+    return [(y, found[i]) for y, i in ids if i in found]
 
 
 def byte_grams(data: bytes, low: int, high: int, size: int) -> tuple[np.ndarray, np.ndarray]:
