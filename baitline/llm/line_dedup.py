@@ -8,8 +8,10 @@
    the shard's minimal perfect hash (levels of bit arrays, rank gives the
    index) and the arrays it indexes: 64-bit fingerprint, document count, keeper.
 3. Documents probe the arrays; lines are never joined. A probe is a 16-byte
-   hash and a doc_id; probes and shard arrays meet in the shard's task, sorted
-   so that the arrays come first and the probes stream by in batches.
+   hash and a doc_id. Probes are dealt by shard and *part* - about ``PART_PROBES``
+   probes a part, whatever the number of shards - and each part gets a copy of its
+   shard's arrays (bounded by ``SHARD_KEYS``). They meet sorted, so that the arrays
+   come first and the probes stream by in batches.
    Hot keys - those with at least 1 / HOT_KEYS of all occurrences of repeated
    keys, so never more than HOT_KEYS of them - form one shard of bounded size
    that is broadcast, and their probes never leave the document's task.
@@ -35,6 +37,7 @@ from pyspark.sql import functions as F
 from .common import materialise, signed, splitmix, texts
 
 SHARD_KEYS = 16_384
+PART_PROBES = 1 << 18
 HOT_KEYS = 1_000
 _SPACE = b" \t\n\r\x0b\x0c"
 _NO_DOC = -(1 << 63)
@@ -184,12 +187,13 @@ def shard_arrays(repeated: DataFrame, n_shards: int) -> DataFrame:
             .repartition("shard").sortWithinPartitions("shard").mapInArrow(rows, _ARRAYS))
 
 
-def probe_shards(probes: DataFrame, arrays: DataFrame, n_shards: int) -> DataFrame:
-    """Hits (doc_id, h1, h2): lines of documents that must go."""
+def probe_shards(probes: DataFrame, arrays: DataFrame, n_shards: int, n_parts: int = 1) -> DataFrame:
+    """Hits (doc_id, h1, h2): lines of documents that must go. ``n_parts``: parts of a shard's probes."""
     payload = ["sizes", "bits", "prints", "counts", "keepers"]
-    asked = probes.select(_shard_of(n_shards).alias("shard"), F.lit(1).alias("kind"), "doc_id", "h1", "h2",
-                          *[F.lit(None).cast("binary").alias(c) for c in payload])
-    held = arrays.select("shard", F.lit(0).alias("kind"),
+    part = F.pmod(F.xxhash64("doc_id", "h1"), F.lit(n_parts)).cast("int")
+    asked = probes.select(_shard_of(n_shards).alias("shard"), part.alias("part"), F.lit(1).alias("kind"),
+                          "doc_id", "h1", "h2", *[F.lit(None).cast("binary").alias(c) for c in payload])
+    held = arrays.select("shard", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("part"), F.lit(0).alias("kind"),
                          *[F.lit(None).cast("bigint").alias(c) for c in ("doc_id", "h1", "h2")], *payload)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +217,7 @@ def probe_shards(probes: DataFrame, arrays: DataFrame, n_shards: int) -> DataFra
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(x[ok], pa.int64()) for x in (doc, h1, h2)], ["doc_id", "h1", "h2"])
 
-    return (asked.unionAll(held).repartition("shard").sortWithinPartitions("shard", "kind")
+    return (asked.unionAll(held).repartition("shard", "part").sortWithinPartitions("shard", "part", "kind")
             .mapInArrow(rows, "doc_id bigint, h1 bigint, h2 bigint"))
 
 
@@ -235,7 +239,8 @@ def drop_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
 
     cold = repeated.where(F.col("n") < least_hot)
     n_shards = max(1, math.ceil(n / SHARD_KEYS))
-    hits = probe_shards(lines.where(~is_hot(F.col("h1"), F.col("h2"))), shard_arrays(cold, n_shards), n_shards)
+    n_parts = max(1, math.ceil(lines.count() / n_shards / PART_PROBES))
+    hits = probe_shards(lines.where(~is_hot(F.col("h1"), F.col("h2"))), shard_arrays(cold, n_shards), n_shards, n_parts)
     per_doc = hits.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("__hits"))
 
     @F.arrow_udf("struct<text: string, n_lines: bigint, n_dropped: bigint>")

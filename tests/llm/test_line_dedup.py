@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from baitline.llm import line_dedup
 from baitline.llm.queries import line_dedup_digests
@@ -46,6 +47,22 @@ def test_broadcast_and_shuffled_shards_agree(docs, corpus, monkeypatch, hot):
     assert digests(docs) == brute(corpus)
 
 
+def test_one_shard_is_probed_by_several_tasks(spark, docs, corpus, monkeypatch):
+    """Parts of a shard's probes: the same lines go, and the largest task holds a part of them."""
+    monkeypatch.setattr(line_dedup, "HOT_KEYS", 1)
+    monkeypatch.setattr(line_dedup, "PART_PROBES", 8)
+    assert digests(docs) == brute(corpus)
+    lines = spark.range(4000).selectExpr("id AS doc_id", "id % 50 AS h1", "id % 50 AS h2")
+    keys = line_dedup.repeated_keys(lines, 3)
+    hits = line_dedup.probe_shards(lines, line_dedup.shard_arrays(keys, 1), 1, 16)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # these parts are small
+    try:
+        tasks = hits.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(r["count"] for r in tasks) == 4000 - 50 and len(tasks) > 1
+
+
 def test_null_ids_ties_and_clashes(spark, wide, corpus):
     rows = [(None, "the same line of thirty chars!!")] * 2 + [(7, "the same line of thirty chars!!")] * 2
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
