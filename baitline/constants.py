@@ -325,6 +325,17 @@ LITE_SAFE_STEPS = {
     ],
 }
 # any other situation gets the before_click list of SAFE_STEPS
+LITE_LINK_LINES = ["Unsafe destination link detected.", "No clickable URL extracted from visible text."]
+LITE_BRAND_LINES = ["Appears to impersonate a trusted company/institution.",
+                    "Sender identity cannot be verified from the message."]
+LITE_ASK_LINES = ["Asks for immediate payment, bank details, or delivery fees.",
+                  "Requests account or identity verification.",
+                  "Uses persuasion language that needs independent verification."]
+LITE_BRAND_DETAIL = ("Claims to represent ", " while routing to an unverified destination.")
+LITE_PAYMENT_DETAIL = "Mentions a payment, fee, prize, or transfer pressure."
+LITE_DATA_DETAIL = "Pushes the user toward account, identity, or credential confirmation."
+LITE_URGENCY_DETAIL = "Uses time pressure or account consequences to rush action."
+LITE_TRACE_LABELS = ["Highest domain risk", "Brand impersonation", "Financial pressure", "Data collection prompt"]
 
 SITUATION_LABELS = {
     "before_click": "Prevention (Not Clicked)",

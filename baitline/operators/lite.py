@@ -78,28 +78,25 @@ def add_lite_columns(df: DataFrame, text: str = "text", marker: str = "image",
         "lite_confidence": F.when(F.coalesce(c(marker), F.lit("")) != "", 92).otherwise(90),
         "lite_priority": F.when(s >= 70, "urgent").otherwise("review"),
         "lite_breakdown": F.array(
-            F.when(has_domain, F.lit("Unsafe destination link detected."))
-            .otherwise(F.lit("No clickable URL extracted from visible text.")),
-            F.when(has_brand, F.lit("Appears to impersonate a trusted company/institution."))
-            .otherwise(F.lit("Sender identity cannot be verified from the message.")),
-            F.when(c("_pay"), F.lit("Asks for immediate payment, bank details, or delivery fees."))
-            .when(c("_data"), F.lit("Requests account or identity verification."))
-            .otherwise(F.lit("Uses persuasion language that needs independent verification."))),
+            F.when(has_domain, F.lit(C.LITE_LINK_LINES[0]))
+            .otherwise(F.lit(C.LITE_LINK_LINES[1])),
+            F.when(has_brand, F.lit(C.LITE_BRAND_LINES[0]))
+            .otherwise(F.lit(C.LITE_BRAND_LINES[1])),
+            F.when(c("_pay"), F.lit(C.LITE_ASK_LINES[0]))
+            .when(c("_data"), F.lit(C.LITE_ASK_LINES[1]))
+            .otherwise(F.lit(C.LITE_ASK_LINES[2]))),
         "lite_indicators": F.array_compact(F.array(
             F.when(has_brand, F.struct(F.lit(C.BRAND).alias("category"), F.concat(
-                F.lit("Claims to represent "), c("lite_brand"),
-                F.lit(" while routing to an unverified destination.")).alias("detail"))),
-            F.when(c("_pay"), F.struct(F.lit(C.FINANCIAL).alias("category"), F.lit(
-                "Mentions a payment, fee, prize, or transfer pressure.").alias("detail"))),
-            F.when(c("_data"), F.struct(F.lit(C.DATA).alias("category"), F.lit(
-                "Pushes the user toward account, identity, or credential confirmation.").alias("detail"))),
-            F.when(c("_urg"), F.struct(F.lit("Urgency Pressure").alias("category"), F.lit(
-                "Uses time pressure or account consequences to rush action.").alias("detail"))))),
+                F.lit(C.LITE_BRAND_DETAIL[0]), c("lite_brand"),
+                F.lit(C.LITE_BRAND_DETAIL[1])).alias("detail"))),
+            F.when(c("_pay"), F.struct(F.lit(C.FINANCIAL).alias("category"), F.lit(C.LITE_PAYMENT_DETAIL).alias("detail"))),
+            F.when(c("_data"), F.struct(F.lit(C.DATA).alias("category"), F.lit(C.LITE_DATA_DETAIL).alias("detail"))),
+            F.when(c("_urg"), F.struct(F.lit("Urgency Pressure").alias("category"), F.lit(C.LITE_URGENCY_DETAIL).alias("detail"))))),
         "lite_trace_labels": F.slice(F.array_compact(F.array(
-            F.when(has_domain, F.lit("Highest domain risk")),
-            F.when(has_brand, F.lit("Brand impersonation")),
-            F.when(c("_pay"), F.lit("Financial pressure")),
-            F.when(c("_data"), F.lit("Data collection prompt")))), 1, 4),
+            F.when(has_domain, F.lit(C.LITE_TRACE_LABELS[0])),
+            F.when(has_brand, F.lit(C.LITE_TRACE_LABELS[1])),
+            F.when(c("_pay"), F.lit(C.LITE_TRACE_LABELS[2])),
+            F.when(c("_data"), F.lit(C.LITE_TRACE_LABELS[3])))), 1, 4),
         "lite_steps": safe_steps(c(situation))})
     packet = F.concat_ws(
         "\n", F.lit(C.PACKET_HEADER),
@@ -127,16 +124,16 @@ def add_lite_report(df: DataFrame, marker: str = "image") -> DataFrame:
     pay, data = low.rlike(C.LITE_PAYMENT_PATTERN), low.rlike(C.LITE_DATA_PATTERN)
     risk = c("lite_domain_risk")
     trace = F.slice(F.array_compact(F.array(
-        F.when(has_domain, _item("Highest domain risk", risk, "client_demo_domain_pattern",
+        F.when(has_domain, _item(C.LITE_TRACE_LABELS[0], risk, "client_demo_domain_pattern",
                                  F.when(risk >= 70, "high").otherwise("medium"),
                                  F.concat(c("lite_domain"), F.lit(": unverified destination in a suspicious message.")),
                                  "demo domain pattern score")),
-        F.when(has_brand, _item("Brand impersonation", F.lit(16), "client_demo_brand_signal", F.lit("medium"),
+        F.when(has_brand, _item(C.LITE_TRACE_LABELS[1], F.lit(16), "client_demo_brand_signal", F.lit("medium"),
                                 F.concat(F.lit("Message claims to be from "), c("lite_brand"), F.lit(".")),
                                 "matched trusted brand signal")),
-        F.when(pay, _item("Financial pressure", F.lit(12), "client_demo_social_signal", F.lit("medium"),
+        F.when(pay, _item(C.LITE_TRACE_LABELS[2], F.lit(12), "client_demo_social_signal", F.lit("medium"),
                           F.lit("Payment, fee, prize, or transfer language detected."), "social engineering hook")),
-        F.when(data, _item("Data collection prompt", F.lit(12), "client_demo_privacy_signal", F.lit("medium"),
+        F.when(data, _item(C.LITE_TRACE_LABELS[3], F.lit(12), "client_demo_privacy_signal", F.lit("medium"),
                            F.lit("Message asks for verification, login, identity, or credential action."),
                            "credential/data hook")))), 1, 4)
     df = df.withColumn("lite_score_trace", trace)
