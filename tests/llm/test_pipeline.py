@@ -53,3 +53,15 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark, sf):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, docs, sf)
             assert out.columns == source.columns and out.count() >= least
+
+
+def test_a_run_leaves_one_table(spark, sf):
+    """Intermediate tables go once their stage is written; the result can still be read."""
+    from baitline.session import checkpoint_dir
+    from baitline.sources.folders import Folder
+    made = lambda: {n for n in Folder(spark, checkpoint_dir(spark)).names() if n.startswith("llm-")}
+    before = made()
+    out = corpus_pipeline.run(spark, sf)
+    left = made() - before
+    assert len(left) == 1 and next(iter(left)).startswith("llm-byte_bpe-")
+    assert out.count() > 0
