@@ -1,9 +1,11 @@
 """Personal data (operator 7): fixed base patterns, widened by weak supervision.
 
 Base spans (email, ip, card, phone) follow fixed patterns and checks and always
-stay. Further *candidates* are digit groups and mixed letter-digit tokens that no
-base span covers. Seven labelers - patterns, gazetteers and context - vote on
-every candidate and base span: personal (1), not personal (0) or abstain (-1).
+stay. Further *candidates* are digit groups, mixed letter-digit tokens of any length
+and letter-only values that follow a credential word and ``=`` or ``:``, where no
+base span covers them. Seven labelers - patterns, gazetteers and context - vote on
+every candidate: personal (1), not personal (0) or abstain (-1). Base spans pass by
+definition and are not voted on, or their number would decide what is likely.
 Votes over the whole corpus are counted per vote pattern (at most 3^7 of them,
 so what reaches the driver is bounded by a constant), expectation-maximisation
 estimates how reliable each labeler is and how likely each pattern is personal,
@@ -43,6 +45,8 @@ _DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL_PHONE = re.compile(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
 _MIXED = re.compile(r"[0-9]+")
+_ASSIGNED = re.compile(r"[A-Za-z_]++[\"']?[ \t]{0,2}[=:][ \t]{0,2}[\"']?([A-Za-z_-]{12,}+)")
+_WORD_AT = re.compile(r"[A-Za-z_]+")
 _WORD_BEFORE = re.compile(r"([A-Za-z_]+)[^A-Za-z_]{0,4}\Z")
 
 # fixed values: gazetteers of the labelers
@@ -50,7 +54,6 @@ CREDENTIAL_WORDS = {"password", "passwd", "pwd", "secret", "token", "key", "apik
 CONTACT_WORDS = {"phone", "tel", "call", "mobile", "fax", "contact", "card", "visa", "mastercard", "account", "iban",
                  "mail", "email", "ssn", "ip", "host"}
 KEY_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "sk-", "xox", "AIza")
-TOP_DOMAINS = {"com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk"}
 
 
 def luhn(digits: str) -> bool:
@@ -65,6 +68,10 @@ def _only_digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def _is_card(digits: str) -> bool:
+    return 13 <= len(digits) <= 19 and luhn(digits)
+
+
 def emails(text: str) -> list[Span]:
     out, last = [], 0
     for m in _DOMAIN.finditer(text):
@@ -98,6 +105,10 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def _in_token(c: str) -> bool:
+    return c.isascii() and (c.isalnum() or c in "_-")
+
+
 def candidates(text: str, base: list[Span]) -> list[Span]:
     """Further spans to judge, none overlapping a base span or another candidate."""
     found: list[Span] = []
@@ -106,14 +117,19 @@ def candidates(text: str, base: list[Span]) -> list[Span]:
         if m.start() < last:
             continue
         lo, hi = m.span()
-        while lo > last and text[lo - 1].isascii() and (text[lo - 1].isalnum() or text[lo - 1] == "_"):
+        while lo > last and _in_token(text[lo - 1]):
             lo -= 1
-        while hi < len(text) and text[hi].isascii() and (text[hi].isalnum() or text[hi] in "_-"):
+        while hi < len(text) and _in_token(text[hi]):
             hi += 1
         last = hi
-        token = text[lo:hi]
-        if 12 <= len(token) <= 128 and any(c.isalpha() for c in token):
+        while lo < hi and text[lo] == "-":  # a dash before a token is none of it
+            lo += 1
+        if hi - lo >= 12 and any(c.isalpha() for c in text[lo:hi]):
             found.append(("secret", lo, hi))
+    if "=" in text or ":" in text:
+        found += [("secret", m.start(1), m.end(1)) for m in _ASSIGNED.finditer(text)
+                  if _WORD_AT.match(m[0])[0].lower() in CREDENTIAL_WORDS
+                  and not (m.end() < len(text) and text[m.end()].isalnum())]
     found += [("phone", m.start(), m.end()) for m in _LOCAL_PHONE.finditer(text)]
     found += [("card", m.start(), m.end()) for m in _DIGITS.finditer(text)
               if m.end() - m.start() >= 13 and 13 <= len(_only_digits(m[0])) <= 19]
@@ -129,30 +145,30 @@ def candidates(text: str, base: list[Span]) -> list[Span]:
     return out
 
 
-def votes(text: str, span: Span, is_base: bool) -> tuple[int, ...]:
-    """One vote per labeler: 1 personal, 0 not, -1 abstain."""
+def votes(text: str, span: Span) -> tuple[int, ...]:
+    """One vote per labeler on a candidate: 1 personal, 0 not, -1 abstain."""
     kind, lo, hi = span
     s = text[lo:hi]
     digits = _only_digits(s)
     before = _WORD_BEFORE.search(text[max(0, lo - 24):lo])
     word = before[1].lower() if before else ""
-    hexed = bool(re.fullmatch(r"[0-9a-f]{16,}|[0-9A-F]{16,}", s))
-    pattern = 1 if is_base else (1 if kind == "phone" or hexed or re.fullmatch(r"[A-Z0-9]{20}", s) else -1)
-    check = 1 if is_base else (0 if kind == "card" else -1)
-    prefix = 1 if s.startswith(KEY_PREFIXES) else (
-        int(s.rsplit(".", 1)[-1].lower() in TOP_DOMAINS) if kind == "email" else -1)
+    hexed = kind == "secret" and bool(re.fullmatch(r"[0-9a-f]{16,}|[0-9A-F]{16,}", s))
+    pattern = 1 if kind == "phone" or hexed or re.fullmatch(r"[A-Z0-9]{20}", s) else -1
+    check = 0 if kind == "card" and not _is_card(digits) else -1
+    prefix = 1 if s.startswith(KEY_PREFIXES) else -1
     context = 1 if word in (CREDENTIAL_WORDS if kind == "secret" else CONTACT_WORDS) else -1
     assigned = 1 if kind == "secret" and text[max(0, lo - 4):lo].rstrip(" \"'")[-1:] in ("=", ":") else -1
     spread = len(set(s)) / len(s)
-    varied = 0 if spread < 0.25 else (1 if kind in ("secret", "email") and len(set(s)) >= 8 else -1)
+    varied = 0 if spread < 0.25 and len(set(s)) < 8 else (1 if kind == "secret" and len(set(s)) >= 8 and digits else -1)
     alone = -1 if (lo == 0 or not text[lo - 1].isalnum()) and (hi == len(text) or not text[hi:hi + 1].isalnum()) else 0
     if len(set(digits)) == 1 and len(digits) > 3:
         varied = 0
     return pattern, check, prefix, context, assigned, varied, alone
 
 
-def span_features(text: str, span: Span, is_base: bool) -> tuple[int, ...]:
-    """Small integers that describe a span: kind, length, digits, case, variety, what stands before."""
+def span_features(text: str, span: Span) -> tuple[int, ...]:
+    """Small integers that describe a span: kind, length, digits, case, variety, what stands
+    before, and whether its digits pass the card check."""
     kind, lo, hi = span
     s = text[lo:hi]
     share = sum("0" <= c <= "9" for c in s) / len(s)
@@ -160,15 +176,21 @@ def span_features(text: str, span: Span, is_base: bool) -> tuple[int, ...]:
     before = text[lo - 1] if lo else " "
     edge = 0 if before.isspace() else 1 if before in "=:\"'" else 2 if before.isalnum() else 3
     return (KINDS.index(kind), min(3, (hi - lo) // 8), min(3, int(4 * share)), case,
-            min(3, len(set(s)) // 4), edge, int(is_base))
+            min(3, len(set(s)) // 4), edge, int(_is_card(_only_digits(s))))
 
 
 _SIZES = (5, 4, 4, 4, 4, 4, 2)
 _FIRST = np.concatenate([[0], np.cumsum(_SIZES)[:-1]])
 
 
-def agree(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """EM over vote patterns: (reliability of each labeler, likelihood of each pattern)."""
+def agree(patterns: np.ndarray, counts: np.ndarray, kinds: np.ndarray | None = None,
+          rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
+    """EM over vote patterns: (reliability of each labeler, likelihood of each pattern).
+
+    Each kind has its own prior, so many spans of one kind do not speak for another; it is
+    at most one half, so that a span needs a vote to be likelier personal than not.
+    """
+    kinds = np.zeros(len(patterns), int) if kinds is None else kinds
     on, yes = patterns >= 0, patterns == 1
     share = np.where(on, yes, 0.5).mean(axis=1)
     p = np.clip(share, 0.1, 0.9)
@@ -177,7 +199,7 @@ def agree(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tuple[n
         w1, w0 = counts * p, counts * (1 - p)
         hit = ((w1[:, None] * (on & yes)).sum(0) + (w0[:, None] * (on & ~yes)).sum(0))
         right = np.clip((hit + 8) / (((w1 + w0)[:, None] * on).sum(0) + 10), 0.55, 0.99)  # prior: right 4 times in 5
-        prior = np.clip((w1.sum() + 1) / (counts.sum() + 2), 0.05, 0.95)
+        prior = np.clip((np.bincount(kinds, w1) + 1) / (np.bincount(kinds, counts) + 2), 0.05, 0.5)[kinds]
         weight = np.log(right / (1 - right))
         p = sigmoid(np.log(prior / (1 - prior)) + np.where(on, np.where(yes, weight, -weight), 0.0).sum(axis=1))
     return right, p
@@ -199,7 +221,7 @@ def train(rows: list[tuple[tuple[int, ...], tuple[int, ...], int]]) -> Model:
     if not rows:
         return Model(np.zeros(sum(_SIZES)), -10.0, np.zeros(0))
     v, counts = np.array([r[0] for r in rows]), np.array([r[2] for r in rows], float)
-    right, p = agree(v, counts)
+    right, p = agree(v, counts, np.array([r[1][0] for r in rows]))
     x = np.zeros((len(rows), sum(_SIZES)))
     for i, r in enumerate(rows):
         x[i, _FIRST + np.array(r[1])] = 1
@@ -218,10 +240,8 @@ def observed(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def look(t: pa.Array) -> pa.Array:
         out = []
         for x in texts(t):
-            base = base_spans(x)
-            spans = [(s, True) for s in base] + [(s, False) for s in candidates(x, base)]
-            out.append([{"votes": ",".join(map(str, votes(x, s, b))),
-                         "features": ",".join(map(str, span_features(x, s, b)))} for s, b in spans])
+            out.append([{"votes": ",".join(map(str, votes(x, s))), "features": ",".join(map(str, span_features(x, s)))}
+                        for s in candidates(x, base_spans(x))])
         return pa.array(out, pa.list_(pa.struct([("votes", pa.string()), ("features", pa.string())])))
 
     return (docs.select(F.explode(look(F.col(text_col))).alias("o")).groupBy("o.votes", "o.features")
@@ -250,7 +270,7 @@ def find(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             base = base_spans(x)
             more = []
             for s in candidates(x, base):
-                f = span_features(x, s, False)
+                f = span_features(x, s)
                 if f not in known:
                     known[f] = model.personal(f) >= 0.5
                 if known[f]:

@@ -164,3 +164,95 @@ def test_queries_cover_every_document(spark, sf):
     ids = sorted(r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect())
     for query in (toxicity_scores, quality_rules, personal_data):
         assert sorted(r.doc_id for r in query(spark, sf).select("doc_id").collect()) == ids
+
+
+def test_em_and_classifier_reject_numbers_that_fail_the_check(spark):
+    """Planted secrets are found (recall), plain numbers and codes are left alone (precision)."""
+    rng = random.Random(8)
+    hexed = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+
+    def card(valid):
+        while True:
+            d = "".join(rng.choice("0123456789") for _ in range(16))
+            if pii.luhn(d) == valid:
+                return d
+    rows, wanted, unwanted = [], [], []
+
+    def plant(before, token, into):
+        text = f"some words {before}{token} and more"
+        at = text.index(token)
+        into.append((len(rows), f"{at}:{at + len(token)}"))
+        rows.append((len(rows), text))
+    for _ in range(60):
+        plant("password=", hexed(20), wanted)
+        plant("", "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)), wanted)
+        plant("token: ", "sk-" + hexed(40), wanted)
+        plant("api_key = ", letters(24), wanted)
+        plant("secret=", hexed(300), wanted)                       # longer than any cap
+        plant("", card(False), unwanted)
+        plant("order ", card(False), unwanted)
+        plant("see ", "aaaaaaaaaaaa1", unwanted)
+        plant("note: ", letters(14), unwanted)                     # no credential word
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.spans for r in pii.find(docs, pii.fit(docs)).collect()}
+    found = sum(any(s.endswith(at) for s in got[i].split(",")) for i, at in wanted)
+    wrong = sum(any(s.endswith(at) for s in got[i].split(",")) for i, at in unwanted)
+    assert found / len(wanted) >= 0.9 and wrong / max(1, found + wrong) <= 0.1
+
+
+def test_sample_equals_a_plain_draw(spark, monkeypatch):
+    from baitline.llm import linear
+    rng = random.Random(9)
+    rows = [(i, "x" * rng.randrange(0, 30)) for i in range(900)] + [(5, "y"), (None, "z"), (7, None)]
+    marks = [(i, rng.randrange(2)) for i in range(800)] + [(3, 0), (3, 1), (None, 1), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame(marks, "doc_id bigint, toxic int")
+    said = {}
+    for i, y in marks:
+        if i is not None and y is not None:
+            said.setdefault(i, set()).add(y)
+    held = {}
+    for i, t in rows:
+        if i is not None and t and len(t) <= 20:
+            held[i] = min(held.get(i, t), t)
+    for digits, per_class in ((3, (50, 20)), (1, (50, 20)), (2, (2000, 2000))):
+        monkeypatch.setattr(linear, "_SLOT_DIGITS", digits)
+        want = []
+        for y in (0, 1):
+            ids = sorted((i for i, ys in said.items() if ys == {y} and i in held),
+                         key=lambda i: hashlib.sha256(str(i).encode()).hexdigest())
+            want += [(y, held[i]) for i in ids[:per_class[y]]]
+        assert linear.sample(docs, labels, "toxic", per_class, 20) == want
+
+
+def test_toxicity_equals_a_plain_scorer():
+    """The batched passage scores against one n-gram at a time."""
+    import numpy as np
+    rng = random.Random(10)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randrange(1, 9))) for _ in range(60)] + ["été", "x"]
+    train = [(k % 2, " ".join(rng.choices(words[:30] if k % 2 else words, k=rng.randrange(1, 60)))) for k in range(80)]
+    model = toxicity.train(train)
+
+    def bucket(gram):
+        h = 2166136261
+        for b in gram:
+            h = ((h ^ b) * 16777619) & 0xFFFFFFFF
+        h = ((h ^ (h >> 15)) * 2246822519) & 0xFFFFFFFF
+        return h >> (33 - toxicity.BUCKETS.bit_length())
+
+    def plain(text):
+        seen = toxicity.plain(text).split()
+        if not seen:
+            return model.prior
+        first = list(range(0, len(seen), toxicity.PASSAGE))
+        best = -1e9
+        for k in first:
+            lo = min(k, max(0, len(seen) - toxicity.PASSAGE))
+            data = b" " + b" ".join(seen[lo:lo + toxicity.PASSAGE]) + b" "
+            grams = [data[i:i + n] for n in range(toxicity.LOW, toxicity.HIGH + 1) for i in range(len(data) - n + 1)]
+            weights = [float(model.weight[bucket(g)]) for g in grams if b" " not in g[1:-1]]
+            best = max(best, sum(weights) / max(1, len(weights)) + model.bias)
+        return 1 / (1 + np.exp(-best))
+    for text in [t for _, t in train] + ["", "...", "a", "unseen wording here " * 30]:
+        assert abs(model.score(text) - plain(text)) < 1e-6, text
