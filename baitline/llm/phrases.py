@@ -39,15 +39,18 @@ MAX_BITS = 1 << 28
 #: Bits of a block: 512 longs.
 _BLOCK = 1 << 15
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Characters that end a piece, besides the line feed.
+_ENDS = ".,;:!?\v\f\r"
 _WORDS = [f"w{i}" for i in range(1, ORDER + 1)]
 
 
 def windows(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """(lang, w1..): a row per word occurrence, with the words that follow it in its piece."""
-    pieces = docs.select(
-        F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
-        F.explode(F.split(F.translate(F.col("text"), _UPPER, _LOWER), "[.,;:!?\n-\r]")).alias("piece"))
-    words = pieces.select("lang", F.array_remove(F.split("piece", "[ \t]+"), "").alias("w")).where("size(w) > 0")
+    # one pass over the characters, then splits at single ones: no pattern is compiled per piece
+    plain = F.translate(F.col("text"), _UPPER + _ENDS + "\t", _LOWER + "\n" * len(_ENDS) + " ")
+    pieces = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
+                         F.explode(F.split(plain, "\n")).alias("piece"))
+    words = pieces.select("lang", F.array_remove(F.split("piece", " "), "").alias("w")).where("size(w) > 0")
     leads = [F.col("w")] + [F.slice("w", k, F.size("w")) for k in range(2, order + 1)]
     zipped = F.arrays_zip(*[x.alias(n) for x, n in zip(leads, _WORDS)])
     return words.select("lang", F.inline(zipped)).toDF("lang", *_WORDS[:order])
