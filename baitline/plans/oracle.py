@@ -47,9 +47,11 @@ def _case_first(pairs, default="NULL") -> str:
     return f"CASE {whens} ELSE {default} END"
 
 
-def screenshot_sql() -> str:
+def screenshot_sql(ocr: str | None = None) -> str:
     pairs = [(f"contains(upper(image), {q(k)})", q(t)) for k, t in C.OCR_TEXTS]
     pairs.append(("coalesce(demo_offline, false)", q(C.OCR_DEFAULT_TEXT)))
+    if ocr:
+        pairs.append((f"{ocr} IS NOT NULL", ocr))
     hint = " OR ".join(f"contains(lower(image), {q(w)})" for w in C.OCR_HINT_WORDS)
     pairs.append((hint, q(C.OCR_TEXTS[0][1])))
     return _case_first(pairs, q(C.OCR_DEFAULT_TEXT))

@@ -798,7 +798,12 @@ FROM pk JOIN its USING (msg_id)"""
 
 
 def _intake(out: dict, base: str) -> None:
-    """Requests read back from files, messages without an answer, exports by day."""
+    """Requests read back from files, messages without an answer, exports by day, transcriptions."""
+    given = ("CASE WHEN msg_id % 4 = 0 THEN 'Transcript of ' || CAST(msg_id AS VARCHAR) || ': pay at https://ocr-' "
+             "|| CAST(user_id AS VARCHAR) || '.top/now' END")
+    with_ocr = base.replace(screenshot_sql(), screenshot_sql(f"({given})"))
+    out["ocr_texts"] = f"""{with_ocr}
+SELECT msg_id, raw_text, risk_score, CAST(n_reports AS INTEGER) AS n_links FROM rep WHERE has_image"""
     msgs = f"msgs AS ({view_sql('events')})"
     samples = _values([(n, txt) for n, _, _, txt in C.SAMPLES], ["name", "sample"])
     out["request_intake"] = f"""WITH {msgs},

@@ -265,6 +265,17 @@ def screenshot_texts(spark, sf_dir):
     return src.select("msg_id", txt.alias("raw_text"), R.ocr_preview(txt).alias("ocr_preview"))
 
 
+def ocr_texts(spark, sf_dir):
+    """S5 with a transcription from outside (every fourth message has one): marker text first, then
+    the forced local text, then the transcription, then hint words, then the default."""
+    given = F.when(F.col("msg_id") % 4 == 0, F.concat(F.lit("Transcript of "), F.col("msg_id").cast("string"),
+                                                      F.lit(": pay at https://ocr-"), F.col("user_id").cast("string"),
+                                                      F.lit(".top/now")))
+    src = accepted(spark, sf_dir).filter(S.has_image("image")).withColumn("ocr_text", given)
+    rep = investigate(src, ocr_text_col="ocr_text")
+    return rep.select("msg_id", "raw_text", "risk_score", F.size("links").alias("n_links"))
+
+
 # --- analytics (A1-A8) -------------------------------------------------------------
 
 def evidence_stats(spark, sf_dir):

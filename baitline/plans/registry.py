@@ -28,6 +28,7 @@ SPARK_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "report_labels": Q.report_labels,
     "intake_quarantine": Q.intake_quarantine,
     "screenshot_texts": Q.screenshot_texts,
+    "ocr_texts": Q.ocr_texts,
     "evidence_stats": Q.evidence_stats,
     "top_contributors": Q.top_contributors,
     "primary_evidence": Q.primary_evidence,
