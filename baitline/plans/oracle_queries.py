@@ -222,8 +222,8 @@ FROM rep WHERE has_image"""
 SELECT msg_id, redacted_text, true AS alias_ok, CAST(coalesce(len(domains), 0) AS INTEGER) AS n_links,
   coalesce(array_to_string(domains, ','), '') AS domains, safe_steps[1] AS first_step,
   {q(C.SAFE_STEPS['before_click'][0])} AS default_first_step, '' AS empty_redaction,
-  f.risk_score AS first_domain_risk, array_to_string(list_transform(indicators, lambda i: i.category), '|') AS categories,
-  CASE WHEN n_reports = 1 THEN rep.risk_score END AS one_link_score,
+  coalesce(f.risk_score, 0) AS first_domain_risk, array_to_string(list_transform(indicators, lambda i: i.category), '|') AS categories,
+  CASE WHEN n_reports = 1 THEN rep.risk_score ELSE 0 END AS one_link_score,
   CASE WHEN n_reports = 1 THEN rep.verdict END AS one_link_verdict, 0 AS default_score, 1 AS default_trace,
   {draft_80} AS draft, {empty} AS default_draft
 FROM rep LEFT JOIN (SELECT msg_id, risk_score FROM m_dr WHERE pos = 1) f USING (msg_id)"""
@@ -454,7 +454,7 @@ FROM lr"""
     out["lite_domain_records"] = f"""{base},
 {lite}
 SELECT msg_id, CAST(CASE WHEN lite_domain <> '' THEN 1 ELSE 0 END AS INTEGER) AS n_records,
-  nullif(lite_domain, '') AS domain, CASE WHEN lite_domain <> '' THEN lite_domain_risk END AS risk_score,
+  nullif(lite_domain, '') AS domain, CASE WHEN lite_domain <> '' THEN lite_domain_risk ELSE 0 END AS risk_score,
   CASE WHEN lite_domain <> '' THEN CASE WHEN lite_domain_risk >= 70 THEN 'High'
        WHEN lite_domain_risk >= 35 THEN 'Medium' ELSE 'Low' END END AS verdict,
   CASE WHEN lite_domain <> '' THEN array_to_string(lite_bd, ' | ') END AS indicators,
@@ -813,7 +813,7 @@ SELECT 'json' AS kind, msg_id, CASE WHEN NOT cut THEN situation END AS situation
   CAST(CASE WHEN cut THEN 0 ELSE length(text) END AS INTEGER) AS n_chars, true AS has_source
 FROM req
 UNION ALL
-SELECT 'text', NULL, 'before_click', NULL, CAST(length(text) + 1 AS INTEGER), true
+SELECT 'text', -1, 'before_click', NULL, CAST(length(text) + 1 AS INTEGER), true
 FROM (SELECT DISTINCT t.name, m.text FROM msgs m JOIN {samples} ON m.text = t.sample)"""
     notes = out["analyst_notes_live"]
     out["unanswered_messages"] = f"""WITH won AS ({notes[:notes.rindex('SELECT msg_id,')]} SELECT msg_id FROM win),

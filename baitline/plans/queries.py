@@ -399,7 +399,7 @@ def lite_domain_records(spark, sf_dir):
     r = F.get("lite_domain_reports", 0)
     return _lite_reports(spark, sf_dir).select(
         "msg_id", F.size("lite_domain_reports").alias("n_records"), r["domain"].alias("domain"),
-        r["risk_score"].alias("risk_score"), r["verdict"].alias("verdict"),
+        F.coalesce(r["risk_score"], F.lit(0)).alias("risk_score"), r["verdict"].alias("verdict"),
         F.array_join(r["indicators"], " | ").alias("indicators"),
         F.array_join(r["detected_brands"], ",").alias("brands"),
         F.col("lite_extracted_text").alias("extracted_text"))
@@ -448,9 +448,9 @@ def sql_tools(spark, sf_dir):
         SELECT msg_id, redacted_text, clean_text_pii(raw_text) = redacted_text AS alias_ok,
                size(links) AS n_links, array_join(transform(get_links(raw_text), l -> l.domain), ',') AS domains,
                steps[0] AS first_step, fetch_safe_steps()[0] AS default_first_step, redact_pii() AS empty_redaction,
-               CASE WHEN size(links) > 0 THEN analyze_domain(get(links, 0).domain).risk_score END AS first_domain_risk,
+               coalesce(analyze_domain(get(links, 0).domain).risk_score, 0) AS first_domain_risk,
                array_join(transform(check_social_engineering(redacted_text), i -> i.category), '|') AS categories,
-               CASE WHEN size(links) = 1 THEN score.risk_score END AS one_link_score,
+               CASE WHEN size(links) = 1 THEN score.risk_score ELSE 0 END AS one_link_score,
                CASE WHEN size(links) = 1 THEN risk_verdict(score.risk_score) END AS one_link_verdict,
                assess_risk().risk_score AS default_score, size(assess_risk().score_trace) AS default_trace,
                draft_report(raw_text, redacted_text, 80, indicators, steps) AS draft,
@@ -647,7 +647,7 @@ def request_intake(spark, sf_dir):
     none = F.lit(None).cast("string")
     return (shown(accepted_rows, "json", F.col("msg_id"), none)
             .unionByName(shown(quarantine, "json", F.coalesce("msg_id", of_record), F.col("reject_reason")))
-            .unionByName(shown(texts.unionByName(blank, allowMissingColumns=True), "text", F.lit(None), none)))
+            .unionByName(shown(texts.unionByName(blank, allowMissingColumns=True), "text", F.lit(-1), none)))
 
 
 def unanswered_messages(spark, sf_dir):
