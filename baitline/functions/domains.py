@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from .rule import EMPTY, case, let, lit, present, rule
+from .rule import EMPTY, case, let, lit, rule, texts
 
 
 def _tokens(text: str) -> str:
@@ -35,10 +35,13 @@ def _prep(domain: str) -> str:
 
 def _flags(p: str) -> str:
     # D3 + D5: the brand's tokens occur contiguously and the registrable label is not the brand itself.
-    brands = present([(f"contains({p}.padded, {lit(f' {_brand_key(b)} ')}) AND {p}.main_key != {lit(_brand_key(b))}", lit(b))
-                      for b in C.BRANDS])
+    keys = texts([_brand_key(b) for b in C.BRANDS])
+    if keys != texts(C.BRANDS):
+        raise ValueError("a brand is written as its tokens, with single spaces")
+    brands = f"filter({keys}, b -> contains({p}.padded, concat(' ', b, ' ')) AND {p}.main_key != b)"
     tld = case([(f"endswith({p}.d, {lit(t)})", lit(t)) for t in C.SUSPICIOUS_TLDS], "NULL")
-    typos = present([(f"contains({p}.d, {lit(found)})", lit(b)) for found, b in C.TYPO_PATTERNS])
+    patterns = ", ".join(f"named_struct('found', {lit(found)}, 'brand', {lit(b)})" for found, b in C.TYPO_PATTERNS)
+    typos = f"transform(filter(array({patterns}), t -> contains({p}.d, t.found)), t -> t.brand)"
     return (f"named_struct('domain', {p}.d, 'tld', {tld}, 'brands', {brands}, "
             f"'hyphens', length({p}.d) - length(replace({p}.d, '-', '')), "
             f"'digits', length({p}.d) - length(regexp_replace({p}.d, {lit(chr(92) + 'p{Nd}')}, '')), 'typos', {typos})")

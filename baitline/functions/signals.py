@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from .rule import let, lit, present, rule
+from .rule import let, lit, present, rule, texts
 
 # Word boundary that agrees across engines: not a letter, digit or '_'.
 _EDGE_L = r"(^|[^\p{L}\p{N}_])"
@@ -20,17 +20,17 @@ HIT_FIELDS = ["urgency", "brands", "financial", "data", "relationship"]
 HIT_COLUMNS = [f"h_{f}" for f in HIT_FIELDS]
 
 
-def brand_word_pattern(brand: str) -> str:
-    return _EDGE_L + brand + _EDGE_R
+def _hits(text: str, keywords: list[str] | None) -> str:
+    """Matched keywords of a text in lexicon order; None: brands named as words (the substring
+    test first keeps it cheap).
 
-
-def _hits(low: str, keywords: list[str] | None) -> str:
-    """Matched keywords of a lower-cased text in lexicon order; None: brands named as words
-    (the substring test first keeps it cheap)."""
+    One filter over the lexicon with the lower-cased text bound once. A predicate of its own per
+    keyword gives a generated method beyond the size that the JVM compiles, and a plan as large.
+    """
     if keywords is None:
-        return present([(f"contains({low}, {lit(b)}) AND {low} RLIKE {lit(brand_word_pattern(b))}", lit(b))
-                        for b in C.BRANDS])
-    return present([(f"contains({low}, {lit(k)})", lit(k)) for k in keywords])
+        named = f"filter({texts(C.BRANDS)}, b -> contains(low, b))"
+        return let("low", f"lower({text})", f"filter({named}, b -> low RLIKE concat({lit(_EDGE_L)}, b, {lit(_EDGE_R)}))")
+    return let("low", f"lower({text})", f"filter({texts(keywords)}, k -> contains(low, k))")
 
 
 _NO_INDICATOR = "cast(array() AS array<struct<category: string, detail: string>>)"
@@ -49,14 +49,14 @@ def _indicators(hits: list[str]) -> str:
 
 @rule
 def detect_signals(text: str) -> str:
-    """T1-T7 in one expression; the lower-cased text and the hits are bound once."""
-    found = ", ".join(f"{lit(f)}, {_hits('low', k)}" for f, (_, k, _) in zip(HIT_FIELDS, C.SIGNAL_CATEGORIES))
-    return let("low", f"lower({text})", let("h", f"named_struct({found})", _indicators([f"h.{f}" for f in HIT_FIELDS])))
+    """T1-T7 in one expression; the hits are bound once."""
+    found = ", ".join(f"{lit(f)}, {_hits(text, k)}" for f, (_, k, _) in zip(HIT_FIELDS, C.SIGNAL_CATEGORIES))
+    return let("h", f"named_struct({found})", _indicators([f"h.{f}" for f in HIT_FIELDS]))
 
 
 def signal_hit_columns(text: str) -> dict[str, Column]:
     """{hit column: expression} for ``withColumns`` (one projection)."""
-    return {c: F.expr(_hits(f"lower({text})", k)) for c, (_, k, _) in zip(HIT_COLUMNS, C.SIGNAL_CATEGORIES)}
+    return {c: F.expr(_hits(text, k)) for c, (_, k, _) in zip(HIT_COLUMNS, C.SIGNAL_CATEGORIES)}
 
 
 def indicators_from_columns() -> Column:
