@@ -79,7 +79,7 @@ class Filter:
             "filter")
 
     def mark(self, rows: DataFrame, run: Column, name: str) -> DataFrame:
-        """``rows`` with a boolean column: whether the run's bit is set."""
+        """``rows`` with a boolean column: whether the run's bit is set (a null run: false)."""
         at, block = f"__at_{name}", f"__block_{name}"
         held = self.blocks.select(F.col("block").alias(block), F.col("longs").alias(f"__longs_{name}"))
         placed = rows.withColumn(at, run.bitwiseAND(F.lit(self.bits - 1)))
@@ -95,8 +95,10 @@ def trimmed(docs: DataFrame, min_count: int) -> DataFrame:
     three = windows(docs, 3).where("w3 IS NOT NULL")
     three = pairs.mark(pairs.mark(three, _run(1, 2), "a").where("a"), _run(2, 2), "b").where("b")
     triples = Filter(three.select(_run(1, 3).alias("h")), min_count)
-    rows = pairs.mark(windows(docs), _run(1, 2), "two")
-    rows = triples.mark(triples.mark(rows, _run(1, 3), "three"), _run(2, 3), "four")
+    # a longer run is hashed and looked up only where the shorter one is frequent
+    rows = pairs.mark(windows(docs), F.when(F.col("w2").isNotNull(), _run(1, 2)), "two")
+    rows = triples.mark(rows, F.when(F.col("two") & F.col("w3").isNotNull(), _run(1, 3)), "three")
+    rows = triples.mark(rows, F.when(F.col("three") & F.col("w4").isNotNull(), _run(2, 3)), "four")
     w2 = F.when(F.col("two"), F.col("w2"))
     w3 = F.when(w2.isNotNull() & F.col("three"), F.col("w3"))
     return rows.select("lang", "w1", w2.alias("w2"), w3.alias("w3"),
