@@ -28,11 +28,12 @@ def write_exports(rep: DataFrame, path: str) -> None:
     """Export documents as JSON lines in one folder per day of the message.
 
     Dynamic partition overwrite: a run replaces the days it holds and leaves the others, so
-    days can be exported one by one and exported again.
+    days can be exported one by one and exported again. Files are gzipped: an export is several
+    KB of mostly fixed texts, and a day that is exported again is there twice until it is replaced.
     """
     day = F.date_format("ts", "yyyy-MM-dd")
     (rep.select(day.alias("day"), export_json(rep, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).alias("value"))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").text(path))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").option("compression", "gzip").text(path))
 
 
 def read_exports(spark, path: str) -> DataFrame:
