@@ -41,6 +41,23 @@ def newest_cases(cases: DataFrame, n: int = C.HISTORY_SIZE) -> DataFrame:
     return cases.withColumn("rank", F.row_number().over(newest_first)).filter(F.col("rank") <= n)
 
 
+#: Bits of keys in all (16 MB) and in a row of their table; the bit of a key.
+_BITS, _BLOCK = 2 ** 27, 4096
+_BIT = f"pmod(xxhash64(_key), {_BITS})"
+
+
+def key_bits(keys: DataFrame) -> DataFrame:
+    """The set bits of keys, 64 longs a block: at most 32,768 rows, however many keys.
+
+    With very many keys most bits are set and the filter lets most rows through; it loses none.
+    """
+    words = (keys.selectExpr(f"{_BIT} AS at")
+             .groupBy(F.expr(f"at div {_BLOCK}").alias("_block"), F.expr(f"cast(at % {_BLOCK} div 64 AS int)").alias("word"))
+             .agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 AS int)))").alias("long")))
+    held = words.groupBy("_block").agg(F.map_from_entries(F.collect_list(F.struct("word", "long"))).alias("held"))
+    return held.select("_block", F.expr("transform(sequence(0, 63), w -> coalesce(held[w], 0L))").alias("_bits"))
+
+
 class HistoryStore:
     """Rows of one schema with user_id, msg_id and ts. ``schema`` names the columns to keep;
     it is needed where nothing has been merged yet, and stays as first merged."""
@@ -83,16 +100,34 @@ class HistoryStore:
     def _key_type(manifest: dict):
         return StructType.fromJson(manifest["schema"])["user_id"].dataType
 
-    def merged(self, cases: DataFrame, buckets: list[int], manifest: dict | None = None) -> DataFrame:
-        """The rows of ``buckets`` after the merge: of a repeated case the one that came last,
-        of a user the newest."""
-        manifest = manifest or self.manifest()
+    def _candidates(self, cases: DataFrame, buckets: list[int], manifest: dict) -> DataFrame:
+        """Stored rows of ``buckets`` and new ones, each with the (nullable) key that orders it."""
         columns = StructType.fromJson(manifest["schema"]).names
         rows = (self._rows(manifest, buckets).withColumn("_new", F.lit(0))
                 .unionByName(cases.select(*columns).withColumn("_new", F.lit(1))))
-        # by case first: the rows of a hot user are dealt by case, and thinned before they meet
-        last = rows.groupBy("user_id", "msg_id").agg(F.max(F.struct("_new", "ts", F.struct(*columns).alias("row"))).alias("m"))
-        return newest_cases(last.select("m.row.*"), self.keep).drop("rank")
+        return rows.select(F.expr("struct(user_id, msg_id, _new, ts)").alias("_key"), F.struct(*columns).alias("row"))
+
+    def kept_keys(self, rows: DataFrame) -> DataFrame:
+        """The keys of the rows that stay: of a repeated case the one that came last, of a user the newest.
+
+        Keys alone are read, by case first: the rows of a hot user are dealt by case, and thinned before they meet."""
+        last = rows.groupBy("_key.user_id", "_key.msg_id").agg(F.max(F.struct("_key._new", "_key.ts")).alias("m"))
+        return newest_cases(last.select("user_id", "msg_id", "m._new", "m.ts"), self.keep).select(
+            F.struct("user_id", "msg_id", "_new", "ts").alias("_key"))
+
+    def merged(self, cases: DataFrame, buckets: list[int], manifest: dict | None = None,
+               kept: DataFrame | None = None) -> DataFrame:
+        """The rows of ``buckets`` after the merge. ``kept``: their keys where they are stored already;
+        then whole rows are shuffled only where the bit of their key is set."""
+        rows = self._candidates(cases, buckets, manifest or self.manifest())
+        keys = self.kept_keys(rows) if kept is None else kept
+        if kept is not None:
+            rows = (rows.withColumn("_at", F.expr(_BIT)).withColumn("_block", F.expr(f"_at div {_BLOCK}"))
+                    .join(F.broadcast(key_bits(kept)), "_block")
+                    .where(f"getbit(_bits[cast(_at % {_BLOCK} div 64 AS int)], cast(_at % 64 AS int)) = 1")
+                    .select("_key", "row"))
+        # structs with the same nulls are equal; rows of one key are grouped where they were joined
+        return rows.join(keys, "_key").groupBy("_key").agg(F.max("row").alias("row")).select("row.*")
 
     def merge(self, cases: DataFrame, batch: int | None = None) -> None:
         """Merge cases; ``batch`` numbers the batches of a stream, and one that is merged is not merged again."""
@@ -101,20 +136,26 @@ class HistoryStore:
             manifest["schema"] = cases.schema.jsonValue()
         if batch is not None and manifest["batch"] is not None and batch <= manifest["batch"]:
             return
-        cases = cases.persist()
+        if batch is not None:  # a batch of a stream is computed once; stored cases are read column by column
+            cases = cases.persist()
         try:
             touched = sorted(r[0] for r in cases.select(self.bucket(F.col("user_id")).alias("b")).distinct().collect())
             version = manifest["version"] + 1
             if touched:
+                # the keys that stay are written first: they are read for the bits and for the match
+                keys = f"{self.root}/keys/v={version}"
+                self.kept_keys(self._candidates(cases, touched, manifest)).write.mode("overwrite").parquet(keys)
                 # a bucket per task, large buckets split and small ones packed by adaptive execution
-                (self.merged(cases, touched, manifest).withColumn("bucket", self.bucket(F.col("user_id")))
+                (self.merged(cases, touched, manifest, self.spark.read.parquet(keys)).withColumn("bucket", self.bucket(F.col("user_id")))
                  .hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket")
-                 .parquet(f"{self.root}/data/v={version}"))
+                 .option("compression", "zstd").parquet(f"{self.root}/data/v={version}"))
             manifest |= {"version": version, "batch": manifest["batch"] if batch is None else batch,
                          "at": manifest["at"] | {str(b): version for b in touched}}
             self._folder.publish(json.dumps(manifest), "manifest", f"{version:012d}.json")
         finally:
-            cases.unpersist()
+            if batch is not None:
+                cases.unpersist()
+        self._folder.remove("keys")
         self.vacuum()
 
     def vacuum(self) -> None:

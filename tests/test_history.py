@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from baitline.sources.folders import Folder
-from baitline.sources.history import HistoryStore
+from baitline.sources.history import HistoryStore, newest_cases
 
 SCHEMA = "user_id bigint, msg_id bigint, ts timestamp, verdict string"
 
@@ -138,3 +138,24 @@ def test_nested_reports_are_read_by_field(spark, tmp_path):
         .alias("report")).write.parquet(path)
     plan = spark.read.parquet(path).select("report.redacted_text")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<report:struct<redacted_text:string>>" in plan
+
+
+def test_a_merge_decides_on_keys_alone(spark, root):
+    """Repeated cases, ties and null keys: as if whole rows were grouped; whole rows go through a filter on their key's bit."""
+    rng = random.Random(5)
+    cases = [(rng.choice([1, 2, None]), rng.randrange(60), rng.choice([None, *range(50)]), f"{i}") for i in range(400)]
+    store = HistoryStore(spark, root, buckets=2)
+    store.merge(rows(spark, cases[:200]))
+    rows(spark, cases[200:]).write.parquet(f"{root}-new")
+    old, new = store.read(), spark.read.parquet(f"{root}-new")
+    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    last = both.groupBy("user_id", "msg_id").agg(F.max(F.struct("_new", "ts", F.struct(*old.columns).alias("row"))).alias("m"))
+    want = sorted(map(str, newest_cases(last.select("m.row.*")).drop("rank").collect()))
+    keys = store.kept_keys(store._candidates(new, [0, 1], store.manifest()))
+    assert "verdict" not in keys._jdf.queryExecution().executedPlan().toString()     # keys alone are read
+    keys.write.parquet(f"{root}-keys")
+    merged = store.merged(new, [0, 1], None, spark.read.parquet(f"{root}-keys"))
+    assert "getbit" in merged._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, merged.collect())) == sorted(map(str, store.merged(new, [0, 1]).collect())) == want
+    store.merge(new)
+    assert sorted(map(str, store.read().collect())) == want and "keys" not in os.listdir(root)
