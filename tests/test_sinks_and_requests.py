@@ -104,6 +104,23 @@ def test_an_export_replaces_its_day_only(spark, cases, tmp_path):
     assert 0 < sum(r[1] == "2024-03-02" for r in after) < sum(r[1] == "2024-03-02" for r in before)
 
 
+def test_exports_are_compressed(spark, cases, tmp_path):
+    path = str(tmp_path / "gzipped")
+    sinks.write_exports(cases, path)
+    files = [f for f in (tmp_path / "gzipped").rglob("part-*")]
+    assert files and all(f.name.endswith(".gz") for f in files)
+    assert sum(f.stat().st_size for f in files) < sinks.read_exports(spark, path).selectExpr("sum(length(value))").first()[0] / 4
+
+
+def test_days_hold_narrow_rows(spark, cases):
+    """A day's row is (domain, day, user) with sums and bounds: no set of users of 4 KB a row."""
+    days = OA.campaign_days(cases)
+    assert "binary" not in dict(days.dtypes).values()
+    plan = OA.campaign_totals(days)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "bitmap" not in plan
+    assert days.count() <= cases.selectExpr("sum(size(domain_reports))").first()[0]
+
+
 def test_cubes_name_their_margins(spark):
     from baitline.operators.lite import agreement_totals
     df = spark.createDataFrame([("High", "High"), ("High", "Low"), (None, "Low")], "verdict string, lite_verdict string")
