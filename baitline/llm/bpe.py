@@ -9,7 +9,7 @@ piece of n bytes takes O(n log n) even when it is one very long run.
 
 Ranks are a fixed vocabulary file read once on the driver (about 1 MB) and sent
 with the task; documents are never shuffled. Pieces repeat, so each Python
-worker keeps the ids of pieces it has met, up to a fixed number of short ones.
+worker keeps the ids of pieces it has met, packed, up to a fixed number of short ones.
 
 Null text is the empty text: no tokens, the hash of the empty string. Rows are
 independent, so repeated rows, ties and other columns do not matter; columns
@@ -19,6 +19,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
+from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 import regex
@@ -32,6 +35,10 @@ NO_RANK = 1 << 62
 WIDTH = 16
 #: Pieces of at most CACHED_LENGTH characters are kept, CACHED_PIECES of them.
 CACHED_LENGTH, CACHED_PIECES = 64, 400_000
+#: Type of the packed ids.
+PACKED = "I"
+#: Pieces that are encoded in one go; texts of over LONG characters are not cut into all of theirs at once.
+PIECES, LONG = 1 << 12, 1 << 20
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -89,15 +96,14 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Pieces(dict):
-    """Piece -> its ids, the ids as text and the bytes they decode to; made on demand, bounded."""
+    """Piece -> its ids, packed four bytes each; made on demand, bounded."""
 
-    def __init__(self, codec: "Codec"):
+    def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
-        self.codec = codec
+        self.ranks = ranks
 
-    def __missing__(self, piece: str) -> tuple[tuple[int, ...], str, bytes]:
-        ids = tuple(merge(piece.encode(), self.codec.ranks))
-        got = ids, ",".join(map(str, ids)), self.codec.decode(ids)
+    def __missing__(self, piece: str) -> bytes:
+        got = array(PACKED, merge(piece.encode(), self.ranks)).tobytes()
         if len(piece) <= CACHED_LENGTH:
             if len(self) >= CACHED_PIECES:
                 self.clear()
@@ -111,9 +117,11 @@ class Codec:
     _made: dict[tuple[str, str], "Codec"] = {}
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.find = ranks, regex.compile(pattern).findall
+        self.ranks, compiled = ranks, regex.compile(pattern)
+        self.find, self.find_each = compiled.findall, compiled.finditer
         self.bytes = {i: b for b, i in ranks.items()}
-        self.known = Pieces(self)
+        self.names = {i: str(i) for i in self.bytes}
+        self.known = Pieces(ranks)
 
     @classmethod
     def of(cls, raw: bytes, pattern: str) -> "Codec":
@@ -122,15 +130,29 @@ class Codec:
             cls._made[key] = cls(read_ranks(raw), pattern)
         return cls._made[key]
 
-    def pieces(self, text: str) -> list[tuple[tuple[int, ...], str, bytes]]:
-        return list(map(self.known.__getitem__, self.find(text)))
+    def parts(self, text: str) -> Iterator[list[int]]:
+        """The ids of a text, those of so many pieces at a time."""
+        found = iter(self.find(text)) if len(text) <= LONG else (m.group() for m in self.find_each(text))
+        while part := list(islice(found, PIECES)):
+            yield array(PACKED, b"".join(map(self.known.__getitem__, part))).tolist()
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids, _, _ in self.pieces(text) for i in ids]
+        return [i for part in self.parts(text) for i in part]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
+    def digests(self, text: str) -> tuple[int, str, str]:
+        """The number of ids, and the digests of the ids and of the bytes they decode to."""
+        n, listed, decoded = 0, hashlib.sha256(), hashlib.sha256()
+        for ids in self.parts(text):
+            if n:
+                listed.update(b",")
+            n += len(ids)
+            listed.update(",".join(map(self.names.__getitem__, ids)).encode())
+            decoded.update(self.decode(ids))
+        return n, listed.hexdigest(), decoded.hexdigest()
+
 
 def _vocabulary(path: str) -> bytes:
     with open(path, "rb") as f:
@@ -164,8 +186,8 @@ def decode(ids: Column, path: str, pattern: str) -> Column:
 def digests(df: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """``df`` with n_tokens, ids_sha256 and decoded_sha256 of each whole text.
 
-    Encodes and decodes in one Python stage, so the ids of a batch never leave
-    the worker, and ids are decoded piece by piece; use ``encode`` and ``decode`` for the ids and bytes themselves.
+    Encodes and decodes in one Python stage, text by text and for a long one part by part,
+    so few ids are held and none leave the worker; use ``encode`` and ``decode`` for the ids and bytes themselves.
     """
     raw = _vocabulary(path)
 
@@ -173,11 +195,9 @@ def digests(df: DataFrame, path: str, pattern: str, text_col: str = "text") -> D
     def both(t: pa.Array) -> pa.Array:
         codec = Codec.of(raw, pattern)
         counts, listed, decoded = [], [], []
-        for x in texts(t):
-            got = codec.pieces(x)
-            counts.append(sum([len(ids) for ids, _, _ in got]))
-            listed.append(hashlib.sha256(",".join([t for _, t, _ in got]).encode()).hexdigest())
-            decoded.append(hashlib.sha256(b"".join([b for _, _, b in got])).hexdigest())
+        for x in t:  # one text at a time: a batch holds thousands
+            for out, value in zip((counts, listed, decoded), codec.digests(x.as_py() or "")):
+                out.append(value)
         return pa.StructArray.from_arrays(
             [pa.array(counts, pa.int64()), pa.array(listed, pa.string()), pa.array(decoded, pa.string())],
             ["n_tokens", "ids_sha256", "decoded_sha256"])

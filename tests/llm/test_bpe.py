@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import tracemalloc
 
 import public_tokenizers as P
 import pytest
@@ -64,3 +65,24 @@ def test_query(spark, sf, known):
     got = bpe_round_trip(spark, sf).collect()
     assert len(got) == len(texts)
     assert all((r.n_tokens, r.ids_sha256, r.decoded_sha256) == _expected(known, texts[r.doc_id]) for r in got)
+
+
+def test_memory_of_kept_pieces_and_long_texts(known):
+    """A kept piece takes little, and a long text is not held as all of its pieces."""
+    rng = random.Random(7)
+    codec = bpe.Codec(bpe.read_ranks(open(PATH, "rb").read()), P.PATTERN)
+    text = " ".join("".join(rng.choices("abcdefghij", k=10)) for _ in range(20_000))
+    tracemalloc.start()
+    try:
+        codec.encode(text)
+        assert len(codec.known) > 19_000
+        assert tracemalloc.get_traced_memory()[0] < 230 * len(codec.known)
+        long = text * 12
+        held = tracemalloc.get_traced_memory()[0]
+        tracemalloc.reset_peak()
+        got = codec.digests(long)
+        assert tracemalloc.get_traced_memory()[1] - held < 4 * len(long)
+    finally:
+        tracemalloc.stop()
+    assert len(long) > bpe.LONG and got == _expected(known, long)
+    assert codec.digests("") == _expected(known, "")
