@@ -110,3 +110,42 @@ def test_late_rewrite_is_reported():
     talk = chat.Conversation(ForgetsAfterForty())
     seen = [talk.add("user", f"turn {i}") and talk.rewrites for i in range(45)]
     assert seen == [False] * 40 + [True] * 5
+
+
+class Misdeclared(chat.EscapedTemplate):
+    """Says that it only appends, but counts the turns beyond 40 in front."""
+
+    append_only = True
+
+    def render(self, turns):
+        return f"{len(turns)}:" * (len(turns) > 40) + super().render(turns)
+
+
+class Watched(chat.EscapedTemplate):
+    append_only = True
+
+    def __init__(self):
+        self.sizes = []
+
+    def render(self, turns):
+        self.sizes.append(len(turns))
+        return super().render(turns)
+
+
+def test_every_prefix_is_rendered_whole():
+    """Three renderings of each prefix, however long it is and whatever the template declares."""
+    talk = chat.Conversation(Watched())
+    for i in range(100):
+        talk.add("user", f"turn {i}")
+    assert talk.template.sizes == [n for n in range(1, 101) for _ in range(3)]
+    talk = chat.Conversation(Misdeclared())
+    seen = [talk.add("user", f"turn {i}") and talk.rewrites for i in range(45)]
+    assert seen == [False] * 40 + [True] * 5
+
+
+def test_shared_prefix():
+    rng = random.Random(8)
+    for _ in range(300):
+        a, b = ("".join(rng.choices("ab", k=rng.randrange(12))) for _ in range(2))
+        want = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        assert chat._shared(a, b) == want
